@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,3 +107,63 @@ def provider_of_note(content: Column, default: str = "cascade") -> Column:
     named = F.regexp_like(content, F.lit(r"(?md)^- \*\*Provider:\*\*"))
     value = strip_space(F.replace(line, F.lit("**"), F.lit("")))
     return F.when(named, value).otherwise(F.lit(default))
+
+
+class InvalidRegex(ValueError):
+    """A search expression that cannot be compiled."""
+
+
+_WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+_NO_WORD_EDGE = r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"
+_BLANKS = r"\t\n\f\r "
+_TOKEN = re.compile(r"\\.|\[:\^?[a-z]+:\]|\[\^?\]?|\]|\(\?[^)]|.", re.DOTALL)
+
+
+def java_regex(pattern: str) -> str:
+    """A linear-time (RE2) search expression in Java's dialect.
+
+    Word edges and blanks are ASCII, ``.`` and ``$`` only know ``\n`` as a line
+    end, named groups and POSIX classes are respelled.  What RE2 does not have
+    (look-around, back-references) is rejected.
+    """
+    plain = re.sub(r"\[:\^?[a-z]+:\]|\\[pP](\{[^}]*\}|.)", "a", pattern)
+    try:
+        re.compile(plain.replace(r"\z", r"\Z"))
+    except re.error as err:
+        raise InvalidRegex(str(err)) from err
+    out, in_class = ["(?d)"], False
+    for token in _TOKEN.findall(pattern):
+        if in_class:
+            if token.startswith("[:"):
+                token = re.sub(
+                    r"\[:(\^?)([a-z]+):\]",
+                    lambda m: ("\\P{" if m[1] else "\\p{") + _POSIX.get(m[2], m[2].title()) + "}",
+                    token,
+                )
+            elif token == r"\s":
+                token = _BLANKS
+            elif token.startswith("[") or token == "&":
+                token = "\\" + token
+            elif token == "]":
+                in_class = False
+        elif token.startswith("["):
+            in_class = True
+            token = token.replace("]", r"\]")
+        elif token in (r"\b", r"\B"):
+            token = _WORD_EDGE if token == r"\b" else _NO_WORD_EDGE
+        elif token == r"\s":
+            token = f"[{_BLANKS}]"
+        elif token == r"\S":
+            token = f"[^{_BLANKS}]"
+        elif re.fullmatch(r"\\[1-9]", token) or token in ("(?=", "(?!", "(?>"):
+            raise InvalidRegex(f"not supported in a search expression: {token}")
+        elif token == "(?<":
+            raise InvalidRegex("not supported in a search expression: (?<")
+        elif token == "(?P":
+            token = "(?"
+        out.append(token)
+    return "".join(out)
+
+
+# POSIX class names whose Java spelling is not just capitalised.
+_POSIX = {"xdigit": "XDigit", "ascii": "ASCII", "word": "Alnum"}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +13,6 @@ from textquarry.operators.filters import text_files
 DEFAULT_MATCHES = 20
 
 
-class InvalidRegex(ValueError):
-    """A search expression that cannot be compiled."""
-
-
 def grep_lines(files: DataFrame, query: str, *, regex: bool = False, root: str = "/") -> DataFrame:
     """Every line of the text files below ``root`` that matches.
 
@@ -27,17 +21,13 @@ def grep_lines(files: DataFrame, query: str, *, regex: bool = False, root: str =
     """
     if not query:
         raise ValueError("query is required")
-    if regex:
-        try:
-            re.compile(query)
-        except re.error as err:
-            raise InvalidRegex(str(err)) from err
+    pattern = T.java_regex(query) if regex else query
     searched = text_files(files.where(under_path(F.col("path"), root)))
     if not regex:
-        searched = searched.where(F.contains("content", F.lit(query)))
+        searched = searched.where(F.contains("content", F.lit(pattern)))
 
     def test(line):
-        return F.regexp_like(line, F.lit(query)) if regex else F.contains(line, F.lit(query))
+        return F.regexp_like(line, F.lit(pattern)) if regex else F.contains(line, F.lit(pattern))
 
     numbered = F.transform(
         T.lines(F.col("content")),
