@@ -72,7 +72,9 @@ def _explode(files: DataFrame, language: Column, pieces: Column) -> DataFrame:
     return (
         files.select(
             "project_id", "path", "file_hash", language.alias("language"),
-            F.explode(pieces).alias("p"),
+            # Never empty; the outer form keeps the optimiser from evaluating
+            # the pieces once more to filter on their number.
+            F.explode_outer(pieces).alias("p"),
         )
         .select(
             T.chunk_id(F.col("path"), F.col("p.content")).alias("chunk_id"),

@@ -58,15 +58,16 @@ def embed_chunks(
 ) -> DataFrame:
     """Chunks with vectors: from the cache by chunk id, otherwise computed.
 
-    The built-in embedder is a column expression, evaluated only where the
-    cache has nothing.
+    Texts that have a cached vector are not handed to the embedder.
     """
     if factory is None:
-        computed = hash_embedding(F.col("content"), dim).cast("array<float>")
         if vectors is None:
-            return chunks.withColumn("embedding", computed)
+            return chunks.withColumn(
+                "embedding", hash_embedding(F.col("content"), dim).cast("array<float>")
+            )
+        missing = F.when(F.col("embedding").isNull(), F.col("content"))
         return with_cached_vectors(chunks, vectors).withColumn(
-            "embedding", F.coalesce("embedding", computed)
+            "embedding", F.coalesce("embedding", hash_embedding(missing, dim).cast("array<float>"))
         )
     if vectors is None:
         return embed_with(chunks, factory, batch_size)

@@ -17,7 +17,7 @@ from textquarry.functions.paths import (
     relative_to,
     under_path,
 )
-from textquarry.plans.joins import lookup_join
+from textquarry.plans.joins import cut_lineage, lookup_join
 
 # What is indexed when a directory sets nothing of its own.
 DEFAULT_EXTENSIONS = (".go", ".py", ".js", ".ts", ".jsx", ".tsx", ".rs", ".md")
@@ -162,10 +162,12 @@ def gitignore_filter(
         )
         .where(F.size("groups") > 0)
     )
+    # Small next to the files, and read more than once from here on.
+    rules = cut_lineage(rules, "ignore-rules")
     directories = files.select(dir_name(F.col("path")).alias("dir")).distinct()
     lineage = directories.select(
         "dir",
-        F.explode(F.concat(ancestors(F.col("dir")), F.array("dir"))).alias("rule_dir"),
+        F.explode_outer(F.concat(ancestors(F.col("dir")), F.array("dir"))).alias("rule_dir"),
     ).where(under_path(F.col("rule_dir"), root))
     per_directory = (
         lookup_join(lineage, rules, ["rule_dir"])
@@ -173,6 +175,8 @@ def gitignore_filter(
         .agg(F.collect_set(F.struct("rule_dir", "groups")).alias("rule_files"))
     )
 
+    per_directory = cut_lineage(per_directory, "ignore-dirs")
+
     def ignored_by(rule_file: Column) -> Column:
         rel = relative_to(F.col("path"), rule_file["rule_dir"])
         return F.aggregate(
@@ -240,10 +244,11 @@ def in_project(files: DataFrame, projects: DataFrame) -> DataFrame:
     directories = placed.select("dir").distinct()
     covered = lookup_join(
         directories.select(
-            "dir", F.explode(F.concat(ancestors(F.col("dir")), F.array("dir"))).alias("owner")
+            "dir", F.explode_outer(F.concat(ancestors(F.col("dir")), F.array("dir"))).alias("owner")
         ),
         roots,
         ["owner"],
         "left_semi",
     ).select("dir").distinct()
+    covered = cut_lineage(covered, "project-dirs")
     return lookup_join(placed, covered, ["dir"], "left_semi").drop("dir")

@@ -36,7 +36,12 @@ def grep_lines(files: DataFrame, query: str, *, regex: bool = False, root: str =
         ),
     )
     hits = F.filter(numbered, lambda h: h.isNotNull())
-    return searched.select("path", F.explode(hits).alias("h")).select("path", "h.line", "h.content")
+    # The outer form keeps the optimiser from testing the hits a second time.
+    return (
+        searched.select("path", F.explode_outer(hits).alias("h"))
+        .where(F.col("h").isNotNull())
+        .select("path", "h.line", "h.content")
+    )
 
 
 def grep(

@@ -19,7 +19,7 @@ DEFAULT_DEPTH = 3
 
 def directories_of(paths: DataFrame) -> DataFrame:
     """Distinct directories that hold any of the paths, ``/`` included."""
-    return paths.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
+    return paths.select(F.explode_outer(ancestors(F.col("path"))).alias("path")).distinct()
 
 
 def _strictly_below(root: str):

@@ -43,7 +43,7 @@ def assign_project(files: DataFrame, projects: DataFrame) -> DataFrame:
     per_directory = (
         lookup_join(
             placed.select("dir").distinct().select(
-                "dir", F.explode(_self_and_ancestors(F.col("dir"))).alias("up")
+                "dir", F.explode_outer(_self_and_ancestors(F.col("dir"))).alias("up")
             ),
             owners,
             ["up"],
@@ -51,6 +51,7 @@ def assign_project(files: DataFrame, projects: DataFrame) -> DataFrame:
         .groupBy("dir")
         .agg(F.min_by("owner", F.struct("ord", "owner")).alias("owner"))
     )
+    per_directory = cut_lineage(per_directory, "owners")
     own_name = F.when(F.col("dir") == "/", "/").otherwise(base_name(F.col("dir")))
     return (
         lookup_join(placed, per_directory, ["dir"], "left")
@@ -205,7 +206,7 @@ def workspace_folders(files: DataFrame, directories: DataFrame) -> DataFrame:
     listed = F.from_json(F.col("content").cast("string"), "folders array<struct<name:string,path:string>>")
     place = F.col("f.path")
     named = (
-        first.select("workspace", F.explode(listed["folders"]).alias("f"))
+        first.select("workspace", F.explode_outer(listed["folders"]).alias("f"))
         .where(F.coalesce(place, F.lit("")) != "")
         .select(
             "workspace",
@@ -225,7 +226,7 @@ def workspace_folders(files: DataFrame, directories: DataFrame) -> DataFrame:
 def _hidden(paths: DataFrame, stops: DataFrame, *, at_stop: bool) -> DataFrame:
     """Paths that lie below a stop (``at_stop``: or on it)."""
     up = _self_and_ancestors(F.col("path")) if at_stop else ancestors(F.col("path"))
-    exploded = paths.select("path", F.explode(up).alias("stop"))
+    exploded = paths.select("path", F.explode_outer(up).alias("stop"))
     return lookup_join(
         exploded, stops.select(F.col("path").alias("stop")).distinct(), ["stop"], "left_semi"
     ).select("path").distinct()
@@ -235,6 +236,40 @@ def _without(paths: DataFrame, gone: DataFrame) -> DataFrame:
     return paths.join(gone, "path", "left_anti")
 
 
+def _directory_facts(files: DataFrame, options: Discovery) -> DataFrame:
+    """Every directory once: ``path, marked, workspace``.
+
+    ``marked``: it holds a marker file or directory; ``workspace``: it holds a
+    workspace file.  One pass over the paths, written out because discovery
+    looks at it several times.
+    """
+    name = base_name(F.col("path"))
+    parent = dir_name(F.col("path"))
+    marker = name.isin(*options.markers()) if options.markers() else F.lit(False)
+    holds_workspace = F.endswith(name, F.lit(WORKSPACE_SUFFIX))
+    directories = directories_of(files)
+    said = (
+        files.select(
+            parent.alias("path"), marker.alias("marked"), holds_workspace.alias("workspace")
+        )
+        .unionByName(
+            directories.select(
+                parent.alias("path"), marker.alias("marked"), F.lit(False).alias("workspace")
+            )
+        )
+        .where(F.col("marked") | F.col("workspace"))
+        .unionByName(
+            directories.select(
+                "path", F.lit(False).alias("marked"), F.lit(False).alias("workspace")
+            )
+        )
+    )
+    facts = said.groupBy("path").agg(
+        F.bool_or("marked").alias("marked"), F.bool_or("workspace").alias("workspace")
+    )
+    return cut_lineage(facts, "directories")
+
+
 def discover_projects(
     files: DataFrame, root: str, options: Discovery = Discovery(), existing: DataFrame | None = None
 ) -> DataFrame:
@@ -246,36 +281,30 @@ def discover_projects(
     """
     root = root.rstrip("/") or "/"
     depth = options.depth or 1
-    every_dir = directories_of(files)
     name = base_name(F.col("path"))
-    level = depth_below(F.col("path"), root)
     at_root = F.col("path") == root
-    level = F.when(at_root, 0).otherwise(level)
-    inside = every_dir.where(under_path(F.col("path"), root)).where(level <= depth)
-    open_dirs = inside.where(~name.isin(*SKIPPED_NAMES))
+    level = F.when(at_root, 0).otherwise(depth_below(F.col("path"), root))
+
+    def visitable(dirs: DataFrame) -> DataFrame:
+        inside = dirs.where(under_path(F.col("path"), root)).where(level <= depth)
+        return inside.where(~name.isin(*SKIPPED_NAMES))
 
     if not (options.markers() or options.workspace):
         above = F.split(relative_to(F.col("path"), F.lit(root)), "/", -1)
         passed = F.forall(
             F.slice(above, 1, F.size(above) - 1), lambda x: x.isin(*SKIPPED_NAMES)
         )
-        found = open_dirs.where(~at_root & passed)
+        found = visitable(directories_of(files)).where(~at_root & passed)
     else:
-        entries = every_dir.unionByName(files.select("path"))
-        marked = (
-            entries.where(name.isin(*options.markers()) if options.markers() else F.lit(False))
-            .select(dir_name(F.col("path")).alias("path"))
-            .distinct()
-        )
-        stops = open_dirs.join(marked, "path", "left_semi")
+        directories = _directory_facts(files, options)
+        open_dirs = visitable(directories)
+        stops = open_dirs.where(F.col("marked") & ~F.col("workspace")).select("path")
         if options.workspace:
-            holders = files.where(F.endswith(name, F.lit(WORKSPACE_SUFFIX))).select(
-                dir_name(F.col("path")).alias("path")
-            ).distinct()
-            stops = _without(stops, holders)
-            holders = open_dirs.join(holders, "path", "left_semi")
-            holders = cut_lineage(_without(holders, _hidden(holders, stops, at_stop=False)), "workspaces")
-            folders = cut_lineage(workspace_folders(files, every_dir), "folders")
+            holders = open_dirs.where("workspace").select("path")
+            holders = cut_lineage(
+                _without(holders, _hidden(holders, stops, at_stop=False)), "workspaces"
+            )
+            folders = cut_lineage(workspace_folders(files, directories), "folders")
             visited = holders
             while True:
                 listed = folders.join(
@@ -285,11 +314,12 @@ def discover_projects(
                     (walk_key(F.col("workspace")) < walk_key(F.col("folder")))
                     & ~base_name(F.col("folder")).isin(*SKIPPED_NAMES)
                 ).select(F.col("folder").alias("path")).distinct()
-                kept = cut_lineage(_without(holders, _hidden(holders, seen, at_stop=True)), "visited")
+                hidden = _hidden(holders, seen, at_stop=True)
+                kept = cut_lineage(_without(holders, hidden), "visited")
                 if kept.exceptAll(visited).isEmpty() and visited.exceptAll(kept).isEmpty():
                     break
                 visited = kept
-            stops = _without(stops, _hidden(stops, seen, at_stop=True))
+            stops = cut_lineage(_without(stops, _hidden(stops, seen, at_stop=True)), "stops")
             found = _without(stops, _hidden(stops, stops, at_stop=False)).unionByName(
                 listed.select(F.col("folder").alias("path"))
             ).distinct()

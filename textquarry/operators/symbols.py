@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textquarry.operators.index import SYMBOL_COLUMNS
 from textquarry.operators.search import search_codebase
-from textquarry.plans.joins import lookup_join
+from textquarry.plans.joins import cut_lineage, lookup_join
 
 GRAM = 3
 
@@ -43,7 +43,7 @@ def symbol_fuzzy(symbols: DataFrame, names: DataFrame) -> DataFrame:
     size = F.least(F.length("needle"), F.lit(GRAM))
     pieces = wanted.withColumn(
         "gram",
-        F.explode(
+        F.explode_outer(
             F.when(size == 1, _grams(F.col("needle"), 1))
             .when(size == 2, _grams(F.col("needle"), 2))
             .otherwise(_grams(F.col("needle"), GRAM))
@@ -52,7 +52,7 @@ def symbol_fuzzy(symbols: DataFrame, names: DataFrame) -> DataFrame:
     distinct_symbols = symbols.select("symbol_lc").distinct()
     symbol_grams = distinct_symbols.select(
         "symbol_lc",
-        F.explode(
+        F.explode_outer(
             F.concat(*[_grams(F.col("symbol_lc"), n) for n in range(1, GRAM + 1)])
         ).alias("gram"),
     )
@@ -88,13 +88,17 @@ def find_symbol(
         F.lower(F.coalesce("language", F.lit(""))).alias("want_language"),
     ).distinct()
     exact = symbol_exact(symbols, requests)
-    without = requests.join(exact.select("name").distinct(), "name", "left_anti")
+    # Requests are few; each step below reads them more than once.
+    without = cut_lineage(
+        requests.join(exact.select("name").distinct(), "name", "left_anti"), "inexact"
+    )
     fuzzy = symbol_fuzzy(symbols, without)
     located = (
         lookup_join(exact.unionByName(fuzzy), requests, ["name"])
         .where(F.col("want_project").isin("") | (F.col("want_project") == F.col("project_id")))
         .where(F.col("want_language").isin("") | (F.col("want_language") == F.lower("language")))
     )
+    located = cut_lineage(located, "located")
     keys = ["name", "want_project", "want_language"]
     unresolved = requests.join(located.select(*keys).distinct(), keys, "left_anti")
     queries = unresolved.select(

@@ -197,7 +197,7 @@ WHERE v <> 0""",
 def hash_embed(t):
     vectors = t.documents.select("doc_id", hash_embedding(F.col("text"), DEFAULT_DIM).alias("e"))
     return (
-        vectors.select("doc_id", F.posexplode("e").alias("d", "v"))
+        vectors.select("doc_id", F.posexplode_outer("e").alias("d", "v"))
         .where("v <> 0")
         .select("doc_id", F.col("d").cast("bigint").alias("d"), F.round("v", 6).alias("v"))
     )

@@ -191,7 +191,7 @@ FROM (SELECT path, unnest(string_split(content, chr(10))) AS line,
 WHERE line <> ''""",
 )
 def guess_symbol(t):
-    lines = t.code_files.select("path", F.posexplode(T.lines(F.col("content"))).alias("i", "line"))
+    lines = t.code_files.select("path", F.posexplode_outer(T.lines(F.col("content"))).alias("i", "line"))
     return lines.where("line <> ''").select(
         "path",
         (F.col("i") + 1).cast("bigint").alias("line_no"),
@@ -219,7 +219,9 @@ FROM (SELECT doc_id, unnest(runs) AS run, generate_subscripts(runs, 1) - 1 AS n
 )
 def printable_strings(t):
     runs = T.printable_runs(F.col("text"))
-    return t.documents.select("doc_id", F.posexplode(runs).alias("n", "run")).select(
+    return t.documents.select("doc_id", F.posexplode_outer(runs).alias("n", "run")).where(
+        "n IS NOT NULL"
+    ).select(
         "doc_id", F.col("n").cast("bigint").alias("n"), "run"
     )
 
@@ -360,6 +362,6 @@ FROM (SELECT doc_id, line, min(n) AS first_n
 )
 def dedupe_strings(t):
     distinct = sessions.dedupe_strings(T.lines(F.col("text")))
-    return t.documents.select("doc_id", F.posexplode(distinct).alias("n", "line")).select(
+    return t.documents.select("doc_id", F.posexplode_outer(distinct).alias("n", "line")).select(
         "doc_id", F.col("n").cast("bigint").alias("n"), "line"
     )

@@ -7,8 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textquarry.plans.joins import spread
 from textquarry.workload import views
 
+# Tables whose rows are worth more work than a shuffle of them costs.
+TEXT_TABLES = {"documents", "part"}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,7 +28,8 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in views.VIEWS:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(table) if name in TEXT_TABLES else table
         sql = views.VIEWS[name](views.SPARK)
         used = {n: getattr(self, n) for n in _names(sql)}
         sql = sql.replace("{", "{{").replace("}", "}}")
