@@ -172,7 +172,7 @@ def vector_topk(
         )
         total += len(batch) * keep
     if not parts:
-        return spark.createDataFrame([], TOPK_SCHEMA), 0
+        return spark.createDataFrame([], TOPK_SCHEMA + ", rank int"), 0
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)

@@ -2,44 +2,117 @@
 
 The ``files`` schema used everywhere: ``project_id, path, rel_path, content,
 size, mod_time, file_hash``.
+
+Trees are listed and read by tasks through Arrow's file systems.  Spark's own
+file sources skip every name that starts with a dot or an underscore, and with
+it ``.gitignore`` and ``__init__.py``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.functions.paths import relative_to
+from textquarry.functions.paths import base_name, relative_to
 from textquarry.functions.text import content_hash
 from textquarry.operators.filters import IndexRules, gitignore_filter, text_files
+from textquarry.plans.joins import cut_lineage
 
 FILE_COLUMNS = ["project_id", "path", "rel_path", "content", "size", "mod_time", "file_hash"]
+LISTING = "path string, size bigint, mod_time timestamp, is_dir boolean"
+BYTES_PER_TASK = 128 * 1024 * 1024
+BYTES_PER_BATCH = 16 * 1024 * 1024
 
 
-def read_tree(spark: SparkSession, root: str, name_glob: str | None = None) -> DataFrame:
-    """Every file below ``root``: ``path, size, mod_time, content`` (bytes).
+def _file_system(root: str):
+    if "://" in root or root.startswith("file:"):
+        return pafs.FileSystem.from_uri(root)
+    return pafs.LocalFileSystem(), root
 
-    ``name_glob`` limits the listing by file name.  Filters on size and time
-    reach the scan, and ``content`` is read only by plans that use it.
-    """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if name_glob:
-        reader = reader.option("pathGlobFilter", name_glob)
-    return reader.load(root).select(
-        F.regexp_replace("path", "^file:/*", "/").alias("path"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("mod_time"),
-        "content",
-    )
 
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below ``root``: ``path, size, mod_time``, without content.
+
+    Directories are listed level by level, each level by as many tasks as it
+    has directories to offer; no listing passes through the driver.
+    """
+    _, top = _file_system(root)
+
+    def children(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _file_system(root)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                found = system.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([i.path for i in found], pa.string()),
+                        pa.array([i.size or 0 for i in found], pa.int64()),
+                        pa.array([i.mtime for i in found], pa.timestamp("us", tz="UTC")),
+                        pa.array([i.type == pafs.FileType.Directory for i in found], pa.bool_()),
+                    ],
+                    names=["path", "size", "mod_time", "is_dir"],
+                )
+
+    width = spark.sparkContext.defaultParallelism * 4
+    level = spark.createDataFrame([(top.rstrip("/") or "/",)], "path string")
+    levels = []
+    while True:
+        listed = cut_lineage(level.mapInArrow(children, LISTING), "listing")
+        levels.append(listed.where(~F.col("is_dir")).drop("is_dir"))
+        folders = listed.where("is_dir").select("path")
+        if folders.isEmpty():
+            break
+        level = folders.repartition(width)
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def read_contents(
+    listing: DataFrame, root: str, *, skip_unreadable: bool = False
+) -> DataFrame:
+    """Add ``content`` (bytes) to listed files, read by the tasks.
 
-def _suffix_glob(extensions) -> str:
-    """Name glob for extensions in any case: ``.go`` gives ``*.[gG][oO]``."""
-    either = [
-        "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)
-        for ext in extensions
-    ]
-    return "*{" + ",".join(either) + "}"
+    A file that cannot be read fails the job, or is left out.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listing.schema.fields)
+
+    def emit(batch: pa.RecordBatch, kept: list[int], contents: list[bytes]) -> pa.RecordBatch:
+        rows = batch.take(pa.array(kept, pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [*rows.columns, pa.array(contents, pa.binary())], names=[*rows.schema.names, "content"]
+        )
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _file_system(root)
+        for batch in batches:
+            kept, contents, size = [], [], 0
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                try:
+                    with system.open_input_stream(path) as stream:
+                        data = stream.read()
+                except OSError:
+                    if not skip_unreadable:
+                        raise
+                    continue
+                kept.append(i)
+                contents.append(data)
+                size += len(data)
+                if size >= BYTES_PER_BATCH:
+                    yield emit(batch, kept, contents)
+                    kept, contents, size = [], [], 0
+            if kept:
+                yield emit(batch, kept, contents)
+
+    total = listing.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    cores = listing.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, int(total // BYTES_PER_TASK) + 1)
+    return listing.repartition(tasks).mapInArrow(read, schema + ", content binary")
 
 
 def file_rows(raw: DataFrame, project_id: str | None = None, root: str = "/") -> DataFrame:
@@ -66,21 +139,28 @@ def scan_project(
 ) -> DataFrame:
     """Indexable files of one project directory.
 
-    Extensions limit the listing and the size limit reaches the scan, so no
-    content is read for files these rule out.
+    Rules and ignore files are applied to the listing; only files that pass are
+    read.
     """
     root = root.rstrip("/") or "/"
-    raw = read_tree(spark, root, _suffix_glob(rules.extensions or rules.default_extensions))
-    accepted = raw.where(
-        rules.accepts(relative_to(F.col("path"), F.lit(root)), F.col("size"))
+    listing = list_tree(spark, root)
+    top = _file_system(root)[1].rstrip("/") or "/"
+    ignore_files = listing.where(base_name(F.col("path")) == ".gitignore")
+    accepted = listing.where(
+        rules.accepts(relative_to(F.col("path"), F.lit(top)), F.col("size"))
     )
-    kept = gitignore_filter(accepted, root, read_tree(spark, root, ".gitignore"))
-    return file_rows(kept, project_id, root)
+    kept = gitignore_filter(accepted, top, read_contents(ignore_files, root))
+    return file_rows(read_contents(kept, root), project_id, top)
 
 
-def scan_text_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files line search looks at: no index rules, only text of up to 1 MiB."""
-    return text_files(read_tree(spark, root)).select(
+def scan_text_files(spark: SparkSession, root: str, max_bytes: int = 1 << 20) -> DataFrame:
+    """Files line search looks at: no index rules, only text of up to 1 MiB.
+
+    Unreadable files are left out.
+    """
+    small = list_tree(spark, root).where(F.col("size") <= max_bytes)
+    raw = read_contents(small, root, skip_unreadable=True)
+    return text_files(raw, max_bytes).select(
         "path", "size", "mod_time",
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )

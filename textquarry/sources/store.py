@@ -11,10 +11,11 @@ batch, from which plain scans need no join.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.operators.index import check_dimension, symbol_table
+from textquarry.operators.index import symbol_table
+from textquarry.operators.knn import DimensionMismatch
 
 CHUNK_SCHEMA = (
     "chunk_id string, project_id string, path string, file_hash string, language string, "
@@ -122,11 +123,8 @@ class IndexStore:
                     now.cast("timestamp").alias("indexed_at"), F.lit(True).alias("deleted"),
                 )
             )
-        if dim is None:
-            first = chunk_vectors.select(F.size("embedding").alias("n")).first()
-            dim = None if first is None else first["n"]
-        self._write("chunks", chunk_vectors, batch, dim)
-        self._write("file_state", states, batch, None)
+        dim = self._write_chunks(chunk_vectors, batch, dim)
+        self._write("file_state", states, batch)
         self._commit(batch, base, dim, source, source_batch)
         return batch
 
@@ -139,24 +137,38 @@ class IndexStore:
         """Rewrite the live rows as a new base batch."""
         last, _, dim = self._head()
         batch = last + 1
-        self._write("chunks", self.chunk_vectors(), batch, dim)
-        self._write("file_state", self.file_state().withColumn("deleted", F.lit(False)), batch, None)
+        self._write_chunks(self.chunk_vectors(), batch, dim)
+        self._write("file_state", self.file_state().withColumn("deleted", F.lit(False)), batch)
         self._commit(batch, batch, dim, "", -1)
         return batch
 
-    def _write(self, name: str, rows: DataFrame, batch: int, dim: int | None) -> None:
-        if name == "chunks":
-            columns = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")][:-1]
-            rows = rows.select(*columns)
-            if dim is not None:
-                rows = rows.withColumn("embedding", check_dimension(F.col("embedding"), dim))
-            # Ranges of (project, path): a project filter skips row groups, and
-            # a project with most of the rows still spreads over many files.
-            rows = rows.repartitionByRange("project_id", "path").sortWithinPartitions(
-                "project_id", "path"
-            )
+    def _write(self, name: str, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
 
+    def _write_chunks(self, rows: DataFrame, batch: int, dim: int | None) -> int | None:
+        """Write chunks and return the dimension all vectors have.
+
+        The lengths are observed while writing, so that vectors are computed
+        and read once.  Rows are spread by path, which no key dominates, and
+        sorted by project, so a project filter skips row groups in every file.
+        """
+        columns = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")][:-1]
+        seen = Observation()
+        lengths = F.coalesce(F.size("embedding"), F.lit(-1))
+        observed = rows.select(*columns).observe(
+            seen, F.min(lengths).alias("low"), F.max(lengths).alias("high")
+        )
+        spread = observed.repartition("path").sortWithinPartitions("project_id", "path")
+        self._write("chunks", spread, batch)
+        low, high = seen.get["low"], seen.get["high"]
+        if low is None:
+            return dim
+        if low != high or low != (dim or low) or low <= 0:
+            raise DimensionMismatch(
+                f"embedding dimensions {low}..{high}, expected {dim or 'one dimension'}"
+            )
+        return low
+
     def _commit(self, batch: int, base: int, dim: int | None, source: str, source_batch: int):
         row = self.spark.createDataFrame([(batch, base, dim, source, source_batch)], COMMIT_SCHEMA)
         row.coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
