@@ -11,7 +11,7 @@ batch, from which plain scans need no join.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.operators.index import symbol_table
@@ -29,6 +29,15 @@ STATE_SCHEMA = (
 COMMIT_SCHEMA = "batch bigint, base bigint, dim int, source string, source_batch bigint"
 
 
+def check_dimension(vector: Column, dim: int) -> Column:
+    """The vector itself, or a failing job if its length is not ``dim``."""
+    message = F.concat(
+        F.lit(f"embedding has wrong dimension, expected {dim}, got "),
+        F.coalesce(F.size(vector), F.lit(0)).cast("string"),
+    )
+    return F.when(F.size(vector) == dim, vector).otherwise(F.raise_error(message))
+
+
 class IndexStore:
     """Chunks with vectors, symbols and file state below one folder."""
 
@@ -78,10 +87,11 @@ class IndexStore:
         """Live chunks with their vectors."""
         last, base, _ = self._head()
         chunks = self._span("chunks", CHUNK_SCHEMA, base, last)
+        columns = [c for c in chunks.columns if c != "batch"]
         if last == base:
-            return chunks.drop("batch")
+            return chunks.select(*columns)
         live = self._latest(base, last).where(~F.col("deleted")).select("path", "batch")
-        return chunks.join(live, ["path", "batch"], "left_semi").drop("batch")
+        return chunks.join(live, ["path", "batch"], "left_semi").select(*columns)
 
     def symbols(self) -> DataFrame:
         return symbol_table(self.chunk_vectors())
@@ -148,25 +158,23 @@ class IndexStore:
     def _write_chunks(self, rows: DataFrame, batch: int, dim: int | None) -> int | None:
         """Write chunks and return the dimension all vectors have.
 
-        The lengths are observed while writing, so that vectors are computed
-        and read once.  Rows are spread by path, which no key dominates, and
-        sorted by project, so a project filter skips row groups in every file.
+        Once the dimension is known the write itself checks it; the first batch
+        is read back to learn it.  Rows are spread by path, which no key
+        dominates, and sorted by project, so a project filter skips row groups
+        in every file.
         """
         columns = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")][:-1]
-        seen = Observation()
-        lengths = F.coalesce(F.size("embedding"), F.lit(-1))
-        observed = rows.select(*columns).observe(
-            seen, F.min(lengths).alias("low"), F.max(lengths).alias("high")
-        )
-        spread = observed.repartition("path").sortWithinPartitions("project_id", "path")
-        self._write("chunks", spread, batch)
-        low, high = seen.get["low"], seen.get["high"]
-        if low is None:
+        rows = rows.select(*columns)
+        if dim is not None:
+            rows = rows.withColumn("embedding", check_dimension(F.col("embedding"), dim))
+        self._write("chunks", rows.repartition("path").sortWithinPartitions("project_id", "path"), batch)
+        if dim is not None:
             return dim
-        if low != high or low != (dim or low) or low <= 0:
-            raise DimensionMismatch(
-                f"embedding dimensions {low}..{high}, expected {dim or 'one dimension'}"
-            )
+        lengths = F.coalesce(F.size("embedding"), F.lit(-1))
+        written = self._span("chunks", CHUNK_SCHEMA, batch, batch)
+        low, high = written.agg(F.min(lengths), F.max(lengths)).first()
+        if low is not None and (low != high or low <= 0):
+            raise DimensionMismatch(f"vectors of one batch have dimensions {low} to {high}")
         return low
 
     def _commit(self, batch: int, base: int, dim: int | None, source: str, source_batch: int):
