@@ -277,8 +277,35 @@ def declaration_chunks(files: DataFrame) -> DataFrame:
     return _explode(files, language, pieces)
 
 
-def chunk_files(files: DataFrame) -> DataFrame:
-    """Chunk every file by the rule for its language."""
+def _last_of_each_text(pieces: Column) -> Column:
+    """Keep one piece per distinct text, the one furthest down.
+
+    Two equal texts in one file have one chunk id.  They can only meet inside a
+    file, so they are told apart here and not in a shuffle of all chunks.
+    """
+    by_text = F.transform(
+        pieces,
+        lambda p: F.struct(
+            p["content"].alias("content"), p["start_line"].alias("start_line"),
+            p["end_line"].alias("end_line"), p["symbol"].alias("symbol"),
+            p["signature"].alias("signature"),
+        ),
+    )
+
+    def keep_last(ordered: Column) -> Column:
+        return F.filter(
+            ordered,
+            lambda p, i: ~p["content"].eqNullSafe(F.get(ordered, i + 1)["content"]),
+        )
+
+    return bind(F.array_sort(by_text), keep_last)
+
+
+def chunk_files(files: DataFrame, *, distinct: bool = False) -> DataFrame:
+    """Chunk every file by the rule for its language.
+
+    ``distinct`` leaves one row per chunk id, as the index stores it.
+    """
     language = T.detect_language(F.col("path"))
     content = F.col("content")
     pieces = (
@@ -288,4 +315,5 @@ def chunk_files(files: DataFrame) -> DataFrame:
         )
         .otherwise(F.slice(_whole_file(F.col("path"), content), 1, 0))
     )
-    return _explode(files, language, _or_whole_file(pieces))
+    pieces = _or_whole_file(pieces)
+    return _explode(files, language, _last_of_each_text(pieces) if distinct else pieces)

@@ -16,19 +16,20 @@ SYMBOL_COLUMNS = [
 ]
 
 
-def changed_files(files: DataFrame, file_state: DataFrame) -> DataFrame:
-    """Files whose content is not what was indexed, with ``status`` new or modified.
-
-    Only paths and hashes are compared; contents meet them in a join on a
-    unique key.
-    """
+def compare_files(files: DataFrame, file_state: DataFrame) -> DataFrame:
+    """Files with ``status`` new, modified or unchanged against what was indexed."""
     known = file_state.select("path", F.col("file_hash").alias("known_hash"))
-    return (
-        files.join(known, "path", "left")
-        .where(F.col("known_hash").isNull() | (F.col("known_hash") != F.col("file_hash")))
-        .withColumn("status", F.when(F.col("known_hash").isNull(), "new").otherwise("modified"))
-        .drop("known_hash")
+    status = (
+        F.when(F.col("known_hash").isNull(), "new")
+        .when(F.col("known_hash") != F.col("file_hash"), "modified")
+        .otherwise("unchanged")
     )
+    return files.join(known, "path", "left").withColumn("status", status).drop("known_hash")
+
+
+def changed_files(files: DataFrame, file_state: DataFrame) -> DataFrame:
+    """Files whose content is not what was indexed."""
+    return compare_files(files, file_state).where(F.col("status") != "unchanged")
 
 
 def deleted_files(file_state: DataFrame, files: DataFrame) -> DataFrame:

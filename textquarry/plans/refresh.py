@@ -10,12 +10,12 @@ from textquarry.operators.chunking import chunk_files
 from textquarry.operators.embedding import EmbedderFactory, embed_chunks
 from textquarry.operators.filters import IndexRules
 from textquarry.operators.index import (
-    changed_files,
-    deleted_files,
+    compare_files,
     delete_prefix,
+    deleted_files,
     file_state_of,
-    upsert_chunks,
 )
+from textquarry.plans.joins import cut_lineage, fits_broadcast, lookup_join
 from textquarry.sources.store import IndexStore
 
 # Operations of a change that leave a file behind, and all that are followed.
@@ -29,9 +29,47 @@ def build_chunk_vectors(
     factory: EmbedderFactory | None = None,
 ) -> DataFrame:
     """Files to chunks with vectors; equal texts within a file are one chunk."""
-    chunks = chunk_files(files)
-    unique = upsert_chunks(chunks.limit(0), chunks)
-    return embed_chunks(unique, vectors, factory=factory)
+    return embed_chunks(chunk_files(files, distinct=True), vectors, factory=factory)
+
+
+def _vectors_of(store: IndexStore, files: DataFrame) -> DataFrame:
+    """Stored vectors that chunks of the given files could have.
+
+    A chunk id contains its path.  For a small set of files the store is
+    filtered by their paths, so that a few changes never shuffle all vectors.
+    """
+    vectors = store.chunk_vectors().select("chunk_id", "path", "embedding")
+    paths = files.select("path").distinct()
+    if fits_broadcast(paths):
+        vectors = vectors.join(F.broadcast(paths), "path", "left_semi")
+    return vectors.select("chunk_id", "embedding")
+
+
+def index_changed(
+    store: IndexStore,
+    files: DataFrame,
+    state: DataFrame,
+    *,
+    drop_missing: bool,
+    factory: EmbedderFactory | None = None,
+    source: str = "",
+    source_batch: int = -1,
+) -> int:
+    """Index the files that differ from ``state``; optionally drop missing ones.
+
+    Files are read and hashed once: the comparison is written out with the
+    contents of changed files, and everything after reads that.
+    """
+    compared = compare_files(files, state).withColumn(
+        "content", F.when(F.col("status") != "unchanged", F.col("content"))
+    )
+    compared = cut_lineage(compared, "compared")
+    changed = compared.where(F.col("status") != "unchanged")
+    fresh = build_chunk_vectors(changed, _vectors_of(store, changed), factory=factory)
+    gone = deleted_files(state, compared) if drop_missing else None
+    return store.replace(
+        file_state_of(changed), fresh, removed=gone, source=source, source_batch=source_batch
+    )
 
 
 def refresh_project(
@@ -43,19 +81,17 @@ def refresh_project(
     are gone are dropped.
     """
     state = store.file_state().where(F.col("project_id") == project_id)
-    changed = changed_files(files, state)
-    gone = deleted_files(state, files)
-    fresh = build_chunk_vectors(changed, store.chunk_vectors(), factory=factory)
-    return store.replace(file_state_of(changed), fresh, removed=gone)
+    return index_changed(store, files, state, drop_missing=True, factory=factory)
 
 
 def rebuild_project(
     store: IndexStore, files: DataFrame, root: str, *, factory: EmbedderFactory | None = None
 ) -> int:
     """Drop everything below ``root`` (``""``: the whole index) and index ``files``."""
+    files = cut_lineage(files, "files")
     old = store.file_state().where(under_path(F.col("path"), root)).select("path")
     gone = old.join(files.select("path"), "path", "left_anti")
-    fresh = build_chunk_vectors(files, store.chunk_vectors(), factory=factory)
+    fresh = build_chunk_vectors(files, _vectors_of(store, files), factory=factory)
     return store.replace(file_state_of(files), fresh, removed=gone)
 
 
@@ -69,7 +105,7 @@ def rebuilt_tables(
 ) -> DataFrame:
     """Chunk table after a rebuild of ``root`` from ``files``, without writing it."""
     return delete_prefix(chunks, root).unionByName(
-        upsert_chunks(chunks.limit(0), chunk_files(files)).select(*chunks.columns)
+        chunk_files(files, distinct=True).select(*chunks.columns)
     )
 
 
@@ -88,23 +124,13 @@ def split_changes(
     changed path is an indexable file now: if so it is indexed again, and if it
     is missing or filtered out its rows go.
     """
-    touched = latest_changes(changes).select("path")
+    touched = cut_lineage(latest_changes(changes).select("path"), "touched")
     indexable = files.where(rules.accepts(F.col("rel_path"), F.col("size")))
-    again = indexable.join(touched, "path", "left_semi")
+    again = lookup_join(indexable, touched, ["path"], "left_semi")
     gone = touched.join(indexable.select("path"), "path", "left_anti")
     return again, gone
 
 
-def changed_tables(
-    chunks: DataFrame, changes: DataFrame, files: DataFrame, rules: IndexRules = IndexRules()
-) -> DataFrame:
-    """Chunk table after a batch of changes, without writing it."""
-    again, _ = split_changes(changes, files, rules)
-    untouched = chunks.join(latest_changes(changes).select("path"), "path", "left_anti")
-    fresh = upsert_chunks(chunks.limit(0), chunk_files(again))
-    return untouched.unionByName(fresh.select(*chunks.columns))
-
-
 def apply_changes(
     store: IndexStore,
     changes: DataFrame,
@@ -119,7 +145,8 @@ def apply_changes(
     if source and source_batch <= store.applied(source):
         return -1
     again, gone = split_changes(changes, files, rules)
-    fresh = build_chunk_vectors(again, store.chunk_vectors(), factory=factory)
+    again = cut_lineage(again, "changed")
+    fresh = build_chunk_vectors(again, _vectors_of(store, again), factory=factory)
     return store.replace(
         file_state_of(again), fresh, removed=gone, source=source, source_batch=source_batch
     )

@@ -159,15 +159,14 @@ class IndexStore:
         """Write chunks and return the dimension all vectors have.
 
         Once the dimension is known the write itself checks it; the first batch
-        is read back to learn it.  Rows are spread by path, which no key
-        dominates, and sorted by project, so a project filter skips row groups
-        in every file.
+        is read back to learn it.  Every file is sorted by project, so a
+        project filter skips row groups, and no shuffle is spent on the layout.
         """
         columns = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")][:-1]
         rows = rows.select(*columns)
         if dim is not None:
             rows = rows.withColumn("embedding", check_dimension(F.col("embedding"), dim))
-        self._write("chunks", rows.repartition("path").sortWithinPartitions("project_id", "path"), batch)
+        self._write("chunks", rows.sortWithinPartitions("project_id", "path"), batch)
         if dim is not None:
             return dim
         lengths = F.coalesce(F.size("embedding"), F.lit(-1))

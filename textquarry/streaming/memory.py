@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textquarry.operators.embedding import EmbedderFactory
-from textquarry.operators.index import changed_files, deleted_files, file_state_of
-from textquarry.plans.refresh import build_chunk_vectors
+from textquarry.operators.index import deleted_files, file_state_of
+from textquarry.plans.joins import cut_lineage
+from textquarry.plans.refresh import build_chunk_vectors, index_changed
 from textquarry.sources.files import file_rows
 from textquarry.sources.sessions import DEFAULT_PROVIDER, export_sessions
 from textquarry.sources.store import IndexStore
@@ -33,10 +34,9 @@ def sync_sessions(
     files = file_rows(
         export_sessions(turns, exported_at, provider=provider, min_user_bytes=min_user_bytes)
     )
-    changed = changed_files(files, store.file_state())
-    fresh = build_chunk_vectors(changed, store.chunk_vectors(), factory=factory)
-    return store.replace(
-        file_state_of(changed), fresh, source=source, source_batch=source_batch
+    return index_changed(
+        store, files, store.file_state(), drop_missing=False, factory=factory,
+        source=source, source_batch=source_batch,
     )
 
 
@@ -48,6 +48,7 @@ def rebuild_memory(
     files = file_rows(
         export_sessions(turns, exported_at, provider=provider, min_user_bytes=min_user_bytes)
     )
+    files = cut_lineage(files, "sessions")
     old = store.file_state().where(F.col("project_id") == "memory-" + provider)
     fresh = build_chunk_vectors(files, store.chunk_vectors(), factory=factory)
     return store.replace(file_state_of(files), fresh, removed=deleted_files(old, files))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textquarry.operators import chunking, embedding, filters, search, symbols
+from textquarry.operators import chunking, filters, search, symbols
 from textquarry.operators.index import symbol_table
 from textquarry.operators.knn import vector_topk
+from textquarry.plans.refresh import build_chunk_vectors
 from textquarry.workload.q_chunks import (
     CHUNKS,
     MEMORY_CHUNKS,
     embedding_sql,
-    session_chunks,
+    session_files,
     whole_file_sql,
 )
 from textquarry.workload.registry import query
@@ -199,14 +200,11 @@ JOIN ({embedding_sql('(' + MEMORY_CHUNKS + ') k', 'chunk_id', 'content')}) e ON
 
 
 def doc_vectors(t):
-    return embedding.embed_chunks(chunking.chunk_files(t.files))
+    return build_chunk_vectors(t.files)
 
 
 def memory_vectors(t):
-    from textquarry.operators.index import upsert_chunks
-
-    chunks = session_chunks(t)
-    return embedding.embed_chunks(upsert_chunks(chunks.limit(0), chunks))
+    return build_chunk_vectors(session_files(t))
 
 
 @query(
