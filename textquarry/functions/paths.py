@@ -20,8 +20,8 @@ def base_name(path: Column) -> Column:
 
 def dir_name(path: Column) -> Column:
     """Directory holding a path; ``/`` for top-level entries."""
-    cut = F.regexp_replace(path, r"/[^/]*\z", "")
-    return F.when(cut == "", F.lit("/")).otherwise(cut)
+    cut = F.length(path) - F.length(base_name(path)) - 1
+    return F.substring(path, F.lit(1), F.greatest(cut, F.lit(1)))
 
 
 def extension(path: Column) -> Column:

@@ -87,7 +87,7 @@ def slugify(title: Column) -> Column:
     """File-name form of a title: ``[a-z0-9-]``, 60 characters at most."""
     dashed = F.regexp_replace(F.lower(strip_space(title)), "[^a-z0-9-]", "-")
     cut = F.substring(F.btrim(dashed, F.lit("-")), 1, 60)
-    return F.when(cut == "", F.lit("note")).otherwise(cut)
+    return F.regexp_replace(cut, r"\A\z", "note")
 
 
 def escape_headings(text: Column) -> Column:

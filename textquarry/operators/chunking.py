@@ -149,17 +149,23 @@ def _markdown_pieces(content: Column) -> Column:
     return F.transform(bind(F.split(marked, "\n", -1), sections), named)
 
 
-def _by_language(language: Column, rules: dict[str, str], text: Column, use, default) -> Column:
-    out = default
-    for name, regex in rules.items():
-        out = F.when(language == name, use(text, regex)).otherwise(out)
-    return out
+def _rules_of(language: Column) -> Column:
+    """Start and name regexes of a file's language, as a struct.
 
+    They reach the lines of a file as values, so that a line is tested against
+    one regex and not asked for its language.
+    """
+    rules = F.lit(None).cast("struct<start:string,name:string>")
+    for name, start in {**BRACE_STARTS, "python": PYTHON_START}.items():
+        rule = F.struct(
+            F.lit(start).alias("start"), F.lit(NAMES.get(name, T.SYMBOL_GUESS)).alias("name")
+        )
+        rules = F.when(language == name, rule).otherwise(rules)
+    return rules
 
-def _declaration_name(language: Column, line: Column) -> Column:
-    named = _by_language(
-        language, NAMES, line, lambda x, regex: F.regexp_extract(x, regex, 1), F.lit("")
-    )
+
+def _declaration_name(rules: Column, line: Column) -> Column:
+    named = F.call_function("regexp_extract", line, rules["name"], F.lit(1))
     return F.when(named != "", named).otherwise(T.guess_symbol(line))
 
 
@@ -196,51 +202,58 @@ def _declaration_pieces(language: Column, content: Column) -> Column:
     column 0, without trailing blanks.
     """
 
-    def brace(lines: Column) -> Column:
-        def code(line: Column) -> Column:
-            starts = _by_language(
-                language, BRACE_STARTS, line, lambda x, regex: x.rlike(regex), F.lit(False)
-            )
-            closes = line.rlike(BRACE_CLOSES) & ~line.rlike(BRACE_REOPENS)
-            return (
-                F.when(closes, "C")
-                .when(~starts, ".")
-                .when(line.rlike(BRACE_OPENS), "O")
-                .otherwise("S")
-            )
-
-        def piece(first: Column, last: Column) -> Column:
-            signature = T.strip_space(F.get(lines, first))
-            return _piece(
-                _declaration_name(language, signature), signature,
-                _join_lines(lines, first, last), first + 1, last + 1,
-            )
-
-        return _spans(F.array_join(F.transform(lines, code), ""), "O[^C]*C?|S", piece)
-
-    def python(lines: Column) -> Column:
-        def code(line: Column) -> Column:
-            return (
-                F.when(line.rlike(PYTHON_START), "D")
-                .when(line.rlike(PYTHON_BOUNDARY), "B")
-                .otherwise(".")
-            )
-
-        def piece(first: Column, last: Column) -> Column:
-            def build(body: Column) -> Column:
-                signature = T.strip_space(F.get(lines, first))
-                end_line = first + 1 + T.newline_count(body)
-                return _piece(
-                    _declaration_name(language, signature), signature, body, first + 1, end_line
+    def pieces(rules: Column) -> Column:
+        def brace(lines: Column) -> Column:
+            def code(line: Column) -> Column:
+                closes = line.rlike(BRACE_CLOSES) & ~line.rlike(BRACE_REOPENS)
+                return (
+                    F.when(closes, "C")
+                    .when(~F.regexp_like(line, rules["start"]), ".")
+                    .when(line.rlike(BRACE_OPENS), "O")
+                    .otherwise("S")
+                )
+
+            def piece(first: Column, last: Column) -> Column:
+                return bind(
+                    T.strip_space(F.get(lines, first)),
+                    lambda signature: _piece(
+                        _declaration_name(rules, signature), signature,
+                        _join_lines(lines, first, last), first + 1, last + 1,
+                    ),
+                )
+
+            return _spans(F.array_join(F.transform(lines, code), ""), "O[^C]*C?|S", piece)
+
+        def python(lines: Column) -> Column:
+            def code(line: Column) -> Column:
+                return (
+                    F.when(F.regexp_like(line, rules["start"]), "D")
+                    .when(line.rlike(PYTHON_BOUNDARY), "B")
+                    .otherwise(".")
+                )
+
+            def piece(first: Column, last: Column) -> Column:
+                parts = F.struct(
+                    T.strip_space(F.get(lines, first)).alias("signature"),
+                    F.rtrim(_join_lines(lines, first, last), F.lit(T.SPACE_CHARS)).alias("body"),
+                )
+                return bind(
+                    parts,
+                    lambda p: _piece(
+                        _declaration_name(rules, p["signature"]), p["signature"], p["body"],
+                        first + 1, first + 1 + T.newline_count(p["body"]),
+                    ),
                 )
 
-            body = F.rtrim(_join_lines(lines, first, last), F.lit(T.SPACE_CHARS))
-            return bind(body, build)
+            return _spans(F.array_join(F.transform(lines, code), ""), "D[^DB]*", piece)
 
-        return _spans(F.array_join(F.transform(lines, code), ""), "D[^DB]*", piece)
+        lines = T.lines(content)
+        return F.when(language == "python", bind(lines, python)).otherwise(bind(lines, brace))
 
-    lines = T.lines(content)
-    return F.when(language == "python", bind(lines, python)).otherwise(bind(lines, brace))
+    empty = F.slice(_whole_file(F.col("path"), content), 1, 0)
+    return F.when(
+        language.isin("python", *BRACE_STARTS), bind(_rules_of(language), pieces)
+    ).otherwise(empty)
 
 
 def _or_whole_file(pieces: Column) -> Column:
@@ -267,14 +280,19 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     return _explode(files, F.lit("markdown"), pieces)
 
 
+def _with_language(files: DataFrame) -> DataFrame:
+    """Name each file's language once, below everything that asks for it."""
+    return files.withColumn("_language", T.detect_language(F.col("path")))
+
+
 def declaration_chunks(files: DataFrame) -> DataFrame:
     """One chunk per top-level declaration of a code file.
 
     A file without declarations becomes one whole-file chunk.
     """
-    language = T.detect_language(F.col("path"))
+    language = F.col("_language")
     pieces = _or_whole_file(_declaration_pieces(language, F.col("content")))
-    return _explode(files, language, pieces)
+    return _explode(_with_language(files), language, pieces)
 
 
 def _last_of_each_text(pieces: Column) -> Column:
@@ -306,14 +324,11 @@ def chunk_files(files: DataFrame, *, distinct: bool = False) -> DataFrame:
 
     ``distinct`` leaves one row per chunk id, as the index stores it.
     """
-    language = T.detect_language(F.col("path"))
-    content = F.col("content")
-    pieces = (
-        F.when(language == "markdown", _markdown_pieces(content))
-        .when(
-            language.isin("python", *BRACE_STARTS), _declaration_pieces(language, content)
+    language, content = F.col("_language"), F.col("content")
+    pieces = _or_whole_file(
+        F.when(language == "markdown", _markdown_pieces(content)).otherwise(
+            _declaration_pieces(language, content)
         )
-        .otherwise(F.slice(_whole_file(F.col("path"), content), 1, 0))
     )
-    pieces = _or_whole_file(pieces)
-    return _explode(files, language, _last_of_each_text(pieces) if distinct else pieces)
+    pieces = _last_of_each_text(pieces) if distinct else pieces
+    return _explode(_with_language(files), language, pieces)

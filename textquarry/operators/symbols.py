@@ -56,7 +56,9 @@ def symbol_fuzzy(symbols: DataFrame, names: DataFrame) -> DataFrame:
             F.concat(*[_grams(F.col("symbol_lc"), n) for n in range(1, GRAM + 1)])
         ).alias("gram"),
     )
-    used = lookup_join(symbol_grams, pieces.select("gram").distinct(), ["gram"], "left_semi")
+    used = cut_lineage(
+        lookup_join(symbol_grams, pieces.select("gram").distinct(), ["gram"], "left_semi"), "grams"
+    )
     frequency = used.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = (
         pieces.join(frequency, "gram", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textquarry.operators import chunking, embedding, index, symbols
 from textquarry.plans import refresh
+from textquarry.plans.joins import cut_lineage
 from textquarry.session import scratch_path
 from textquarry.sources.store import IndexStore
 from textquarry.streaming.changes import debounce_changes
@@ -31,6 +32,11 @@ def code_chunks(t):
     return chunking.declaration_chunks(t.code_files)
 
 
+def code_symbols(t):
+    """The symbol table as the index keeps it: written once, then looked up."""
+    return cut_lineage(index.symbol_table(code_chunks(t)), "symbols")
+
+
 @query(
     "changed_files",
     """
@@ -174,7 +180,7 @@ UNION ALL
 SELECT '*', CAST(sum(chunks) AS BIGINT), CAST(sum(symbols) AS BIGINT), CAST(max(last_indexed_at) AS VARCHAR) FROM facts""",
 )
 def index_status(t):
-    chunks = code_chunks(t)
+    chunks = cut_lineage(code_chunks(t).select("project_id", *index.SYMBOL_COLUMNS[1:]), "chunks")
     listed = t.code_files.where("size > 150").select("project_id").union(
         t.sources.select("project_id")
     )
@@ -200,7 +206,7 @@ def symbol_exact(t):
     names = t.part.select(F.upper(F.substring_index("p_name", " ", 1)).alias("name")).union(
         t.part.select(F.concat(F.lit("PART"), F.col("p_partkey").cast("string")))
     ).union(t.spark.createDataFrame([("name",)], "name string"))
-    return symbols.symbol_exact(index.symbol_table(code_chunks(t)), names)
+    return symbols.symbol_exact(code_symbols(t), names)
 
 
 @query(
@@ -214,7 +220,7 @@ FROM code c JOIN names n ON contains(lower(c.symbol), lower(n.name)) WHERE symbo
 def symbol_fuzzy(t):
     names = t.part.select(F.concat(F.lit("rt"), F.col("p_size").cast("string")).alias("name"))
     names = names.union(t.spark.createDataFrame([("Ai",), ("Z9",)], "name string"))
-    return symbols.symbol_fuzzy(index.symbol_table(code_chunks(t)), names)
+    return symbols.symbol_fuzzy(code_symbols(t), names)
 
 
 @query(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textquarry.operators import chunking, filters, search, symbols
+from textquarry.operators import filters, search, symbols
 from textquarry.operators.index import symbol_table
 from textquarry.operators.knn import vector_topk
+from textquarry.plans.joins import cut_lineage
 from textquarry.plans.refresh import build_chunk_vectors
 from textquarry.workload.q_chunks import (
     CHUNKS,
@@ -327,5 +328,6 @@ def find_symbol(t):
             )
         )
     )
-    vectors = doc_vectors(t)
-    return symbols.find_symbol(symbol_table(chunking.chunk_files(t.files)), vectors, names)
+    # As the index keeps them: written once, then looked up.
+    vectors = cut_lineage(doc_vectors(t), "vectors")
+    return symbols.find_symbol(symbol_table(vectors), vectors, names)
