@@ -76,9 +76,11 @@ def symbol_table(chunks: DataFrame) -> DataFrame:
 
 
 def with_cached_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Attach stored embeddings by chunk id; ``embedding`` is null where missing."""
-    cached = vectors.select("chunk_id", "embedding").dropDuplicates(["chunk_id"])
-    return chunks.join(cached, "chunk_id", "left")
+    """Attach stored embeddings by chunk id; ``embedding`` is null where missing.
+
+    ``vectors`` has one row per chunk id, as the index keeps them.
+    """
+    return chunks.join(vectors.select("chunk_id", "embedding"), "chunk_id", "left")
 
 
 def indexed_paths(file_state: DataFrame) -> DataFrame:

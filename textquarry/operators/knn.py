@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textquarry.plans.joins import cut_lineage
+
 # A batch of queries is sent to tasks only below both bounds.
 MAX_QUERIES = 1024
 MAX_QUERY_VALUES = 4_000_000
@@ -127,6 +129,9 @@ def _query_batches(queries: DataFrame, level: int = 0) -> Iterator[list]:
         if head:
             yield head
         return
+    if level == 0:
+        # From here on the queries are read many times.
+        queries = cut_lineage(queries, "queries")
     if level > 40:
         raise ValueError("query_id must identify a query")
     half = F.pmod(F.shiftright(F.xxhash64("query_id"), level), F.lit(2))

@@ -201,11 +201,12 @@ JOIN ({embedding_sql('(' + MEMORY_CHUNKS + ') k', 'chunk_id', 'content')}) e ON
 
 
 def doc_vectors(t):
-    return build_chunk_vectors(t.files)
+    """Vectors of the documents, written once as an index keeps them."""
+    return cut_lineage(build_chunk_vectors(t.files), "doc-vectors")
 
 
 def memory_vectors(t):
-    return build_chunk_vectors(session_files(t))
+    return cut_lineage(build_chunk_vectors(session_files(t)), "memory-vectors")
 
 
 @query(
@@ -328,6 +329,5 @@ def find_symbol(t):
             )
         )
     )
-    # As the index keeps them: written once, then looked up.
-    vectors = cut_lineage(doc_vectors(t), "vectors")
+    vectors = doc_vectors(t)
     return symbols.find_symbol(symbol_table(vectors), vectors, names)
