@@ -250,3 +250,19 @@ def test_changes_are_applied_once(spark):
     assert first > 0 and again == -1
     assert _ids(store.symbols(), "symbol") == ["# A2", "# C"]
     assert _ids(store.file_state(), "path") == ["/r/a.md", "/r/c.md"]
+
+
+def test_reindex_paths(spark):
+    def tree(rows):
+        raw = spark.createDataFrame([("p", *r) for r in rows], "project_id string, path string, content string")
+        return file_rows(raw, root="/r")
+
+    store = _store(spark)
+    refresh.rebuild_project(
+        store, tree([("/r/d/a.md", "# A\n"), ("/r/d/old.md", "# Old\n"), ("/r/d2/b.md", "# B\n"), ("/r/c.md", "# C\n")]), ""
+    )
+    now = tree([("/r/d/a.md", "# A2\n"), ("/r/d/n.md", "# N\n"), ("/r/d2/b.md", "# B2\n"), ("/r/c.md", "# C2\n"), ("/r/d/x.bin", "x")])
+    asked = spark.createDataFrame([("/r/d",), ("/r/c.md",)], "path string")
+    refresh.reindex_paths(store, now, asked)
+    assert _ids(store.symbols(), "symbol") == ["# A2", "# B", "# C2", "# N"]
+    assert _ids(store.file_state(), "path") == ["/r/c.md", "/r/d/a.md", "/r/d/n.md", "/r/d2/b.md"]

@@ -4,7 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from textquarry.operators.listing import directory_tree, list_files
-from textquarry.operators.projects import Discovery, assign_project, discover_projects, unique_names
+from textquarry.operators.projects import (
+    Discovery,
+    add_project,
+    assign_project,
+    discover_projects,
+    unique_names,
+)
 from textquarry.operators.filters import in_project
 
 
@@ -142,3 +148,11 @@ def test_listing_and_tree(spark):
     assert tree == {
         ("/r/a.go", "file", 1), ("/r/b.md", "file", 1), ("/r/sub", "dir", 1), ("/r/sub/file.go", "file", 2), ("/r/sub/deep", "dir", 2),
     }
+
+
+def test_add_project(spark):
+    known = spark.createDataFrame([("app", "/a/app", 0), ("app-1", "/b/app", 1)], "project_id string, root string, ord bigint")
+    got = add_project(known, "/c/app/")
+    assert [tuple(r) for r in got.orderBy("ord").collect()][-1] == ("app-2", "/c/app", 2)
+    with pytest.raises(ValueError, match="already exists"):
+        add_project(known, "/a/app")

@@ -68,6 +68,11 @@ def ancestors(path: Column) -> Column:
     )
 
 
+def self_and_ancestors(path: Column) -> Column:
+    """A path and all directories above it."""
+    return F.array_distinct(F.concat(ancestors(path), F.array(path)))
+
+
 def depth_below(path: Column, root: str) -> Column:
     """Number of path elements below ``root``."""
     slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))

@@ -14,6 +14,7 @@ from textquarry.functions.paths import (
     depth_below,
     dir_name,
     relative_to,
+    self_and_ancestors,
     under_path,
     walk_key,
 )
@@ -26,10 +27,6 @@ WORKSPACE_SUFFIX = ".code-workspace"
 ORDER_BLOCK = 100_000
 
 
-def _self_and_ancestors(path: Column) -> Column:
-    return F.array_distinct(F.concat(ancestors(path), F.array(path)))
-
-
 def assign_project(files: DataFrame, projects: DataFrame) -> DataFrame:
     """Set ``project_id`` to the first listed project whose root holds the file.
 
@@ -43,7 +40,7 @@ def assign_project(files: DataFrame, projects: DataFrame) -> DataFrame:
     per_directory = (
         lookup_join(
             placed.select("dir").distinct().select(
-                "dir", F.explode_outer(_self_and_ancestors(F.col("dir"))).alias("up")
+                "dir", F.explode_outer(self_and_ancestors(F.col("dir"))).alias("up")
             ),
             owners,
             ["up"],
@@ -139,6 +136,28 @@ def unique_names(projects: DataFrame, existing: DataFrame) -> DataFrame:
         ).select("ord", "path", "base", "idx", (F.col("idx") + F.col("shift")).alias("pos"))
 
 
+def add_project(projects: DataFrame, root: str, name: str = "") -> DataFrame:
+    """Projects with one more, named after its directory unless told otherwise.
+
+    The name is made unique; a root that is already listed is an error.
+    """
+    root = root.rstrip("/") or "/"
+    if not projects.where(F.col("root") == root).isEmpty():
+        raise ValueError(f"a project with root {root!r} already exists")
+    spark = projects.sparkSession
+    asked = spark.createDataFrame(
+        [(0, root, name or base_of(root))], "ord bigint, path string, name string"
+    )
+    named = unique_names(asked, projects.select(F.col("project_id").alias("name")))
+    last = projects.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0]
+    return projects.unionByName(
+        named.select(
+            F.col("name").alias("project_id"), F.col("path").alias("root"),
+            F.lit(last + 1).cast("bigint").alias("ord"),
+        )
+    )
+
+
 # --- discovery -------------------------------------------------------------
 
 
@@ -225,7 +244,7 @@ def workspace_folders(files: DataFrame, directories: DataFrame) -> DataFrame:
 
 def _hidden(paths: DataFrame, stops: DataFrame, *, at_stop: bool) -> DataFrame:
     """Paths that lie below a stop (``at_stop``: or on it)."""
-    up = _self_and_ancestors(F.col("path")) if at_stop else ancestors(F.col("path"))
+    up = self_and_ancestors(F.col("path")) if at_stop else ancestors(F.col("path"))
     exploded = paths.select("path", F.explode_outer(up).alias("stop"))
     return lookup_join(
         exploded, stops.select(F.col("path").alias("stop")).distinct(), ["stop"], "left_semi"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.functions.paths import under_path
+from textquarry.functions.paths import self_and_ancestors, under_path
 from textquarry.operators.chunking import chunk_files
 from textquarry.operators.embedding import EmbedderFactory, embed_chunks
 from textquarry.operators.filters import IndexRules
@@ -109,6 +109,35 @@ def rebuilt_tables(
     )
 
 
+def _inside(table: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct paths of a table that are, or lie below, one of the roots."""
+    exploded = table.select(
+        "path", F.explode_outer(self_and_ancestors(F.col("path"))).alias("root")
+    )
+    return lookup_join(exploded, roots, ["root"], "left_semi").select("path").distinct()
+
+
+def reindex_paths(
+    store: IndexStore,
+    files: DataFrame,
+    paths: DataFrame,
+    rules: IndexRules = IndexRules(),
+    *,
+    factory: EmbedderFactory | None = None,
+) -> int:
+    """Index given files and everything below given directories again.
+
+    Stored rows there that no indexable file stands behind any more are dropped.
+    """
+    roots = cut_lineage(paths.select(F.col("path").alias("root")).distinct(), "roots")
+    indexable = files.where(rules.accepts(F.col("rel_path"), F.col("size")))
+    wanted = cut_lineage(_inside(indexable, roots), "wanted")
+    again = cut_lineage(lookup_join(indexable, wanted, ["path"], "left_semi"), "changed")
+    gone = _inside(store.file_state(), roots).join(wanted, "path", "left_anti")
+    fresh = build_chunk_vectors(again, _vectors_of(store, again), factory=factory)
+    return store.replace(file_state_of(again), fresh, removed=gone)
+
+
 def latest_changes(changes: DataFrame) -> DataFrame:
     """The last followed operation per path of a batch of changes."""
     followed = changes.where(F.col("op").isin(*WATCHED_OPS))
