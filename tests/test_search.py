@@ -139,3 +139,15 @@ def test_content_is_read_only_when_asked(spark, tmp_path):
     filtered = search.search_codebase(chunks, q.withColumn("project_id", F.lit("p")))
     plan = filtered._jdf.queryExecution().executedPlan().toString()
     assert "project_id" in plan.split("PushedFilters", 1)[1]
+
+
+def test_task_functions_travel_with_their_code():
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    query = {"query_id": "q", "embedding": [1.0], "project_id": "", "language": "", "path_prefix": ""}
+    data = cloudpickle.dumps(knn._partial_topk([query], 1))
+    code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read())"
+    subprocess.run([sys.executable, "-I", "-c", code], input=data, cwd="/", check=True)
