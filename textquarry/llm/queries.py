@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import decontam, linedup, minhash, quality, sql
+from textquarry.llm import decontam, linedup, minhash, packing, quality, sql, tokenfiles
+from textquarry.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +44,25 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op5_token_files")
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as byte-pair ids in flat files, read back from them."""
+    path = scratch_path(spark, "tokens")
+    tokenfiles.write_tokens(table(spark, folder, "documents"), path)
+    back = tokenfiles.read_tokens(spark, path)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op6_histogram_best_fit")
+def best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 4,096 tokens; ids stay in the written pieces."""
+    cut = packing.pieces(table(spark, folder, "documents"))
+    digests = cut.select(
+        "row", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
+    )
+    return digests.join(packing.place(cut), "row").drop("row")
+
+
 @query("op7_tokeniser_fertility")
 def fertility(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and tokenizer fertility of every document, and the verdict."""
