@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import decontam, linedup, minhash, packing, quality, sql, tokenfiles
+from textquarry.llm import (
+    decontam,
+    linedup,
+    minhash,
+    packing,
+    quality,
+    sql,
+    tokenfiles,
+    viterbi,
+    warc,
+)
 from textquarry.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +87,37 @@ def contamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
     )
+
+
+@query("op4_count_only_viterbi")
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    return viterbi.count_tokens(table(spark, folder, "documents"))
+
+
+@query("op8_warc", sql.WARC)
+def warc_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as WARC records, written and read back.
+
+    Digests and sizes of responses are worked out from their payloads, those of
+    revisits are in their headers.
+    """
+    path = scratch_path(spark, "warc")
+    warc.write_pages(table(spark, folder, "pages"), path)
+    page = lambda c: F.expr(f"cast(nullif(substring({c}, 10), 'none') as bigint)")
+    full = warc.read_warc(spark, path).where("record_type = 'response'")
+    seen = warc.read_warc(
+        spark, path, "record_id string, record_type string, refers_to string, payload_digest string, payload_bytes long"
+    ).where("record_type = 'revisit'")
+    responses = full.select(
+        page("record_id").alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"),
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+    revisits = seen.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+    return responses.union(revisits)

@@ -20,3 +20,16 @@ SELECT lines.doc_id, count(*) AS n_lines,
 FROM lines LEFT JOIN many ON lines.key = many.key AND length(lines.key) >= 40
 GROUP BY lines.doc_id
 """
+
+WARC = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), g AS (
+  SELECT payload, max(page_id) AS kept, count(*) AS n FROM p
+  WHERE octet_length(payload) >= 1000 GROUP BY payload
+)
+SELECT page_id, octet_length(p.payload)::BIGINT AS payload_bytes, sha1(p.payload) AS payload_digest,
+       CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM p LEFT JOIN g ON p.payload = g.payload
+"""

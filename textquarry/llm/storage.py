@@ -16,7 +16,7 @@ def filesystem(uri: str):
 
 def write_bytes(uri: str, *blobs) -> None:
     system, path = filesystem(uri)
-    with system.open_output_stream(path) as out:
+    with system.open_output_stream(path, compression=None) as out:
         for blob in blobs:
             out.write(blob)
 

@@ -63,7 +63,7 @@ def write_tokens(
         sizes: list[np.ndarray] = []
         out = None
         for batch in batches:
-            out = out or system.open_output_stream(path)
+            out = out or system.open_output_stream(path, compression=None)
             ids.append(np.array([-1 if d is None else d for d in batch.column(0).to_pylist()], "<i8"))
             nulls = batch.column(0).null_count if len(ids) == 1 else nulls + batch.column(0).null_count
             texts = [t or "" for t in batch.column(1).to_pylist()]
