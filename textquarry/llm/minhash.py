@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 
 from textquarry.llm import kernels
 from textquarry.llm.components import components
-from textquarry.plans.joins import cut_lineage
+from textquarry.plans.joins import cut_lineage, fits_broadcast
 
 BANDS = 30
 ROWS = 4
 SEED = 0x2545F4914F6CDD1D
 BLOCK = 128
 CHUNK = 256
+BROADCAST_IDS = 1_000_000
 
 
 def signatures(sets: list[np.ndarray], coordinates: int, seed: int = SEED) -> np.ndarray:
@@ -261,7 +262,8 @@ def near_duplicates(
         .select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     )
     stars = cut_lineage(stars, "stars")
-    asked = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
+    asked = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node")))
+    asked = cut_lineage(asked.distinct(), "asked")
     shingles = _written_sets(texts, asked, width)
     links = cut_lineage(
         stars.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
@@ -311,15 +313,20 @@ def near_duplicates(
 
 
 def _written_sets(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """Shingle sets of the documents named, written once."""
-    wanted = texts.join(nodes, "node", "left_semi")
+    """Shingle sets of the documents named, written once.
+
+    Ids measured to be few travel to the texts; else texts and ids meet by id.
+    """
+    few = fits_broadcast(nodes, max_rows=BROADCAST_IDS)
+    wanted = texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
     return cut_lineage(wanted.mapInArrow(_sets(width), "node long, shingles binary"), "sets")
 
 
 def _phase_two(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame | None:
     if members.isEmpty():
         return None
-    shingles = _written_sets(texts, members.select("node").distinct(), width)
+    asked = cut_lineage(members.select("node").distinct(), "asked")
+    shingles = _written_sets(texts, asked, width)
     digest = F.xxhash64("node", "bucket")
     home = F.pmod(digest, F.col("blocks").cast("long")).cast("int")
     chunk = F.pmod(F.xxhash64(F.lit(1), "node", "bucket"), F.col("chunks").cast("long")).cast("int")
