@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textquarry.llm import (
     decontam,
     linedup,
+    lmscore,
     minhash,
     packing,
     quality,
@@ -121,3 +122,9 @@ def warc_pages(spark: SparkSession, folder: str) -> DataFrame:
         page("refers_to").alias("refers_to"),
     )
     return responses.union(revisits)
+
+
+@query("op10_masked_pseudo_likelihood")
+def pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document under a network trained on all of them."""
+    return lmscore.score(table(spark, folder, "documents"))
