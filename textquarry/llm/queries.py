@@ -15,6 +15,7 @@ from textquarry.llm import (
     packing,
     quality,
     sql,
+    surrogates,
     tokenfiles,
     viterbi,
     warc,
@@ -128,3 +129,10 @@ def warc_pages(spark: SparkSession, folder: str) -> DataFrame:
 def pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     """Masked pseudo-likelihood of every document under a network trained on all of them."""
     return lmscore.score(table(spark, folder, "documents"))
+
+
+@query("op1_keyed_surrogates")
+def keyed_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with keyed surrogates in the place of personal data."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.pseudonymize(docs)
