@@ -278,8 +278,8 @@ class WarcReader(DataSourceReader):
             room -= found[name]
         return [_Files(files) for files in out]
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        for name in partition.files:
+    def read(self, partition: _Files | None) -> Iterator[tuple]:
+        for name in partition.files if partition else []:  # no files: no partition
             system, path = storage.filesystem(name)
             with system.open_input_file(path) as source:
                 for headers, read in _Stream(source):
@@ -391,7 +391,7 @@ def page_records(
         .select("same", "kept")
     )
     joined = lookup_join(rows, groups, ["same"], "left")
-    revisit = F.col("kept").isNotNull() & (F.col("page") < F.col("kept"))
+    revisit = F.coalesce(F.col("page") < F.col("kept"), F.lit(False))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")))
     return joined.select(
         urn("page").alias("record_id"),
