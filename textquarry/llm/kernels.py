@@ -29,6 +29,15 @@ def process_store() -> dict:
     return sys.modules[name].__dict__.setdefault("kept", {})
 
 
+def kept_vocabulary(key: tuple, make):
+    """The one vocabulary, with its cache, that a worker process holds at a time."""
+    kept = process_store()
+    if kept.get("vocabulary", (None,))[0] != key:
+        kept.pop("vocabulary", None)
+        kept["vocabulary"] = (key, make())
+    return kept["vocabulary"][1]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (in place)."""
     x ^= x >> np.uint64(30)

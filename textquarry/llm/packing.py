@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm.tokens import Encoder
+from textquarry.llm.tokens import TEXTS, Encoder
 from textquarry.plans.joins import cut_lineage
 
 CAPACITY = 4096
@@ -103,10 +103,10 @@ def pieces(
         row = TaskContext.get().partitionId() << 36
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for begin in range(0, len(texts), 512):
+            for begin in range(0, batch.num_rows, TEXTS):
+                texts = [t or "" for t in batch.column(1).slice(begin, TEXTS).to_pylist()]
                 owner, number, start, length, ids = [], [], [], [], []
-                for i, made in enumerate(encoder.encode(texts[begin : begin + 512]), begin):
+                for i, made in enumerate(encoder.encode(texts), begin):
                     made += end
                     for at in range(0, len(made), 4 * capacity):
                         part = made[at : at + 4 * capacity]

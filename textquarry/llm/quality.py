@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm import kernels
+from textquarry.llm.tokens import Known, filled
 
 VOCABULARY = "piece_bpe_32k.model"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WIDTH = 8
-CACHED = 1_000_000
 
 # Bands: least and most characters a token, most byte-fallback share, least token
 # entropy (in bits, over the most that the text's length or 256 equal tokens allow).
@@ -62,29 +62,21 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=name)
         size = self.model.vocab_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(size)], dtype=bool)
-        self.cache: dict[bytes, bytes] = {}
+        self.cache = Known()
 
     @classmethod
     def get(cls, name: str) -> Pieces:
-        kept = kernels.process_store()
-        if ("pieces", name) not in kept:
-            kept["pieces", name] = cls(name)
-        return kept["pieces", name]
+        return kernels.kept_vocabulary(("pieces", name), lambda: cls(name))
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        cache = self.cache
-        missing = list({w for w in words if w not in cache})
-        fresh = {}
+        got = list(map(self.cache.__getitem__, words))
+        missing = list(self.cache.missing())
         if missing:
-            texts = [w.decode() for w in missing]
-            for word, made in zip(missing, self.model.encode(texts, num_threads=1), strict=True):
-                fresh[word] = np.array(made, dtype="<u2").tobytes()
-        if len(cache) + len(fresh) <= CACHED:
-            cache.update(fresh)
-            known = cache.__getitem__
-        else:
-            known = lambda w: cache[w] if w in cache else fresh[w]
-        return np.frombuffer(b"".join(map(known, words)), dtype="<u2")
+            made = self.model.encode([w.decode() for w in missing], num_threads=1)
+            fresh = {w: np.array(m, dtype="<u2").tobytes() for w, m in zip(missing, made, strict=True)}
+            got = filled(words, got, fresh)
+            self.cache.keep(fresh)
+        return np.frombuffer(b"".join(got), dtype="<u2")
 
 
 def _symbol_table() -> np.ndarray:

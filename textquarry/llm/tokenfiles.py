@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.llm import storage
-from textquarry.llm.tokens import Encoder
+from textquarry.llm.tokens import TEXTS, Encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -66,9 +66,8 @@ def write_tokens(
             out = out or system.open_output_stream(path, compression=None)
             ids.append(np.array([-1 if d is None else d for d in batch.column(0).to_pylist()], "<i8"))
             nulls = batch.column(0).null_count if len(ids) == 1 else nulls + batch.column(0).null_count
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for begin in range(0, len(texts), 512):
-                made = encoder.encode(texts[begin : begin + 512])
+            for begin in range(0, batch.num_rows, TEXTS):
+                made = encoder.encode([t or "" for t in batch.column(1).slice(begin, TEXTS).to_pylist()])
                 sizes.append(np.array([len(m) // width + 1 for m in made], dtype=np.int64))
                 out.write(b"".join(part for m in made for part in (m, end)))
         if out is None:
@@ -119,7 +118,7 @@ def read_tokens(spark: SparkSession, folder: str, id_col: str = "doc_id") -> Dat
                 tokens = storage.mapped(f"{name}.bin", f"<u{part['width']}")
                 offsets = storage.mapped(f"{name}.idx", "<u8").astype(np.int64)
                 docs = storage.mapped(f"{name}.ids", "<i8")
-                step = 1024
+                step = TEXTS
                 for a in range(0, part["documents"], step):
                     b = min(a + step, part["documents"])
                     at = np.arange(a, b)

@@ -9,13 +9,19 @@ executor can open.
 
 from __future__ import annotations
 
+import operator
 import os
 
 import numpy as np
 
 from textquarry.llm import kernels
 
-CACHED = 600_000
+CACHED = 300_000
+# Texts encoded together: more of them share more segments and take more memory.
+TEXTS = 512
+# All characters that are white space to Python or to the tokenizers' patterns.
+_SPACES = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() or c == "\u180e")
+_LAST = operator.itemgetter(-1)
 
 
 def vocabulary(name: str) -> str:
@@ -34,6 +40,38 @@ def _load(name: str):
     return loaded
 
 
+class Known(dict):
+    """Encoded segments that a worker keeps; asking for others notes them down."""
+
+    def __init__(self):
+        super().__init__()
+        self.asked: set = set()
+
+    def __missing__(self, segment) -> None:
+        self.asked.add(segment)
+
+    def missing(self) -> set:
+        """Segments asked for in vain since the last call."""
+        asked, self.asked = self.asked, set()
+        return asked
+
+    def keep(self, fresh: dict) -> None:
+        """Keep encoded segments while there is room."""
+        if len(self) + len(fresh) <= CACHED:
+            self.update(fresh)
+
+
+def filled(segments: list, got: list, fresh: dict) -> list:
+    """``got`` with the missing places taken from ``fresh``."""
+    at = -1
+    try:
+        while True:
+            at = got.index(None, at + 1)
+            got[at] = fresh[segments[at]]
+    except ValueError:
+        return got
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, ``width`` bytes an id.
 
@@ -45,46 +83,88 @@ class Encoder:
     def __init__(self, name: str, spaced: bool, width: int):
         self.tokenizer = _load(name)
         self.spaced, self.dtype = spaced, np.dtype(f"<u{width}")
-        self.cache: dict[str, bytes] = {}
+        self.cache = Known()
+        # Many segments are encoded as one text, with this piece between them.
+        self.between, self.mark = ("\n", "\n") if spaced else (" \x00 ", "\x00")
+        found = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.mark_id = found[0] if len(found) == 1 else None
+        # Letters and a stop after them are always pieces of their own.
+        self.stops = self._encode_all(list(",.;:!?"))
 
     @classmethod
     def get(cls, name: str, spaced: bool, width: int) -> Encoder:
-        kept = kernels.process_store()
         key = ("encoder", name, spaced, width)
-        if key not in kept:
-            kept[key] = cls(name, spaced, width)
-        return kept[key]
+        return kernels.kept_vocabulary(key, lambda: cls(name, spaced, width))
 
     def _segments(self, text: str) -> list[str]:
+        """Segments of a text.  If ``spaced``, each stands after a blank but the first."""
         if not self.spaced:
             return text.replace("\n", " ").split(" ")
         parts = text.split(" ")
         # A blank opens a new piece only after something that is not white space.
-        if "" not in parts and not any(p[-1].isspace() for p in parts):
-            return [parts[0], *[" " + p for p in parts[1:]]] if parts else parts
+        if "" not in parts and _SPACES.isdisjoint(map(_LAST, parts)):
+            return parts
         out = [parts[0]]
         for part in parts[1:]:
-            if out[-1] and not out[-1][-1].isspace():
-                out.append(" " + part)
+            if out[-1] and out[-1][-1] not in _SPACES:
+                out.append(part)
             else:
                 out[-1] += " " + part
         return out
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.dtype).tobytes()
+
+    def _encode_all(self, segments: list[str]) -> dict[str, bytes]:
+        """Ids of segments, each as it stands; most are encoded together."""
+        out: dict[str, bytes] = {}
+        mark, width = self.mark, self.dtype.itemsize
+        joined = [s for s in segments if mark not in s] if self.mark_id is not None else []
+        groups = [joined[a : a + 256] for a in range(0, len(joined), 256)]
+        made = self.tokenizer.encode_batch_fast(
+            [self.between.join(g) for g in groups], add_special_tokens=False
+        )
+        for group, one in zip(groups, made, strict=True):
+            ids = np.array(one.ids, dtype=self.dtype)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) != len(group) - 1:
+                continue  # encoded one by one below
+            blob = ids.tobytes()
+            begins = [0, *((cuts + 1) * width).tolist()]
+            ends = [*(cuts * width).tolist(), len(blob)]
+            out.update(zip(group, [blob[a:b] for a, b in zip(begins, ends, strict=True)], strict=True))
+        rest = [s for s in segments if s not in out]
+        alone = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        out.update((s, self._bytes(e.ids)) for s, e in zip(rest, alone, strict=True))
+        return out
+
+    def _fresh(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of segments that are not kept; a word and the mark after it apart."""
+        cache = self.cache
+        ended = [s for s in missing if s[-1:] in self.stops and s[:-1].isalpha()]
+        bare = {s[:-1] for s in ended}.difference(cache)
+        words = list(bare.union(missing).difference(ended))
+        if self.spaced:
+            made = self._encode_all([" " + s for s in words])
+            made = {s: made[" " + s] for s in words}
+        else:
+            made = self._encode_all(words)
+        for s in ended:
+            made[s] = (made[s[:-1]] if s[:-1] in bare else cache[s[:-1]]) + self.stops[s[-1]]
+        return made
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text; the same as the library gives for the whole text."""
         cut = [self._segments(t) for t in texts]
-        cache = self.cache
-        missing = list({s for parts in cut for s in parts if s not in cache})
-        fresh: dict[str, bytes] = {}
-        for begin in range(0, len(missing), 4096):
-            some = missing[begin : begin + 4096]
-            for segment, made in zip(
-                some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True
-            ):
-                fresh[segment] = np.array(made.ids, dtype=self.dtype).tobytes()
-        if len(cache) + len(fresh) <= CACHED:
-            cache.update(fresh)
-            known = cache.__getitem__
-        else:
-            known = lambda s: cache[s] if s in cache else fresh[s]
-        return [b"".join(map(known, parts)) for parts in cut]
+        heads: dict[str, bytes] = {}
+        if self.spaced:  # the first segment has no blank before it
+            heads = self._encode_all(list({parts[0] for parts in cut}))
+            cut = [[parts[0], parts[1:]] for parts in cut]
+        bodies = [parts[1] for parts in cut] if self.spaced else cut
+        got = [list(map(self.cache.__getitem__, body)) for body in bodies]
+        fresh = self._fresh(list(self.cache.missing()))
+        done = [b"".join(filled(b, g, fresh)) for b, g in zip(bodies, got, strict=True)]
+        self.cache.keep(fresh)
+        if self.spaced:
+            return [heads[parts[0]] + rest for parts, rest in zip(cut, done, strict=True)]
+        return done

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm import kernels
+from textquarry.llm.tokens import Known, filled
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED = 1_000_000
 
 
 def read_pieces(name: str) -> list[tuple[str, float]]:
@@ -64,14 +64,11 @@ class Counter:
         self.cuts = all(MARK not in p.lstrip(MARK) for p in known) and all(
             float(s).is_integer() for _, s in pieces
         )
-        self.cache: dict[str, tuple[int, float]] = {}
+        self.cache = Known()
 
     @classmethod
     def get(cls, name: str) -> Counter:
-        kept = kernels.process_store()
-        if ("counter", name) not in kept:
-            kept["counter", name] = cls(read_pieces(name))
-        return kept["counter", name]
+        return kernels.kept_vocabulary(("counter", name), lambda: cls(read_pieces(name)))
 
     def best(self, text: str) -> tuple[int, float]:
         """(pieces, score) of the best split of a marked text."""
@@ -121,19 +118,16 @@ class Counter:
 
     def count(self, texts: list[str]) -> tuple[list[int], list[float]]:
         """Pieces and scores of texts; an empty text has none."""
-        cache, counts, scores = self.cache, [], []
+        counts, scores = [], []
         for text in texts:
-            n, total = 0, 0.0
-            for segment in self.segments(text):
-                found = cache.get(segment)
-                if found is None:
-                    found = self.best(MARK + segment if self.cuts else segment)
-                    if len(cache) < CACHED:
-                        cache[segment] = found
-                n += found[0]
-                total += found[1]
-            counts.append(n)
-            scores.append(total)
+            segments = self.segments(text)
+            got = list(map(self.cache.__getitem__, segments))
+            mark = MARK if self.cuts else ""
+            fresh = {s: self.best(mark + s) for s in self.cache.missing()}
+            got = filled(segments, got, fresh)
+            self.cache.keep(fresh)
+            counts.append(sum(n for n, _ in got))
+            scores.append(sum((x for _, x in got), 0.0))
         return counts, scores
 
 
