@@ -146,6 +146,8 @@ def _similar(percent: int):
                 a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 if len(a) > len(b):
                     a, b = b, a
+                if 100 * len(a) < percent * len(b):
+                    continue
                 at = np.searchsorted(b, a)
                 both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
                 keep[i] = 100 * both >= percent * (len(a) + len(b) - both)
@@ -243,24 +245,13 @@ def near_duplicates(
     reps = named.join(
         classes.select(F.col("rep").alias("node"), "n", "s1", "s2"), ["node", "n", "s1", "s2"], "left_semi"
     )
-    banded = reps.select("node", "n", F.explode("keys").alias("bucket"))
+    banded = reps.select("node", F.explode("keys").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("pivot"))
     buckets = buckets.where("m > 1")
     placed = cut_lineage(banded.join(buckets, "bucket"), "buckets")
 
     # Phase 1: every member with the smallest document of its buckets.
-    # A repeated id can have several sets; the size test then takes the widest range.
-    sizes = placed.groupBy(F.col("node").alias("pivot")).agg(
-        F.min("n").alias("p0"), F.max("n").alias("p1")
-    )
-    stars = (
-        placed.where("node <> pivot")
-        .groupBy("node", "pivot")
-        .agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
-        .join(sizes, "pivot")
-        .where(f"100 * least(n1, p1) >= {percent} * greatest(n0, p0)")
-        .select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    )
+    stars = placed.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     stars = cut_lineage(stars, "stars")
     asked = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node")))
     asked = cut_lineage(asked.distinct(), "asked")
@@ -279,7 +270,7 @@ def near_duplicates(
     # are settled: their one pair was compared.
     large = placed.where("m > 2")
     labelled = large.join(found, "node", "left").select(
-        "bucket", "node", "n", "m", "pivot", F.coalesce("root", "node").alias("comp")
+        "bucket", "node", "m", F.coalesce("root", "node").alias("comp")
     )
     per_comp = labelled.groupBy("bucket", "comp", "m").agg(F.count("*").alias("c"))
     split = (
