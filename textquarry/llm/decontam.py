@@ -109,7 +109,7 @@ def _word_ids(width: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in kernels.cuts(batches):
             blobs = kernels.blobs_of(batch.column(1))
             texts = kernels.Texts(blobs)
             words = texts.word_hashes()
@@ -170,7 +170,7 @@ def _tile_sent(sent, min_tile: int):
             for h in _windows_of(words, min_tile).tolist():
                 seeds.setdefault(h, []).append(key)
         known = np.array(sorted(seeds), dtype=np.uint64)
-        for batch in batches:
+        for batch in kernels.cuts(batches):
             ids, blobs = batch.column(0).to_pylist(), kernels.blobs_of(batch.column(1))
             rows: list[tuple] = []
             for begin, part in kernels.slices(blobs):
@@ -196,7 +196,7 @@ def _seeds(width: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in kernels.cuts(batches):
             blobs = kernels.blobs_of(batch.column(1))
             for begin, part in kernels.slices(blobs):
                 texts = kernels.Texts(part)
@@ -215,7 +215,7 @@ def _tile_pairs(min_tile: int):
     """Tiles of (node, text, item_id, words) rows."""
 
     def run(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in kernels.cuts(batches):
             nodes, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             blobs, sides = kernels.blobs_of(batch.column(1)), batch.column(3).to_pylist()
             rows = []

@@ -15,6 +15,7 @@ import numpy as np
 
 CHUNK = 1 << 17
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 
 
 def process_store() -> dict:
@@ -170,6 +171,13 @@ def slices(blobs: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield begin, blobs[begin:]
 
 
+def cuts(batches: Iterator, rows: int = BATCH_ROWS) -> Iterator:
+    """Arrow batches in cuts of at most ``rows`` rows, which keeps a task's copies small."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def blobs_of(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; null is empty."""
     import pyarrow as pa

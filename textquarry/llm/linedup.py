@@ -43,7 +43,7 @@ def _postings(min_chars: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in kernels.cuts(batches):
             blobs = kernels.blobs_of(batch.column(1))
             ids = batch.column(0)
             for begin, part in kernels.slices(blobs):
@@ -73,7 +73,7 @@ def _rewrite(text_at: int, drops_at: int, names: list[str], extra: list[str]):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in kernels.cuts(batches):
             blobs = kernels.blobs_of(batch.column(text_at))
             drops = batch.column(drops_at)
             listed = drops.is_valid().to_pylist()

@@ -86,7 +86,7 @@ def _sketch(width: int, bands: int, rows: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in kernels.cuts(batches):
             ids, blobs = batch.column(0), kernels.blobs_of(batch.column(1))
             for begin, part in kernels.slices(blobs):
                 sets = kernels.shingle_sets(part, width)
@@ -121,7 +121,7 @@ def _sets(width: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in kernels.cuts(batches):
             blobs = kernels.blobs_of(batch.column(1))
             for begin, part in kernels.slices(blobs):
                 sets = [s.tobytes() for s in kernels.shingle_sets(part, width)]

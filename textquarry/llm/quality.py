@@ -210,7 +210,7 @@ def rate(
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in kernels.cuts(batches):
             blobs = kernels.blobs_of(batch.column(1))
             made = measure_texts(blobs, _langs(batch, lang_at), vocabulary, bands)
             yield pa.RecordBatch.from_pydict({id_col: batch.column(0), **made})
@@ -235,7 +235,7 @@ def good_documents(
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in kernels.cuts(batches):
             blobs = kernels.blobs_of(batch.column(text_at))
             made = measure_texts(blobs, _langs(batch, lang_at), vocabulary, bands)
             yield batch.filter(pa.array(made["kept"], pa.bool_()))
