@@ -142,8 +142,8 @@ def test_scalar_texts(spark):
         T.slugify(F.lit("  Hello, World_x/y  ")).alias("slug"),
         T.slugify(F.lit("***")).alias("empty"),
         F.length(T.slugify(F.lit("a" * 80))).alias("cut"),
-        T.snippet(F.lit("é" * 801)).alias("snippet"),
-        T.snippet(F.lit("x" * 800)).alias("short"),
+        T.snippet(F.lit("é" * 801), 800).alias("snippet"),
+        T.snippet(F.lit("x" * 800), 800).alias("short"),
         T.provider_of_note(F.lit("# Test\n\n- **Provider:** cursor \nx")).alias("named"),
         T.provider_of_note(F.lit("# Test\n")).alias("default"),
         T.printable_runs(F.lit(bytearray(b"abcd\0abcd\tjkl\0ab\xff"))).alias("runs"),

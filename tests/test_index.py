@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,8 +7,8 @@ from textquarry.functions import text as T
 from textquarry.operators import embedding, grep, index, symbols
 from textquarry.plans import refresh
 from textquarry.session import scratch_path
-from textquarry.sources.files import file_rows, list_tree, scan_project, scan_text_files
-from textquarry.sources.store import CHUNK_SCHEMA, IndexStore
+from textquarry.sources.files import file_rows, list_tree, scan_paths, scan_project, scan_text_files
+from textquarry.sources.store import CHUNK_SCHEMA, CommitConflict, IndexStore
 from textquarry.operators.filters import IndexRules
 
 STATE = "path string, project_id string, file_hash string"
@@ -61,6 +63,57 @@ def test_store_lifecycle(spark):
     assert _ids(store.chunk_vectors()) == ["c2", "c3", "c9"]
 
 
+def _one(spark, i, path, vector=(1.0, 0.0)):
+    chunk = _chunks(spark, [(i, "a", path, "h" + i, "x", list(vector))])
+    return chunk.select("path", "project_id", "file_hash"), chunk
+
+
+def test_two_writers(spark):
+    """Interleaved and concurrent writers each get a commit of their own."""
+    store, other = _store(spark), None
+    other = IndexStore(spark, store.folder)
+    store.replace(*_one(spark, "c0", "/0.go"))
+    stale = other._span()
+    store.replace(*_one(spark, "c1", "/1.go"))
+    calls = iter([stale])
+    real = other._span
+    other._span = lambda: next(calls, None) or real()  # sees the state before c1
+    assert other.replace(*_one(spark, "c2", "/2.go")) == 3
+    with ThreadPoolExecutor(3) as pool:
+        jobs = [pool.submit(IndexStore(spark, store.folder).replace, *_one(spark, f"t{k}", f"/t{k}.go")) for k in range(3)]
+        assert sorted(j.result() for j in jobs) == [4, 5, 6]
+    assert _ids(store.chunk_vectors()) == ["c0", "c1", "c2", "t0", "t1", "t2"]
+    compacting, span = IndexStore(spark, store.folder), store._span()
+    compacting._span = lambda: span
+    store.replace(*_one(spark, "c9", "/9.go"))
+    with pytest.raises(CommitConflict):
+        compacting.compact()
+    store.compact()
+    assert store.vacuum() > 0
+    assert _ids(store.chunk_vectors()) == ["c0", "c1", "c2", "c9", "t0", "t1", "t2"]
+
+
+def test_search_over_changes_never_shuffles_chunks(spark):
+    store = _store(spark)
+    for k in range(3):
+        store.replace(*_one(spark, f"c{k}", f"/{k % 2}.go"))
+    vectors = store.chunk_vectors()
+    plan = vectors._jdf.queryExecution().executedPlan().toString()
+    above = [line for line in plan.split("Initial Plan")[0].split("\n") if "Exchange" in line or "chunk_id" in line and "Scan" in line]
+    assert _ids(vectors) == ["c1", "c2"]
+    assert "LeftAnti" in plan and "SortMergeJoin" not in plan
+    assert not any("chunk_id" in line and "hashpartitioning" in line for line in above)
+
+
+def test_comparison_is_narrow(spark):
+    files = file_rows(spark.createDataFrame([("p", "/r/a.md", "text")], "project_id string, path string, content string"))
+    state = spark.createDataFrame([], STATE)
+    compared = index.compare_files(files, state)
+    assert compared.columns == ["path", "project_id", "file_hash", "status"]
+    changed = index.changed_files(files, state)
+    assert [(r.path, r.status, r.content) for r in changed.collect()] == [("/r/a.md", "new", "text")]
+
+
 def test_failed_batch_stays_invisible(spark):
     store = _store(spark)
     good = _chunks(spark, [("c1", "a", "/a.go", "h", "x", [1.0, 0.0, 0.0])])
@@ -186,6 +239,28 @@ def test_scan_tree(spark, tmp_path):
     }
 
 
+def test_links_to_directories_are_not_entered(spark, tmp_path):
+    _tree(tmp_path, {"a/x.go": b"package x", "b.go": b"package b"})
+    (tmp_path / "a" / "up").symlink_to(tmp_path)
+    (tmp_path / "link.go").symlink_to(tmp_path / "b.go")
+    names = sorted(r.path.removeprefix(f"{tmp_path}/") for r in list_tree(spark, str(tmp_path)).collect())
+    assert names == ["a/x.go", "b.go", "link.go"]
+
+
+def test_only_touched_paths_are_read(spark, tmp_path):
+    _tree(tmp_path, {"a.md": b"# A\n", "gen/b.md": b"# B\n", ".gitignore": b"gen/\n", "c.md": b"# C\n", "x.bin": b"1"})
+    root = str(tmp_path)
+    names = ["a.md", "gen/b.md", "gone.md", "x.bin", "../outside.md"]
+    asked = spark.createDataFrame([(f"{root}/{n}",) for n in names], "path string")
+    assert [r.rel_path for r in scan_paths(spark, "p", root, asked).collect()] == ["a.md"]
+
+
+def test_long_files_are_searched(spark, tmp_path):
+    _tree(tmp_path, {"big.txt": b"needle\n" + b"x" * (2 << 20), "late.txt": b"needle" + b"y" * 4096 + b"\0"})
+    found = grep.grep(scan_text_files(spark, str(tmp_path)), "needle")
+    assert [(r.path.rsplit("/", 1)[-1], r.line) for r in found.collect()] == [("big.txt", 1)]
+
+
 def test_refresh_only_touches_changes(spark, tmp_path):
     _tree(tmp_path, {"a.md": b"# One\nx\n# Two\n", "b.md": b"plain", "c.go": b"func C() {\n}\n"})
     root, store, rules = str(tmp_path), _store(spark), IndexRules()

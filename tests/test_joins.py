@@ -13,10 +13,11 @@ def test_salted_join_equals_plain_join(spark, how):
     )
     lookup = spark.range(0, 60, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     want = sorted(map(tuple, rows.join(lookup, ["k"], how).collect()))
-    salted = lookup_join(rows, lookup, ["k"], how, measure=False)
+    plain = lookup_join(rows, lookup, ["k"], how, measure=False)
+    salted = lookup_join(rows, lookup, ["k"], how, measure=False, salts=8)
     measured = lookup_join(rows, lookup, ["k"], how)
     too_big = lookup_join(rows, lookup, ["k"], how, max_rows=5)
-    for got in (salted, measured, too_big):
+    for got in (plain, salted, measured, too_big):
         assert got.columns == rows.join(lookup, ["k"], how).columns
         assert sorted(map(tuple, got.collect())) == want
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,5 +146,36 @@ def test_gitignore_levels(spark):
     kept = {r.path for r in gitignore_filter(files, "/r").collect()}
     assert {p for p, _ in rows} - kept == {
         "/r/a.log", "/r/top/f.go", "/r/sub/f.go", "/r/deep/sub/f.go", "/r/deep/x.log",
-        "/r/deep/a.tmp", "/r/#odd", "/r/deep/q?.txt",
+        "/r/deep/a.tmp", "/r/#odd", "/r/deep/q?.txt", "/r/deep/qa.txt",
     }
+
+
+@pytest.mark.parametrize(
+    "line,hit,miss",
+    [
+        ("doc_?.md", ["doc_1.md", "a/b/doc_x.md", "doc_1.md/x"], ["doc_12.md", "doc_/.md"]),
+        ("a/b", ["a/b", "a/b/c"], ["x/a/b", "a/bc"]),
+        ("/top", ["top", "top/x"], ["a/top"]),
+        ("dir/", ["dir/x", "a/dir/x/y"], ["dir", "a/dir"]),
+        ("a/**", ["a/x", "a/x/y"], ["a", "b/a/x"]),
+        ("**/b", ["b", "x/b", "x/y/b/z"], ["ab"]),
+        ("a/**/b", ["a/b", "a/x/b", "a/x/y/b"], ["a/xb", "ab"]),
+        ("[a-c]?[!0-9].t", ["axy.t", "d/bxz.t"], ["ax1.t", "dxy.t", "a/y.t"]),
+        ("x\\ ", ["x "], ["x"]),
+        ("x  ", ["x"], ["x "]),
+        ("\\#n", ["#n"], ["n"]),
+        ("\\!n", ["!n"], ["n"]),
+        ("f*.c", ["f.c", "fx/y.c/f1.c"], ["fx/y.c"]),
+        ("a**b", ["ab", "axb"], ["a/b"]),
+        ("\\*", ["*"], ["x"]),
+    ],
+)
+def test_ignore_rule(line, hit, miss):
+    negated, regex = P.ignore_rule(line)
+    assert not negated
+    assert [p for p in [*hit, *miss] if re.fullmatch(regex, p)] == hit
+
+
+def test_ignore_lines_that_say_nothing():
+    assert [P.ignore_rule(x) for x in ("", "   ", "# c", "/", "[a", "x\\")] == [None] * 6
+    assert P.ignore_rule("!a\r") == (True, "(?:.*/)?a(?:/.*)?")

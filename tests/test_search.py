@@ -77,24 +77,53 @@ def test_boost_is_exclusive(spark):
     assert {r.chunk_id: r.score for r in got.collect()} == {"both": 1.1, "path": 1.05, "none": 1.0}
 
 
-def test_pool_then_path_then_cut(spark):
-    # 8 better hits outside the prefix fill the pool of 4k = 8; strict filters first.
-    rows = [_row(f"o{i}", path="/out/f", vector=(1.0, 0.01 * i)) for i in range(8)]
+def test_narrow_path_still_gives_k(spark):
+    # Many better hits lie outside the prefix; a pool of candidates held none inside.
+    rows = [_row(f"o{i}", path="/out/f", vector=(1.0, 0.01 * i)) for i in range(40)]
     rows += [_row(f"i{i}", path="/in/f", vector=(0.5, 1.0 + i)) for i in range(3)]
     rows += [_row("x", path="/inside/f", vector=(0.5, 1.0))]
     chunks = spark.createDataFrame(rows, SCHEMA)
     q = _queries(spark, [("q", "zz", [1.0, 0.0], "/in")])
-    assert search.search_codebase(chunks, q, 2).count() == 0
-    strict = search.search_codebase(chunks, q, 2, candidate_pool="strict")
-    assert [r.chunk_id for r in strict.orderBy("rank").collect()] == ["i0", "i1"]
+    found = search.search_codebase(chunks, q, 2).orderBy("rank").collect()
+    assert [r.chunk_id for r in found] == ["i0", "i1"]
 
 
-def test_boost_only_reorders_the_pool(spark):
-    rows = [_row(f"c{i}", vector=(1.0, 0.1 * i)) for i in range(4)] + [_row("far", symbol="needle", vector=(0.0, 1.0))]
+def test_bonus_counts_for_every_chunk(spark):
+    """Against brute force, with more chunks than any pool and ties in both parts of the score."""
+    rng = np.random.default_rng(7)
+    rows = [
+        _row(f"c{i:03}", path=f"/d/{'key' if i % 3 else 'x'}{i}", symbol="Key" if i % 7 == 0 else "other",
+             vector=[float(v) for v in rng.normal(size=2).round(1)])
+        for i in range(200)
+    ]
+    chunks = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    q = _queries(spark, [("q", "kEY", [1.0, 0.2], "")])
+    a = np.array([1.0, 0.2])
+    def score(r):
+        v = np.array(r[-1], dtype=np.float32).astype(float)
+        n = np.linalg.norm(v)
+        base = round(float(v @ a / n / np.linalg.norm(a)), 6) if n else 0.0
+        return round(base + (0.1 if "key" in r[4].lower() else 0.05 if "key" in r[2] else 0.0), 6)
+    want = sorted((-score(r), r[0]) for r in rows)[:20]
+    got = search.search_codebase(chunks, q, 20).orderBy("rank").collect()
+    assert [(r.chunk_id, r.score) for r in got] == [(c, -s) for s, c in want]
+
+
+def test_bonus_brings_up_a_distant_chunk(spark):
+    rows = [_row(f"c{i:02}", vector=(1.0, 0.5 + 0.001 * i)) for i in range(60)]
+    rows += [_row("symbol", symbol="needle", vector=(1.0, 0.65))]
     got = search.search_codebase(
-        spark.createDataFrame(rows, SCHEMA), _queries(spark, [("q", "needle", [1.0, 0.0], "")]), 2
+        spark.createDataFrame(rows, SCHEMA), _queries(spark, [("q", "needle", [1.0, 0.0], "")]), 1
     )
-    assert [r.chunk_id for r in got.orderBy("rank").collect()] == ["c0", "c1"]
+    assert [r.chunk_id for r in got.collect()] == ["symbol"]
+
+
+def test_memory_search_fills_k_files(spark):
+    rows = [_row(f"a{i}", path="/m/long.md", project="memory-cascade", vector=(1.0, 0.001 * i)) for i in range(50)]
+    rows += [_row(f"b{i}", path=f"/m/{i}.md", project="memory-cascade", vector=(0.2, 1.0 + i)) for i in range(5)]
+    memory = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = search.memory_search(memory, _queries(spark, [("q", "z", [1.0, 0.0], "")]), 4).orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == ["a0", "b0", "b1", "b2"]
 
 
 def test_memory_search_one_chunk_per_file(spark):
@@ -107,7 +136,9 @@ def test_memory_search_one_chunk_per_file(spark):
     memory = spark.createDataFrame(rows, SCHEMA)
     q = _queries(spark, [("q", "needle", [1.0, 0.0], "")])
     got = search.memory_search(memory, q).orderBy("rank").collect()
-    assert [r.chunk_id for r in got] == ["a1", "b1"] and got[0].content == "é" * 800 + "..."
+    assert [r.chunk_id for r in got] == ["a1", "b1"] and got[0].content == "é" * 900
+    cut = search.memory_search(memory, q, snippet_chars=800).orderBy("rank").first()
+    assert cut.content == "é" * 800 + "..."
     assert got[1].score < 1.0  # no keyword bonus here
     assert [r.chunk_id for r in search.memory_search(memory, q, provider="cursor").collect()] == ["c1"]
 
@@ -147,7 +178,7 @@ def test_task_functions_travel_with_their_code():
 
     from pyspark import cloudpickle
 
-    query = {"query_id": "q", "embedding": [1.0], "project_id": "", "language": "", "path_prefix": ""}
+    query = {"query_id": "q", "text": None, "embedding": [1.0], "project_id": "", "language": "", "path_prefix": ""}
     data = cloudpickle.dumps(knn._partial_topk([query], 1))
     code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read())"
     subprocess.run([sys.executable, "-I", "-c", code], input=data, cwd="/", check=True)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from textquarry.plans import refresh
 from textquarry.session import scratch_path
 from textquarry.sources.files import file_rows
-from textquarry.sources.sessions import export_sessions, memory_list, notes_to_files
+from textquarry.sources.sessions import export_sessions, memory_list, memory_read, notes_to_files
 from textquarry.sources.store import IndexStore
 from textquarry.streaming.changes import debounce_changes, debounce_stream, start_change_stream
 from textquarry.streaming.memory import rebuild_memory, start_memory_sync, sync_sessions
@@ -76,8 +76,9 @@ def test_change_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     tree = {"/r/a.md": "# A\n", "/r/b.md": "# B\n"}
 
-    def files():
-        rows = [("p", path, text) for path, text in tree.items()]
+    def files(touched):
+        names = {r.path for r in touched.collect()}
+        rows = [("p", path, text) for path, text in tree.items() if path in names]
         raw = spark.createDataFrame(rows, "project_id string, path string, content string")
         return file_rows(raw, root="/r")
 
@@ -123,21 +124,32 @@ def test_session_markdown(spark):
     assert "## Dialogue" not in export_sessions(_sessions(spark, [(2, 0, "user", "x")]), _when()).first().content
 
 
-def test_long_session_continues_in_further_files(spark):
-    rows = [(7, i, "user" if i % 2 == 0 else "assistant", f"turn number {i % 9}") for i in range(25)]
+def test_session_in_parts(spark):
+    rows = [(7, 3 * i, "user" if i % 2 == 0 else "assistant", f"turn number {i % 9}") for i in range(25)]
+    rows += [(8, 0, "user", "a short session")]
     files = {r.path: r.content for r in export_sessions(_sessions(spark, rows), _when(), turns_per_file=10).collect()}
-    assert set(files) == {"/memory/7.md", "/memory/7.1.md", "/memory/7.2.md"}
-    whole = export_sessions(_sessions(spark, rows), _when()).first().content
-
-    def part(text, start, end):
-        return text.split(start, 1)[1].split(end, 1)[0] if start in text else ""
-
-    order = ["/memory/7.md", "/memory/7.1.md", "/memory/7.2.md"]
-    dialogue = "".join(part(files[p], "## Dialogue\n\n", "## All") for p in order)
-    strings = "".join(files[p].split("strings\n\n", 1)[1] for p in order)
-    assert dialogue == part(whole, "## Dialogue\n\n", "## All")
-    assert strings == whole.split("strings\n\n", 1)[1]
-    assert all("- **Dialogue turns:** 25\n" in text for text in files.values())
+    assert set(files) == {"/memory/7.0.md", "/memory/7.1.md", "/memory/7.2.md", "/memory/8.0.md"}
+    whole = {r.path: r.content for r in export_sessions(_sessions(spark, rows), _when()).collect()}
+    assert set(whole) == {"/memory/7.md", "/memory/8.md"}
+
+    def dialogue(text):
+        return text.split("## Dialogue\n\n", 1)[1].split("## All", 1)[0]
+
+    assert "".join(dialogue(files[f"/memory/7.{k}.md"]) for k in range(3)) == dialogue(whole["/memory/7.md"])
+    counts = [files[f"/memory/7.{k}.md"].split("turns:** ")[1].split("\n")[0] for k in range(3)]
+    assert counts == ["10", "10", "5"] and "**Extracted strings:** 9\n" in whole["/memory/7.md"]
+
+
+def test_memory_read(spark):
+    files = spark.createDataFrame([("/memory/a.md", "A"), ("/etc/x", "X")], "path string, content string")
+    asked = spark.createDataFrame(
+        [("/memory/a.md",), ("/memory/b.md",), ("/etc/x",), ("/memory/../etc/x",), ("/memoryx/a",)], "path string"
+    )
+    got = {r.path: (r.content, r.status) for r in memory_read(files, asked).collect()}
+    assert got == {
+        "/memory/a.md": ("A", "ok"), "/memory/b.md": (None, "not_found"), "/etc/x": (None, "not_allowed"),
+        "/memory/../etc/x": (None, "not_allowed"), "/memoryx/a": (None, "not_allowed"),
+    }
 
 
 def test_memory_sync_and_rebuild(spark, tmp_path):

@@ -186,3 +186,75 @@ def matches_any(path: Column, patterns) -> Column:
     """True where ``path`` matches at least one index-rule pattern."""
     regex = patterns_to_regex(patterns)
     return F.lit(False) if regex is None else path.rlike("(?s)" + regex)
+
+
+# --- ignore files ----------------------------------------------------------
+
+
+def _element_regex(element: str) -> str:
+    """Regex of one path element of an ignore pattern."""
+    out, i = [], 0
+    while i < len(element):
+        ch = element[i]
+        if ch == "[":
+            regex, i = _class_regex(element, i)
+            out.append(regex)
+            continue
+        if ch == "\\":
+            if i + 1 == len(element):
+                raise InvalidPattern(element)
+            i += 1
+            out.append(re.escape(element[i]))
+        elif ch in "*?":
+            out.append("[^/]*" if ch == "*" else "[^/]")
+        else:
+            out.append(re.escape(ch))
+        i += 1
+    return "".join(out)
+
+
+def ignore_rule(line: str) -> tuple[bool, str] | None:
+    """(negated, regex over paths relative to the ignore file) of one of its lines.
+
+    By Git's documented rules: blank lines and comments say nothing, ``!``
+    negates, unescaped blanks at the end do not count; a ``/`` before the end
+    ties a pattern to the file's directory, one at the end makes it match
+    directories only; ``**`` as an element stands for any number of directories.
+    A pattern that matches a directory covers everything below it.  An invalid
+    pattern matches nothing.
+    """
+    line = line.removesuffix("\r")
+    body = line.rstrip(" ")
+    if body.endswith("\\") and body != line:
+        body += " "  # an escaped blank
+    if not body or body.startswith("#"):
+        return None
+    negated = body.startswith("!")
+    pattern = body[negated:]
+    directory = pattern.endswith("/")
+    pattern = pattern.rstrip("/") if directory else pattern
+    tied = "/" in pattern
+    elements = [e for e in pattern.split("/") if e]
+    if not elements:
+        return None
+    regex = "" if tied else "(?:.*/)?"
+    try:
+        for element in elements[:-1]:
+            regex += "(?:.*/)?" if element == "**" else _element_regex(element) + "/"
+        last = elements[-1]
+        regex += ".+" if last == "**" and tied else _element_regex(last)
+    except InvalidPattern:
+        return None
+    return negated, regex + ("/.*" if directory else "(?:/.*)?")
+
+
+def ignore_groups(content: str) -> list[tuple[bool, str]]:
+    """Rules of an ignore file in order, neighbours of one polarity as one regex."""
+    groups: list[tuple[bool, list[str]]] = []
+    for line in content.split("\n"):
+        rule = ignore_rule(line)
+        if rule and groups and groups[-1][0] == rule[0]:
+            groups[-1][1].append(rule[1])
+        elif rule:
+            groups.append((rule[0], [rule[1]]))
+    return [(negated, r"\A(?s:" + "|".join(regexes) + r")\z") for negated, regexes in groups]

@@ -25,9 +25,8 @@ LANGUAGE_BY_EXTENSION = {
 }
 
 # Fixed value: keyword followed by a name, as seen in a declaration line.
-SYMBOL_GUESS = r"(?:func|def|fn|class|struct|enum|trait|impl|type|const|var)[ \t\n\f\r]+([0-9A-Za-z_]+)"
+SYMBOL_GUESS = r"(?:func|def|fn|class|struct|enum|trait|impl|type|const|var)[ \t\n\f\r]+(\w+)"
 
-SNIPPET_CHARS = 800
 SPACE_CHARS = " \t\n\u000b\f\r"
 
 
@@ -67,14 +66,14 @@ def newline_count(content: Column) -> Column:
     return F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit("")))
 
 
-def snippet(content: Column) -> Column:
-    """First 800 characters plus ``...`` for longer texts.
+def snippet(content: Column, chars: int) -> Column:
+    """First ``chars`` characters plus ``...`` for longer texts.
 
     Counted in characters, so that a multi-byte character is never cut in two.
     """
     return F.when(
-        F.length(content) > SNIPPET_CHARS,
-        F.concat(F.substring(content, 1, SNIPPET_CHARS), F.lit("...")),
+        F.length(content) > chars,
+        F.concat(F.substring(content, 1, chars), F.lit("...")),
     ).otherwise(content)
 
 

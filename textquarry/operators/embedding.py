@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, FloatType
 
 from textquarry.functions.embed import DEFAULT_DIM, hash_embedding
 from textquarry.operators.index import with_cached_vectors
@@ -23,16 +24,16 @@ def embed_with(
 ) -> DataFrame:
     """Add ``embedding`` with an external model.
 
-    Only id and text cross to Python, in batches of ``batch_size`` texts.  A
+    Only the text crosses to Python, in batches of ``batch_size`` texts.  A
     model that returns another number of vectors than texts fails the job.
     """
     batch_size = batch_size if batch_size > 0 else DEFAULT_BATCH
-    schema = StructType([*chunks.schema.fields, StructField("embedding", ArrayType(FloatType()))])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @arrow_udf(ArrayType(FloatType()))
+    def vectors_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embed = factory()
         for batch in batches:
-            texts = batch.column("content").to_pylist()
+            texts = batch.to_pylist()
             vectors: list = []
             for at in range(0, len(texts), batch_size):
                 part = embed(texts[at : at + batch_size])
@@ -40,12 +41,9 @@ def embed_with(
                 if len(part) != wanted:
                     raise ValueError(f"expected {wanted} embeddings, got {len(part)}")
                 vectors.extend(part)
-            column = pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, column], names=[*batch.schema.names, "embedding"]
-            )
+            yield pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float32()))
 
-    return chunks.mapInArrow(run, schema)
+    return chunks.withColumn("embedding", vectors_of("content"))
 
 
 def embed_chunks(

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.functions.embed import bind
 from textquarry.functions.paths import (
     ancestors,
     base_name,
     dir_name,
     extension,
+    ignore_groups,
     matches_any,
     relative_to,
     under_path,
@@ -67,78 +68,26 @@ def index_filter(files: DataFrame, rules: IndexRules = IndexRules()) -> DataFram
 
 # --- ignore files ----------------------------------------------------------
 
-# Placeholders for the three forms of ``**`` while single stars are translated.
-_MIDDLE, _LEADING, _TRAILING = "\u0001", "\u0002", "\u0003"
+GROUPS = "array<struct<negate: boolean, regex: string>>"
 
 
-def _ignore_regex(pattern: Column) -> Column:
-    """Regex for one line of an ignore file.
-
-    ``*`` stays within a path element and ``?`` stands for itself; a pattern
-    matches at any depth unless it starts with ``/`` or names a file suffix
-    below a directory; it covers everything below what it matches.
-    """
-    anchored = F.when(
-        pattern.rlike(r"[^/+]/.*\*\.") & ~F.startswith(pattern, F.lit("/")),
-        F.concat(F.lit("/"), pattern),
-    ).otherwise(pattern)
-
-    def translate(p: Column) -> Column:
-        p = F.regexp_replace(p, r"([.+(){}^$|])", r"\\$1")
-        p = F.when(F.startswith(p, F.lit("/**/")), F.substring(p, 2, F.length(p))).otherwise(p)
-        for text, mark in (("/**/", _MIDDLE), ("**/", _LEADING), ("/**", _TRAILING)):
-            p = F.replace(p, F.lit(text), F.lit(mark))
-        p = F.replace(p, F.lit("?"), F.lit(r"\?"))
-        p = F.replace(p, F.lit("*"), F.lit("[^/]*"))
-        for mark, regex in (
-            (_MIDDLE, "(/|/.+/)"), (_LEADING, "(|.*/)"), (_TRAILING, "(|/.*)"),
-        ):
-            p = F.replace(p, F.lit(mark), F.lit(regex))
-        tail = F.when(F.endswith(p, F.lit("/")), "(|.*)$").otherwise("(|/.*)$")
-        return bind(
-            F.concat(p, tail),
-            lambda full: F.when(
-                F.startswith(full, F.lit("/")),
-                F.concat(F.lit("^(|/)"), F.substring(full, 2, F.length(full))),
-            ).otherwise(F.concat(F.lit("^(|.*/)"), full)),
-        )
-
-    return bind(anchored, translate)
+def _parsed(rules: DataFrame) -> DataFrame:
+    """(rule_dir, groups) of ignore files; a table as small as there are such files."""
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def _ignore_groups(content: Column) -> Column:
-    """Rules of one ignore file: array of (negate, regex), in order.
+        shape = pa.list_(pa.struct([("negate", pa.bool_()), ("regex", pa.string())]))
+        for batch in batches:
+            parsed = [
+                [{"negate": n, "regex": r} for n, r in ignore_groups(text or "")]
+                for text in batch.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(parsed, shape)], names=["rule_dir", "groups"]
+            )
 
-    Neighbouring rules of one polarity share one alternation, so an ordinary
-    ignore file is a single regex.
-    """
-
-    def parse(line: Column) -> Column:
-        negate = F.startswith(line, F.lit("!"))
-        body = F.when(negate, F.substring(line, 2, F.length(line))).otherwise(line)
-        body = F.regexp_replace(body, r"^\\([#!])", "$1")
-        return F.struct(negate.alias("negate"), _ignore_regex(body).alias("regex"))
-
-    lines = F.transform(
-        F.split(content, "\n", -1), lambda x: F.btrim(F.rtrim(x, F.lit("\r")), F.lit(" "))
-    )
-    rules = F.transform(
-        F.filter(lines, lambda x: ~x.isin("", "!") & ~F.startswith(x, F.lit("#"))), parse
-    )
-
-    def append(groups: Column, rule: Column) -> Column:
-        last = F.try_element_at(groups, F.lit(-1))
-        joined = F.struct(
-            rule["negate"].alias("negate"),
-            F.concat(last["regex"], F.lit("|"), rule["regex"]).alias("regex"),
-        )
-        return F.when(
-            last["negate"] == rule["negate"],
-            F.concat(F.slice(groups, 1, F.size(groups) - 1), F.array(joined)),
-        ).otherwise(F.concat(groups, F.array(rule)))
-
-    empty = F.array().cast("array<struct<negate:boolean,regex:string>>")
-    return F.aggregate(rules, empty, append)
+    return rules.select("rule_dir", "content").mapInArrow(run, f"rule_dir string, groups {GROUPS}")
 
 
 def gitignore_filter(
@@ -156,26 +105,30 @@ def gitignore_filter(
         (files if rule_files is None else rule_files)
         .where(base_name(F.col("path")) == ".gitignore")
         .where(under_path(F.col("path"), root))
-        .select(
-            dir_name(F.col("path")).alias("rule_dir"),
-            _ignore_groups(F.col("content").cast("string")).alias("groups"),
-        )
-        .where(F.size("groups") > 0)
+        .select(dir_name(F.col("path")).alias("rule_dir"), F.col("content").cast("string").alias("content"))
     )
     # Small next to the files, and read more than once from here on.
-    rules = cut_lineage(rules, "ignore-rules")
+    rules = cut_lineage(_parsed(rules).where(F.size("groups") > 0), "ignore-rules")
     directories = files.select(dir_name(F.col("path")).alias("dir")).distinct()
     lineage = directories.select(
         "dir",
         F.explode_outer(F.concat(ancestors(F.col("dir")), F.array("dir"))).alias("rule_dir"),
     ).where(under_path(F.col("rule_dir"), root))
+    # Directories carry the names of their ignore files; the regexes are kept once a set.
     per_directory = (
-        lookup_join(lineage, rules, ["rule_dir"])
+        lookup_join(lineage, rules.select("rule_dir"), ["rule_dir"])
         .groupBy("dir")
-        .agg(F.collect_set(F.struct("rule_dir", "groups")).alias("rule_files"))
+        .agg(F.array_sort(F.collect_set("rule_dir")).alias("rule_dirs"))
     )
-
     per_directory = cut_lineage(per_directory, "ignore-dirs")
+    sets = (
+        per_directory.select("rule_dirs").distinct()
+        .select("rule_dirs", F.explode("rule_dirs").alias("rule_dir"))
+        .join(rules, "rule_dir")
+        .groupBy("rule_dirs")
+        .agg(F.collect_list(F.struct("rule_dir", "groups")).alias("rule_files"))
+    )
+    sets = cut_lineage(sets, "ignore-sets")
 
     def ignored_by(rule_file: Column) -> Column:
         rel = relative_to(F.col("path"), rule_file["rule_dir"])
@@ -186,22 +139,23 @@ def gitignore_filter(
         )
 
     placed = files.withColumn("dir", dir_name(F.col("path")))
+    placed = lookup_join(placed, per_directory, ["dir"], "left")
     ignored = F.exists(F.col("rule_files"), ignored_by)
     return (
-        lookup_join(placed, per_directory, ["dir"], "left")
+        lookup_join(placed, sets, ["rule_dirs"], "left")
         .where(F.coalesce(~ignored, F.lit(True)))
-        .drop("dir", "rule_files")
+        .drop("dir", "rule_dirs", "rule_files")
     )
 
 
 # --- smaller filters -------------------------------------------------------
 
 
-def text_files(files: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
-    """Files small enough and without a NUL among their first 512 bytes."""
-    head = F.substring(F.col("content").cast("binary"), 1, 512)
-    has_nul = F.instr(F.decode(head, "ISO-8859-1"), "\u0000") > 0
-    return files.where((F.col("size") <= max_bytes) & ~has_nul)
+def text_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Files without a NUL anywhere and, if asked for, no longer than ``max_bytes``."""
+    has_nul = F.instr(F.decode(F.col("content").cast("binary"), "ISO-8859-1"), "\u0000") > 0
+    found = files.where(~has_nul)
+    return found if max_bytes is None else found.where(F.col("size") <= max_bytes)
 
 
 def recent_changes(

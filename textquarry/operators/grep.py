@@ -9,6 +9,7 @@ from textquarry.functions import text as T
 from textquarry.functions.embed import bind
 from textquarry.functions.paths import under_path, walk_key
 from textquarry.operators.filters import text_files
+from textquarry.plans.joins import fits_broadcast
 
 DEFAULT_MATCHES = 20
 
@@ -60,7 +61,8 @@ def line_ranges(files: DataFrame, ranges: DataFrame) -> DataFrame:
     ``ranges`` has ``path, start_line, end_line``.  A start of 0 or less means
     the first line; an end of 0 or less, or past the end, the last one.  Rows
     that cannot be served say why in ``status``: ``not_found`` or
-    ``invalid_range``.
+    ``invalid_range``.  Requests measured to be few go to the file scan, so only
+    the contents asked for are shuffled.
     """
     lines = T.lines(F.col("content"))
     start = F.greatest(F.col("start_line"), F.lit(1))
@@ -78,7 +80,12 @@ def line_ranges(files: DataFrame, ranges: DataFrame) -> DataFrame:
         )
 
     found = F.when(F.col("content").isNotNull(), bind(lines, cut))
-    return ranges.join(files.select("path", "content"), "path", "left").withColumn(
+    wanted = ranges.select("path").distinct()
+    few = fits_broadcast(wanted)
+    contents = files.select("path", "content").join(
+        F.broadcast(wanted) if few else wanted, "path", "left_semi"
+    )
+    return ranges.join(contents, "path", "left").withColumn(
         "_r", found
     ).select(
         *ranges.columns,

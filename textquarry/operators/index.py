@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions.paths import under_path
+from textquarry.plans.joins import lookup_join
 
 SYMBOL_COLUMNS = [
     "project_id", "path", "language", "symbol", "signature", "start_line", "end_line",
@@ -17,19 +18,32 @@ SYMBOL_COLUMNS = [
 
 
 def compare_files(files: DataFrame, file_state: DataFrame) -> DataFrame:
-    """Files with ``status`` new, modified or unchanged against what was indexed."""
+    """``path, project_id, file_hash`` and ``status`` new, modified or unchanged of all files.
+
+    Contents take no part in the comparison.
+    """
     known = file_state.select("path", F.col("file_hash").alias("known_hash"))
     status = (
         F.when(F.col("known_hash").isNull(), "new")
         .when(F.col("known_hash") != F.col("file_hash"), "modified")
         .otherwise("unchanged")
     )
-    return files.join(known, "path", "left").withColumn("status", status).drop("known_hash")
+    narrow = files.select("path", "project_id", "file_hash")
+    return narrow.join(known, "path", "left").withColumn("status", status).drop("known_hash")
 
 
-def changed_files(files: DataFrame, file_state: DataFrame) -> DataFrame:
-    """Files whose content is not what was indexed."""
-    return compare_files(files, file_state).where(F.col("status") != "unchanged")
+def changed_files(
+    files: DataFrame, file_state: DataFrame, compared: DataFrame | None = None
+) -> DataFrame:
+    """Files whose content is not what was indexed, with their ``status``.
+
+    Paths measured to be few go to the file scan; contents are shuffled only
+    where too many files changed for that.  ``compared`` may bring the stored
+    comparison.
+    """
+    compared = compare_files(files, file_state) if compared is None else compared
+    changed = compared.where(F.col("status") != "unchanged").select("path", "status")
+    return lookup_join(files, changed, ["path"])
 
 
 def deleted_files(file_state: DataFrame, files: DataFrame) -> DataFrame:

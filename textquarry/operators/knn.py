@@ -4,7 +4,10 @@ The chunks are never shuffled.  A batch of queries whose size was measured goes
 to every task as one matrix; a task multiplies Arrow batches of vectors with it
 and keeps its own best rows per query, and only those partial results are
 merged.  A larger set of queries is halved by hash until each part fits, so
-nothing is left out.
+nothing is left out; each part is then a job of its own and the driver holds one
+part at a time.  Filters, the keyword bonus and "the best chunk of each file" are
+applied before a task keeps its best rows, so none of them can leave a query with
+fewer results than there are.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.plans.joins import cut_lineage
+from textquarry.session import scratch_path
 
 # A batch of queries is sent to tasks only below both bounds.
 MAX_QUERIES = 1024
@@ -27,6 +31,9 @@ MAX_QUERY_VALUES = 4_000_000
 # the tie is settled by chunk_id.
 SCORE_DIGITS = 6
 
+# Score bonus for a query found in the symbol, else in the path.
+SYMBOL_BOOST, PATH_BOOST = 0.1, 0.05
+
 TOPK_SCHEMA = "query_id string, chunk_id string, score double"
 FILTERS = {"project_id": "project_id", "language": "language", "path_prefix": "path"}
 
@@ -41,15 +48,43 @@ def _unit_rows(flat: np.ndarray, rows: int, dim: int) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
-    """Positions of the ``keep`` best rows by (score desc, id asc)."""
-    if len(scores) > keep:
+def _best(scores: np.ndarray, ids: np.ndarray, keep: int, paths: np.ndarray | None) -> np.ndarray:
+    """Positions of the ``keep`` best rows by (score desc, id asc), one a path if given."""
+    pool = np.arange(len(scores))
+    if paths is None and len(scores) > keep:
         floor = np.partition(scores, len(scores) - keep)[len(scores) - keep]
         pool = np.flatnonzero(scores >= floor)
-    else:
-        pool = np.arange(len(scores))
-    order = np.lexsort((ids[pool], -scores[pool]))
-    return pool[order[:keep]]
+    order = pool[np.lexsort((ids[pool], -scores[pool]))]
+    if paths is None:
+        return order[:keep]
+    seen: set = set()
+    chosen = []
+    for row in order:
+        if len(chosen) == keep:
+            break
+        if paths[row] not in seen:
+            seen.add(paths[row])
+            chosen.append(row)
+    return np.array(chosen, dtype=np.int64)
+
+
+class _Bonus:
+    """Keyword bonus of the rows of a batch: a literal hit in the symbol, else in the path."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.symbol = pc.utf8_lower(batch.column("symbol"))
+        self.path = pc.utf8_lower(batch.column("path"))
+
+    def add(self, scores: np.ndarray, rows: np.ndarray, needle: str | None) -> np.ndarray:
+        if needle is None:
+            return scores
+        at = pa.array(rows)
+        hits = [
+            pc.match_substring(column.take(at), needle).fill_null(False).to_numpy(zero_copy_only=False)
+            for column in (self.symbol, self.path)
+        ]
+        bonus = np.where(hits[0], SYMBOL_BOOST, np.where(hits[1], PATH_BOOST, 0.0))
+        return np.round(scores + bonus, SCORE_DIGITS) + 0.0
 
 
 def _mask(batch: pa.RecordBatch, filters: tuple) -> np.ndarray:
@@ -65,7 +100,7 @@ def _mask(batch: pa.RecordBatch, filters: tuple) -> np.ndarray:
     return mask
 
 
-def _partial_topk(queries: list, keep: int):
+def _partial_topk(queries: list, keep: int, boost: bool = False, per_path: bool = False):
     """Kernel for ``mapInArrow``: best ``keep`` rows per query of one partition."""
     dim = len(queries[0]["embedding"])
     matrix = _unit_rows(
@@ -74,10 +109,13 @@ def _partial_topk(queries: list, keep: int):
     query_ids = [q["query_id"] for q in queries]
     asked = [name for name in FILTERS if any(q[name] for q in queries)]
     filters = [tuple((name, q[name]) for name in asked if q[name]) for q in queries]
+    needles = [(q["text"] or "").lower() if boost and q["text"] is not None else None for q in queries]
+    reach = SYMBOL_BOOST if boost else 0.0
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_scores = [np.empty(0) for _ in queries]
         best_ids = [np.empty(0, dtype=object) for _ in queries]
+        best_paths = [np.empty(0, dtype=object) for _ in queries]
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -90,30 +128,38 @@ def _partial_topk(queries: list, keep: int):
             )
             scores = np.round(unit @ matrix, SCORE_DIGITS) + 0.0
             ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            paths = batch.column("path").to_numpy(zero_copy_only=False) if per_path else None
             masks = {chosen: _mask(batch, chosen) for chosen in set(filters)}
+            bonus = _Bonus(batch) if boost else None
             for i in range(len(queries)):
                 mask = masks[filters[i]]
                 column_scores = scores[:, i]
-                if len(best_scores[i]) == keep:
-                    mask = mask & (column_scores >= best_scores[i][-1])
+                if len(best_scores[i]) == keep:  # what no bonus can bring up is out
+                    mask = mask & (column_scores >= best_scores[i][-1] - reach)
                 rows = np.flatnonzero(mask)
                 if not len(rows):
                     continue
-                merged_scores = np.concatenate([best_scores[i], column_scores[rows]])
+                found = column_scores[rows]
+                if bonus is not None:
+                    found = bonus.add(found, rows, needles[i])
+                merged_scores = np.concatenate([best_scores[i], found])
                 merged_ids = np.concatenate([best_ids[i], ids[rows]])
-                chosen = _best(merged_scores, merged_ids, keep)
+                merged_paths = np.concatenate([best_paths[i], paths[rows]]) if per_path else None
+                chosen = _best(merged_scores, merged_ids, keep, merged_paths)
                 best_scores[i], best_ids[i] = merged_scores[chosen], merged_ids[chosen]
+                if per_path:
+                    best_paths[i] = merged_paths[chosen]
         counts = [len(s) for s in best_scores]
         if not sum(counts):
             return
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.array(query_ids, dtype=object), counts), pa.string()),
-                pa.array(np.concatenate(best_ids), pa.string()),
-                pa.array(np.concatenate(best_scores), pa.float64()),
-            ],
-            names=["query_id", "chunk_id", "score"],
-        )
+        columns = {
+            "query_id": pa.array(np.repeat(np.array(query_ids, dtype=object), counts), pa.string()),
+            "chunk_id": pa.array(np.concatenate(best_ids), pa.string()),
+            "score": pa.array(np.concatenate(best_scores), pa.float64()),
+        }
+        if per_path:
+            columns["path"] = pa.array(np.concatenate(best_paths), pa.string())
+        yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -140,29 +186,42 @@ def _query_batches(queries: DataFrame, level: int = 0) -> Iterator[list]:
 
 
 def vector_topk(
-    chunk_vectors: DataFrame, queries: DataFrame, keep: int
+    chunk_vectors: DataFrame,
+    queries: DataFrame,
+    keep: int,
+    *,
+    boost: bool = False,
+    per_path: bool = False,
 ) -> tuple[DataFrame, int]:
-    """The ``keep`` nearest chunks of every query, and how many rows that can be.
+    """The ``keep`` best chunks of every query, and how many rows that can be.
 
     ``queries`` has ``query_id, embedding`` and, as optional filters (``''`` or
-    null: any), ``project_id``, ``language`` and ``path_prefix``.  Queries are
-    read when the plan is built.  Ranked by score rounded to six places, then
-    by ``chunk_id``; scores are of type DOUBLE.
+    null: any), ``project_id``, ``language`` and ``path_prefix``.  ``boost`` adds
+    the keyword bonus of the query's ``text`` to the scores; ``per_path`` counts
+    only the best chunk of every path, which then is a column of the result.
+    Queries are read when the plan is built.  Ranked by score rounded to six
+    places, then by ``chunk_id``; scores are of type DOUBLE.
     """
     spark = chunk_vectors.sparkSession
     present = set(queries.columns)
     shaped = queries.select(
         F.col("query_id").cast("string").alias("query_id"),
         "embedding",
+        (F.col("text") if boost else F.lit(None)).cast("string").alias("text"),
         *[
             (F.col(c) if c in present else F.lit("")).cast("string").alias(c)
             for c in FILTERS
         ],
     )
-    parts, total = [], 0
-    for batch in _query_batches(shaped):
+    schema = TOPK_SCHEMA + (", path string" if per_path else "")
+
+    def part(batch: list) -> DataFrame:
         source = chunk_vectors
         columns = ["chunk_id", "embedding"]
+        if boost:
+            columns += ["symbol", "path"]
+        elif per_path:
+            columns.append("path")
         for name, column in FILTERS.items():
             values = {q[name] or "" for q in batch}
             if values == {""}:
@@ -172,15 +231,26 @@ def vector_topk(
             if name != "path_prefix" and "" not in values and len(values) <= 256:
                 source = source.where(F.col(column).isin(sorted(values)))
         rows = [q.asDict() for q in batch]
-        parts.append(
-            source.select(*columns).mapInArrow(_partial_topk(rows, keep), TOPK_SCHEMA)
-        )
+        kernel = _partial_topk(rows, keep, boost, per_path)
+        return source.select(*dict.fromkeys(columns)).mapInArrow(kernel, schema)
+
+    batches = _query_batches(shaped)
+    first = next(batches, None)
+    if first is None:
+        return spark.createDataFrame([], schema + ", rank int"), 0
+    total = len(first) * keep
+    merged, folder = part(first), None
+    for batch in batches:
+        if folder is None:  # more than one part: each is written when its turn comes
+            folder = scratch_path(spark, "topk")
+            merged.write.parquet(folder)
+        part(batch).write.mode("append").parquet(folder)
         total += len(batch) * keep
-    if not parts:
-        return spark.createDataFrame([], TOPK_SCHEMA + ", rank int"), 0
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
+    if folder is not None:
+        merged = spark.read.schema(schema).parquet(folder)
+    if per_path:
+        of_path = Window.partitionBy("query_id", "path").orderBy(F.desc("score"), "chunk_id")
+        merged = merged.withColumn("n", F.row_number().over(of_path)).where("n = 1").drop("n")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     top = (
         merged.withColumn("rank", F.row_number().over(rank))

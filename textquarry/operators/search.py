@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
 from textquarry.functions.embed import hash_embedding
-from textquarry.functions.paths import under_path_column
-from textquarry.operators.knn import SCORE_DIGITS, vector_topk
+from textquarry.operators.knn import PATH_BOOST, SCORE_DIGITS, SYMBOL_BOOST, vector_topk
 from textquarry.plans.joins import BROADCAST_ROWS
 
-# Score bonus for a query found in the symbol, else in the path.
-SYMBOL_BOOST, PATH_BOOST = 0.1, 0.05
 DEFAULT_K = 10
 DEFAULT_PROVIDER = "cascade"
 
@@ -65,41 +62,14 @@ def fetch(chunk_vectors: DataFrame, hits: DataFrame, bound: int, columns: list[s
     return chunk_vectors.select("chunk_id", *columns).join(hits, "chunk_id")
 
 
-def candidates(
-    chunk_vectors: DataFrame, queries: DataFrame, k: int, columns: list[str], *,
-    candidate_pool: str = "ref",
-) -> DataFrame:
-    """Over-fetched hits per query: 2k of them, 4k for a query with a path prefix.
+def ranked(chunk_vectors: DataFrame, queries: DataFrame, k: int, columns: list[str]) -> DataFrame:
+    """The ``k`` best chunks of every query by boosted score, with chunk columns.
 
-    The path prefix is applied to the candidates afterwards, so a narrow prefix
-    may leave fewer than k.  ``candidate_pool="strict"`` applies it before
-    ranking instead and always fills the pool.
+    Filters and the keyword bonus count for every chunk, so a query has ``k``
+    results whenever as many chunks fit its filters.
     """
-    details = queries.select("query_id", "text", "path_prefix")
-    if candidate_pool == "strict":
-        hits, bound = vector_topk(chunk_vectors, queries, 2 * k)
-        return fetch(chunk_vectors, hits, bound, columns).join(details, "query_id")
-    queries = queries.drop("path_prefix")
-    hits, bound = vector_topk(chunk_vectors, queries, 4 * k)
-    pool = F.when(F.col("path_prefix") == "", 2 * k).otherwise(4 * k)
-    return (
-        fetch(chunk_vectors, hits, bound, columns)
-        .join(details, "query_id")
-        .where(F.col("rank") <= pool)
-        .where(under_path_column(F.col("path"), F.col("path_prefix")))
-    )
-
-
-def rerank(found: DataFrame, k: int) -> DataFrame:
-    """Apply the keyword bonus, order again and cut to k per query."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return (
-        found.withColumn(
-            "score", boosted(F.col("score"), F.col("symbol"), F.col("path"), F.col("text"))
-        )
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-    )
+    hits, bound = vector_topk(chunk_vectors, queries, k, boost=True)
+    return fetch(chunk_vectors, hits, bound, columns)
 
 
 def search_codebase(
@@ -108,7 +78,6 @@ def search_codebase(
     k: int = DEFAULT_K,
     *,
     include_content: bool = False,
-    candidate_pool: str = "ref",
 ) -> DataFrame:
     """Semantic search for a table of queries.
 
@@ -120,8 +89,7 @@ def search_codebase(
     columns = RESULT_COLUMNS[2:-1]
     if include_content:
         columns = [*columns, "content"]
-    found = candidates(chunk_vectors, queries, k, columns, candidate_pool=candidate_pool)
-    return rerank(found, k).select("query_id", "chunk_id", *columns, "score", "rank")
+    return ranked(chunk_vectors, queries, k, columns).select("query_id", "chunk_id", *columns, "score", "rank")
 
 
 def query_documentation(chunk_vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
@@ -132,37 +100,30 @@ def query_documentation(chunk_vectors: DataFrame, queries: DataFrame, k: int = D
 
 def memory_search(
     memory_vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
-    provider: str = DEFAULT_PROVIDER,
+    provider: str = DEFAULT_PROVIDER, *, snippet_chars: int | None = None,
 ) -> DataFrame:
-    """Best chunk per memory file for every query, without keyword bonus.
+    """Best chunk of each of the ``k`` best memory files per query, without keyword bonus.
 
-    Files are told apart among 2k candidates, so a query may get fewer than k.
+    ``snippet_chars`` cuts the content; by default it is whole.
     """
     k = k if k > 0 else DEFAULT_K
     project = "memory-" + (provider or DEFAULT_PROVIDER)
     queries = _with_filters(embed_queries(queries)).select(
         "query_id", "embedding", F.lit(project).alias("project_id")
     )
-    hits, bound = vector_topk(memory_vectors, queries, 2 * k)
-    found = fetch(memory_vectors, hits, bound, ["path", "start_line", "end_line", "content"])
-    per_path = Window.partitionBy("query_id", "path").orderBy("rank")
-    per_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return (
-        found.withColumn("n", F.row_number().over(per_path))
-        .where(F.col("n") == 1)
-        .withColumn("rank", F.row_number().over(per_query))
-        .where(F.col("rank") <= k)
-        .select(
-            "query_id",
-            "chunk_id",
-            "path",
-            F.lit(project.removeprefix("memory-")).alias("provider"),
-            "start_line",
-            "end_line",
-            T.snippet(F.col("content")).alias("content"),
-            "score",
-            "rank",
-        )
+    hits, bound = vector_topk(memory_vectors, queries, k, per_path=True)
+    found = fetch(memory_vectors, hits.drop("path"), bound, ["path", "start_line", "end_line", "content"])
+    content = F.col("content")
+    return found.select(
+        "query_id",
+        "chunk_id",
+        "path",
+        F.lit(project.removeprefix("memory-")).alias("provider"),
+        "start_line",
+        "end_line",
+        (content if snippet_chars is None else T.snippet(content, snippet_chars)).alias("content"),
+        "score",
+        "rank",
     )
 
 
@@ -215,7 +176,7 @@ def unified_search(
             )
             .withColumn("query_id", F.concat_ws(":", "source", "query_id"))
         )
-        found = rerank(candidates(chunk_vectors, tagged, k, columns), k)
+        found = ranked(chunk_vectors, tagged, k, columns)
         parts.append(
             found.withColumn("source", F.substring_index("query_id", ":", 1))
             .withColumn(

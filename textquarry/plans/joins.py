@@ -10,7 +10,6 @@ from textquarry.session import scratch_path
 # A lookup side is broadcast only below both bounds.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
 
 
 def fits_broadcast(
@@ -36,21 +35,24 @@ def lookup_join(
     on: list[str],
     how: str = "inner",
     *,
-    salts: int = SALTS,
+    salts: int = 1,
     max_rows: int = BROADCAST_ROWS,
     measure: bool = True,
 ) -> DataFrame:
     """Join a large side to a lookup side whose keys may be hot on the left.
 
-    A lookup measured to be small is broadcast.  Otherwise every row of the
-    large side gets a salt from its own content and the lookup is repeated once
-    per salt, so one hot key spreads over ``salts`` tasks.  Both give the same
-    rows.  ``how`` is any join that keeps or drops left rows: inner, left,
-    left_semi, left_anti.  Measuring runs the lookup once; pass
-    ``measure=False`` for a lookup as costly as the join itself.
+    A lookup measured to be small is broadcast.  Otherwise it is a plain equi-join,
+    whose hot keys adaptive execution splits on the large side.  With ``salts``
+    above 1, for a key known to be hot where that is not enough, every row of
+    the large side gets a salt from its own content and the lookup is repeated
+    once per salt.  All give the same rows.  ``how`` is any join that keeps or
+    drops left rows: inner, left, left_semi, left_anti.  Measuring runs the lookup
+    once; pass ``measure=False`` for a lookup as costly as the join itself.
     """
     if measure and fits_broadcast(lookup, max_rows):
         return rows.join(F.broadcast(lookup), on, how)
+    if salts <= 1:
+        return rows.join(lookup, on, how)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in _hashable(rows)]), F.lit(salts))
     salted = rows.withColumn("_salt", salt.cast("int"))
     spread = lookup.withColumn(

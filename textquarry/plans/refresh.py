@@ -10,8 +10,8 @@ from textquarry.operators.chunking import chunk_files
 from textquarry.operators.embedding import EmbedderFactory, embed_chunks
 from textquarry.operators.filters import IndexRules
 from textquarry.operators.index import (
+    changed_files,
     compare_files,
-    delete_prefix,
     deleted_files,
     file_state_of,
 )
@@ -57,15 +57,13 @@ def index_changed(
 ) -> int:
     """Index the files that differ from ``state``; optionally drop missing ones.
 
-    Files are read and hashed once: the comparison is written out with the
-    contents of changed files, and everything after reads that.
+    Paths and hashes are compared and written out; contents are read for the
+    changed files alone, and never written anywhere but to the index.
     """
-    compared = compare_files(files, state).withColumn(
-        "content", F.when(F.col("status") != "unchanged", F.col("content"))
-    )
-    compared = cut_lineage(compared, "compared")
+    compared = cut_lineage(compare_files(files, state), "compared")
     changed = compared.where(F.col("status") != "unchanged")
-    fresh = build_chunk_vectors(changed, _vectors_of(store, changed), factory=factory)
+    contents = changed_files(files, state, compared).drop("status")
+    fresh = build_chunk_vectors(contents, _vectors_of(store, changed), factory=factory)
     gone = deleted_files(state, compared) if drop_missing else None
     return store.replace(
         file_state_of(changed), fresh, removed=gone, source=source, source_batch=source_batch
@@ -100,15 +98,6 @@ def remove_project(store: IndexStore, root: str) -> int:
     return store.delete(store.file_state().where(under_path(F.col("path"), root)))
 
 
-def rebuilt_tables(
-    chunks: DataFrame, files: DataFrame, root: str
-) -> DataFrame:
-    """Chunk table after a rebuild of ``root`` from ``files``, without writing it."""
-    return delete_prefix(chunks, root).unionByName(
-        chunk_files(files, distinct=True).select(*chunks.columns)
-    )
-
-
 def _inside(table: DataFrame, roots: DataFrame) -> DataFrame:
     """Distinct paths of a table that are, or lie below, one of the roots."""
     exploded = table.select(

@@ -10,6 +10,7 @@ it ``.gitignore`` and ``__init__.py``.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.functions.paths import base_name, relative_to
+from textquarry.functions.paths import ancestors, base_name, relative_to, under_path
 from textquarry.functions.text import content_hash
 from textquarry.operators.filters import IndexRules, gitignore_filter, text_files
 from textquarry.plans.joins import cut_lineage
@@ -47,6 +48,11 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
         for batch in batches:
             for folder in batch.column("path").to_pylist():
                 found = system.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+                if isinstance(system, pafs.LocalFileSystem):  # a link to a directory is not entered
+                    found = [
+                        i for i in found
+                        if i.type != pafs.FileType.Directory or not os.path.islink(i.path)
+                    ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([i.path for i in found], pa.string()),
@@ -73,6 +79,55 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     return out
 
 
+def stat_paths(paths: DataFrame, root: str) -> DataFrame:
+    """``path, size, mod_time`` of those of the given paths that are files now.
+
+    Only these paths are asked for, by the tasks that hold them.
+    """
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _file_system(root)
+        for batch in batches:
+            found = system.get_file_info(batch.column(0).to_pylist())
+            found = [i for i in found if i.type == pafs.FileType.File]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([i.path for i in found], pa.string()),
+                    pa.array([i.size or 0 for i in found], pa.int64()),
+                    pa.array([i.mtime for i in found], pa.timestamp("us", tz="UTC")),
+                ],
+                names=["path", "size", "mod_time"],
+            )
+
+    inside = paths.select("path").distinct().where(under_path(F.col("path"), _file_system(root)[1]))
+    return inside.mapInArrow(ask, LISTING.removesuffix(", is_dir boolean"))
+
+
+def scan_paths(
+    spark: SparkSession,
+    project_id: str,
+    root: str,
+    paths: DataFrame,
+    rules: IndexRules = IndexRules(),
+) -> DataFrame:
+    """Indexable files among the given paths of a project directory.
+
+    Besides them only the ignore files of the directories above are read.
+    """
+    root = root.rstrip("/") or "/"
+    top = _file_system(root)[1].rstrip("/") or "/"
+    listing = cut_lineage(stat_paths(paths, root), "listing")
+    above = listing.select(F.explode(ancestors(F.col("path"))).alias("dir")).distinct()
+    ignores = above.where(under_path(F.col("dir"), top)).select(
+        F.concat(F.when(F.col("dir") == "/", "").otherwise(F.col("dir")), F.lit("/.gitignore")).alias("path")
+    )
+    accepted = listing.where(
+        rules.accepts(relative_to(F.col("path"), F.lit(top)), F.col("size"))
+    )
+    kept = gitignore_filter(accepted, top, read_contents(stat_paths(ignores, root), root))
+    return file_rows(read_contents(kept, root), project_id, top)
+
+
 def read_contents(
     listing: DataFrame, root: str, *, skip_unreadable: bool = False
 ) -> DataFrame:
@@ -153,13 +208,15 @@ def scan_project(
     return file_rows(read_contents(kept, root), project_id, top)
 
 
-def scan_text_files(spark: SparkSession, root: str, max_bytes: int = 1 << 20) -> DataFrame:
-    """Files line search looks at: no index rules, only text of up to 1 MiB.
+def scan_text_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """Files line search looks at: no index rules, only text, of any size by default.
 
     Unreadable files are left out.
     """
-    small = list_tree(spark, root).where(F.col("size") <= max_bytes)
-    raw = read_contents(small, root, skip_unreadable=True)
+    listed = list_tree(spark, root)
+    if max_bytes is not None:
+        listed = listed.where(F.col("size") <= max_bytes)
+    raw = read_contents(listed, root, skip_unreadable=True)
     return text_files(raw, max_bytes).select(
         "path", "size", "mod_time",
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
 from textquarry.functions.embed import bind
-from textquarry.functions.paths import base_name
+from textquarry.functions.paths import base_name, under_path
 from textquarry.operators.filters import keeps_turn
-from textquarry.plans.joins import lookup_join
+from textquarry.plans.joins import fits_broadcast
 
 DEFAULT_PROVIDER = "cascade"
 RFC3339 = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
-# Turns per exported file.  A longer session continues in further files, so no
-# task ever holds more than this many turns of one session.
-TURNS_PER_FILE = 10_000
-
-
 def dedupe_strings(strings: Column) -> Column:
     """Distinct strings in first-seen order."""
     return F.array_distinct(strings)
@@ -31,43 +26,35 @@ def export_sessions(
     provider: str = DEFAULT_PROVIDER,
     folder: str = "/memory",
     min_user_bytes: int = 10,
-    turns_per_file: int = TURNS_PER_FILE,
+    turns_per_file: int | None = None,
 ) -> DataFrame:
     """Render sessions as Markdown files.
 
     ``turns`` has ``conv_id, turn, role, text`` with ``turn`` the position in
-    the session.  A file carries a header about its session, the dialogue and
-    every distinct string of the session, listed where it is first seen.
-    Sessions up to ``turns_per_file`` turns are one file ``<conv_id>.md``;
-    longer ones continue in ``<conv_id>.<n>.md`` with the same header.
+    the session.  A file carries a header about its turns, the dialogue and
+    every distinct string of them, listed where it is first seen.  A session is
+    one file ``<conv_id>.md``, whatever its length.  With ``turns_per_file``
+    every session is written in parts ``<conv_id>.<n>.md`` of so many turns, each
+    a file like any other, so that no row holds more than that.
     ``exported_at`` must not depend on the time of the run, so that a repeated
     export gives the same bytes.
 
     Output: ``project_id, path, content, mod_time``.
     """
-    rows = turns.select(
-        "conv_id",
-        "turn",
-        "role",
-        "text",
-        F.floor(F.col("turn") / turns_per_file).cast("bigint").alias("page"),
-        keeps_turn(min_user_bytes).alias("in_dialogue"),
-    )
-    first_seen = rows.groupBy("conv_id", "text").agg(F.min("turn").alias("turn")).select(
-        "conv_id", "turn", F.lit(True).alias("is_first")
-    )
-    # (conv_id, turn) identifies a row, so this join has no hot key.
-    flagged = rows.join(first_seen, ["conv_id", "turn"], "left").fillna(False, ["is_first"])
-    facts = flagged.groupBy("conv_id").agg(
-        F.sum(F.octet_length("text")).alias("bytes"),
-        F.count_if("in_dialogue").alias("n_turns"),
-        F.count_if("is_first").alias("n_strings"),
-    )
-    pages = flagged.groupBy("conv_id", "page").agg(
-        F.array_sort(
-            F.collect_list(F.struct("turn", "role", "text", "in_dialogue", "is_first"))
-        ).alias("items")
-    )
+    conv = F.col("conv_id").cast("string")
+    keys = ["conv_id"]
+    name = conv
+    if turns_per_file:
+        place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+        turns = turns.withColumn("part", F.floor(place / turns_per_file).cast("bigint"))
+        keys.append("part")
+        name = F.concat(conv, F.lit("."), F.col("part").cast("string"))
+    item = F.struct("turn", "role", "text", keeps_turn(min_user_bytes).alias("in_dialogue"))
+    files = turns.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    texts = F.transform("items", lambda x: x["text"])
+    strings = dedupe_strings(texts)
+    size = F.aggregate("items", F.lit(0).cast("bigint"), lambda n, x: n + F.coalesce(F.octet_length(x["text"]), F.lit(0)))
+    n_turns = F.size(F.filter("items", lambda x: x["in_dialogue"]))
 
     def turn_block(item: Column) -> Column:
         label = F.when(item["role"] == "user", "User").otherwise("Assistant")
@@ -75,36 +62,27 @@ def export_sessions(
             F.lit("### "), label, F.lit("\n\n"), T.escape_headings(item["text"]), F.lit("\n\n")
         )
 
-    def string_block(item: Column) -> Column:
-        return F.concat(T.escape_headings(item["text"]), F.lit("\n\n"))
-
-    def joined(items: Column, flag: str, block) -> Column:
-        return F.array_join(F.transform(F.filter(items, lambda x: x[flag]), block), "")
-
-    conv = F.col("conv_id").cast("string")
-    name = F.when(F.col("page") == 0, conv).otherwise(
-        F.concat(conv, F.lit("."), F.col("page").cast("string"))
-    )
+    # The header of an exported session.
     header = F.concat(
         F.lit("# Chat trajectory: "), conv,
         F.lit(f"\n\n- **Provider:** {provider}\n- **Source:** `"), conv,
-        F.lit("`\n- **Decrypted size:** "), F.col("bytes").cast("string"),
-        F.lit(" bytes\n- **Dialogue turns:** "), F.col("n_turns").cast("string"),
-        F.lit("\n- **Extracted strings:** "), F.col("n_strings").cast("string"),
+        F.lit("`\n- **Decrypted size:** "), size.cast("string"),
+        F.lit(" bytes\n- **Dialogue turns:** "), n_turns.cast("string"),
+        F.lit("\n- **Extracted strings:** "), F.size(strings).cast("string"),
         F.lit("\n- **Exported:** "), F.date_format(exported_at, RFC3339),
         F.lit("\n\n---\n\n"),
     )
+    spoken = F.transform(F.filter("items", lambda x: x["in_dialogue"]), turn_block)
     dialogue = bind(
-        joined(F.col("items"), "in_dialogue", turn_block),
+        F.array_join(spoken, ""),
         lambda text: F.when(text == "", "").otherwise(F.concat(F.lit("## Dialogue\n\n"), text)),
     )
-    strings = F.concat(
-        F.lit("## All extracted strings\n\n"), joined(F.col("items"), "is_first", string_block)
-    )
-    return lookup_join(pages, facts, ["conv_id"], measure=False).select(
+    listed = F.transform(strings, lambda s: F.concat(T.escape_headings(s), F.lit("\n\n")))
+    extracted = F.concat(F.lit("## All extracted strings\n\n"), F.array_join(listed, ""))
+    return files.select(
         F.lit("memory-" + provider).alias("project_id"),
         F.concat(F.lit(folder + "/"), name, F.lit(".md")).alias("path"),
-        F.concat(header, dialogue, strings).alias("content"),
+        F.concat(header, dialogue, extracted).alias("content"),
         exported_at.alias("mod_time"),
     )
 
@@ -137,6 +115,25 @@ def notes_to_files(notes: DataFrame, *, folder: str = "/memory") -> DataFrame:
     )
 
 
+def memory_read(files: DataFrame, paths: DataFrame, *, folder: str = "/memory") -> DataFrame:
+    """Text of memory files: ``path, content, status`` for every path asked for.
+
+    Status is ``ok``, ``not_found``, or ``not_allowed`` for a path outside the
+    folder or one with ``..`` in it; only ``ok`` has a content.
+    """
+    asked = paths.select("path").distinct()
+    inside = under_path(F.col("path"), folder) & ~F.array_contains(F.split("path", "/"), "..")
+    few = fits_broadcast(asked)
+    found = files.select("path", "content").join(
+        F.broadcast(asked) if few else asked, "path", "left_semi"
+    )
+    status = (
+        F.when(~inside, "not_allowed").when(F.col("content").isNull(), "not_found").otherwise("ok")
+    )
+    read = asked.join(found, "path", "left").withColumn("status", status)
+    return read.withColumn("content", F.when(F.col("status") == "ok", F.col("content")))
+
+
 def memory_list(files: DataFrame, provider: str = DEFAULT_PROVIDER) -> DataFrame:
     """Memory files of one provider, read from the files themselves."""
     named = T.provider_of_note(F.col("content"), DEFAULT_PROVIDER)

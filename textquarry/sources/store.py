@@ -1,21 +1,27 @@
 """The index tables on shared storage.
 
-Every change is appended: a batch writes its rows under ``batch=<n>`` of the
-``chunks`` and ``file_state`` tables and becomes visible when its row is added
-to ``commits``.  A row of ``chunks`` is live while its batch is the last one
-that wrote its path, so replacing or deleting files costs as much as the change
-and not as much as the index.  ``compact`` rewrites the live rows as one base
-batch, from which plain scans need no join.
+Every change is appended: its rows go to a folder of their own
+(``chunks/write=<id>``, ``file_state/write=<id>``) and become visible when a
+commit file with the next number names that folder.  A number can be taken only
+once, so of two writers the later one takes the number after.  A row of
+``chunks`` is live while no later commit wrote its path, so replacing or deleting
+files costs as much as the change and not as much as the index.  ``compact``
+rewrites the live rows as one base, from which plain scans need no join, and
+``vacuum`` deletes what no reader of the present state needs.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.operators.index import symbol_table
 from textquarry.operators.knn import DimensionMismatch
+from textquarry.plans.joins import fits_broadcast
 
 CHUNK_SCHEMA = (
     "chunk_id string, project_id string, path string, file_hash string, language string, "
@@ -23,10 +29,15 @@ CHUNK_SCHEMA = (
     "embedding array<float>, batch bigint"
 )
 STATE_SCHEMA = (
-    "path string, project_id string, file_hash string, indexed_at timestamp, "
-    "deleted boolean, batch bigint"
+    "path string, project_id string, file_hash string, indexed_at timestamp, deleted boolean"
+)
+COMMIT_SCHEMA = (
+    "batch bigint, base bigint, dim int, source string, source_batch bigint, write string"
 )
-COMMIT_SCHEMA = "batch bigint, base bigint, dim int, source string, source_batch bigint"
+
+
+class CommitConflict(RuntimeError):
+    """Another writer took the commit number, or changed what was to be compacted."""
 
 
 def check_dimension(vector: Column, dim: int) -> Column:
@@ -47,58 +58,80 @@ class IndexStore:
 
     # --- reading ---
 
-    def _table(self, name: str, schema: str) -> DataFrame:
+    def _commits(self) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+            return self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.folder}/commits")
         except AnalysisException as err:
             if err.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], COMMIT_SCHEMA)
+
+    def _span(self) -> list[Row]:
+        """Commits from the base of the present state on: as many as since it was compacted."""
+        commits = self._commits()
+        base = commits.agg(F.max("base")).first()[0]
+        return commits.where(F.col("batch") >= base).orderBy("batch").collect() if base else []
 
-    def _head(self) -> tuple[int, int, int | None]:
-        """(last batch, base batch, vector dimension) of the committed state."""
-        last = F.max_by(F.struct("batch", "base", "dim"), "batch")
-        row = self._table("commits", COMMIT_SCHEMA).agg(last.alias("c")).first()["c"]
-        return (0, 0, None) if row is None else (row["batch"], row["base"], row["dim"])
+    def _table(self, name: str, schema: str, span: list[Row]) -> DataFrame:
+        """Rows of the writes of a span, with the number of their commit as ``batch``."""
+        if not span:
+            return self.spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("bigint"))
+        paths = [f"{self.folder}/{name}/write={c['write']}" for c in span]
+        rows = self.spark.read.schema(schema).parquet(*paths)
+        if len(span) == 1:
+            return rows.withColumn("batch", F.lit(span[0]["batch"]).cast("bigint"))
+        numbers = F.create_map(*[F.lit(x) for c in span for x in (c["write"], c["batch"])])
+        write = F.regexp_extract(F.col("_metadata.file_path"), "/write=([0-9a-f]+)/", 1)
+        return rows.withColumn("batch", numbers[write])
 
-    def _span(self, name: str, schema: str, base: int, last: int) -> DataFrame:
-        return self._table(name, schema).where(F.col("batch").between(base, last))
+    def _chunks(self, span: list[Row]) -> DataFrame:
+        return self._table("chunks", CHUNK_SCHEMA.removesuffix(", batch bigint"), span)
 
-    def _latest(self, base: int, last: int) -> DataFrame:
-        """The last state row of every path."""
+    def _latest(self, span: list[Row]) -> DataFrame:
+        """The last state row of every path in a span."""
         row = F.max_by(
             F.struct("project_id", "file_hash", "indexed_at", "deleted", "batch"), "batch"
         )
-        states = self._span("file_state", STATE_SCHEMA, base, last)
+        states = self._table("file_state", STATE_SCHEMA, span)
         return states.groupBy("path").agg(row.alias("s")).select("path", "s.*")
 
     def file_state(self) -> DataFrame:
         """Indexed files: ``path, project_id, file_hash, indexed_at``."""
-        last, base, _ = self._head()
-        if last == base:
-            live = self._span("file_state", STATE_SCHEMA, base, last)
-        else:
-            live = self._latest(base, last)
+        return self._states(self._span())
+
+    def _states(self, span: list[Row]) -> DataFrame:
+        live = self._table("file_state", STATE_SCHEMA, span) if len(span) < 2 else self._latest(span)
         return live.where(~F.col("deleted")).select(
             "path", "project_id", "file_hash", "indexed_at"
         )
 
     def chunk_vectors(self) -> DataFrame:
-        """Live chunks with their vectors."""
-        last, base, _ = self._head()
-        chunks = self._span("chunks", CHUNK_SCHEMA, base, last)
+        """Live chunks with their vectors.
+
+        What later commits have overtaken is as small as the changes since the
+        base; measured to be small it goes to the chunk scan, and no chunk is
+        shuffled.
+        """
+        return self._live_chunks(self._span())
+
+    def _live_chunks(self, span: list[Row]) -> DataFrame:
+        chunks = self._chunks(span)
         columns = [c for c in chunks.columns if c != "batch"]
-        if last == base:
+        if len(span) < 2:
             return chunks.select(*columns)
-        live = self._latest(base, last).where(~F.col("deleted")).select("path", "batch")
-        return chunks.join(live, ["path", "batch"], "left_semi").select(*columns)
+        later = self._table("file_state", STATE_SCHEMA, span[1:])
+        overtaken = later.groupBy(F.col("path").alias("_path")).agg(F.max("batch").alias("_last"))
+        if fits_broadcast(overtaken):
+            overtaken = F.broadcast(overtaken)
+        dead = (F.col("path") == F.col("_path")) & (F.col("batch") < F.col("_last"))
+        return chunks.join(overtaken, dead, "left_anti").select(*columns)
 
     def symbols(self) -> DataFrame:
         return symbol_table(self.chunk_vectors())
 
     def applied(self, source: str) -> int:
         """Last batch of a streaming source that was committed; -1 for none."""
-        done = self._table("commits", COMMIT_SCHEMA).where(F.col("source") == source)
+        done = self._commits().where(F.col("source") == source)
         value = done.agg(F.max("source_batch")).first()[0]
         return -1 if value is None else value
 
@@ -116,11 +149,9 @@ class IndexStore:
     ) -> int:
         """Make the given files and chunks the only rows of their paths.
 
-        ``removed`` holds further paths to drop.  A batch that fails before its
-        commit row is written stays invisible and is overwritten by the next.
+        ``removed`` holds further paths to drop.  A write that fails before its
+        commit stays invisible.  Returns the number of the commit.
         """
-        last, base, dim = self._head()
-        batch = last + 1
         now = F.current_timestamp() if indexed_at is None else indexed_at
         states = file_state.select(
             "path", "project_id", "file_hash", now.cast("timestamp").alias("indexed_at"),
@@ -133,10 +164,23 @@ class IndexStore:
                     now.cast("timestamp").alias("indexed_at"), F.lit(True).alias("deleted"),
                 )
             )
-        dim = self._write_chunks(chunk_vectors, batch, dim)
-        self._write("file_state", states, batch)
-        self._commit(batch, base, dim, source, source_batch)
-        return batch
+        span = self._span()
+        write = uuid.uuid4().hex
+        dim = self._write_chunks(chunk_vectors, write, span[-1]["dim"] if span else None)
+        self._write("file_state", states, write)
+        while True:
+            known = span[-1]["dim"] if span else None
+            if dim is not None and known is not None and dim != known:
+                raise DimensionMismatch(f"vectors have dimension {dim}, the store has {known}")
+            batch = span[-1]["batch"] + 1 if span else 1
+            base = span[0]["batch"] if span else batch
+            try:
+                self._commit(batch, base, known or dim, source, source_batch, write)
+                return batch
+            except CommitConflict:  # another writer was first; its rows are independent of these
+                span = self._span()
+                if source and source_batch <= self.applied(source):
+                    return -1
 
     def delete(self, paths: DataFrame) -> int:
         """Drop all rows of the given paths."""
@@ -144,21 +188,47 @@ class IndexStore:
         return self.replace(self.file_state().limit(0), empty, removed=paths)
 
     def compact(self) -> int:
-        """Rewrite the live rows as a new base batch."""
-        last, _, dim = self._head()
-        batch = last + 1
-        self._write_chunks(self.chunk_vectors(), batch, dim)
-        self._write("file_state", self.file_state().withColumn("deleted", F.lit(False)), batch)
-        self._commit(batch, batch, dim, "", -1)
+        """Rewrite the live rows as a new base.
+
+        Raises :class:`CommitConflict` if another commit came meanwhile.
+        """
+        span = self._span()
+        if not span:
+            return 0
+        write = uuid.uuid4().hex
+        self._write_chunks(self._live_chunks(span), write, span[-1]["dim"])
+        states = self._states(span).withColumn("deleted", F.lit(False))
+        self._write("file_state", states, write)
+        batch = span[-1]["batch"] + 1
+        self._commit(batch, batch, span[-1]["dim"], "", -1, write)
         return batch
 
-    def _write(self, name: str, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+    def vacuum(self) -> int:
+        """Delete the folders of writes from before the base; returns how many.
+
+        Not while readers of an older state or unfinished writes are about.
+        """
+        live = {c["write"] for c in self._span()}
+        old = self._commits().select("write").where(~F.col("write").isin(sorted(live)))
+        gone = 0
+        for row in old.toLocalIterator():
+            for name in ("chunks", "file_state"):
+                gone += self._files(f"{self.folder}/{name}/write={row['write']}", lambda fs, p: fs.delete(p, True))
+        return gone
+
+    def _files(self, path: str, action):
+        """Run ``action(file system, path)`` of Hadoop's file system on the driver."""
+        context = self.spark.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        return action(place.getFileSystem(context._jsc.hadoopConfiguration()), place)
 
-    def _write_chunks(self, rows: DataFrame, batch: int, dim: int | None) -> int | None:
+    def _write(self, name: str, rows: DataFrame, write: str) -> None:
+        rows.write.parquet(f"{self.folder}/{name}/write={write}")
+
+    def _write_chunks(self, rows: DataFrame, write: str, dim: int | None) -> int | None:
         """Write chunks and return the dimension all vectors have.
 
-        Once the dimension is known the write itself checks it; the first batch
+        Once the dimension is known the write itself checks it; the first write
         is read back to learn it.  Every file is sorted by project, so a
         project filter skips row groups, and no shuffle is spent on the layout.
         """
@@ -166,16 +236,34 @@ class IndexStore:
         rows = rows.select(*columns)
         if dim is not None:
             rows = rows.withColumn("embedding", check_dimension(F.col("embedding"), dim))
-        self._write("chunks", rows.sortWithinPartitions("project_id", "path"), batch)
+        self._write("chunks", rows.sortWithinPartitions("project_id", "path"), write)
         if dim is not None:
             return dim
         lengths = F.coalesce(F.size("embedding"), F.lit(-1))
-        written = self._span("chunks", CHUNK_SCHEMA, batch, batch)
+        schema = CHUNK_SCHEMA.removesuffix(", batch bigint")
+        written = self.spark.read.schema(schema).parquet(f"{self.folder}/chunks/write={write}")
         low, high = written.agg(F.min(lengths), F.max(lengths)).first()
         if low is not None and (low != high or low <= 0):
-            raise DimensionMismatch(f"vectors of one batch have dimensions {low} to {high}")
+            raise DimensionMismatch(f"vectors of one write have dimensions {low} to {high}")
         return low
 
-    def _commit(self, batch: int, base: int, dim: int | None, source: str, source_batch: int):
-        row = self.spark.createDataFrame([(batch, base, dim, source, source_batch)], COMMIT_SCHEMA)
-        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+    def _commit(
+        self, batch: int, base: int, dim: int | None, source: str, source_batch: int, write: str
+    ) -> None:
+        """Create the commit file of a number, which fails if it exists."""
+        row = {
+            "batch": batch, "base": base, "dim": dim, "source": source,
+            "source_batch": source_batch, "write": write,
+        }
+
+        def create(fs, path):
+            try:
+                out = fs.create(path, False)
+            except Exception as err:
+                if fs.exists(path):
+                    raise CommitConflict(f"commit {batch} exists") from err
+                raise
+            out.write(bytearray(json.dumps(row).encode()))
+            out.close()
+
+        self._files(f"{self.folder}/commits/{batch:012d}.json", create)

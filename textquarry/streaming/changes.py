@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from textquarry.operators.embedding import EmbedderFactory
 from textquarry.operators.filters import IndexRules
-from textquarry.plans.refresh import WATCHED_OPS, apply_changes
+from textquarry.plans.refresh import WATCHED_OPS, apply_changes, latest_changes
 from textquarry.sources.store import IndexStore
 
 QUIET_SECONDS = 2
@@ -113,7 +113,7 @@ def debounce_stream(
 def start_change_stream(
     changes: DataFrame,
     store: IndexStore,
-    files: Callable[[], DataFrame],
+    files: Callable[[DataFrame], DataFrame],
     checkpoint: str,
     rules: IndexRules = IndexRules(),
     *,
@@ -123,14 +123,17 @@ def start_change_stream(
 ) -> StreamingQuery:
     """Keep a store up to date from a stream of changes ``path, op, ts``.
 
-    ``files`` gives the present state of the tree for every micro-batch.  The
-    batch id is stored with each commit, so a batch that is run again after a
-    failure is applied once.
+    ``files(touched)`` gives the present files among the touched paths, as
+    ``scan_paths`` does: a micro-batch lists and reads what it changes, not the
+    tree.  Changes of one path within a batch count once.  The batch id is stored
+    with each commit, so a batch that is run again after a failure is applied once.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        touched = latest_changes(batch).select("path")
         apply_changes(
-            store, batch, files(), rules, factory=factory, source=source, source_batch=batch_id
+            store, batch, files(touched), rules, factory=factory, source=source,
+            source_batch=batch_id,
         )
 
     return (

@@ -32,15 +32,12 @@ def file_scan(t):
     return file_rows(raw, root="/corpus").drop("mod_time")
 
 
-@query(
-    "text_files",
-    """
-SELECT path, size FROM files
-WHERE size <= 4096 AND strpos(substr(content, 1, 512), chr(0)) = 0""",
-)
+@query("text_files", "SELECT path, size FROM files WHERE NOT path LIKE '%7'")
 def text_files(t):
-    # The given texts are below the 1 MiB default, so a smaller cap is passed.
-    return filters.text_files(t.files, max_bytes=4096).select("path", "size")
+    """Every seventh-named file gets a NUL at its very end."""
+    binary = F.when(F.endswith("path", F.lit("7")), F.concat("content", F.lit("\u0000")))
+    files = t.files.withColumn("content", F.coalesce(binary, "content"))
+    return filters.text_files(files).select("path", "size")
 
 
 RULES = filters.IndexRules(
@@ -102,19 +99,23 @@ levels AS (
 present AS (SELECT path AS rule FROM ignore_files WHERE path LIKE '%/.gitignore')
 SELECT path FROM levels
 WHERE NOT (
-      regexp_matches(rel, '^(|.*/)[^/]*\.MD(|/.*)$')
-   OR regexp_matches(rel, '^(|/)src1/de/(|.*)$')
-   OR regexp_matches(rel, '^(|.*/)doc_\?\.md(|/.*)$')
-   OR regexp_matches(rel, '^(|/)src2(/|/.+/)doc_[^/]*7\.txt(|/.*)$'))
+      regexp_matches(rel, '\.MD$')
+   OR regexp_matches(rel, '^src1/de/')
+   OR regexp_matches(rel, '(^|/)doc_[^/]\.md$')
+   OR regexp_matches(rel, '^src2/(.*/)?doc_[^/]*7\.txt$')
+   OR regexp_matches(rel, '^src3/fr(/|$)')
+   OR regexp_matches(rel, '(^|/)#doc(/|$)')
+   OR regexp_matches(rel, '(^|/)doc_[^1-7/][^/]\.py$')
+   OR regexp_matches(rel, '(^|/)src4/(.*/)?doc_1[^/]*$'))
   AND NOT (source_file IN (SELECT rule FROM present) AND (
-      CASE WHEN regexp_matches(rel_source, '^(|.*/)(|.*/)es(|/.*)$') THEN true
-           WHEN regexp_matches(rel_source, '^(|.*/)doc_1[^/]*\.txt(|/.*)$') THEN false
-           WHEN regexp_matches(rel_source, '^(|.*/)doc_1[^/]*(|/.*)$') THEN true
-           WHEN regexp_matches(rel_source, '^(|.*/)doc_[^/]*2\.py(|/.*)$') THEN false
-           ELSE regexp_matches(rel_source, '^(|/)fr/[^/]*\.py(|/.*)$') END))
+      CASE WHEN regexp_matches(rel_source, '(^|/)es(/|$)') THEN true
+           WHEN regexp_matches(rel_source, '(^|/)doc_1[^/]*\.txt$') THEN false
+           WHEN regexp_matches(rel_source, '(^|/)doc_1[^/]*$') THEN true
+           WHEN regexp_matches(rel_source, '(^|/)doc_[^/]*2\.py$') THEN false
+           ELSE regexp_matches(rel_source, '^fr/[^/]*\.py$') END))
   AND NOT (lang_file IN (SELECT rule FROM present) AND (
-      CASE WHEN regexp_matches(rel_lang, '^(|.*/)doc_[^/]*6\.txt(|/.*)$') THEN false
-           ELSE regexp_matches(rel_lang, '^(|.*/)[^/]*\.txt(|/.*)$') END))""",
+      CASE WHEN regexp_matches(rel_lang, '(^|/)doc_[^/]*6\.txt$') THEN false
+           ELSE regexp_matches(rel_lang, '\.txt$') END))""",
 )
 def gitignore_filter(t):
     return filters.gitignore_filter(t.ignore_files, "/corpus").select("path")

@@ -8,16 +8,19 @@ from textquarry.operators import chunking, embedding, index, symbols
 from textquarry.plans import refresh
 from textquarry.plans.joins import cut_lineage
 from textquarry.session import scratch_path
+from textquarry.sources.sessions import memory_read
 from textquarry.sources.store import IndexStore
-from textquarry.streaming.changes import debounce_changes
-from textquarry.streaming.memory import start_memory_sync
+from textquarry.streaming.changes import debounce_changes, start_change_stream
+from textquarry.streaming.memory import rebuild_memory, start_memory_sync
 from textquarry.workload.q_chunks import (
     CHUNKS,
     DECLARATIONS,
     EXPORTED_AT,
     MEMORY_CHUNKS,
     MIN_USER_BYTES,
+    SESSION_FILES,
     sections_sql,
+    session_files,
     whole_file_sql,
 )
 from textquarry.workload.registry import query
@@ -229,12 +232,48 @@ def symbol_fuzzy(t):
 WITH stored AS ({FILE_CHUNKS}), fresh AS ({SECTIONS})
 SELECT chunk_id, path, start_line FROM stored WHERE NOT starts_with(path, '/corpus/src1/')
 UNION ALL
-SELECT chunk_id, path, max(start_line) FROM fresh GROUP BY chunk_id, path""",
+SELECT chunk_id, path, max(start_line) FROM fresh WHERE starts_with(path, '/corpus/src1/') GROUP BY chunk_id, path""",
 )
 def rebuild_project(t):
-    stored = chunking.whole_file_chunks(t.files)
-    after = refresh.rebuilt_tables(stored, t.md_files, "/corpus/src1")
-    return after.select("chunk_id", "path", "start_line")
+    """One project built anew in a store that holds all of them."""
+    store = IndexStore(t.spark, scratch_path(t.spark, "rebuild"))
+    store.replace(index.file_state_of(t.files), embedding.embed_chunks(chunking.whole_file_chunks(t.files)))
+    sections = t.md_files.where(F.startswith("path", F.lit("/corpus/src1/")))
+    refresh.rebuild_project(store, sections, "/corpus/src1")
+    return store.chunk_vectors().select("chunk_id", "path", "start_line")
+
+
+@query(
+    "reindex_paths",
+    f"""
+SELECT chunk_id, path, file_hash FROM ({FILE_CHUNKS}) c
+WHERE NOT starts_with(path, '/corpus/src2/')
+UNION ALL
+SELECT chunk_id, path, file_hash FROM (SELECT {CHUNKS}, language AS lang FROM ({whole_file_sql("present_files")}) w) n
+WHERE starts_with(path, '/corpus/src2/') AND lang IN ('markdown', 'python')""",
+)
+def reindex_paths(t):
+    """A directory indexed again after its files have changed, some of them being gone."""
+    store = IndexStore(t.spark, scratch_path(t.spark, "reindex"))
+    refresh.rebuild_project(store, t.files, "")
+    asked = t.spark.createDataFrame([("/corpus/src2",)], "path string")
+    refresh.reindex_paths(store, t.present_files, asked)
+    return store.chunk_vectors().select("chunk_id", "path", "file_hash")
+
+
+@query(
+    "embed_external",
+    f"""
+SELECT chunk_id, [CAST(strlen(content) AS FLOAT), CAST(length(content) AS FLOAT), CAST(1 AS FLOAT)] AS embedding
+FROM ({FILE_CHUNKS}) c""",
+)
+def embed_external(t):
+    """Vectors from a model of the caller's, here one that measures texts."""
+    def factory():
+        return lambda texts: [[len(x.encode()), len(x), 1] for x in texts]
+
+    chunks = chunking.whole_file_chunks(t.files)
+    return embedding.embed_with(chunks, factory).select("chunk_id", "embedding")
 
 
 @query(
@@ -246,10 +285,9 @@ WHERE NOT (path = '/corpus/old' OR starts_with(path, '/corpus/old/'))""",
 def remove_project(t):
     store = IndexStore(t.spark, scratch_path(t.spark, "remove"))
     state = t.file_state
-    chunks = embedding.embed_chunks(
-        chunking.whole_file_chunks(state.withColumn("content", F.col("path")))
-    )
-    store.replace(state, chunks)
+    texts = t.files.select("path", F.col("content").alias("text"))
+    contents = state.join(texts, "path", "left").withColumn("content", F.coalesce("text", F.lit("gone")))
+    store.replace(state, embedding.embed_chunks(chunking.whole_file_chunks(contents.drop("text"))))
     refresh.remove_project(store, "/corpus/old")
     return store.file_state().select("path", "project_id", "file_hash")
 
@@ -292,11 +330,22 @@ UNION ALL
 SELECT chunk_id, path, file_hash FROM (SELECT {CHUNKS} FROM again) a""",
 )
 def apply_changes(t):
-    store = IndexStore(t.spark, scratch_path(t.spark, "changes"))
+    """The change stream itself over a store, one batch of it applied a second time."""
+    spark = t.spark
+    store = IndexStore(spark, scratch_path(spark, "changes"))
     refresh.rebuild_project(store, t.files, "")
-    refresh.apply_changes(
-        store, t.doc_changes, t.present_files, source="changes", source_batch=0
-    )
+    folder = scratch_path(spark, "change-feed")
+    t.doc_changes.write.parquet(folder)
+    feed = spark.readStream.schema(t.doc_changes.schema).parquet(folder)
+    start_change_stream(
+        feed,
+        store,
+        lambda touched: t.present_files.join(touched, "path", "left_semi"),
+        scratch_path(spark, "change-offsets"),
+        trigger={"availableNow": True},
+    ).awaitTermination()
+    again = refresh.apply_changes(store, t.doc_changes, t.present_files, source="changes", source_batch=0)
+    assert again == -1
     return store.chunk_vectors().select("chunk_id", "path", "file_hash")
 
 
@@ -324,3 +373,40 @@ def memory_sync(t):
     )
     sync.awaitTermination()
     return store.chunk_vectors().select("chunk_id", "path", "start_line")
+
+
+@query(
+    "rebuild_memory",
+    f"""
+SELECT chunk_id, path, max(start_line) AS start_line FROM ({MEMORY_CHUNKS}) c GROUP BY chunk_id, path""",
+)
+def rebuilt_memory(t):
+    """Memory cleared and exported again, after an older and wrong state."""
+    store = IndexStore(t.spark, scratch_path(t.spark, "memory"))
+    at = F.to_timestamp_ntz(F.lit(EXPORTED_AT))
+    wrong = t.conversations.withColumn("text", F.concat(F.lit("old "), "text"))
+    rebuild_memory(store, wrong.withColumn("conv_id", F.col("conv_id") + 10**6), at)
+    rebuild_memory(store, t.conversations, at, min_user_bytes=MIN_USER_BYTES)
+    return store.chunk_vectors().select("chunk_id", "path", "start_line")
+
+
+@query(
+    "memory_read",
+    f"""
+SELECT path, content, CASE WHEN NOT starts_with(path, '/memory/') THEN 'not_allowed'
+       WHEN content IS NULL THEN 'not_found' ELSE 'ok' END AS status
+FROM (
+  SELECT DISTINCT '/memory/' || CAST(conv_id AS VARCHAR) || '.md' AS path FROM conversations
+  UNION SELECT '/memory/x' || CAST(item_id AS VARCHAR) || '.md' FROM benchmark
+  UNION SELECT '/tmp/' || CAST(item_id AS VARCHAR) || '.md' FROM benchmark) p
+LEFT JOIN (SELECT path, content FROM ({SESSION_FILES}) f) s USING (path)""",
+)
+def memory_texts(t):
+    """Every session, missing files and files elsewhere, asked for at once."""
+    item = F.col("item_id").cast("string")
+    asked = (
+        t.conversations.select(F.concat(F.lit("/memory/"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"))
+        .union(t.benchmark.select(F.concat(F.lit("/memory/x"), item, F.lit(".md"))))
+        .union(t.benchmark.select(F.concat(F.lit("/tmp/"), item, F.lit(".md"))))
+    )
+    return memory_read(session_files(t), asked)

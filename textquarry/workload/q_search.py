@@ -128,36 +128,29 @@ BOOSTED = """round(CASE WHEN contains(lower(symbol), lower(text)) THEN score + 0
 @query(
     "keyword_boost",
     f"""
-SELECT query_id, chunk_id, {BOOSTED} AS score
-FROM (SELECT 'c' || label AS query_id, CASE CAST(label % 2 AS INT) WHEN 0 THEN 'SYM_' || label ELSE '/f' || label END AS text,
-             label FROM embeddings GROUP BY label) q
-JOIN (SELECT *, CAST(substring(project_id, 2) AS INT) AS label, 0.5::DOUBLE AS score FROM chunk_vectors) c
-  ON c.label = q.label""",
+SELECT query_id, chunk_id, {BOOSTED} AS score FROM (
+  {scored_sql(LABEL_QUERIES, "SELECT * FROM chunk_vectors", "c.project_id = 'p' || substring(q.query_id, 2)")}) s""",
 )
 def keyword_boost(t):
-    label = F.col("label").cast("string")
-    queries = t.embeddings.select("label").distinct().select(
-        F.concat(F.lit("c"), label).alias("query_id"),
-        F.concat(F.lit("p"), label).alias("project_id"),
-        F.when(F.col("label") % 2 == 0, F.concat(F.lit("SYM_"), label))
-        .otherwise(F.concat(F.lit("/f"), label)).alias("text"),
-    )
-    return t.chunk_vectors.join(queries, "project_id").select(
+    queries = label_queries(t).withColumn("project_id", F.concat(F.lit("p"), F.substring("query_id", 2, 9)))
+    queries = queries.select("query_id", "text", "embedding", "project_id")
+    chunks = t.chunk_vectors
+    scored = vector_topk(chunks, queries, max(1, chunks.count()))[0].select("query_id", "chunk_id", "score")
+    shown = scored.join(chunks.select("chunk_id", "symbol", "path"), "chunk_id")
+    shown = shown.join(queries.select("query_id", "text"), "query_id")
+    return shown.select(
         "query_id",
         "chunk_id",
-        search.boosted(F.lit(0.5), F.col("symbol"), F.col("path"), F.col("text")).alias("score"),
+        search.boosted(F.col("score"), F.col("symbol"), F.col("path"), F.col("text")).alias("score"),
     )
 
 
 def reranked_sql(scored: str, k: int = 10) -> str:
-    """Candidates per query, path filter, bonus, order and cut."""
+    """Path filter, bonus, order and cut over all scored chunks."""
     return f"""
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-  SELECT * EXCLUDE (score, place), {BOOSTED} AS score FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place
-    FROM ({scored}) s) p
-  WHERE place <= CASE WHEN path_prefix = '' THEN {2 * k} ELSE {4 * k} END
-    AND (path_prefix IN ('', '/') OR path = path_prefix OR starts_with(path, path_prefix || '/'))) b
+  SELECT * EXCLUDE (score), {BOOSTED} AS score FROM ({scored}) s
+  WHERE path_prefix IN ('', '/') OR path = path_prefix OR starts_with(path, path_prefix || '/')) b
 QUALIFY rank <= {k}"""
 
 
@@ -177,10 +170,11 @@ def rerank_topk(t):
     "rerank_strict",
     f"""
 SELECT {FOUND} FROM ({reranked_sql(scored_sql(LABEL_QUERIES, 'SELECT * FROM chunk_vectors',
-    SAME_FILTERS + " AND (q.path_prefix = '' OR starts_with(c.path, q.path_prefix || '/'))").replace('q.path_prefix, c.*', "'' AS path_prefix, c.*"))}) r""",
+    SAME_FILTERS + " AND (q.path_prefix = '' OR starts_with(c.path, q.path_prefix || '/'))").replace('q.path_prefix, c.*', "'' AS path_prefix, c.*"), 200)}) r""",
 )
 def rerank_strict(t):
-    return search.search_codebase(t.chunk_vectors, label_queries(t), candidate_pool="strict")
+    """Far more results than any pool of candidates held."""
+    return search.search_codebase(t.chunk_vectors, label_queries(t), 200)
 
 
 # --- documents searched with texts -----------------------------------------
@@ -225,14 +219,10 @@ def query_documentation(t):
     return search.query_documentation(doc_vectors(t), t.requests)
 
 
-SNIPPET = "CASE WHEN length(content) > 800 THEN substr(content, 1, 800) || '...' ELSE content END"
 MEMORY_FOUND = f"""
 SELECT query_id, chunk_id, path, start_line, end_line, content, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-    SELECT * FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place
-      FROM ({scored_sql(REQUESTS, MEMORY_VECTORS)}) s) p
-    WHERE place <= 20
+    SELECT * FROM ({scored_sql(REQUESTS, MEMORY_VECTORS)}) s
     QUALIFY row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, chunk_id) = 1) f) r
 WHERE rank <= 10"""
 
@@ -240,7 +230,7 @@ WHERE rank <= 10"""
 @query(
     "memory_search",
     f"""
-SELECT query_id, chunk_id, path, 'cascade' AS provider, start_line, end_line, {SNIPPET} AS content, score,
+SELECT query_id, chunk_id, path, 'cascade' AS provider, start_line, end_line, content, score,
        CAST(rank AS INT) AS rank
 FROM ({MEMORY_FOUND}) m""",
 )

@@ -207,7 +207,8 @@ def ignore_files(d: Dialect) -> str:
 SELECT path, content, size FROM files
 UNION ALL
 SELECT DISTINCT '/corpus/.gitignore' AS path,
-       concat('# comment', chr(10), '*.MD', chr(10), '/src1/de/', chr(10), chr(10), 'doc_?.md', chr(13), chr(10), 'src2/**/doc_*7.txt', chr(10)) AS content,
+       concat('# comment', chr(10), '*.MD', chr(10), '/src1/de/', chr(10), chr(10), 'doc_?.md', chr(13), chr(10), 'src2/**/doc_*7.txt', chr(10),
+              'src3/fr', chr(10), chr(92), '#doc', chr(10), 'doc_[!1-7]?.py  ', chr(10), '**/src4/**/doc_1*', chr(10)) AS content,
        CAST(50 AS BIGINT) AS size
 FROM documents
 UNION ALL
