@@ -16,7 +16,7 @@ import numpy as np
 
 from textquarry.llm import kernels
 
-CACHED = 300_000
+CACHED = 400_000
 # Texts encoded together: more of them share more segments and take more memory.
 TEXTS = 512
 # All characters that are white space to Python or to the tokenizers' patterns.
