@@ -2,10 +2,10 @@
 
 A tokenizer fits ordinary prose of its languages: several characters to a token,
 few bytes that it has to spell, many different tokens.  Junk shows as a low
-number of characters a token (symbols stuck to words, random strings), a high
-share of byte-fallback tokens (other scripts, binary rubbish) or a low token
-entropy (the same few tokens again and again).  Each measure has a band per
-language, else per script, else a general one.
+number of characters a token (random strings, digits), of letters a token
+(symbols stuck to words), a high share of byte-fallback tokens (other scripts,
+binary rubbish) or a low token entropy (the same few tokens again and again).
+Each measure has a band per language, else per script.
 """
 
 from __future__ import annotations
@@ -25,27 +25,30 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WIDTH = 8
 
-# Bands: least and most characters a token, most byte-fallback share, least token
-# entropy (in bits, over the most that the text's length or 256 equal tokens allow).
-# A language without a band takes that of its script.  They are set far outside
-# ordinary prose; strings of digits or keys, text that the vocabulary has to spell
-# in bytes, and the same few tokens over and over fall outside.
+# Bands: least and most characters a token; most byte-fallback share; least token
+# entropy (in bits, over the most that the text's length or 256 equal tokens allow);
+# least letters a token over the words without a digit (numbers and keys are no
+# prose).  A language without a band takes that of its script.  They are set
+# outside ordinary prose, which has two letters a token even in languages that the
+# vocabulary hardly knows; strings of digits or keys, words with symbols stuck to
+# them, text that the vocabulary has to spell in bytes, and the same few tokens over
+# and over fall outside.
 BANDS = {
-    "en": (1.4, 7.0, 0.05, 0.50),
-    "fr": (1.4, 7.0, 0.05, 0.50),
-    "de": (1.4, 7.0, 0.05, 0.50),
-    "es": (1.4, 7.0, 0.05, 0.50),
-    "latin": (1.3, 8.0, 0.10, 0.50),
-    "cyrillic": (1.0, 6.0, 0.15, 0.50),
-    "cjk": (0.3, 3.0, 0.75, 0.50),
-    "other": (0.2, 8.0, 0.95, 0.40),
+    "en": (1.4, 7.0, 0.05, 0.50, 1.5),
+    "fr": (1.4, 7.0, 0.05, 0.50, 1.5),
+    "de": (1.4, 7.0, 0.05, 0.50, 1.5),
+    "es": (1.4, 7.0, 0.05, 0.50, 1.5),
+    "latin": (1.3, 8.0, 0.10, 0.50, 1.2),
+    "cyrillic": (1.0, 6.0, 0.15, 0.50, 0.9),
+    "cjk": (0.3, 3.0, 0.75, 0.50, 0.2),
+    "other": (0.2, 8.0, 0.95, 0.40, 0.0),
 }
 ENTROPY_TOKENS = 256
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, script string, n_tokens long, n_byte_tokens long, "
-    "token_entropy double"
+    "letters long, n_letter_tokens long, token_entropy double"
 )
 
 
@@ -68,7 +71,8 @@ class Pieces:
     def get(cls, name: str) -> Pieces:
         return kernels.kept_vocabulary(("pieces", name), lambda: cls(name))
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
         got = list(map(self.cache.__getitem__, words))
         missing = list(self.cache.missing())
         if missing:
@@ -76,13 +80,20 @@ class Pieces:
             fresh = {w: np.array(m, dtype="<u2").tobytes() for w, m in zip(missing, made, strict=True)}
             got = filled(words, got, fresh)
             self.cache.keep(fresh)
-        return np.frombuffer(b"".join(got), dtype="<u2")
+        counts = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 2
+        return np.frombuffer(b"".join(got), dtype="<u2"), counts
 
 
-def _symbol_table() -> np.ndarray:
-    marks = np.zeros(256, dtype=bool)
-    marks[list(b"#*$%&|<>")] = True
-    return marks
+def _byte_table(members) -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[list(members)] = True
+    return table
+
+
+SYMBOLS = b"#*$%&|<>"
+DIGITS = b"0123456789"
+# ASCII letters, and the lead byte of every character beyond ASCII.
+LETTERS = [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]
 
 
 def _script(blob: np.ndarray) -> str:
@@ -119,34 +130,40 @@ def _verdict(row: dict, lang: str | None, bands: dict) -> tuple[bool, bool]:
     base_failed = words < MIN_WORDS or 100 * row["n_repeat_words"] > MAX_REPEAT_PERCENT * words
     if base_failed or not tokens:
         return base_failed, False
-    least, most, spelled, entropy = bands.get(lang) or bands[row["script"]]
+    least, most, spelled, entropy, letters = bands.get(lang) or bands[row["script"]]
     kept = (
         least * tokens <= row["word_chars"] <= most * tokens
         and row["n_byte_tokens"] <= spelled * tokens
         and row["token_entropy"] >= entropy
+        and row["letters"] >= letters * row["n_letter_tokens"]
     )
     return base_failed, kept
 
 
 def measure_texts(blobs: list[bytes], langs: list, vocabulary: str, bands: dict) -> dict[str, list]:
     """Columns of MEASURES for texts in UTF-8."""
-    pieces, marks = Pieces.get(vocabulary), _symbol_table()
+    pieces = Pieces.get(vocabulary)
     out: dict[str, list] = {m.split()[0]: [] for m in MEASURES.split(", ")}
     for begin, part in kernels.slices(blobs):
-        for i, row in enumerate(_measure_slice(part, pieces, marks)):
+        for i, row in enumerate(_measure_slice(part, pieces)):
             row["base_failed"], row["kept"] = _verdict(row, langs[begin + i], bands)
             for name, column in out.items():
                 column.append(row[name])
     return out
 
 
-def _measure_slice(part: list[bytes], pieces: Pieces, marks: np.ndarray) -> Iterator[dict]:
+def _measure_slice(part: list[bytes], pieces: Pieces) -> Iterator[dict]:
     texts = kernels.Texts(part)
     words = texts.word_hashes(lower=False)
     rolled, _ = kernels.windows(words, texts.first, REPEAT_WIDTH)
-    heads = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])
-    symbols = np.concatenate([[0], np.cumsum(marks[texts.data])])
-    chars = np.concatenate([[0], np.cumsum(heads[texts.ends] - heads[texts.starts])])
+    running = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+    heads = running((texts.data & 0xC0) != 0x80)
+    symbols = running(_byte_table(SYMBOLS)[texts.data])
+    chars = running(heads[texts.ends] - heads[texts.starts])
+    digits = running(_byte_table(DIGITS)[texts.data])
+    plain = digits[texts.ends] == digits[texts.starts]
+    letters = running(_byte_table(LETTERS)[texts.data])
+    letters = running(np.where(plain, letters[texts.ends] - letters[texts.starts], 0))
     begin, stop, first_line = texts.lines()
     line = kernels.span_hashes(texts.data, begin, stop, "raw")
     wordy = np.searchsorted(texts.starts, stop) > np.searchsorted(texts.starts, begin)
@@ -157,7 +174,7 @@ def _measure_slice(part: list[bytes], pieces: Pieces, marks: np.ndarray) -> Iter
         at, end = int(texts.at[i]), int(texts.at[i] + texts.size[i])
         of_text = slice(first_line[i], first_line[i + 1])
         lines = line[of_text][wordy[of_text]]
-        ids = pieces.ids(spelled[a:b])
+        ids, per_word = pieces.ids(spelled[a:b])
         entropy = 0.0
         if len(ids) > 1:
             share = np.unique(ids, return_counts=True)[1] / len(ids)
@@ -173,6 +190,8 @@ def _measure_slice(part: list[bytes], pieces: Pieces, marks: np.ndarray) -> Iter
             "script": _script(texts.data[at:end]),
             "n_tokens": len(ids),
             "n_byte_tokens": int(pieces.is_byte[ids].sum()),
+            "letters": int(letters[b] - letters[a]),
+            "n_letter_tokens": int(per_word[plain[a:b]].sum()),
             "token_entropy": round(float(entropy), 6),
         }
 
@@ -195,8 +214,9 @@ def rate(
     Words are runs of ``[^\\x20\\x09-\\x0D]``; each is encoded by the vocabulary
     as it stands after a blank.  base_failed: fewer than 20 words, or more than
     30 % of the words inside 8-word windows that occur twice.  kept: not
-    base_failed, and characters a token, byte-fallback share and token entropy
-    inside the band of the language, else of the script.
+    base_failed, and characters a token, byte-fallback share, token entropy
+    and letters a token inside the band of the language, else of the
+    script.
 
     A null text has no words; a text without words fails the base rules and has
     entropy 0.  A null or unknown language goes by the script.  Rows are rated

@@ -80,7 +80,10 @@ def fertility(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and tokenizer fertility of every document, and the verdict."""
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rated = quality.rate(table(spark, folder, "documents"))
-    return rated.select(*first, "base_failed", "kept", "script", "n_tokens", "n_byte_tokens", "token_entropy")
+    return rated.select(
+        *first, "base_failed", "kept", "script", "n_tokens", "n_byte_tokens", "letters",
+        "n_letter_tokens", "token_entropy",
+    )
 
 
 @query("op9_greedy_string_tiling")
