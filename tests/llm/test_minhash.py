@@ -1,8 +1,9 @@
 import numpy as np
+import oracle
 import pytest
 from helpers import ODD_ROWS, near_components, no_docs, odd_docs, shingles
 
-from textquarry.llm import kernels, minhash
+from textquarry.llm import kernels, minhash, queries
 from textquarry.llm.components import components
 
 
@@ -86,3 +87,9 @@ def test_components_of_a_chain(spark):
     got = {r["node"]: r["root"] for r in components(links).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
     assert components(links.where("a < 0")).count() == 0
+
+
+def test_query_equals_sql(spark):
+    folder, name = "/root/testdata/sf0.001", "op2_circulant_minhash"
+    con = oracle.connect(folder)
+    assert oracle.compare(queries.QUERIES[name](spark, folder), con, queries.ORACLES[name]) is None

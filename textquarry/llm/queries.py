@@ -40,7 +40,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-@query("op2_circulant_minhash")
+@query("op2_circulant_minhash", sql.NEAR_DUPLICATES)
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents at similarity 0.8 on four-word shingles."""
     found = minhash.near_duplicates(table(spark, folder, "documents"), width=4)

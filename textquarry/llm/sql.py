@@ -33,3 +33,32 @@ SELECT page_id, octet_length(p.payload)::BIGINT AS payload_bytes, sha1(p.payload
        CASE WHEN kept <> page_id THEN kept END AS refers_to
 FROM p LEFT JOIN g ON p.payload = g.payload
 """
+
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(l) >= 4 THEN list_transform(range(1, len(l) - 2), lambda i: array_to_string(l[i:i + 3], ' '))
+    WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) AS shingle FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY x, y
+), links AS (
+  SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+  WHERE 100 * c >= 80 * (p.n + q.n - c)
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id AS doc, doc_id AS root FROM documents
+  UNION
+  SELECT e.y, r.root FROM reach r JOIN edges e ON e.x = r.doc
+), roots AS (
+  SELECT doc, min(root) AS component_id FROM reach GROUP BY doc
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN roots ON doc = d.doc_id
+"""
