@@ -34,10 +34,11 @@ ODD_ROWS = [
 
 def odd_docs(spark):
     """The rows above with columns whose names clash with those of the operators."""
-    rows = [(i, t, g, 0, "n", True, 5) for i, t, g in ODD_ROWS]
+    rows = [(i, t, g, 0, "n", True, 5, "l", 7) for i, t, g in ODD_ROWS]
     return spark.createDataFrame(
         rows,
-        "doc_id long, text string, lang string, n_words int, node string, kept boolean, n_chars long",
+        "doc_id long, text string, lang string, n_words int, node string, kept boolean, "
+        "n_chars long, _leaking string, _drops0_id int",
     )
 
 

@@ -109,6 +109,7 @@ def _word_ids(width: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kernels.forget_vocabulary()
         for batch in kernels.cuts(batches):
             blobs = kernels.blobs_of(batch.column(1))
             texts = kernels.Texts(blobs)
@@ -164,6 +165,7 @@ def _tile_sent(sent, min_tile: int):
     """Documents against all items, which the task holds."""
 
     def run(batches: Iterator) -> Iterator:
+        kernels.forget_vocabulary()
         items = {k: np.frombuffer(b, np.uint64) for k, b in sent.value.items()}
         seeds: dict[int, list[int]] = {}
         for key, words in items.items():
@@ -196,6 +198,7 @@ def _seeds(width: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kernels.forget_vocabulary()
         for batch in kernels.cuts(batches):
             blobs = kernels.blobs_of(batch.column(1))
             for begin, part in kernels.slices(blobs):
@@ -317,4 +320,4 @@ def clean_documents(
     """Rows of ``docs`` that contain no item.  Rows with a null id stay."""
     found = contamination(docs, items, id_col=id_col, **settings)
     bad = found.select(F.col(id_col).alias("_leaking")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").cast("long") == F.col("_leaking"), "left_anti")
+    return docs.join(bad, docs[f"`{id_col}`"].cast("long") == bad["_leaking"], "left_anti")

@@ -7,6 +7,9 @@ array, so that the kernels run over many short texts at once.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Iterator
@@ -39,6 +42,14 @@ def kept_vocabulary(key: tuple, make):
     return kept["vocabulary"][1]
 
 
+def forget_vocabulary() -> None:
+    """Give back the memory of a vocabulary that an earlier stage left in this process."""
+    if process_store().pop("vocabulary", None) is not None:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (in place)."""
     x ^= x >> np.uint64(30)

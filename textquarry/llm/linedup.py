@@ -43,6 +43,7 @@ def _postings(min_chars: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kernels.forget_vocabulary()
         for batch in kernels.cuts(batches):
             blobs = kernels.blobs_of(batch.column(1))
             ids = batch.column(0)
@@ -73,6 +74,7 @@ def _rewrite(text_at: int, drops_at: int, names: list[str], extra: list[str]):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kernels.forget_vocabulary()
         for batch in kernels.cuts(batches):
             blobs = kernels.blobs_of(batch.column(text_at))
             drops = batch.column(drops_at)
@@ -236,7 +238,9 @@ class LineIndex:
         """
         drops = self._drops(self._keys(docs, id_col, text_col))
         held = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-        spare = next(n for k in range(len(held) + 1) if (n := f"_drops{k}") not in held)
+        spare = next(
+            p for k in range(len(held) + 1) if not any(c.startswith(p := f"_drops{k}_") for c in held)
+        )
         per_doc = drops.groupBy("doc").agg(F.collect_set(F.struct(*KEY)).alias(spare))
         base = docs.select(*[F.col(f"`{c}`") for c in held])
         joined = base.join(

@@ -86,6 +86,7 @@ def _sketch(width: int, bands: int, rows: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kernels.forget_vocabulary()
         for batch in kernels.cuts(batches):
             ids, blobs = batch.column(0), kernels.blobs_of(batch.column(1))
             for begin, part in kernels.slices(blobs):
@@ -121,6 +122,7 @@ def _sets(width: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kernels.forget_vocabulary()
         for batch in kernels.cuts(batches):
             blobs = kernels.blobs_of(batch.column(1))
             for begin, part in kernels.slices(blobs):
@@ -139,7 +141,8 @@ def _similar(percent: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        kernels.forget_vocabulary()
+        for batch in kernels.cuts(batches):
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = np.zeros(len(left), dtype=bool)
             for i, (x, y) in enumerate(zip(left, right, strict=True)):
@@ -168,6 +171,7 @@ def block_links(percent: int):
     def run(table):
         import pyarrow as pa
 
+        kernels.forget_vocabulary()
         role = np.array(table["asks"].to_pylist(), dtype=bool)
         nodes = np.array(table["node"].to_pylist(), dtype=np.int64)
         comps = np.array(table["comp"].to_pylist(), dtype=np.int64)
