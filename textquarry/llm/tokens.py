@@ -16,7 +16,7 @@ import numpy as np
 
 from textquarry.llm import kernels
 
-CACHED = 400_000
+CACHED = 500_000
 # Texts encoded together: more of them share more segments and take more memory.
 TEXTS = 512
 # All characters that are white space to Python or to the tokenizers' patterns.
@@ -90,6 +90,7 @@ class Encoder:
         self.mark_id = found[0] if len(found) == 1 else None
         # Letters and a stop after them are always pieces of their own.
         self.stops = self._encode_all(list(",.;:!?"))
+        self.line_feed = self._bytes(self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
     @classmethod
     def get(cls, name: str, spaced: bool, width: int) -> Encoder:
@@ -97,20 +98,45 @@ class Encoder:
         return kernels.kept_vocabulary(key, lambda: cls(name, spaced, width))
 
     def _segments(self, text: str) -> list[str]:
-        """Segments of a text.  If ``spaced``, each stands after a blank but the first."""
+        """Segments of a text.
+
+        If ``spaced``, a segment but the first stands after a blank, unless it
+        begins with a blank or a line feed itself (see ``_literal``).
+        """
         if not self.spaced:
             return text.replace("\n", " ").split(" ")
-        parts = text.split(" ")
-        # A blank opens a new piece only after something that is not white space.
+        parts = text.replace("\n", " \n").split(" ")
+        # White space opens a new piece only after something that is none.
         if "" not in parts and _SPACES.isdisjoint(map(_LAST, parts)):
             return parts
         out = [parts[0]]
         for part in parts[1:]:
+            part = part if part[:1] == "\n" else " " + part
             if out[-1] and out[-1][-1] not in _SPACES:
                 out.append(part)
+            else:
+                out[-1] += part
+        # An own line feed after a blank was given one more blank above.
+        if " \n" in text:
+            return self._plain_segments(text)
+        return [out[0], *[p[1:] if p[0] == " " and p[1:2] not in ("", " ", "\n") else p for p in out[1:]]]
+
+    @staticmethod
+    def _plain_segments(text: str) -> list[str]:
+        """The same for a text in which a blank stands before a line feed."""
+        parts = text.split(" ")
+        out = [parts[0]]
+        for part in parts[1:]:
+            if out[-1] and out[-1][-1] not in _SPACES:
+                out.append(" " + part)
             else:
                 out[-1] += " " + part
-        return out
+        return [out[0], *[p[1:] if p[1:2] not in ("", " ", "\n") else p for p in out[1:]]]
+
+    @staticmethod
+    def _literal(segment: str) -> str:
+        """The text that a segment of a ``spaced`` vocabulary stands for."""
+        return segment if segment[:1] in ("", " ", "\n") else " " + segment
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
@@ -141,12 +167,16 @@ class Encoder:
     def _fresh(self, missing: list[str]) -> dict[str, bytes]:
         """Ids of segments that are not kept; a word and the mark after it apart."""
         cache = self.cache
-        ended = [s for s in missing if s[-1:] in self.stops and s[:-1].isalpha()]
+        ended = [s for s in missing if s[-1:] in self.stops and s[:-1].lstrip("\n").isalpha()]
         bare = {s[:-1] for s in ended}.difference(cache)
         words = list(bare.union(missing).difference(ended))
         if self.spaced:
-            made = self._encode_all([" " + s for s in words])
-            made = {s: made[" " + s] for s in words}
+            # A word at the start of a line is the line feed and the word.
+            lines = [s for s in words if s[0] == "\n" and s[1:].isalpha()]
+            texts = {s: self._literal(s) for s in set(words).difference(lines)}
+            found = self._encode_all([*{*texts.values(), *[s[1:] for s in lines]}])
+            made = {s: found[t] for s, t in texts.items()}
+            made.update((s, self.line_feed + found[s[1:]]) for s in lines)
         else:
             made = self._encode_all(words)
         for s in ended:
