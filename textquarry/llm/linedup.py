@@ -37,13 +37,17 @@ PROBE_ROWS = 200_000
 KEY = ["h1", "h2"]
 
 
-def _postings(min_chars: int):
-    """Distinct keys of every text."""
+def _postings(min_chars: int, known=None, shards: int = 1):
+    """Distinct keys of every text; with filters that were sent, those they may know.
+
+    One Python step does both, so a task needs one worker process.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         kernels.forget_vocabulary()
+        filters = None
         for batch in kernels.cuts(batches):
             blobs = kernels.blobs_of(batch.column(1))
             ids = batch.column(0)
@@ -56,6 +60,10 @@ def _postings(min_chars: int):
                 owner, h1, h2 = owner[order], h1[order], h2[order]
                 new = np.ones(len(owner), dtype=bool)
                 new[1:] = (np.diff(owner) != 0) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                if known is not None:
+                    if filters is None:
+                        filters = {k: CuckooFilter.from_bytes(b) for k, b in known.value.items()}
+                    new[new] = _may_know(filters, shards, h1[new], h2[new])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h1[new].view(np.int64)),
@@ -143,10 +151,10 @@ class LineIndex:
         live = self._logged().groupBy(*KEY, "doc").agg(F.sum("op").alias("op"))
         return live.where("op > 0").select(*KEY, "doc")
 
-    def _keys(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def _keys(self, docs: DataFrame, id_col: str, text_col: str, known=None) -> DataFrame:
         rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
         return rows.where("doc is not null").mapInArrow(
-            _postings(self.min_chars), "h1 long, h2 long, doc long"
+            _postings(self.min_chars, known, self.shards), "h1 long, h2 long, doc long"
         )
 
     # -- changes
@@ -236,7 +244,7 @@ class LineIndex:
         Rows with a null id lose no line.  Rows that share an id are one
         document.
         """
-        drops = self._drops(self._keys(docs, id_col, text_col))
+        drops = self._drops(docs, id_col, text_col)
         held = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
         spare = next(
             p for k in range(len(held) + 1) if not any(c.startswith(p := f"_drops{k}_") for c in held)
@@ -252,23 +260,19 @@ class LineIndex:
         run = _rewrite(held.index(text_col), len(held), held, ["n_lines", "n_dropped"])
         return joined.mapInArrow(run, schema)
 
-    def _drops(self, keys: DataFrame) -> DataFrame:
+    def _drops(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(doc, h1, h2) of the keys that a document loses."""
-        maybe = self._probe(keys)
-        exact = self.counts().where(F.col("n_docs") >= self.min_docs).select(*KEY, "keeper")
-        return maybe.join(exact, KEY).where("doc <> keeper").select("doc", *KEY)
-
-    def _probe(self, keys: DataFrame) -> DataFrame:
-        """The keys that the filters may know."""
-        shards = self.shards
         filters = self.filters()
         size = filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0))).first()[0]
         if size <= BROADCAST_BYTES:
             sent = self.spark.sparkContext.broadcast(
                 {r["shard"]: bytes(r["filter"]) for r in filters.collect()}
             )
-            return keys.mapInArrow(_probe_sent(sent, shards), "h1 long, h2 long, doc long")
-        return self._probe_by_shard(keys)
+            maybe = self._keys(docs, id_col, text_col, sent)
+        else:
+            maybe = self._probe_by_shard(self._keys(docs, id_col, text_col))
+        exact = self.counts().where(F.col("n_docs") >= self.min_docs).select(*KEY, "keeper")
+        return maybe.join(exact, KEY).where("doc <> keeper").select("doc", *KEY)
 
     def _probe_by_shard(self, keys: DataFrame) -> DataFrame:
         keys = keys.withColumn("shard", F.pmod(F.col("h1"), F.lit(self.shards)).cast("int"))
@@ -311,22 +315,15 @@ def _change(key, filters, moves):
     return _filter_table(key[0].as_py(), made.to_bytes() if fits else None)
 
 
-def _probe_sent(sent, shards: int):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        filters = {k: CuckooFilter.from_bytes(b) for k, b in sent.value.items()}
-        for batch in batches:
-            h1, h2 = _longs(batch, "h1"), _longs(batch, "h2")
-            shard = np.mod(h1, shards)
-            hit = np.zeros(len(h1), dtype=bool)
-            for k in np.unique(shard):
-                if k in filters:
-                    at = np.flatnonzero(shard == k)
-                    hit[at] = filters[k].contains(h1[at], h2[at])
-            yield batch.filter(pa.array(hit))
-
-    return run
+def _may_know(filters: dict, shards: int, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Which keys the filters of their shards may know."""
+    shard = np.mod(h1.view(np.int64), shards)
+    hit = np.zeros(len(h1), dtype=bool)
+    for k in np.unique(shard):
+        if k in filters:
+            at = np.flatnonzero(shard == k)
+            hit[at] = filters[k].contains(h1[at], h2[at])
+    return hit
 
 
 def _probe_shard(key, keys, filters):
