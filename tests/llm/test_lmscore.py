@@ -87,3 +87,18 @@ def test_averages_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "FAN_IN", 2)
     docs = spark.createDataFrame([(i, f"a b c d {i % 3}") for i in range(64)], "doc_id long, text string")
     assert lmscore.score(docs.repartition(7), settings=TINY).count() == 64
+
+
+def test_words_outside_the_vocabulary_have_their_own_probability(spark):
+    """One-word documents: words that share an id differ by their counts, and all sum to one."""
+    times = {"common": 60, "seldom": 30, "scarce": 9, "once": 1}
+    rows = [(w, w) for w, n in times.items() for _ in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    for spare in (1, 7):
+        settings = Settings(words=1, spare=spare, hidden=8, rounds=0)
+        got = {r["doc_id"]: r["pseudo_log_likelihood"] for r in lmscore.score(docs, settings=settings).collect()}
+        if spare == 1:
+            assert abs(got["seldom"] - got["scarce"] - np.log(30 / 9)) < 1e-6
+            assert abs(got["scarce"] - got["once"] - np.log(9)) < 1e-6
+        assert got["seldom"] > got["scarce"] > got["once"]
+        assert abs(sum(np.exp(v) for v in got.values()) - 1) < 0.1  # ids without a word take the rest

@@ -4,7 +4,10 @@ Every word is predicted from the words on both sides of it, itself masked; the
 sum of the log-probabilities is the document's score.
 
 Vocabulary.  Words of all documents are counted; the ``words`` most frequent
-have ids of their own, all others share ``spare`` ids by hash.
+have ids of their own, all others share ``spare`` ids by hash.  The network gives
+the probability of a shared id; a word's part of it is its exact share of the
+counts behind that id, so every word has a probability of its own and those of
+all words sum to one.  These shares come by a join on the word.
 
 Network.  Each of the ``2 * reach`` context places has its own embedding table;
 their sum goes through tanh to a hidden layer.  An id is two digits (high, low):
@@ -34,6 +37,7 @@ from textquarry.plans.joins import cut_lineage
 DIGIT = 64
 FAN_IN = 16
 BATCH = 2048
+FIXED = float(1 << 32)
 
 
 @dataclass(frozen=True)
@@ -81,7 +85,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def _encode(vocabulary, settings: Settings):
-    """Word ids of texts as unsigned 16-bit integers."""
+    """Word ids of texts as unsigned 16-bit integers, and the hashes of the words with shared ids."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -93,21 +97,54 @@ def _encode(vocabulary, settings: Settings):
                 texts = kernels.Texts(part)
                 words = texts.word_hashes()
                 out = (words % np.uint64(settings.spare)).astype(np.uint16) + settings.words
+                hit = np.zeros(len(words), dtype=bool)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, words), len(known) - 1)
                     hit = known[at] == words
                     out[hit] = ids[at[hit]]
                 out = out.astype("<u2")
+                rest = words[~hit].astype("<u8")
                 ends = texts.first
-                rows = [out[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                rest_ends = np.concatenate([[0], np.cumsum(~hit)])[ends]
+                columns = [
+                    [x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                    for x, cut in ((out, ends), (rest, rest_ends))
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, len(part)), pa.array(rows, pa.binary())],
-                    names=["node", "ids"],
+                    [batch.column(0).slice(begin, len(part)), *[pa.array(c, pa.binary()) for c in columns]],
+                    names=["node", "ids", "rest"],
                 )
 
     return run
 
 
+def _postings(batches: Iterator) -> Iterator:
+    """(row, word, times) of the words with shared ids."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for row, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if blob:
+                words, times = np.unique(np.frombuffer(blob, "<u8"), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(words), row)), pa.array(words.view(np.int64)), pa.array(times)],
+                    names=["row", "word", "times"],
+                )
+
+
+def shared_parts(encoded: DataFrame, rare: DataFrame) -> DataFrame:
+    """(row, part): the sum of log n over a row's words with shared ids.
+
+    ``rare`` is (word, n) of these words.  Sums are of whole numbers, so they do
+    not depend on the order of rows.
+    """
+    asked = encoded.select("row", "rest").mapInArrow(_postings, "row long, word long, times long")
+    # A word that stands once has log n = 0.
+    known = rare.where("n > 1").select("word", F.round(F.log("n") * FIXED).cast("long").alias("log_n"))
+    found = asked.join(known.hint("shuffle_hash"), "word")
+    return found.groupBy("row").agg((F.sum(F.col("times") * F.col("log_n")) / FIXED).alias("part"))
+
+
 # -- network
 
 NAMES = ("context", "bias", "high", "high_bias", "low", "low_bias")
@@ -306,7 +343,11 @@ def train(encoded: DataFrame, counts: np.ndarray, settings: Settings) -> dict[st
     return p
 
 
-def _score(sent, settings: Settings):
+def _score(sent, behind: np.ndarray, settings: Settings):
+    """Sums of log-probabilities; a word with a shared id counts as one of ``behind[id]`` words."""
+    less = np.zeros(settings.ids)
+    less[settings.words :] = np.log(np.maximum(behind[settings.words :], 1))
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -315,7 +356,7 @@ def _score(sent, settings: Settings):
             for begin, docs in _documents(batch):
                 target, around = contexts(docs, settings)
                 parts = [
-                    log_probabilities(p, around[a : a + BATCH], target[a : a + BATCH])
+                    log_probabilities(p, around[a : a + BATCH], target[a : a + BATCH]) - less[target[a : a + BATCH]]
                     for a in range(0, len(target), BATCH)
                 ]
                 sums = np.concatenate([[0.0], np.cumsum(np.concatenate(parts).astype(np.float64))]) if parts else np.zeros(1)
@@ -325,8 +366,9 @@ def _score(sent, settings: Settings):
                         batch.column(0).slice(begin, len(docs)),
                         pa.array(np.diff(ends)),
                         pa.array(sums[ends[1:]] - sums[ends[:-1]]),
+                        batch.column(2).slice(begin, len(docs)),
                     ],
-                    names=["node", "n_words", "pseudo_log_likelihood"],
+                    names=["node", "n_words", "total", "row"],
                 )
 
     return run
@@ -350,10 +392,10 @@ def score(
     settings = settings or Settings()
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").alias("node"), F.col(f"`{text_col}`").alias("text"))
+    counted = cut_lineage(count_words(texts), "words")
     top = (
-        count_words(texts)
-        .orderBy(F.col("n").desc(), "word")
-        .limit(settings.words)  # the vocabulary: a fixed number of words
+        counted.orderBy(F.col("n").desc(), "word")
+        .limit(settings.words)  # the words with ids of their own
         .collect()
     )
     known = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
@@ -361,17 +403,24 @@ def score(
     ids = np.arange(len(known), dtype=np.uint16)[order]
     vocabulary = spark.sparkContext.broadcast((known[order], ids))
     kind = texts.schema[0].dataType.simpleString()
-    encoded = cut_lineage(
-        texts.mapInArrow(_encode(vocabulary, settings), f"node {kind}, ids binary"), "encoded"
-    )
+    encoded = texts.mapInArrow(_encode(vocabulary, settings), f"node {kind}, ids binary, rest binary")
+    encoded = cut_lineage(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
+    # Words after the last one of the vocabulary, in its order.
+    last = (F.lit(top[-1]["n"]), F.lit(top[-1]["word"])) if top else (F.lit(0), F.lit(0))
+    rare = counted.where((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > last[1])))
+    # The remainder of the hash as an unsigned number.
+    wrap = F.when(F.col("word") < 0, 2**64 % settings.spare).otherwise(0)
+    spare = F.pmod(F.pmod("word", F.lit(settings.spare)) + wrap, F.lit(settings.spare))
     counts = np.zeros(settings.ids)
     counts[: len(top)] = [r["n"] for r in top]
-    # Spare ids share what the vocabulary leaves over.
-    total = encoded.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] / 2
-    counts[settings.words :] = max(0.0, total - counts.sum()) / settings.spare
-    sent = spark.sparkContext.broadcast(train(encoded, counts, settings))
-    scored = encoded.mapInArrow(
-        _score(sent, settings), f"node {kind}, n_words long, pseudo_log_likelihood double"
+    for r in rare.groupBy(spare.alias("spare")).agg(F.sum("n").alias("n")).collect():  # one row a shared id
+        counts[settings.words + r["spare"]] = r["n"]
+    sent = spark.sparkContext.broadcast(train(encoded.select("node", "ids"), counts, settings))
+    scored = encoded.select("node", "ids", "row").mapInArrow(
+        _score(sent, counts, settings), f"node {kind}, n_words long, total double, row long"
+    )
+    scored = scored.join(shared_parts(encoded, rare), "row", "left").withColumn(
+        "pseudo_log_likelihood", F.col("total") + F.coalesce("part", F.lit(0.0))
     )
     return scored.select(
         F.col("node").alias(id_col),
