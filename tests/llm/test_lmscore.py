@@ -1,4 +1,8 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
+import pyspark
 from helpers import ODD_ROWS, no_docs, odd_docs, words
 
 from textquarry.llm import lmscore, queries
@@ -102,3 +106,21 @@ def test_words_outside_the_vocabulary_have_their_own_probability(spark):
             assert abs(got["scarce"] - got["once"] - np.log(9)) < 1e-6
         assert got["seldom"] > got["scarce"] > got["once"]
         assert abs(sum(np.exp(v) for v in got.values()) - 1) < 0.1  # ids without a word take the rest
+
+
+def test_rounds_train_on_every_position(monkeypatch):
+    """By default each position is a target once, in documents of one word too."""
+    seen: list[int] = []
+    monkeypatch.setattr(lmscore, "_step", lambda p, sums, around, target, rate: seen.extend(target.tolist()))
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    settings = Settings()
+    ids = np.arange(1500, dtype="<u2")
+    docs = np.split(ids, np.unique(np.random.default_rng(3).integers(1, 1500, 300)))
+    batches = [
+        pa.RecordBatch.from_pydict({"node": list(range(len(some))), "ids": [d.tobytes() for d in some]})
+        for some in (docs[:100], docs[100:])
+    ]
+    sent = SimpleNamespace(value=lmscore.start(np.ones(settings.ids), settings))
+    for turn in range(settings.rounds):
+        list(lmscore._train(sent, settings, turn)(iter(batches)))
+    assert sorted(seen) == ids.tolist()

@@ -15,11 +15,13 @@ P(high | h) and P(low | h, high) are softmax layers, the second with a bias tabl
 per high digit, so probabilities are proper and cost two short layers.  The
 biases start at the corpus' own word frequencies.
 
-Training.  Each round, every task takes its share of the positions of all its
-documents (one in ``every``, chosen by position, so that training grows with the
-corpus and no document is left out), goes over them by Adagrad from the common
-parameters, and passes on its own; the parameters of all tasks are averaged,
-weighted by positions, in a tree of groups of bounded size.
+Training.  Each round, every task takes one in ``every`` of the positions of its
+documents, counted through the whole task, goes over them by Adagrad from the
+common parameters, and passes on its own; the parameters of all tasks are
+averaged, weighted by positions, in a tree of groups of bounded size.  A round
+starts one position after the one before, so with as many rounds as ``every`` (as
+by default) each position of the corpus is a target once; with fewer rounds the
+others are never one.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ class Settings:
     reach: int = 2
     hidden: int = 32
     rounds: int = 2
-    every: int = 12
+    every: int = 2
     rate: float = 0.1
     seed: int = 7
 
@@ -177,6 +179,13 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
 def _hidden(p: dict, around: np.ndarray) -> np.ndarray:
     h = p["context"][0][around[:, 0]] + p["bias"]
     for k in range(1, around.shape[1]):
@@ -199,9 +208,9 @@ def _step(p: dict, sums: dict, around: np.ndarray, target: np.ndarray, rate: flo
     n = len(target)
     high, low = target // DIGIT, target % DIGIT
     rows = np.arange(n)
-    g1 = np.exp(_log_softmax(h @ p["high"] + p["high_bias"]))
+    g1 = _softmax(h @ p["high"] + p["high_bias"])
     g1[rows, high] -= 1
-    g2 = np.exp(_log_softmax(h @ p["low"] + p["low_bias"][high]))
+    g2 = _softmax(h @ p["low"] + p["low_bias"][high])
     g2[rows, low] -= 1
     g1 /= n
     g2 /= n
