@@ -8,7 +8,9 @@ normal form, of the same type, script, gender and format.
 Coreference: equal atoms get equal surrogates wherever they stand, in any case
 or spacing.  Distinctness: a draw that another atom of its type has, or that is
 itself an atom of the corpus, is refused and the atom draws again with the next
-attempt, until every atom has a surrogate of its own.
+attempt, until every atom has a surrogate of its own.  After some refused draws
+the format gives way: values get one character longer with each attempt, so that
+their space outgrows any number of atoms.
 
 Only the distinct atoms take part in drawing.  Texts without an entity are never
 shuffled; those with one meet their surrogates by a hash of the row.
@@ -17,6 +19,7 @@ shuffled; those with one meet their surrogates by a hash of the row.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 from textquarry.plans.joins import cut_lineage
 
 KEY = "set a key of your own"
-MAX_ATTEMPTS = 64
+# Draws in the length of the original; later ones are longer.
+SAME_LENGTH = 8
 
 # Forms of address and given names by gender.
 TITLES = {
@@ -197,9 +201,23 @@ def _luhn(digits: Column) -> Column:
     )
 
 
-def _card(digits: Column, stream: Column) -> Column:
-    """The same issuer digit and length; passes the check sum if the original does."""
-    drawn = F.concat(F.substring(digits, 1, 1), F.expr("substring(_spelt, 2, length(_spelt) - 2)"))
+def _more(stream: Column, attempt: int) -> Column:
+    """Characters that a value is longer by in this attempt: digits after a digit, else letters."""
+    def one(j: int) -> Column:
+        i, script = F.length("normal") + j, _script(F.col("normal"))
+        letter = _pick(stream, i, list(LETTERS["latin"]))
+        for name in ("cyrillic", "greek"):
+            letter = F.when(script == name, _pick(stream, i, list(LETTERS[name]))).otherwise(letter)
+        last = F.when(F.col("kind") == "domain", F.regexp_replace("normal", r"\.[^.]*$", "")).otherwise(F.col("normal"))
+        digit = F.col("kind").isin("card", "ssn", "phone", "iban") | last.rlike("[0-9]$")
+        return F.when(digit, _pick(stream, i, list(DIGITS))).otherwise(letter)
+
+    return F.concat(F.lit(""), *[one(j) for j in range(attempt - SAME_LENGTH + 1)])
+
+
+def _card(digits: Column, stream: Column, more: Column) -> Column:
+    """The same issuer digit and length but for ``more``; passes the check sum if the original does."""
+    drawn = F.concat(F.substring(digits, 1, 1), F.expr("substring(_spelt, 2, length(_spelt) - 2)"), more)
     check = (10 - _luhn(drawn) % 10) % 10
     head = F.expr("substring(normal, 1, length(normal) - 1)")
     valid = (10 - _luhn(head) % 10) % 10 == F.substring(digits, -1, 1).cast("int")
@@ -207,12 +225,16 @@ def _card(digits: Column, stream: Column) -> Column:
     return F.concat(drawn, F.when(valid, check).otherwise(other).cast("string"))
 
 
-def _ip(value: Column, stream: Column) -> Column:
-    """An address of the private range for a private one, else a public one."""
+def _ip(value: Column, stream: Column, attempt: int) -> Column:
+    """An address of the private range for a private one, else a public one.
+
+    Later attempts are public for all, and then longer than an address.
+    """
     private = value.rlike(r"^(?:10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.")
     public = F.array(*[F.lit(n) for n in range(1, 224) if n not in (10, 127, 172, 192)])
-    first = F.when(private, F.lit(10)).otherwise(public[_draw(stream, 0, 219)])
-    return F.concat_ws(".", first, _draw(stream, 1, 256), _draw(stream, 2, 256), _draw(stream, 3, 254) + 1)
+    first = F.when(private & F.lit(attempt < SAME_LENGTH), F.lit(10)).otherwise(public[_draw(stream, 0, 219)])
+    more = [_draw(stream, 4 + j, 256) for j in range(attempt - 2 * SAME_LENGTH + 1)]
+    return F.concat_ws(".", first, _draw(stream, 1, 256), _draw(stream, 2, 256), _draw(stream, 3, 254) + 1, *more)
 
 
 def _name(kind: Column, group: Column, stream: Column, attempt: int) -> Column:
@@ -239,18 +261,20 @@ def _proposals(atoms: DataFrame, key: str, attempt: int) -> DataFrame:
     number = F.substring_index("_spelt", "/", -1)
     real = F.substring_index("normal", "/", -1)
     tail = F.regexp_extract(normal, r"\.[^.]*$", 0)
+    more = _more(stream_col, attempt)
+    size = F.length(normal) + max(0, attempt - SAME_LENGTH + 1)
     drawn = (
         F.when(kind == "title", normal)
         .when(kind.isin("given", "surname"), _name(kind, F.col("class"), stream_col, attempt))
-        .when(kind == "domain", F.concat(F.expr("substring(_spelt, 1, length(_spelt) - length(regexp_extract(normal, '\\\\.[^.]*$', 0)))"), tail))
-        .when(kind == "ip", _ip(normal, stream_col))
-        .when(kind == "card", _card(normal, stream_col))
-        .when(kind == "phone", F.concat(F.substring_index("normal", "/", 1), F.lit("/"), real.substr(F.lit(1), code), number.substr(code + 1, F.length(number))))
-        .when(kind == "iban", F.concat(F.substring(normal, 1, 2), F.expr("substring(_spelt, 3)")))
-        .when((kind == "secret") & normal.rlike("^[0-9a-f]+$"), stream_col.substr(F.lit(1), F.length(normal)))
-        .when((kind == "secret") & normal.rlike("^[0-9A-F]+$"), F.upper(stream_col.substr(F.lit(1), F.length(normal))))
-        .when(kind == "secret", F.concat(F.substring(normal, 1, 4), F.expr("substring(_spelt, 5)")))
-        .otherwise(F.col("_spelt"))
+        .when(kind == "domain", F.concat(F.expr("substring(_spelt, 1, length(_spelt) - length(regexp_extract(normal, '\\\\.[^.]*$', 0)))"), more, tail))
+        .when(kind == "ip", _ip(normal, stream_col, attempt))
+        .when(kind == "card", _card(normal, stream_col, more))
+        .when(kind == "phone", F.concat(F.substring_index("normal", "/", 1), F.lit("/"), real.substr(F.lit(1), code), number.substr(code + 1, F.length(number)), more))
+        .when(kind == "iban", F.concat(F.substring(normal, 1, 2), F.expr("substring(_spelt, 3)"), more))
+        .when((kind == "secret") & normal.rlike("^[0-9a-f]+$"), stream_col.substr(F.lit(1), size))
+        .when((kind == "secret") & normal.rlike("^[0-9A-F]+$"), F.upper(stream_col.substr(F.lit(1), size)))
+        .when(kind == "secret", F.concat(F.substring(normal, 1, 4), F.expr("substring(_spelt, 5)"), more))
+        .otherwise(F.concat("_spelt", more))
     )
     return rows.withColumn("surrogate", drawn).drop("_stream", "_spelt")
 
@@ -267,7 +291,7 @@ def draw_surrogates(atoms: DataFrame, key: str) -> DataFrame:
     pending = atoms.where("kind <> 'title'")
     real = pending.select("kind", space.alias("space"), F.col("normal").alias("surrogate"))
     done = [titles]
-    for attempt in range(MAX_ATTEMPTS):
+    for attempt in count():  # ends: the space of draws grows with the attempts
         drawn = _proposals(pending, key, attempt).withColumn("space", space)
         free = drawn.join(real, ["kind", "space", "surrogate"], "left_anti")
         for earlier in done[1:]:
@@ -284,7 +308,6 @@ def draw_surrogates(atoms: DataFrame, key: str) -> DataFrame:
         pending = cut_lineage(pending.join(won, id_cols, "left_anti"), "atoms")
         if pending.isEmpty():
             return reduce(DataFrame.unionByName, [d.select(*id_cols, "surrogate") for d in done])
-    raise RuntimeError(f"{MAX_ATTEMPTS} draws left atoms without a surrogate")
 
 
 def _shown(kind: Column, original: Column, surrogate: Column) -> Column:
@@ -296,7 +319,10 @@ def _shown(kind: Column, original: Column, surrogate: Column) -> Column:
         nth = F.length(F.regexp_replace(original.substr(F.lit(1), i + 1), alnum, ""))
         return F.when(c.rlike(alnum), c).otherwise(bare.substr(nth, F.lit(1)))
 
-    spaced = F.array_join(F.transform(F.split(original, ""), place), "")
+    size = F.length(F.regexp_replace(original, alnum, ""))
+    spaced = F.concat(
+        F.array_join(F.transform(F.split(original, ""), place), ""), bare.substr(size + 1, F.length(bare))
+    )
     title = F.concat(F.upper(F.substring(bare, 1, 1)), F.expr("substring(surrogate, 2)"))
     upper = (original == F.upper(original)) & (F.length(original) > 1)
     return (
