@@ -17,6 +17,7 @@ from textquarry.llm import (
     sql,
     surrogates,
     tokenfiles,
+    variants,
     viterbi,
     warc,
 )
@@ -139,3 +140,10 @@ def keyed_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with keyed surrogates in the place of personal data."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return surrogates.pseudonymize(docs)
+
+
+@query("op11_sorted_list_variants", sql.VARIANTS)
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of six letters in five places, the words one edit away, their forms and roots."""
+    docs = table(spark, folder, "documents")
+    return variants.spelling_variants(docs, drop_modulus=variants.DROP_MODULUS)

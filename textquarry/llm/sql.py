@@ -62,3 +62,51 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN roots ON doc = d.doc_id
 """
+
+VARIANTS = r"""
+WITH RECURSIVE bits AS (
+  SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(0, 256)) AS b)
+), crc_table AS (
+  SELECT list(v ORDER BY b) AS t FROM bits
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents
+), counted AS (
+  SELECT id, run, count(*) AS c FROM runs WHERE length(run) >= 6 GROUP BY id, run
+), hexed AS (
+  SELECT run, c, hex(encode(id || ':' || run)) AS h FROM counted
+), summed AS (
+  SELECT run, c, xor(list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+    lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1])), 4294967295) AS crc
+  FROM hexed, crc_table
+), slipped AS (
+  SELECT c, CASE WHEN crc % 199 = 0
+    THEN left(run, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word
+  FROM summed
+), words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), holes AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word
+), forms AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form,
+         CASE WHEN m >= 5 * n THEN m END AS form_n
+  FROM words LEFT JOIN best ON best.word = words.word
+), walk AS (
+  SELECT word, word AS root FROM forms WHERE form IS NULL
+  UNION ALL
+  SELECT f.word, w.root FROM forms f JOIN walk w ON f.form = w.word
+)
+SELECT forms.word, form, root, n, n_near::BIGINT AS n_near, form_n FROM forms JOIN walk ON walk.word = forms.word
+"""
