@@ -12,6 +12,7 @@ from textquarry.llm import (
     linedup,
     lmscore,
     minhash,
+    negatives,
     packing,
     quality,
     sql,
@@ -147,3 +148,11 @@ def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Words of six letters in five places, the words one edit away, their forms and roots."""
     docs = table(spark, folder, "documents")
     return variants.spelling_variants(docs, drop_modulus=variants.DROP_MODULUS)
+
+
+@query("op12_packed_hard_negatives", sql.HARD_NEGATIVES)
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of the rows whose id 100 divides; one row in seven has a moved label."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.integer_vectors(table(spark, folder, "embeddings").withColumn("label", moved))
+    return negatives.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
