@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm import (
     decontam,
+    fingerprints,
     linedup,
     lmscore,
     minhash,
@@ -156,3 +157,13 @@ def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = negatives.integer_vectors(table(spark, folder, "embeddings").withColumn("label", moved))
     return negatives.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query("op13_one_permutation_fingerprints")
+def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and their likeness."""
+    found = fingerprints.fingerprints(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "fingerprint",
+        "edited_fingerprint", "near_edited", "near_next",
+    )
