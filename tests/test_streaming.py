@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from textquarry.plans import refresh
@@ -46,54 +47,78 @@ def test_bursts(spark):
     assert _bursts(debounce_changes(events, block_seconds=10**6)) == want
 
 
-def test_stream_gives_the_same_bursts(spark, tmp_path):
+TICK = (None, None, "tick", _at(999_999))  # a row without a path moves the clock
+
+
+def _run_stream(spark, source, folder, **options):
+    stream = spark.readStream.schema(CHANGES).parquet(source)
+    debounce_stream(stream, **options).writeStream.format("parquet").option("path", f"{folder}/out").option(
+        "checkpointLocation", f"{folder}/cp"
+    ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_stream_gives_the_same_bursts(spark, tmp_path, buckets):
     source = str(tmp_path / "in")
-    events = spark.createDataFrame(EVENTS, CHANGES)
+    events = spark.createDataFrame([*EVENTS, TICK], CHANGES)
     events.coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema(CHANGES).parquet(source)
-    out = str(tmp_path / "out")
-    job = (
-        debounce_stream(stream).writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "cp")).option("path", out)
-        .trigger(availableNow=True).start()
-    )
-    job.awaitTermination()
-    # A later event moves the watermark past every burst.
-    spark.createDataFrame([("z", "/z", "write", _at(99999))], CHANGES).write.mode("append").parquet(source)
-    job = (
-        debounce_stream(spark.readStream.schema(CHANGES).parquet(source)).writeStream.format("parquet")
-        .outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).option("path", out)
-        .trigger(availableNow=True).start()
+    got = _run_stream(spark, source, tmp_path, buckets=buckets)
+    want = debounce_changes(spark.createDataFrame(EVENTS, CHANGES), buckets=buckets)
+    key = lambda df: sorted(tuple(r[c] for c in want.columns) for r in df.collect())
+    assert key(got) == key(want)
+
+
+def test_bursts_meet_across_batches(spark, tmp_path):
+    """A late event joins two open bursts; what has ended stays ended."""
+    source = str(tmp_path / "in")
+
+    def run(rows):
+        spark.createDataFrame(rows, CHANGES).coalesce(1).write.mode("append").parquet(source)
+        return _bursts(_run_stream(spark, source, tmp_path, lateness="20 seconds"))
+
+    assert run([("p", "/a", "write", _at(0)), ("p", "/b", "write", _at(3)), ("p", "/a", "write", _at(3.5))]) == []
+    ended = [("p", _at(0), _at(4), "/a", 2), ("p", _at(0), _at(4), "/b", 2)]
+    assert run([("p", "/b", "write", _at(1.5)), ("p", "/c", "write", _at(4)), ("p", "/c", "write", _at(60))]) == sorted(
+        [*ended, ("p", _at(0), _at(4), "/c", 1)]
     )
-    job.awaitTermination()
-    got = spark.read.parquet(out).withColumn("path", F.explode("paths"))
-    want = {r[:4] for r in _bursts(debounce_changes(events))}
-    assert {(r.project_id, r.burst_start, r.burst_end, r.path) for r in got.collect()} == want
+    again = run([("p", "/late", "write", _at(1)), TICK])
+    assert again == sorted([*ended, ("p", _at(0), _at(4), "/c", 1), ("p", _at(60), _at(60), "/c", 1)])
 
 
 def test_change_stream(spark, tmp_path):
+    """Two changes of a path within the gap are one application; projects go by their roots."""
     store = IndexStore(spark, scratch_path(spark, "stream"))
     source = str(tmp_path / "in")
-    tree = {"/r/a.md": "# A\n", "/r/b.md": "# B\n"}
+    tree = {"/r/a.md": "# A\n", "/r/b.md": "# B\n", "/other/c.md": "# C\n"}
+    asked = []
 
     def files(touched):
         names = {r.path for r in touched.collect()}
-        rows = [("p", path, text) for path, text in tree.items() if path in names]
+        asked.append(names)
+        rows = [("x", path, text) for path, text in tree.items() if path in names]
         raw = spark.createDataFrame(rows, "project_id string, path string, content string")
-        return file_rows(raw, root="/r")
+        return file_rows(raw, root="/")
+
+    projects = spark.createDataFrame([("p", "/r", 0)], "project_id string, root string, ord int")
 
     def run(rows):
         spark.createDataFrame(rows, CHANGES).write.mode("append").parquet(source)
         stream = spark.readStream.schema(CHANGES).parquet(source)
         start_change_stream(
-            stream, store, files, str(tmp_path / "cp"), trigger={"availableNow": True}
+            stream, store, files, str(tmp_path / "cp"), projects=projects, trigger={"availableNow": True}
         ).awaitTermination()
-        return sorted(r.symbol for r in store.symbols().collect())
+        return sorted((r.symbol, r.project_id) for r in store.symbols().collect())
 
-    assert run([("p", "/r/a.md", "create", _at(0)), ("p", "/r/b.md", "create", _at(0))]) == ["# A", "# B"]
+    tick = lambda s: (None, None, "tick", _at(s))
+    created = [("p", "/r/a.md", "create", _at(0)), ("p", "/r/b.md", "create", _at(1)), ("p", "/other/c.md", "create", _at(1))]
+    assert run([*created, ("p", "/r/a.md", "write", _at(2)), tick(20)]) == [("# A", "p"), ("# B", "p"), ("# C", "other")]
+    assert asked == [{"/r/a.md", "/r/b.md", "/other/c.md"}]
     tree.update({"/r/a.md": "# A2\n"})
     del tree["/r/b.md"]
-    assert run([("p", "/r/a.md", "write", _at(5)), ("p", "/r/b.md", "remove", _at(5))]) == ["# A2"]
+    changed = [("p", "/r/a.md", "write", _at(30)), ("p", "/r/b.md", "remove", _at(30)), ("p", "/r/a.md", "chmod", _at(31))]
+    assert run([*changed, tick(60)]) == [("# A2", "p"), ("# C", "other")]
+    assert len(asked) == 2
 
 
 TURNS = "conv_id long, turn long, role string, text string"

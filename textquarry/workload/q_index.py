@@ -10,7 +10,7 @@ from textquarry.plans.joins import cut_lineage
 from textquarry.session import scratch_path
 from textquarry.sources.sessions import memory_read
 from textquarry.sources.store import IndexStore
-from textquarry.streaming.changes import debounce_changes, start_change_stream
+from textquarry.streaming.changes import debounce_changes, debounce_stream, start_change_stream
 from textquarry.streaming.memory import rebuild_memory, start_memory_sync
 from textquarry.workload.q_chunks import (
     CHUNKS,
@@ -305,6 +305,46 @@ FROM numbered n JOIN spans s ON s.project_id = n.project_id AND s.burst = n.burs
 GROUP BY n.project_id, n.burst, n.path"""
 
 
+BUCKETS = 4
+BUCKETED = (
+    BURSTS.replace("SELECT project_id, path, ts FROM changes", f"""
+  SELECT project_id, path, ts, ('0x' || md5(path)[1:8])::BIGINT % {BUCKETS} AS bucket FROM changes""")
+    .replace("PARTITION BY project_id", "PARTITION BY project_id, bucket")
+    .replace("SELECT project_id, burst,", "SELECT project_id, bucket, burst,")
+    .replace("GROUP BY project_id, burst", "GROUP BY project_id, bucket, burst")
+    .replace("SELECT n.project_id,", "SELECT n.project_id, n.bucket::INT AS bucket,")
+    .replace("s.burst = n.burst", "s.bucket = n.bucket AND s.burst = n.burst")
+    .replace("GROUP BY n.project_id,", "GROUP BY n.project_id, n.bucket,")
+)
+
+
+def feed_of(changes, name):
+    """A stream of the changes, followed by a row that moves the clock past all of them."""
+    spark = changes.sparkSession
+    folder = scratch_path(spark, name)
+    changes.write.parquet(folder)
+    end = changes.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    tick = end.select(*[(F.col(c) if c == "ts" else F.lit(None)).cast(k).alias(c) for c, k in changes.dtypes])
+    tick.write.mode("append").parquet(folder)
+    return spark.readStream.schema(changes.schema).parquet(folder)
+
+
+@query("debounce_stream", BUCKETED)
+def debounced_stream(t):
+    """The same bursts by state and timers, paths dealt to buckets."""
+    folder = scratch_path(t.spark, "bursts")
+    changes = t.changes.withColumn("ts", F.col("ts").cast("timestamp"))
+    bursts = debounce_stream(feed_of(changes, "change-feed"), quiet_seconds=600, buckets=BUCKETS)
+    shown = bursts.select(
+        "project_id", "bucket", F.unix_micros("burst_start").alias("start_us"),
+        F.unix_micros("burst_end").alias("end_us"), "path", "n_events",
+    )
+    writer = shown.writeStream.format("parquet").option("path", folder)
+    writer = writer.option("checkpointLocation", scratch_path(t.spark, "burst-offsets"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(shown.schema).parquet(folder)
+
+
 @query("debounce_changes", BURSTS)
 def debounced(t):
     bursts = debounce_changes(t.changes, quiet_seconds=600)
@@ -330,15 +370,13 @@ UNION ALL
 SELECT chunk_id, path, file_hash FROM (SELECT {CHUNKS} FROM again) a""",
 )
 def apply_changes(t):
-    """The change stream itself over a store, one batch of it applied a second time."""
+    """Raw events through the debounced change stream to a store, a batch applied a second time."""
     spark = t.spark
     store = IndexStore(spark, scratch_path(spark, "changes"))
     refresh.rebuild_project(store, t.files, "")
-    folder = scratch_path(spark, "change-feed")
-    t.doc_changes.write.parquet(folder)
-    feed = spark.readStream.schema(t.doc_changes.schema).parquet(folder)
+    changes = t.doc_changes.withColumn("ts", F.col("ts").cast("timestamp"))
     start_change_stream(
-        feed,
+        feed_of(changes, "change-feed"),
         store,
         lambda touched: t.present_files.join(touched, "path", "left_semi"),
         scratch_path(spark, "change-offsets"),
