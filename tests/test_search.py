@@ -1,8 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from textquarry.operators import knn, search
+from textquarry.plans.grid import grid_map
+from textquarry.plans.joins import cut_lineage
 
 SCHEMA = (
     "chunk_id string, project_id string, path string, language string, symbol string, "
@@ -182,3 +185,38 @@ def test_task_functions_travel_with_their_code():
     data = cloudpickle.dumps(knn._partial_topk([query], 1))
     code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read())"
     subprocess.run([sys.executable, "-I", "-c", code], input=data, cwd="/", check=True)
+
+
+def test_grid_is_one_job_of_cells(spark, monkeypatch, tmp_path):
+    """Many queries, several files: every query meets every chunk, with filters, bonus and paths."""
+    rng = np.random.default_rng(3)
+    rows = [
+        _row(f"c{i:03}", project=f"p{i % 3}", path=f"/p/f{i % 40}.md", vector=[float(x) for x in rng.normal(size=4).round(1)])
+        for i in range(400)
+    ]
+    chunks = spark.createDataFrame(rows, SCHEMA).repartition(9)
+    queries = spark.createDataFrame(
+        [(f"q{i:02}", "f1" if i % 2 else None, [float(x) for x in rng.normal(size=4)], f"p{i % 3}" if i % 5 == 0 else "") for i in range(60)],
+        "query_id string, text string, embedding array<double>, project_id string",
+    )
+    for how in ({"boost": True}, {"per_path": True}, {}):
+        few, bound = knn.vector_topk(chunks, queries, 5, **how)
+        want = sorted(tuple(r) for r in few.select("query_id", "chunk_id", "score", "rank").collect())
+        with monkeypatch.context() as patch:
+            patch.setattr(knn, "MAX_QUERIES", 7)
+            many, grid_bound = knn.vector_topk(chunks, queries, 5, **how)
+        assert sorted(tuple(r) for r in many.select("query_id", "chunk_id", "score", "rank").collect()) == want
+        assert bound == grid_bound == 300
+
+
+def test_grid_sides_can_be_empty(spark):
+    def kernel(block, batches):
+        n = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_pydict({"pairs": pa.array([block.num_rows * n], pa.int64())})
+
+    def pairs(left, right, **sizes):
+        stored = cut_lineage(spark.range(right).repartition(3), "stored")
+        return sum(r.pairs for r in grid_map(spark.range(left), stored, kernel, "pairs long", **sizes).collect())
+
+    assert pairs(50, 200) == 10_000 and pairs(50, 200, block_rows=7, batch_rows=11) == 10_000
+    assert pairs(0, 200) == 0 and pairs(50, 0) == 0

@@ -3,11 +3,11 @@
 The chunks are never shuffled.  A batch of queries whose size was measured goes
 to every task as one matrix; a task multiplies Arrow batches of vectors with it
 and keeps its own best rows per query, and only those partial results are
-merged.  A larger set of queries is halved by hash until each part fits, so
-nothing is left out; each part is then a job of its own and the driver holds one
-part at a time.  Filters, the keyword bonus and "the best chunk of each file" are
-applied before a task keeps its best rows, so none of them can leave a query with
-fewer results than there are.
+merged.  A larger table of queries meets the chunks in a grid: both sides are
+written, and every cell of a block of queries and a segment of chunk files is a task
+that reads them there, all in one job.  Filters, the keyword bonus and "the best
+chunk of each file" are applied before a task keeps its best rows, so none of them
+can leave a query with fewer results than there are.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textquarry.plans.grid import grid_map
 from textquarry.plans.joins import cut_lineage
-from textquarry.session import scratch_path
 
-# A batch of queries is sent to tasks only below both bounds.
+# Queries go to every task, or to a cell of the grid, in blocks below both bounds.
 MAX_QUERIES = 1024
 MAX_QUERY_VALUES = 4_000_000
+GRID_BATCH = 10_000
 
 # Scores are ranked after rounding, so that equal texts tie on every engine and
 # the tie is settled by chunk_id.
@@ -164,25 +165,40 @@ def _partial_topk(queries: list, keep: int, boost: bool = False, per_path: bool
     return run
 
 
-def _query_batches(queries: DataFrame, level: int = 0) -> Iterator[list]:
-    """Cut a table of queries into measured batches small enough for a task."""
-    head = queries.limit(MAX_QUERIES + 1).collect()
-    dims = {len(q["embedding"]) for q in head if q["embedding"] is not None}
-    if len(dims) > 1 or any(q["embedding"] is None for q in head):
+def _one_dimension(dims: set, nulls: bool) -> int:
+    if len(dims) > 1 or nulls:
         raise DimensionMismatch("query vectors do not all have one dimension")
-    values = len(head) * max(dims, default=0)
-    if len(head) <= 1 or (len(head) <= MAX_QUERIES and values <= MAX_QUERY_VALUES):
-        if head:
-            yield head
-        return
-    if level == 0:
-        # From here on the queries are read many times.
-        queries = cut_lineage(queries, "queries")
-    if level > 40:
-        raise ValueError("query_id must identify a query")
-    half = F.pmod(F.shiftright(F.xxhash64("query_id"), level), F.lit(2))
-    for part in (0, 1):
-        yield from _query_batches(queries.where(half == part), level + 1)
+    return max(dims, default=0)
+
+
+def _few(queries: DataFrame) -> list | None:
+    """All queries, if they are measured to be few enough for every task."""
+    head = queries.limit(MAX_QUERIES + 1).collect()
+    dim = _one_dimension(
+        {len(q["embedding"]) for q in head if q["embedding"] is not None},
+        any(q["embedding"] is None for q in head),
+    )
+    few = len(head) <= 1 or (len(head) <= MAX_QUERIES and len(head) * dim <= MAX_QUERY_VALUES)
+    return head if few else None
+
+
+def _grid_topk(
+    chunk_vectors: DataFrame, queries: DataFrame, keep: int, columns: list[str], schema: str, **how: bool
+) -> tuple[DataFrame, int]:
+    """Partial results of many queries, and how many rows the best of them can be."""
+    queries = cut_lineage(queries, "queries")
+    size = F.size("embedding")
+    low, high, nulls, count = queries.agg(
+        F.min(size), F.max(size), F.count_if(F.col("embedding").isNull()), F.count("*")
+    ).first()
+    dim = _one_dimension({low, high}, nulls > 0)
+    stored = cut_lineage(chunk_vectors.select(*columns), "vectors")
+
+    def cell(block: pa.Table, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _partial_topk(block.to_pylist(), keep, **how)(batches)
+
+    rows = max(1, min(MAX_QUERIES, MAX_QUERY_VALUES // max(1, dim)))
+    return grid_map(queries, stored, cell, schema, block_rows=rows, batch_rows=GRID_BATCH), count * keep
 
 
 def vector_topk(
@@ -234,20 +250,18 @@ def vector_topk(
         kernel = _partial_topk(rows, keep, boost, per_path)
         return source.select(*dict.fromkeys(columns)).mapInArrow(kernel, schema)
 
-    batches = _query_batches(shaped)
-    first = next(batches, None)
-    if first is None:
+    few = _few(shaped)
+    if few == []:
         return spark.createDataFrame([], schema + ", rank int"), 0
-    total = len(first) * keep
-    merged, folder = part(first), None
-    for batch in batches:
-        if folder is None:  # more than one part: each is written when its turn comes
-            folder = scratch_path(spark, "topk")
-            merged.write.parquet(folder)
-        part(batch).write.mode("append").parquet(folder)
-        total += len(batch) * keep
-    if folder is not None:
-        merged = spark.read.schema(schema).parquet(folder)
+    if few is not None:
+        merged, total = part(few), len(few) * keep
+    else:
+        asked = {c for c in FILTERS if c in present}
+        columns = ["chunk_id", "embedding", *(["symbol", "path"] if boost else ["path"] if per_path else [])]
+        columns += [column for name, column in FILTERS.items() if name in asked]
+        merged, total = _grid_topk(
+            chunk_vectors, shaped, keep, list(dict.fromkeys(columns)), schema, boost=boost, per_path=per_path
+        )
     if per_path:
         of_path = Window.partitionBy("query_id", "path").orderBy(F.desc("score"), "chunk_id")
         merged = merged.withColumn("n", F.row_number().over(of_path)).where("n = 1").drop("n")

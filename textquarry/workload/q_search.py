@@ -107,6 +107,33 @@ def topk_batch(t):
     return vector_topk(t.chunk_vectors, queries, 10)[0].select("query_id", "chunk_id", "score", "rank")
 
 
+EVERY_CHUNK = """
+SELECT kind || chunk_id AS query_id, '' AS text, '' AS path_prefix, embedding,
+       CASE WHEN kind = 'p' THEN project_id ELSE '' END AS project_id,
+       CASE WHEN kind = 'l' THEN language ELSE '' END AS language
+FROM chunk_vectors, (SELECT unnest(['a', 'p', 'l']) AS kind) k"""
+
+
+@query(
+    "vector_topk_grid",
+    f"""
+SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+  FROM ({scored_sql(EVERY_CHUNK, "SELECT * FROM chunk_vectors", SAME_FILTERS)}) s) r
+WHERE rank <= 10""",
+)
+def topk_grid(t):
+    """The nearest chunks of every chunk: of all, of its project, and of its language."""
+    kinds = F.explode(F.array(*map(F.lit, "apl")))
+    queries = t.chunk_vectors.withColumn("kind", kinds).select(
+        F.concat("kind", "chunk_id").alias("query_id"),
+        "embedding",
+        F.when(F.col("kind") == "p", F.col("project_id")).otherwise("").alias("project_id"),
+        F.when(F.col("kind") == "l", F.col("language")).otherwise("").alias("language"),
+    )
+    return vector_topk(t.chunk_vectors, queries, 10)[0].select("query_id", "chunk_id", "score", "rank")
+
+
 @query(
     "filtered_search",
     f"""
