@@ -110,6 +110,38 @@ def test_python_declarations(spark):
     assert [(s, e, n) for _, s, e, n, _ in got] == [(4, 7, "foo"), (10, 11, "Bar"), (14, 14, "baz")]
 
 
+NESTED = {
+    "/n.py": (
+        "if os.name:\n    def win(a):\n        if a:\n            def inner(): pass\n        return 1\n\n    # after\n"
+        "    class K:\n        def m(self):\n            pass\nelse:\n    x = 1\n    async def late():\n\t\tpass\n"
+        "try:\n  def one(\n    a\n  ): return a\nexcept E: pass\n",
+        [(2, 7, "win"), (8, 10, "K"), (13, 14, "late"), (16, 18, "one")],
+    ),
+    "/n.js": (
+        "const o = {\n  size: 1,\n  area(a, b) {\n    if (a) {\n      return b;\n    }\n  },\n  async *walk() {\n  },\n"
+        "  get x() {\n    return 1\n  }\n};\nif (o) {\n  function f() {\n    function g() {\n    }\n  }\n}\n"
+        "while (x) {\n  call(1);\n}\nmodule.exports = {\n  class: class {\n  }\n}\nclass A {\n  m() {\n  }\n}\n",
+        [(3, 7, "area"), (8, 9, "walk"), (10, 12, "x"), (15, 18, "f"), (27, 30, "A")],
+    ),
+    "/n.rs": (
+        "mod tests {\n    use super::*;\n    #[test]\n    fn check() {\n        let x = 1;\n    }\n    pub struct S;\n"
+        "    impl S {\n        fn get(&self) -> u8 {\n            1\n        }\n    }\n}\nfn top() {\n}\n",
+        [(4, 6, "check"), (7, 7, "S"), (8, 12, "S"), (14, 15, "top")],
+    ),
+    "/n.go": ("const x = `\n  func no() {\n  }\n`\nfunc yes() {\n\ttype t struct {\n\t}\n}\n", [(5, 8, "yes")]),
+}
+
+
+@pytest.mark.parametrize("path", NESTED)
+def test_outermost_declarations_at_any_depth(spark, path):
+    text, want = NESTED[path]
+    got = _pieces(chunking.chunk_files(_files(spark, [("p", path, text)])))
+    assert [(s, e, n) for _, s, e, n, _ in got] == want
+    lines = text.split("\n")
+    for _, s, e, _, content in got:
+        assert content == "\n".join(lines[s - 1 : e]).strip(" \t")
+
+
 @pytest.mark.parametrize(
     "path, line, name",
     [

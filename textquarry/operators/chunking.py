@@ -39,22 +39,28 @@ HEADING = r"(?md)^(#{1,6}[ \t\n\f\r]+.+)$"
 # Marks a heading line.  ESCAPE follows every mark character already in a text.
 MARK, HEAD, ESCAPE = "\u0001", "\u0001H", "\u0001E"
 
-# Declaration lines at column 0, per language.
+# Declaration lines, per language.  Go has them at column 0 only; those
+# of the others may stand below something that is no declaration itself.
 BRACE_STARTS = {
     "go": r"^(func|type)[ \t(]",
-    "javascript": r"^(export[ \t]+(default[ \t]+)?)?((async[ \t]+)?function|class)[ \t*]",
-    "typescript": r"^((async[ \t]+)?function|class|export)[ \t*{]",
+    "javascript": r"^[ \t]*(export[ \t]+(default[ \t]+)?)?((async[ \t]+)?function|class)[ \t*]",
+    "typescript": r"^[ \t]*((async[ \t]+)?function|class|export)[ \t*{]",
     "rust": (
-        r"^(pub(\([^)]*\))?[ \t]+)?((default|const|async|unsafe|extern([ \t]+\"[^\"]*\")?)[ \t]+)*"
+        r"^[ \t]*(pub(\([^)]*\))?[ \t]+)?((default|const|async|unsafe|extern([ \t]+\"[^\"]*\")?)[ \t]+)*"
         r"(fn|impl|trait|struct|enum)[ \t<]"
     ),
 }
-PYTHON_START = r"^((async[ \t]+)?def|class)[ \t]"
-# Any other text at column 0 ends a Python declaration, except comments and
-# closing brackets.
-PYTHON_BOUNDARY = r"^[^ \t\r\f#)\]}]"
+PYTHON_START = r"^[ \t]*((async[ \t]+)?def|class)[ \t]"
+# A method of an object literal: a name, its parameters and an open body, below
+# column 0.  Statements that look like it begin with one of the words.
+METHOD = r"^[ \t]+((static|async|get|set)[ \t]+)*[*#]?[A-Za-z_$][0-9A-Za-z_$]*[ \t]*\([^(){}]*\)[ \t]*\{[ \t\r]*$"
+NO_METHOD = r"^[ \t]*(if|for|while|switch|catch|with|function|return|do|else)\b"
+METHOD_LANGUAGES = ("javascript", "typescript")
+# Any other text at a declaration's own column or left of it ends a Python
+# declaration, except comments and closing brackets.
+PYTHON_BOUNDARY = r"^[ \t]*[^ \t\r\f#)\]}]"
 BRACE_OPENS = r"[{(,][ \t\r]*$"
-BRACE_CLOSES = r"^[})]"
+BRACE_CLOSES = r"^[ \t]*[})]"
 BRACE_REOPENS = r"\{[ \t\r]*$"
 
 # Where a declaration line names its symbol.  A line these do not
@@ -65,6 +71,12 @@ NAMES = {
     "typescript": r"^(?:async[ \t]+)?(?:function|class)[ \t]*\*?[ \t]*([0-9A-Za-z_$]+)",
     "rust": r"\b(?:fn|trait|struct|enum)[ \t]+([0-9A-Za-z_]+)",
 }
+METHOD_NAME = r"^(?:(?:static|async|get|set)[ \t]+)*[*#]?([A-Za-z_$][0-9A-Za-z_$]*)[ \t]*\("
+
+# Columns a tab counts for in an indentation.
+TAB = 8
+# Spans a fold keeps in its last list before it starts another.
+RECENT = 256
 
 
 def _explode(files: DataFrame, language: Column, pieces: Column) -> DataFrame:
@@ -149,111 +161,125 @@ def _markdown_pieces(content: Column) -> Column:
     return F.transform(bind(F.split(marked, "\n", -1), sections), named)
 
 
-def _rules_of(language: Column) -> Column:
-    """Start and name regexes of a file's language, as a struct.
+def _declaration_name(language: Column, line: Column) -> Column:
+    named = F.lit("")
+    for name, pattern in NAMES.items():
+        named = F.when(language == name, F.regexp_extract(line, pattern, 1)).otherwise(named)
+    guess = T.guess_symbol(line)
+    method = F.when(language.isin(*METHOD_LANGUAGES), F.regexp_extract(line, METHOD_NAME, 1)).otherwise("")
+    return F.when(named != "", named).when(guess != "", guess).otherwise(method)
+
 
-    They reach the lines of a file as values, so that a line is tested against
-    one regex and not asked for its language.
+def _kind_of_line(language: str):
+    """What a line is for the declarations of a language.
+
+    O: a declaration that opens a body; S: one that stands alone; C: the end of a
+    body; D: a declaration that lasts until text at its column; B: such text; null: none.
     """
-    rules = F.lit(None).cast("struct<start:string,name:string>")
-    for name, start in {**BRACE_STARTS, "python": PYTHON_START}.items():
-        rule = F.struct(
-            F.lit(start).alias("start"), F.lit(NAMES.get(name, T.SYMBOL_GUESS)).alias("name")
-        )
-        rules = F.when(language == name, rule).otherwise(rules)
-    return rules
+    if language == "python":
+        return lambda x: F.when(x.rlike(PYTHON_START), "D").when(x.rlike(PYTHON_BOUNDARY), "B")
+
+    def kind(x: Column) -> Column:
+        starts = x.rlike(BRACE_STARTS[language])
+        if language in METHOD_LANGUAGES:
+            starts = starts | (x.rlike(METHOD) & ~x.rlike(NO_METHOD))
+        closes = x.rlike(BRACE_CLOSES) & ~x.rlike(BRACE_REOPENS)
+        return F.when(closes, "C").when(starts, F.when(x.rlike(BRACE_OPENS), "O").otherwise("S"))
+
+    return kind
+
 
+def _marks(language: Column, lines: Column) -> Column:
+    """(kind, indent, i) of the lines of some kind, by literal patterns of the language."""
 
-def _declaration_name(rules: Column, line: Column) -> Column:
-    named = F.call_function("regexp_extract", line, rules["name"], F.lit(1))
-    return F.when(named != "", named).otherwise(T.guess_symbol(line))
+    def marked(kind) -> Column:
+        return F.transform(lines, lambda x, i: F.struct(kind(x).alias("kind"), x.alias("line"), i.alias("i")))
 
+    def indented(m: Column) -> Column:
+        blanks = F.length(m["line"]) - F.length(F.ltrim(m["line"], F.lit(" \t")))
+        tabs = blanks - F.length(F.replace(F.substring(m["line"], F.lit(1), blanks), F.lit("\t"), F.lit("")))
+        return F.struct(m["kind"].alias("kind"), (blanks + (TAB - 1) * tabs).alias("indent"), m["i"].alias("i"))
 
-def _spans(codes: Column, block: str, pieces) -> Column:
-    """Apply ``pieces(first, last)`` to every match of ``block`` in a line code.
+    found = F.lit(None)
+    for name in (*BRACE_STARTS, "python"):
+        found = F.when(language == name, marked(_kind_of_line(name))).otherwise(found)
+    return F.transform(F.filter(found, lambda m: m["kind"].isNotNull()), indented)
 
-    ``codes`` has one letter per line, so one regex pass finds the outermost
-    blocks from left to right.  The two marks put around each match shift the
-    positions after it by two, which is taken off again by the match number.
+
+def _outermost(marks: Column, total: Column) -> Column:
+    """(a, b), first and last line, of the declarations that are in no other one.
+
+    A fold over the marks knows the declaration that is open and its indentation; a
+    declaration ends at the first mark for it that is indented no further.
     """
-    marked = F.split(F.regexp_replace(codes, f"({block})", "<$1>"), "", -1)
-
-    def spans(letters: Column) -> Column:
-        opened = _positions(letters, lambda x: x == "<")
-        closed = _positions(letters, lambda x: x == ">")
-        return F.transform(
-            F.arrays_zip(opened.alias("a"), closed.alias("b")),
-            lambda s, j: bind(
-                F.struct((s["a"] - 2 * j).alias("a"), (s["b"] - 2 * j - 2).alias("b")),
-                lambda t: pieces(t["a"], t["b"]),
-            ),
+    kind = "array<struct<a:int,b:int>>"
+    none = F.array().cast(kind)
+
+    def spans(a: Column, b: Column) -> Column:
+        return F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
+
+    def step(s: Column, m: Column) -> Column:
+        ends = (s["start"] >= 0) & (m["indent"] <= s["level"]) & m["kind"].isin("C", "D", "B")
+        idle = (s["start"] < 0) | (ends & (m["kind"] != "C"))
+        alone = idle & (m["kind"] == "S")
+        opens = idle & m["kind"].isin("O", "D")
+        last = m["i"] - F.when(m["kind"] == "C", 0).otherwise(1)
+        found = (
+            F.when(ends, F.concat(s["recent"], spans(s["start"], last)))
+            .when(alone, F.concat(s["recent"], spans(m["i"], m["i"])))
+            .otherwise(s["recent"])
         )
 
-    return bind(marked, spans)
+        def state(recent: Column) -> Column:
+            full = F.size(recent) >= RECENT
+            return F.struct(
+                F.when(opens, m["i"]).when(ends, -1).otherwise(s["start"]).alias("start"),
+                F.when(opens, m["indent"]).otherwise(s["level"]).alias("level"),
+                F.when(full, none).otherwise(recent).alias("recent"),
+                F.when(full, F.concat(s["earlier"], F.array(recent))).otherwise(s["earlier"]).alias("earlier"),
+            )
 
+        return bind(found, state)
 
-def _declaration_pieces(language: Column, content: Column) -> Column:
-    """Declarations at column 0 of a code file; empty when it has none.
+    def finish(s: Column) -> Column:
+        rest = F.when(s["start"] >= 0, spans(s["start"], total - 1)).otherwise(none)
+        return F.flatten(F.concat(s["earlier"], F.array(s["recent"], rest)))
 
-    Go, JavaScript, TypeScript, Rust: a declaration line that opens something
-    runs to the first later line that closes it at column 0 (or to the end of
-    the file), any other declaration line stands alone, and declarations inside
-    an open one belong to it.  Python: a declaration runs to the next text at
-    column 0, without trailing blanks.
+    zero = F.struct(
+        F.lit(-1).alias("start"), F.lit(0).alias("level"), none.alias("recent"),
+        F.array().cast(f"array<{kind}>").alias("earlier"),
+    )
+    return F.aggregate(marks, zero, step, finish)
+
+
+def _declaration_pieces(language: Column, content: Column) -> Column:
+    """Outermost declarations of a code file, at any depth; empty when it has none.
+
+    JavaScript, TypeScript, Rust and, at column 0, Go: a declaration line that opens
+    something runs to the first later line that closes it at its column or left of it
+    (or to the end of the file), any other declaration line stands alone.  Python: a
+    declaration runs to the next text at its column or left of it, without trailing
+    blanks.  Declarations inside an open one belong to it.  A text begins with its
+    declaration, not with the blanks before it.
     """
 
-    def pieces(rules: Column) -> Column:
-        def brace(lines: Column) -> Column:
-            def code(line: Column) -> Column:
-                closes = line.rlike(BRACE_CLOSES) & ~line.rlike(BRACE_REOPENS)
-                return (
-                    F.when(closes, "C")
-                    .when(~F.regexp_like(line, rules["start"]), ".")
-                    .when(line.rlike(BRACE_OPENS), "O")
-                    .otherwise("S")
-                )
-
-            def piece(first: Column, last: Column) -> Column:
-                return bind(
-                    T.strip_space(F.get(lines, first)),
-                    lambda signature: _piece(
-                        _declaration_name(rules, signature), signature,
-                        _join_lines(lines, first, last), first + 1, last + 1,
-                    ),
-                )
-
-            return _spans(F.array_join(F.transform(lines, code), ""), "O[^C]*C?|S", piece)
-
-        def python(lines: Column) -> Column:
-            def code(line: Column) -> Column:
-                return (
-                    F.when(F.regexp_like(line, rules["start"]), "D")
-                    .when(line.rlike(PYTHON_BOUNDARY), "B")
-                    .otherwise(".")
-                )
-
-            def piece(first: Column, last: Column) -> Column:
-                parts = F.struct(
-                    T.strip_space(F.get(lines, first)).alias("signature"),
-                    F.rtrim(_join_lines(lines, first, last), F.lit(T.SPACE_CHARS)).alias("body"),
-                )
-                return bind(
-                    parts,
-                    lambda p: _piece(
-                        _declaration_name(rules, p["signature"]), p["signature"], p["body"],
-                        first + 1, first + 1 + T.newline_count(p["body"]),
-                    ),
-                )
-
-            return _spans(F.array_join(F.transform(lines, code), ""), "D[^DB]*", piece)
-
-        lines = T.lines(content)
-        return F.when(language == "python", bind(lines, python)).otherwise(bind(lines, brace))
+    def pieces(lines: Column) -> Column:
+        def piece(span: Column) -> Column:
+            body = F.ltrim(_join_lines(lines, span["a"], span["b"]), F.lit(" \t"))
+            trimmed = F.when(language == "python", F.rtrim(body, F.lit(T.SPACE_CHARS))).otherwise(body)
+            parts = F.struct(T.strip_space(F.get(lines, span["a"])).alias("signature"), trimmed.alias("body"))
+            return bind(
+                parts,
+                lambda p: _piece(
+                    _declaration_name(language, p["signature"]), p["signature"], p["body"],
+                    span["a"] + 1, span["a"] + 1 + T.newline_count(p["body"]),
+                ),
+            )
+
+        return F.transform(_outermost(_marks(language, lines), F.size(lines)), piece)
 
     empty = F.slice(_whole_file(F.col("path"), content), 1, 0)
-    return F.when(
-        language.isin("python", *BRACE_STARTS), bind(_rules_of(language), pieces)
-    ).otherwise(empty)
+    return F.when(language.isin("python", *BRACE_STARTS), bind(T.lines(content), pieces)).otherwise(empty)
 
 
 def _or_whole_file(pieces: Column) -> Column:
@@ -286,7 +312,7 @@ def _with_language(files: DataFrame) -> DataFrame:
 
 
 def declaration_chunks(files: DataFrame) -> DataFrame:
-    """One chunk per top-level declaration of a code file.
+    """One chunk per outermost declaration of a code file.
 
     A file without declarations becomes one whole-file chunk.
     """

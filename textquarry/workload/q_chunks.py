@@ -55,40 +55,43 @@ FROM (
 
 
 DECLARATIONS = rf"""
-WITH lines AS (
+WITH RECURSIVE lines AS (
   SELECT project_id, path, file_hash, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln, len(ls) AS total,
          CASE regexp_extract(path, '(\.[^.]*)$', 1) WHEN '.go' THEN 'go' WHEN '.py' THEN 'python'
               WHEN '.ts' THEN 'typescript' ELSE 'rust' END AS language
   FROM (SELECT *, string_split(content, chr(10)) AS ls FROM code_files) l),
 marked AS (
   SELECT *,
+    length(line) - length(ltrim(line, chr(9) || ' '))
+      + 7 * (length(regexp_extract(line, '^[ \t]*')) - length(replace(regexp_extract(line, '^[ \t]*'), chr(9), ''))) AS indent,
     CASE language
       WHEN 'go' THEN regexp_matches(line, '^(func|type)[ \t(]')
-      WHEN 'python' THEN regexp_matches(line, '^((async[ \t]+)?def|class)[ \t]')
-      WHEN 'typescript' THEN regexp_matches(line, '^((async[ \t]+)?function|class|export)[ \t*{{]')
-      ELSE regexp_matches(line, '^(pub(\([^)]*\))?[ \t]+)?((default|const|async|unsafe)[ \t]+)*(fn|impl|trait|struct|enum)[ \t<]')
+      WHEN 'python' THEN regexp_matches(line, '^[ \t]*((async[ \t]+)?def|class)[ \t]')
+      WHEN 'typescript' THEN regexp_matches(line, '^[ \t]*((async[ \t]+)?function|class|export)[ \t*{{]')
+        OR regexp_matches(line, '^[ \t]+((static|async|get|set)[ \t]+)*[*#]?[A-Za-z_$][0-9A-Za-z_$]*[ \t]*\([^(){{}}]*\)[ \t]*\{{[ \t\r]*$')
+        AND NOT regexp_matches(line, '^[ \t]*(if|for|while|switch|catch|with|function|return|do|else)\b')
+      ELSE regexp_matches(line, '^[ \t]*(pub(\([^)]*\))?[ \t]+)?((default|const|async|unsafe)[ \t]+)*(fn|impl|trait|struct|enum)[ \t<]')
     END AS starts,
-    CASE language WHEN 'python' THEN regexp_matches(line, '^[^ \t\r\f#)\]}}]')
-      ELSE regexp_matches(line, '^[}})]') AND NOT regexp_matches(line, '\{{[ \t\r]*$') END AS closes,
+    CASE language WHEN 'python' THEN regexp_matches(line, '^[ \t]*[^ \t\r\f#)\]}}]')
+      ELSE regexp_matches(line, '^[ \t]*[}})]') AND NOT regexp_matches(line, '\{{[ \t\r]*$') END AS closes,
     regexp_matches(line, '[{{(,][ \t\r]*$') AS opens
   FROM lines),
-brace AS (
-  SELECT *,
-    max(CASE WHEN starts AND opens THEN ln END) OVER before AS last_open,
-    max(CASE WHEN closes THEN ln END) OVER before AS last_close,
-    min(CASE WHEN closes THEN ln END) OVER after AS next_close
-  FROM marked WHERE language <> 'python'
-  WINDOW before AS (PARTITION BY path ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-         after AS (PARTITION BY path ORDER BY ln ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
-python AS (
-  SELECT *, min(CASE WHEN closes THEN ln END) OVER (PARTITION BY path ORDER BY ln
-           ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_text
-  FROM marked WHERE language = 'python'),
+starts AS (
+  SELECT path, language, total, indent, opens, ln AS a FROM marked
+  WHERE starts AND (language = 'python' OR NOT closes)),
+ended AS (
+  SELECT s.path, s.a, CASE WHEN language = 'python' THEN coalesce(min(m.ln) - 1, any_value(total))
+           WHEN any_value(s.opens) THEN coalesce(min(m.ln), any_value(total)) ELSE s.a END AS b
+  FROM starts s LEFT JOIN (SELECT path, ln, indent FROM marked WHERE closes) m
+    ON m.path = s.path AND m.ln > s.a AND m.indent <= s.indent
+  GROUP BY s.path, s.a, s.language),
+after AS (
+  SELECT e.path, e.a, e.b, min(n.a) AS following
+  FROM ended e LEFT JOIN starts n ON n.path = e.path AND n.a > e.b GROUP BY e.path, e.a, e.b),
 spans AS (
-  SELECT path, ln AS a, CASE WHEN opens THEN coalesce(next_close, total) ELSE ln END AS b
-  FROM brace WHERE starts AND (last_open IS NULL OR last_close > last_open)
+  SELECT path, a, b, following FROM after WHERE (path, a) IN (SELECT path, min(a) FROM starts GROUP BY path)
   UNION ALL
-  SELECT path, ln, coalesce(next_text - 1, total) FROM python WHERE starts),
+  SELECT n.path, n.a, n.b, n.following FROM spans s JOIN after n ON n.path = s.path AND n.a = s.following),
 bodies AS (
   SELECT m.project_id, m.path, m.file_hash, m.language, s.a,
          string_agg(m.line, chr(10) ORDER BY m.ln) AS body, min_by(m.line, m.ln) AS head
@@ -96,7 +99,7 @@ bodies AS (
   GROUP BY m.project_id, m.path, m.file_hash, m.language, s.a),
 trimmed AS (
   SELECT project_id, path, file_hash, language, a AS start_line, trim(head, {BLANKS}) AS signature,
-         CASE WHEN language = 'python' THEN rtrim(body, {BLANKS}) ELSE body END AS content
+         ltrim(CASE WHEN language = 'python' THEN rtrim(body, {BLANKS}) ELSE body END, chr(9) || ' ') AS content
   FROM bodies),
 named AS (
   SELECT *, start_line + len(string_split(content, chr(10))) - 1 AS end_line,
@@ -105,10 +108,15 @@ named AS (
       WHEN 'rust' THEN regexp_extract(signature, '\b(?:fn|trait|struct|enum)[ \t]+([0-9A-Za-z_]+)', 1)
       ELSE '' END AS own_name
   FROM trimmed),
-found AS (
+guesses AS (
   SELECT *, CASE WHEN own_name <> '' THEN own_name ELSE regexp_extract(signature,
-    '(?:func|def|fn|class|struct|enum|trait|impl|type|const|var)\s+(\w+)', 1) END AS symbol
-  FROM named)"""
+    '(?:func|def|fn|class|struct|enum|trait|impl|type|const|var)\s+(\w+)', 1) END AS guessed
+  FROM named),
+found AS (
+  SELECT *, CASE WHEN guessed = '' AND language = 'typescript' THEN
+    regexp_extract(signature, '^(?:(?:static|async|get|set)[ \t]+)*[*#]?([A-Za-z_$][0-9A-Za-z_$]*)[ \t]*\(', 1)
+    ELSE guessed END AS symbol
+  FROM guesses)"""
 
 
 def embedding_sql(source: str, key: str, text: str) -> str:

@@ -58,8 +58,9 @@ def with_views(sql: str) -> str:
     sql = sql.strip()
     if not ctes:
         return sql
-    if re.match(r"WITH\b", sql):
-        return "WITH " + ",\n".join(ctes) + ",\n" + re.sub(r"^WITH\s+", "", sql)
+    opening = re.match(r"WITH (RECURSIVE )?", sql)
+    if opening:
+        return opening[0] + ",\n".join(ctes) + ",\n" + sql.removeprefix(opening[0])
     return "WITH " + ",\n".join(ctes) + "\n" + sql
 
 

@@ -79,15 +79,21 @@ def code_files(d: Dialect) -> str:
     py = (
         f"concat('import os', chr(10), chr(10), '@cached', chr(10), 'def part_', {key}, '(', chr(10), '    x,', chr(10), '):', chr(10), "
         f"'    return ', {size}, chr(10), chr(10), chr(10), 'class P', {key}, ':', chr(10), '    def name(self):', chr(10), "
-        f"'        return \"', p_name, '\"', chr(10), chr(10), 'LIMIT = ', {size}, chr(10), 'async def tail():', chr(10), '    pass   ', chr(10))"
+        f"'        return \"', p_name, '\"', chr(10), chr(10), 'LIMIT = ', {size}, chr(10), 'async def tail():', chr(10), '    pass   ', chr(10), "
+        f"'if LIMIT:', chr(10), '    def under_', {key}, '(a):', chr(10), '        class Deep:', chr(10), '            pass', chr(10), "
+        f"'    again = 1', chr(10), 'else:', chr(10), chr(9), 'class Other(', chr(10), chr(9), '): pass', chr(10))"
     )
     ts = (
         f"concat('// ', p_name, chr(10), 'export class Part', {key}, ' {{', chr(10), '  size = ', {size}, ';', chr(10), '}}', chr(10), "
-        f"'export const SIZE', {key}, ' = ', {size}, ';', chr(10), 'function make', {key}, '() {{', chr(10), '  return 1;', chr(10), '}}', chr(10))"
+        f"'export const SIZE', {key}, ' = ', {size}, ';', chr(10), 'function make', {key}, '() {{', chr(10), '  return 1;', chr(10), '}}', chr(10), "
+        f"'const table = {{', chr(10), '  size: ', {size}, ',', chr(10), '  async total(a, b) {{', chr(10), '    if (a) {{', chr(10), "
+        f"'      return b;', chr(10), '    }}', chr(10), '  }},', chr(10), '}};', chr(10), 'if (table) {{', chr(10), '  while (x) {{', chr(10), "
+        f"'    function late_', {key}, '() {{', chr(10), '    }}', chr(10), '  }}', chr(10), '}}', chr(10))"
     )
     rs = (
         f"concat('use std::fmt;', chr(10), 'pub struct Part', {key}, ' {{', chr(10), '    size: u32,', chr(10), '}}', chr(10), "
-        f"'impl Part', {key}, ' {{', chr(10), '    fn get() {{}}', chr(10), '}}', chr(10), 'pub(crate) fn open_', {key}, '() {{', chr(10), '    1')"
+        f"'impl Part', {key}, ' {{', chr(10), '    fn get() {{}}', chr(10), '}}', chr(10), 'mod tests {{', chr(10), '    use super::*;', chr(10), '    fn check_', {key}, '() {{', chr(10), '        fn deep() {{', chr(10), "
+        f"'        }}', chr(10), '    }}', chr(10), '}}', chr(10), 'pub(crate) fn open_', {key}, '() {{', chr(10), '    1')"
     )
     return f"""
 SELECT project_id, path, content, {d.sha('content')} AS file_hash,
