@@ -34,7 +34,8 @@ MIN_CHARS = 6
 MIN_COUNT = 5
 FACTOR = 5
 DROP_MODULUS = 199
-LEAF = 1000
+LEAF = 500
+TASK_WORDS = 20_000
 SLICE = 4 << 20
 SCALAR_BYTES = 64
 SHARED = 3  # code points that a near pair shares at one end
@@ -306,7 +307,9 @@ def near_pairs(words: DataFrame, *, leaf: int = LEAF) -> DataFrame:
         F.lit(True).alias("back"), F.expr("left(reverse(word), back)").alias("leaf"),
         F.reverse("word").alias("spelt"), "n",
     )
-    listed = ahead.unionByName(back).repartition("back", "leaf").sortWithinPartitions("back", "leaf", "spelt")
+    # So many tasks by words, not by bytes: a scan computes far longer than it reads.
+    tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), placed.count() // TASK_WORDS)
+    listed = ahead.unionByName(back).repartition(tasks, "back", "leaf").sortWithinPartitions("back", "leaf", "spelt")
     pairs = listed.mapInArrow(_scan, "a string, a_n long, b string, b_n long")
     pairs = cut_lineage(pairs.unionByName(_unlisted(placed)), "pairs")
     turned = pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n"))
