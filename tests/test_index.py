@@ -341,3 +341,32 @@ def test_reindex_paths(spark):
     refresh.reindex_paths(store, now, asked)
     assert _ids(store.symbols(), "symbol") == ["# A2", "# B", "# C2", "# N"]
     assert _ids(store.file_state(), "path") == ["/r/c.md", "/r/d/a.md", "/r/d/n.md", "/r/d2/b.md"]
+
+
+def test_a_dead_writer_blocks_nobody(spark):
+    """An empty commit file is stepped over, by writes and by compaction."""
+    store = _store(spark)
+    store.replace(*_one(spark, "c0", "/0.go"))
+    touch = lambda fs, p: fs.create(p, False).close()
+    store._files(f"{store.folder}/commits/000000000002.json", touch)
+    assert store.replace(*_one(spark, "c1", "/1.go")) == 3
+    store._files(f"{store.folder}/commits/000000000004.json", touch)
+    assert store.compact() == 5
+    assert IndexStore(spark, store.folder).replace(*_one(spark, "c2", "/2.go")) == 6
+    assert _ids(store.chunk_vectors()) == ["c0", "c1", "c2"]
+
+
+def test_vacuum_leaves_what_is_needed(spark):
+    """Old commits and unfinished writes go; what a stream has applied is still known."""
+    store = _store(spark)
+    for k in range(4):
+        store.replace(*_one(spark, f"c{k}", f"/{k}.go"), source="feed", source_batch=10 + k)
+    store._write("chunks", store.chunk_vectors(), "0" * 32)  # a write that never was committed
+    base = store.compact()
+    assert store.vacuum() == 4 + 4 + 1
+    assert [n for n in store._names("commits") if n.endswith(".json")] == [f"{base:012d}.json"]
+    assert store.applied("feed") == 13 and store.applied("other") == -1
+    assert store.vacuum() == 0
+    store.replace(*_one(spark, "c9", "/9.go"), source="feed", source_batch=14)
+    assert store.applied("feed") == 14
+    assert _ids(store.chunk_vectors()) == ["c0", "c1", "c2", "c3", "c9"]

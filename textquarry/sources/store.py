@@ -2,8 +2,11 @@
 
 Every change is appended: its rows go to a folder of their own
 (``chunks/write=<id>``, ``file_state/write=<id>``) and become visible when a
-commit file with the next number names that folder.  A number can be taken only
-once, so of two writers the later one takes the number after.  A row of
+commit file with the next number names that folder.  A commit file is written under
+another name and renamed, which fails where the number is taken, so of two writers the
+later one takes the number after.  (On object stores a rename is a copy and no such
+guarantee: there only one process may write.)  A file without content, left by a
+writer that died, names nothing and its number is stepped over.  A row of
 ``chunks`` is live while no later commit wrote its path, so replacing or deleting
 files costs as much as the change and not as much as the index.  ``compact``
 rewrites the live rows as one base, from which plain scans need no join, and
@@ -70,7 +73,8 @@ class IndexStore:
         """Commits from the base of the present state on: as many as since it was compacted."""
         commits = self._commits()
         base = commits.agg(F.max("base")).first()[0]
-        return commits.where(F.col("batch") >= base).orderBy("batch").collect() if base else []
+        live = commits.where((F.col("batch") >= base) & F.col("write").isNotNull())
+        return live.orderBy("batch").collect() if base else []
 
     def _table(self, name: str, schema: str, span: list[Row]) -> DataFrame:
         """Rows of the writes of a span, with the number of their commit as ``batch``."""
@@ -175,8 +179,7 @@ class IndexStore:
             batch = span[-1]["batch"] + 1 if span else 1
             base = span[0]["batch"] if span else batch
             try:
-                self._commit(batch, base, known or dim, source, source_batch, write)
-                return batch
+                return self._commit(batch, base, known or dim, source, source_batch, write)
             except CommitConflict:  # another writer was first; its rows are independent of these
                 span = self._span()
                 if source and source_batch <= self.applied(source):
@@ -199,23 +202,37 @@ class IndexStore:
         self._write_chunks(self._live_chunks(span), write, span[-1]["dim"])
         states = self._states(span).withColumn("deleted", F.lit(False))
         self._write("file_state", states, write)
-        batch = span[-1]["batch"] + 1
-        self._commit(batch, batch, span[-1]["dim"], "", -1, write)
-        return batch
+        return self._commit(span[-1]["batch"] + 1, None, span[-1]["dim"], "", -1, write, self._sources())
+
+    def _sources(self) -> list[dict]:
+        """Last committed batch of every streaming source, which outlives the commits it came with."""
+        done = self._commits().where("source <> ''").groupBy("source").agg(F.max("source_batch").alias("source_batch"))
+        return [row.asDict() for row in done.collect()]
 
     def vacuum(self) -> int:
-        """Delete the folders of writes from before the base; returns how many.
+        """Delete the folders of writes from before the base or never committed, and old commits.
 
-        Not while readers of an older state or unfinished writes are about.
+        Returns how many folders.  Not while readers of an older state or unfinished
+        writes are about.
         """
-        live = {c["write"] for c in self._span()}
-        old = self._commits().select("write").where(~F.col("write").isin(sorted(live)))
+        span = self._span()
+        live = {f"write={c['write']}" for c in span}
+        old = [n for n in self._names("commits") if span and n[:12].isdigit() and int(n[:12]) < span[0]["batch"]]
+        remove = lambda fs, p: fs.delete(p, True)
         gone = 0
-        for row in old.toLocalIterator():
-            for name in ("chunks", "file_state"):
-                gone += self._files(f"{self.folder}/{name}/write={row['write']}", lambda fs, p: fs.delete(p, True))
+        for name in ("chunks", "file_state"):
+            for write in set(self._names(name)) - live:
+                gone += self._files(f"{self.folder}/{name}/{write}", remove)
+        for name in old:  # after the folders they name
+            self._files(f"{self.folder}/commits/{name}", remove)
         return gone
 
+    def _names(self, folder: str) -> list[str]:
+        def names(fs, path):
+            return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+        return self._files(f"{self.folder}/{folder}", names)
+
     def _files(self, path: str, action):
         """Run ``action(file system, path)`` of Hadoop's file system on the driver."""
         context = self.spark.sparkContext
@@ -248,22 +265,41 @@ class IndexStore:
         return low
 
     def _commit(
-        self, batch: int, base: int, dim: int | None, source: str, source_batch: int, write: str
-    ) -> None:
-        """Create the commit file of a number, which fails if it exists."""
-        row = {
-            "batch": batch, "base": base, "dim": dim, "source": source,
-            "source_batch": source_batch, "write": write,
-        }
-
-        def create(fs, path):
+        self, batch: int, base: int | None, dim: int | None, source: str, source_batch: int, write: str,
+        sources: list[dict] | None = None,
+    ) -> int:
+        """Make a write visible under a number, ``batch`` or, past empty files, a later one.
+
+        Without ``base`` the commit is the base itself.  Fails if the number is taken.
+        """
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.NONE
+
+        def create(fs, folder):
+            path = lambda name: jvm.org.apache.hadoop.fs.Path(folder, name)
+            number = batch
+            while fs.exists(path(f"{number:012d}.json")):
+                if fs.getFileStatus(path(f"{number:012d}.json")).getLen():
+                    raise CommitConflict(f"commit {number} exists")
+                number += 1
+            row = {"batch": number, "base": base or number, "dim": dim}
+            rows = [row | {"source": source, "source_batch": source_batch, "write": write}]
+            rows += [row | kept for kept in sources or []]
+            draft, final = path(f".{uuid.uuid4().hex}"), path(f"{number:012d}.json")
+            out = fs.create(draft, False)
+            out.write(bytearray("".join(json.dumps(r) + "\n" for r in rows).encode()))
+            out.close()
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), conf)
             try:
-                out = fs.create(path, False)
+                context.rename(draft, final, how)
             except Exception as err:
-                if fs.exists(path):
-                    raise CommitConflict(f"commit {batch} exists") from err
+                fs.delete(draft, False)
+                if fs.exists(final):
+                    raise CommitConflict(f"commit {number} exists") from err
                 raise
-            out.write(bytearray(json.dumps(row).encode()))
-            out.close()
+            return number
 
-        self._files(f"{self.folder}/commits/{batch:012d}.json", create)
+        return self._files(f"{self.folder}/commits", create)
