@@ -105,3 +105,33 @@ def test_digest_of_text_left(spark, text):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     left = linedup.dedup_lines(docs).first()["text"]
     assert hashlib.sha256(left.encode()).digest() == hashlib.sha256(text.encode()).digest()
+
+
+def test_reopened_index_goes_on(spark):
+    """Two objects on one folder: counts go on, the settings stay, a stale one cannot write."""
+    line = "x" * 50
+    docs = lambda *ids: spark.createDataFrame([(i, line) for i in ids], "doc_id long, text string")
+    first = linedup.LineIndex(spark, shards=3)
+    first.insert(docs(1, 2, 3, 4, 5))
+    again = linedup.LineIndex(spark, first.folder)
+    assert (again.version, again.shards) == (1, 3)
+    again.insert(docs(6))
+    assert [(r["n_docs"], r["keeper"]) for r in again.counts().collect()] == [(6, 6)]
+    with pytest.raises(RuntimeError, match="version 2"):
+        first.insert(docs(7))
+    third = linedup.LineIndex(spark, first.folder)
+    third.delete(docs(6).select("doc_id"))
+    assert [(r["n_docs"], r["keeper"]) for r in third.counts().collect()] == [(5, 5)]
+    kept = {r["doc_id"]: r["text"] for r in third.clean(docs(1, 2, 3, 4, 5)).collect()}
+    assert kept == {1: "", 2: "", 3: "", 4: "", 5: line}
+
+
+def test_unfinished_version_is_written_again(spark):
+    """A writer that died left tables without a mark: they do not count."""
+    docs = spark.createDataFrame([(1, "y" * 50)], "doc_id long, text string")
+    index = linedup.LineIndex(spark)
+    index.insert(docs)
+    index._read("postings").write.parquet(f"{index.folder}/postings/v2")
+    again = linedup.LineIndex(spark, index.folder)
+    again.insert(docs.withColumn("doc_id", docs["doc_id"] + 1))
+    assert [r["n_docs"] for r in again.counts().collect()] == [2]

@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +32,12 @@ from textquarry.session import scratch_path
 MIN_CHARS = 40
 MIN_DOCS = 5
 SHARDS = 64
+SHARD_KEYS = 200_000
 BROADCAST_BYTES = 32 << 20
 PROBE_ROWS = 200_000
 
 KEY = ["h1", "h2"]
+DONE = "version long, shards int, min_chars int, min_docs int"
 
 
 def _postings(min_chars: int, known=None, shards: int = 1):
@@ -111,7 +114,12 @@ def _rewrite(text_at: int, drops_at: int, names: list[str], extra: list[str]):
 
 
 class LineIndex:
-    """Line keys of a corpus that grows and shrinks, below ``folder``."""
+    """Line keys of a corpus that grows and shrinks, below ``folder``.
+
+    Opened on a folder with an index, it goes on from the last complete version;
+    what a writer left that died before is overwritten.  One process may write at a
+    time: a change on a version that is no longer the last one fails.
+    """
 
     def __init__(
         self,
@@ -120,21 +128,41 @@ class LineIndex:
         *,
         min_chars: int = MIN_CHARS,
         min_docs: int = MIN_DOCS,
-        shards: int = SHARDS,
+        shards: int | None = None,
     ):
         self.spark = spark
         self.folder = (folder or scratch_path(spark, "lines")).rstrip("/")
         self.min_chars, self.min_docs, self.shards = min_chars, min_docs, shards
         self.version = 0
+        done = self._done()
+        if done is not None:  # an index that is there goes on with its own settings
+            self.version, self.shards, self.min_chars, self.min_docs = done
 
     # -- state
 
+    def _done(self) -> tuple | None:
+        """Last complete version below the folder and its settings."""
+        try:
+            done = self.spark.read.schema(DONE).json(f"{self.folder}/done")
+        except AnalysisException as err:
+            if err.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        row = done.orderBy(F.desc("version")).first()
+        return row and tuple(row)
+
+    def _finish(self) -> None:
+        """Mark the version as complete, after all its tables are written."""
+        row = [(self.version, self.shards, self.min_chars, self.min_docs)]
+        self.spark.createDataFrame(row, DONE).coalesce(1).write.mode("append").json(f"{self.folder}/done")
+
     def _read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{table}/v{self.version}")
 
     def counts(self) -> DataFrame:
         """(shard, h1, h2, n_docs, keeper) of all keys that a document holds."""
-        return self._read("counts")
+        shard = F.pmod(F.col("h1"), F.lit(self.shards)).cast("int").alias("shard")
+        return self._read("counts").select(shard, *KEY, "n_docs", "keeper")
 
     def filters(self) -> DataFrame:
         """(shard, filter) of all shards that have keys in ``min_docs`` documents."""
@@ -174,6 +202,9 @@ class LineIndex:
 
     def _commit(self, change: DataFrame) -> None:
         """Write the postings of a change, then counts and filters that include it."""
+        done = self._done()
+        if done is not None and done[0] != self.version:
+            raise RuntimeError(f"version {done[0]} was written meanwhile; open the index again")
         new = self.version + 1
         path = f"{self.folder}/postings/v{new}"
         change.select(*KEY, "doc", "op").write.mode("overwrite").parquet(path)
@@ -181,14 +212,13 @@ class LineIndex:
         delta = change.groupBy(*KEY).agg(
             F.sum("op").cast("long").alias("n_docs"), F.max(F.when(F.col("op") > 0, F.col("doc"))).alias("keeper")
         )
-        shard = F.pmod(F.col("h1"), F.lit(self.shards)).cast("int").alias("shard")
         old = self.counts() if self.version else None
         if old is None:
-            counts = delta.select(shard, *KEY, "n_docs", "keeper")
+            counts = delta.select(*KEY, "n_docs", "keeper")
         else:
             sums = old.select(*KEY, "n_docs", "keeper").union(delta).groupBy(*KEY)
             counts = sums.agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
-            counts = counts.where("n_docs > 0").select(shard, *KEY, "n_docs", "keeper")
+            counts = counts.where("n_docs > 0")
         self.version = new
         if old is not None:
             # A deletion may have taken a key's keeper: those keys ask the postings.
@@ -198,12 +228,16 @@ class LineIndex:
                 .agg(F.max("doc").alias("exact"))
             )
             counts = counts.join(keepers, KEY, "left").select(
-                "shard", *KEY, "n_docs", F.coalesce("exact", "keeper").alias("keeper")
+                *KEY, "n_docs", F.coalesce("exact", "keeper").alias("keeper")
             )
         counts.write.mode("overwrite").parquet(f"{self.folder}/counts/v{new}")
         self._update_filters(old)
+        self._finish()
 
     def _update_filters(self, old: DataFrame | None) -> None:
+        if self.shards is None:  # as many as the first documents ask for, from then on the same
+            frequent = self._read("counts").where(F.col("n_docs") >= self.min_docs).count()
+            self.shards = max(SHARDS, -(-frequent // SHARD_KEYS))
         many = self.counts().where(F.col("n_docs") >= self.min_docs).select("shard", *KEY)
         path = f"{self.folder}/filters/v{self.version}"
         shape = "shard int, filter binary"
