@@ -40,6 +40,8 @@ DIGIT = 64
 FAN_IN = 16
 BATCH = 2048
 FIXED = float(1 << 32)
+JOIN_WORDS = 500_000
+CLIP = 40.0
 
 
 @dataclass(frozen=True)
@@ -125,25 +127,37 @@ def _postings(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        for row, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if blob:
-                words, times = np.unique(np.frombuffer(blob, "<u8"), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(words), row)), pa.array(words.view(np.int64)), pa.array(times)],
-                    names=["row", "word", "times"],
-                )
+        held = [np.frombuffer(blob or b"", "<u8") for blob in batch.column(1).to_pylist()]
+        if not held:
+            continue
+        rows = np.repeat(batch.column(0).to_numpy(), [len(h) for h in held])
+        words = np.concatenate(held)
+        order = np.lexsort((words, rows))
+        rows, words = rows[order], words[order]
+        first = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (rows[1:] != rows[:-1]))[: len(words)])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(rows[first]), pa.array(words[first].view(np.int64)),
+                pa.array(np.diff(np.append(first, len(words)))),
+            ],
+            names=["row", "word", "times"],
+        )
 
 
 def shared_parts(encoded: DataFrame, rare: DataFrame) -> DataFrame:
     """(row, part): the sum of log n over a row's words with shared ids.
 
     ``rare`` is (word, n) of these words.  Sums are of whole numbers, so they do
-    not depend on the order of rows.
+    not depend on the order of rows.  The join hashes parts of ``JOIN_WORDS`` words
+    of ``rare``, which has one row a word, so a part's size does not grow.
     """
     asked = encoded.select("row", "rest").mapInArrow(_postings, "row long, word long, times long")
     # A word that stands once has log n = 0.
     known = rare.where("n > 1").select("word", F.round(F.log("n") * FIXED).cast("long").alias("log_n"))
-    found = asked.join(known.hint("shuffle_hash"), "word")
+    known = cut_lineage(known, "rare")
+    shuffles = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(shuffles, -(-known.count() // JOIN_WORDS))
+    found = asked.repartition(parts, "word").join(known.repartition(parts, "word").hint("shuffle_hash"), "word")
     return found.groupBy("row").agg((F.sum(F.col("times") * F.col("log_n")) / FIXED).alias("part"))
 
 
@@ -174,65 +188,91 @@ def start(counts: np.ndarray, settings: Settings) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
+def _exponentials(x: np.ndarray) -> np.ndarray:
+    """exp of logits, in place, and their sums per row as a column.
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    Logits end at +-CLIP, so no row overflows or vanishes and no maximum is needed.
+    """
+    np.clip(x, -CLIP, CLIP, out=x)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    return (x @ np.ones(x.shape[1], dtype=x.dtype))[:, None]
+
+
+def _log_chance(x: np.ndarray, rows: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """Of each row of logits, the logarithm of the picked entry of its softmax."""
+    chosen = np.clip(x[rows, pick], -CLIP, CLIP)
+    return chosen - np.log(_exponentials(x)[:, 0])
+
+
+def _errors(x: np.ndarray, rows: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """Softmax of logits less the picked entries, over the number of rows, in place."""
+    share = np.float32(1 / len(rows))
+    x *= share / _exponentials(x)
+    x[rows, pick] -= share
     return x
 
 
 def _hidden(p: dict, around: np.ndarray) -> np.ndarray:
-    h = p["context"][0][around[:, 0]] + p["bias"]
+    h = p["context"][0].take(around[:, 0], axis=0)
+    h += p["bias"]
     for k in range(1, around.shape[1]):
-        h += p["context"][k][around[:, k]]
+        h += p["context"][k].take(around[:, k], axis=0)
     return np.tanh(h, out=h)
 
 
+def _logits(p: dict, h: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x, y = h @ p["high"], h @ p["low"]
+    x += p["high_bias"]
+    y += p["low_bias"].take(high, axis=0)
+    return x, y
+
+
 def log_probabilities(p: dict, around: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of each target id in its context."""
-    h = _hidden(p, around)
     high, low = target // DIGIT, target % DIGIT
     rows = np.arange(len(target))
-    a = _log_softmax(h @ p["high"] + p["high_bias"])[rows, high]
-    return a + _log_softmax(h @ p["low"] + p["low_bias"][high])[rows, low]
+    x, y = _logits(p, _hidden(p, around), high)
+    return _log_chance(x, rows, high) + _log_chance(y, rows, low)
 
 
 def _step(p: dict, sums: dict, around: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One Adagrad step on a batch."""
     h = _hidden(p, around)
-    n = len(target)
     high, low = target // DIGIT, target % DIGIT
-    rows = np.arange(n)
-    g1 = _softmax(h @ p["high"] + p["high_bias"])
-    g1[rows, high] -= 1
-    g2 = _softmax(h @ p["low"] + p["low_bias"][high])
-    g2[rows, low] -= 1
-    g1 /= n
-    g2 /= n
-    back = (g1 @ p["high"].T + g2 @ p["low"].T) * (1 - h * h)
+    rows = np.arange(len(target))
+    x, y = _logits(p, h, high)
+    g1, g2 = _errors(x, rows, high), _errors(y, rows, low)
+    back = g1 @ p["high"].T
+    back += g2 @ p["low"].T
+    back *= 1 - h * h
+    # One row a high digit: few enough for a product with the positions of each.
+    at_high = np.zeros((p["low_bias"].shape[0], len(target)), dtype=np.float32)
+    at_high[high, rows] = 1
     grads = {
-        "bias": back.sum(0), "high": h.T @ g1, "high_bias": g1.sum(0), "low": h.T @ g2,
+        "bias": back.sum(0), "high": h.T @ g1, "high_bias": g1.sum(0), "low": h.T @ g2, "low_bias": at_high @ g2,
     }
     for name, grad in grads.items():
         sums[name] += grad * grad
         p[name] -= rate * grad / (np.sqrt(sums[name]) + 1e-6)
-    _sparse(p["low_bias"], sums["low_bias"], high, g2, rate)
     for k in range(around.shape[1]):
         _sparse(p["context"][k], sums["context"][k], around[:, k], back, rate)
 
 
 def _sparse(value, total, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
     """Adagrad on the rows of a table that a batch touches."""
-    order = np.argsort(rows, kind="stable")
-    which, first = np.unique(rows[order], return_index=True)
-    grad = np.add.reduceat(grad[order], first, axis=0)
-    total[which] += grad * grad
-    value[which] -= rate * grad / (np.sqrt(total[which]) + 1e-6)
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # ids fit; sorted by digits
+    rows = rows.take(order)
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    which = rows.take(first)
+    grad = np.add.reduceat(grad.take(order, axis=0), first, axis=0)
+    now = total.take(which, axis=0)
+    now += grad * grad
+    total[which] = now
+    np.sqrt(now, out=now)
+    now += 1e-6
+    grad *= rate
+    grad /= now
+    value[which] -= grad
 
 
 def contexts(ids: list[np.ndarray], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -368,13 +408,16 @@ def _score(sent, behind: np.ndarray, settings: Settings):
                     log_probabilities(p, around[a : a + BATCH], target[a : a + BATCH]) - less[target[a : a + BATCH]]
                     for a in range(0, len(target), BATCH)
                 ]
-                sums = np.concatenate([[0.0], np.cumsum(np.concatenate(parts).astype(np.float64))]) if parts else np.zeros(1)
-                ends = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+                size = np.array([len(d) for d in docs], dtype=np.int64)
+                begins = (np.cumsum(size) - size)[size > 0]
+                total = np.zeros(len(docs))
+                if len(begins):  # every text is summed on its own
+                    total[size > 0] = np.add.reduceat(np.concatenate(parts).astype(np.float64), begins)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(begin, len(docs)),
-                        pa.array(np.diff(ends)),
-                        pa.array(sums[ends[1:]] - sums[ends[:-1]]),
+                        pa.array(size),
+                        pa.array(total),
                         batch.column(2).slice(begin, len(docs)),
                     ],
                     names=["node", "n_words", "total", "row"],
