@@ -4,7 +4,8 @@ A passage of a benchmark can be copied in pieces and in another order.  Tiling
 finds the longest common runs of a document and an item first, marks their words
 as used on both sides, and goes on with shorter runs, down to ``min_tile`` words;
 runs of a length are found by rolling Karp-Rabin hashes.  The share of the item's
-words under tiles is its coverage by the document.
+words under tiles is its coverage by the document.  An item of fewer words is found
+whole: its own length is the shortest tile.
 
 Pairs come from an equi-join: hashes of ``min_tile``-word windows of the items
 against those of the documents.  Every tile contains such a window, so no pair
@@ -22,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm import kernels
-from textquarry.plans.joins import cut_lineage
+from textquarry.plans.joins import cut_lineage, fits_broadcast
 
 MIN_TILE = 5
 COVERAGE_PERCENT = 50
 BROADCAST_BYTES = 32 << 20
+BROADCAST_IDS = 1_000_000
 
 
 def tile(doc: np.ndarray, item: np.ndarray, min_tile: int = MIN_TILE) -> list[tuple[int, int, int]]:
@@ -135,7 +137,7 @@ def _windows_of(words: np.ndarray, width: int) -> np.ndarray:
 def _tile_rows(doc_words: np.ndarray, owners, items: dict, min_tile: int):
     for key in sorted(owners):
         words = items[key]
-        found = tile(doc_words, words, min_tile)
+        found = tile(doc_words, words, min(min_tile, len(words)))
         if found:
             covered = sum(t[2] for t in found)
             yield key, len(words), covered, found
@@ -167,33 +169,38 @@ def _tile_sent(sent, min_tile: int):
     def run(batches: Iterator) -> Iterator:
         kernels.forget_vocabulary()
         items = {k: np.frombuffer(b, np.uint64) for k, b in sent.value.items()}
-        seeds: dict[int, list[int]] = {}
+        by_width: dict[int, dict[int, list[int]]] = {}
         for key, words in items.items():
-            for h in _windows_of(words, min_tile).tolist():
+            width = min(min_tile, len(words))
+            seeds = by_width.setdefault(width, {})
+            for h in _windows_of(words, width).tolist():
                 seeds.setdefault(h, []).append(key)
-        known = np.array(sorted(seeds), dtype=np.uint64)
+        known = {w: np.array(sorted(seeds), dtype=np.uint64) for w, seeds in by_width.items()}
         for batch in kernels.cuts(batches):
             ids, blobs = batch.column(0).to_pylist(), kernels.blobs_of(batch.column(1))
             rows: list[tuple] = []
             for begin, part in kernels.slices(blobs):
                 texts = kernels.Texts(part)
                 words = texts.word_hashes()
-                rolled, valid = kernels.windows(words, texts.first, min_tile)
-                hit = np.flatnonzero(valid & np.isin(rolled, known)) if len(known) else []
-                owner = np.searchsorted(texts.first, hit, "right") - 1
-                for i in np.unique(owner):
-                    mine = rolled[hit[owner == i]]
-                    keys = {k for h in np.unique(mine).tolist() for k in seeds[h]}
+                met: dict[int, set] = {}
+                for width, seeds in by_width.items():
+                    rolled, valid = kernels.windows(words, texts.first, width)
+                    hit = np.flatnonzero(valid & np.isin(rolled, known[width]))
+                    owner = np.searchsorted(texts.first, hit, "right") - 1
+                    for i in np.unique(owner).tolist():
+                        mine = np.unique(rolled[hit[owner == i]]).tolist()
+                        met.setdefault(i, set()).update(k for h in mine for k in seeds[h])
+                for i in sorted(met):
                     a, b = texts.first[i], texts.first[i + 1]
-                    for found in _tile_rows(words[a:b], keys, items, min_tile):
+                    for found in _tile_rows(words[a:b], met[i], items, min_tile):
                         rows.append((ids[begin + i], *found))
             yield _as_batch(rows)
 
     return run
 
 
-def _seeds(width: int):
-    """(node, seed) windows of texts or of items."""
+def _seeds(widths: list[int]):
+    """(node, width, seed) windows of texts."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -203,13 +210,18 @@ def _seeds(width: int):
             blobs = kernels.blobs_of(batch.column(1))
             for begin, part in kernels.slices(blobs):
                 texts = kernels.Texts(part)
-                rolled, valid = kernels.windows(texts.word_hashes(), texts.first, width)
-                at = np.flatnonzero(valid)
-                owner = np.searchsorted(texts.first, at, "right") - 1 + begin
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(owner)), pa.array(rolled[at].view(np.int64))],
-                    names=["node", "seed"],
-                )
+                words = texts.word_hashes()
+                for width in widths:
+                    rolled, valid = kernels.windows(words, texts.first, width)
+                    at = np.flatnonzero(valid)
+                    owner = np.searchsorted(texts.first, at, "right") - 1 + begin
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array(owner)), pa.array(np.full(len(at), width)),
+                            pa.array(rolled[at].view(np.int64)),
+                        ],
+                        names=["node", "width", "seed"],
+                    )
 
     return run
 
@@ -244,22 +256,23 @@ def tiled_pairs(
 ) -> DataFrame:
     """(id, item_id, n_item_words, n_covered, tiles) of every pair that has a tile.
 
-    Texts and items that are null, empty or shorter than ``min_tile`` words have
-    no tiles.  Rows with a null id, on either side, take no part.  Of items that
+    Texts and items without words have no tiles, nor do texts without a run of
+    ``min_tile`` words of an item, or of all its words where it has fewer; texts and
+    items are taken whole at any length, and an empty side gives no pairs.  Rows with a null id, on either side, take no part.  Of items that
     share an id the row with the most words (then the larger hash) counts; rows
     of documents that share an id give a result each.  Other columns are not read.
     """
     items = (
-        items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("t"))
+        items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").alias("t"))
         .where("item_id is not null")
         .mapInArrow(_word_ids(min_tile), "item_id long, words binary, n_item_words long")
         .groupBy("item_id")
         .agg(F.max(F.struct("n_item_words", "words")).alias("top"))
         .select("item_id", "top.n_item_words", "top.words")
-        .where(F.col("n_item_words") >= min_tile)
+        .where("n_item_words > 0")
     )
     items = cut_lineage(items, "items")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").alias("text"))
     texts = texts.where("node is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("words") + 16), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
@@ -269,10 +282,11 @@ def tiled_pairs(
         pairs = texts.mapInArrow(_tile_sent(sent, min_tile), f"node long, {COVER}")
     else:
         raw = items.select("item_id", "words").mapInArrow(
-            _item_seeds(min_tile), "item_id long, seed long"
+            _item_seeds(min_tile), "item_id long, width long, seed long"
         )
-        seeds = texts.mapInArrow(_seeds(min_tile), "node long, seed long")
-        met = seeds.join(raw, "seed").select("node", "item_id").distinct()
+        widths = [r[0] for r in items.select(F.least("n_item_words", F.lit(min_tile))).distinct().collect()]
+        seeds = texts.mapInArrow(_seeds(sorted(widths)), "node long, width long, seed long")
+        met = seeds.join(raw, ["width", "seed"]).select("node", "item_id").distinct()
         wide = texts.join(met, "node").join(items.select("item_id", "words"), "item_id")
         pairs = wide.select("node", "text", "item_id", "words").mapInArrow(
             _tile_pairs(min_tile), f"node long, {COVER}"
@@ -280,17 +294,21 @@ def tiled_pairs(
     return pairs.withColumnRenamed("node", id_col)
 
 
-def _item_seeds(width: int):
+def _item_seeds(min_tile: int):
+    """(item_id, width, seed) windows of items."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            parts = [_windows_of(np.frombuffer(b, np.uint64), width) for b in batch.column(1).to_pylist()]
+            items = [np.frombuffer(b, np.uint64) for b in batch.column(1).to_pylist()]
+            widths = np.array([min(min_tile, len(i)) for i in items], dtype=np.int64)
+            parts = [_windows_of(i, int(w)) for i, w in zip(items, widths, strict=True)]
             owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             seeds = np.concatenate(parts) if parts else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner)), pa.array(seeds.view(np.int64))],
-                names=["item_id", "seed"],
+                [batch.column(0).take(pa.array(owner)), pa.array(widths[owner]), pa.array(seeds.view(np.int64))],
+                names=["item_id", "width", "seed"],
             )
 
     return run
@@ -317,7 +335,11 @@ def contamination(
 def clean_documents(
     docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **settings
 ) -> DataFrame:
-    """Rows of ``docs`` that contain no item.  Rows with a null id stay."""
+    """Rows of ``docs`` that contain no item.  Rows with a null id stay.
+
+    The ids that go are written; measured to be few they travel to the texts.
+    """
     found = contamination(docs, items, id_col=id_col, **settings)
-    bad = found.select(F.col(id_col).alias("_leaking")).distinct()
+    bad = cut_lineage(found.select(F.col(f"`{id_col}`").alias("_leaking")).distinct(), "leaking")
+    bad = F.broadcast(bad) if fits_broadcast(bad, max_rows=BROADCAST_IDS) else bad
     return docs.join(bad, docs[f"`{id_col}`"].cast("long") == bad["_leaking"], "left_anti")
