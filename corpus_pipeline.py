@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import decontam, linedup, minhash, packing, quality
-from textquarry.plans.joins import cut_lineage
+from textquarry.plans.joins import cut_lineage, fits_broadcast
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near duplicates."""
+    """The smallest document of each group of near duplicates; ids that are few travel to the texts."""
     found = minhash.near_duplicates(docs, width=5, percent=80)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = cut_lineage(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = F.broadcast(gone) if fits_broadcast(gone, max_rows=minhash.BROADCAST_IDS) else gone
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
