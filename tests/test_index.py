@@ -1,3 +1,4 @@
+import os
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -7,8 +8,9 @@ from textquarry.functions import text as T
 from textquarry.operators import embedding, grep, index, symbols
 from textquarry.plans import refresh
 from textquarry.session import scratch_path
-from textquarry.sources.files import file_rows, list_tree, scan_paths, scan_project, scan_text_files
+from textquarry.sources.files import file_rows, scan_paths, scan_project, scan_text_files
 from textquarry.sources.store import CHUNK_SCHEMA, CommitConflict, IndexStore
+from textquarry.sources.tree import list_tree
 from textquarry.operators.filters import IndexRules
 
 STATE = "path string, project_id string, file_hash string"
@@ -364,9 +366,62 @@ def test_vacuum_leaves_what_is_needed(spark):
     store._write("chunks", store.chunk_vectors(), "0" * 32)  # a write that never was committed
     base = store.compact()
     assert store.vacuum() == 4 + 4 + 1
-    assert [n for n in store._names("commits") if n.endswith(".json")] == [f"{base:012d}.json"]
+    assert [n for n in store.names("commits") if n.endswith(".json")] == [f"{base:012d}.json"]
     assert store.applied("feed") == 13 and store.applied("other") == -1
     assert store.vacuum() == 0
     store.replace(*_one(spark, "c9", "/9.go"), source="feed", source_batch=14)
     assert store.applied("feed") == 14
     assert _ids(store.chunk_vectors()) == ["c0", "c1", "c2", "c3", "c9"]
+
+
+def test_large_directory_is_listed_by_many_tasks(spark, tmp_path, capsys):
+    """A flat folder in slices; conditions are pushed into the listing."""
+    flat = tmp_path / "flat"
+    (flat / "deep" / "er").mkdir(parents=True)
+    for k in range(500):
+        (flat / f"f{k:03}.{'md' if k % 2 else 'txt'}").write_text("x" * k)
+    (flat / "deep" / "er" / ".hidden.md").write_text("")
+    os.symlink(flat / "deep", flat / "link")
+    os.symlink(flat / "nothing", flat / "broken.md")
+    listed = list_tree(spark, str(tmp_path), slice_names=20)
+    tasks = listed.groupBy(F.spark_partition_id().alias("t")).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in tasks) == 501 and len(tasks) >= 20 and max(r.n for r in tasks) < 100
+    some = listed.where("size >= 490 and path like '%.md' and mod_time > timestamp '2001-01-01'").select("path")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in some.collect()) == [f"f{k}.md" for k in range(491, 500, 2)]
+    some.explain()
+    assert "Filter (" not in capsys.readouterr().out.replace("\nFilter", "Filter (")
+    assert list_tree(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_changed_paths_cannot_leave_the_project(spark, tmp_path):
+    (tmp_path / "app").mkdir()
+    (tmp_path / "app" / "a.md").write_text("in")
+    (tmp_path / "secret.md").write_text("out")
+    asked = spark.createDataFrame([(f"{tmp_path}/app/../secret.md",), (f"{tmp_path}/app/a.md",), (f"{tmp_path}/app/..",)], "path string")
+    assert [r.rel_path for r in scan_paths(spark, "p", str(tmp_path / "app"), asked).collect()] == ["a.md"]
+
+
+def test_small_changes_move_no_stored_rows(spark, capsys):
+    """No exchange above the stored side of upsert, merge and cache lookup."""
+    folder = scratch_path(spark, "stored")
+    _chunks(spark, [(f"c{k}", "p", f"/{k}.go", "h", "text", [1.0, 2.0]) for k in range(50)]).write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    few = _chunks(spark, [("c1", "p", "/1.go", "h2", "other", [1.0, 2.0]), ("x", "p", "/x.go", "h", "new", [1.0, 2.0])])
+    cached = index.with_cached_vectors(few.drop("embedding"), stored)
+    jobs = [index.upsert_chunks(stored, few), index.merge_index(stored, few, few), cached]
+    assert _ids(jobs[0]) == _ids(jobs[1]) == sorted([f"c{k}" for k in range(50)] + ["x"])
+    assert {r.chunk_id: r.embedding for r in cached.collect()} == {"c1": [1.0, 2.0], "x": None}
+    for job in jobs:
+        capsys.readouterr()
+        job.explain()
+        plan = capsys.readouterr().out.splitlines()
+        scan = next(i for i, line in enumerate(plan) if "FileScan parquet" in line)
+        depth = len(plan[scan]) - len(plan[scan].lstrip(" :+-"))
+        above = []
+        for line in reversed(plan[:scan]):
+            at = len(line) - len(line.lstrip(" :+-"))
+            if at < depth:
+                above.append(line)
+                depth = at
+        shuffles = [line for line in above if "Exchange hashpartitioning" in line]
+        assert not shuffles, plan

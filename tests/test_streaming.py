@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,13 @@ from textquarry.sources.files import file_rows
 from textquarry.sources.sessions import export_sessions, memory_list, memory_read, notes_to_files
 from textquarry.sources.store import IndexStore
 from textquarry.streaming.changes import debounce_changes, debounce_stream, start_change_stream
-from textquarry.streaming.memory import rebuild_memory, start_memory_sync, sync_sessions
+from textquarry.streaming.memory import (
+    rebuild_memory,
+    start_memory_sweep,
+    start_memory_sync,
+    sweep_sessions,
+    sync_sessions,
+)
 
 CHANGES = "project_id string, path string, op string, ts timestamp"
 T0 = dt.datetime(2024, 1, 1)
@@ -153,15 +160,16 @@ def test_session_in_parts(spark):
     rows = [(7, 3 * i, "user" if i % 2 == 0 else "assistant", f"turn number {i % 9}") for i in range(25)]
     rows += [(8, 0, "user", "a short session")]
     files = {r.path: r.content for r in export_sessions(_sessions(spark, rows), _when(), turns_per_file=10).collect()}
-    assert set(files) == {"/memory/7.0.md", "/memory/7.1.md", "/memory/7.2.md", "/memory/8.0.md"}
+    assert set(files) == {"/memory/7.md", "/memory/7.part1.md", "/memory/7.part2.md", "/memory/8.md"}
     whole = {r.path: r.content for r in export_sessions(_sessions(spark, rows), _when()).collect()}
     assert set(whole) == {"/memory/7.md", "/memory/8.md"}
 
     def dialogue(text):
         return text.split("## Dialogue\n\n", 1)[1].split("## All", 1)[0]
 
-    assert "".join(dialogue(files[f"/memory/7.{k}.md"]) for k in range(3)) == dialogue(whole["/memory/7.md"])
-    counts = [files[f"/memory/7.{k}.md"].split("turns:** ")[1].split("\n")[0] for k in range(3)]
+    parts = [files[f"/memory/7{k}.md"] for k in ("", ".part1", ".part2")]
+    assert "".join(dialogue(p) for p in parts) == dialogue(whole["/memory/7.md"])
+    counts = [p.split("turns:** ")[1].split("\n")[0] for p in parts]
     assert counts == ["10", "10", "5"] and "**Extracted strings:** 9\n" in whole["/memory/7.md"]
 
 
@@ -224,3 +232,61 @@ def test_notes(spark):
     assert [r.path for r in memory_list(files, "cursor").collect()] == ["/memory/20240101-000001-plain.md"]
     chunks = refresh.build_chunk_vectors(file_rows(files))
     assert chunks.count() == 2
+
+
+def test_sweep_finds_what_no_event_told(spark):
+    """Grown, cut, changed and vanished sessions; parts that are left over go."""
+    store = IndexStore(spark, scratch_path(spark, "memory"))
+    how = {"turns_per_file": 2}
+    rows = [(c, k, "user", f"question {c} {k} of a session") for c in range(5) for k in range(4)]
+    assert sweep_sessions(store, _sessions(spark, rows), _when(), **how) == 5
+    assert sweep_sessions(store, _sessions(spark, rows), _when(), **how) == 0
+    now = [r for r in rows if r[0] != 0 and not (r[0] == 1 and r[1] > 1)]
+    now = [(c, k, role, text + "!" if c == 2 else text) for c, k, role, text in now] + [(3, 4, "assistant", "more")]
+    batch = store.applied("x")
+    assert sweep_sessions(store, _sessions(spark, now), _when(), **how) == 4 and batch == -1
+    once = IndexStore(spark, scratch_path(spark, "memory"))
+    sync_sessions(once, _sessions(spark, now), _when(), **how)
+    ids = lambda s: sorted(r.chunk_id for r in s.chunk_vectors().collect())
+    paths = lambda s: sorted(r.path for r in s.file_state().collect())
+    assert ids(store) == ids(once) and paths(store) == paths(once)
+    assert paths(store) == sorted(["/memory/1.md", *(f"/memory/{c}{p}.md" for c in (2, 3, 4) for p in ("", ".part1")), "/memory/3.part2.md"])
+
+
+def test_sweep_at_every_tick(spark, tmp_path):
+    store = IndexStore(spark, scratch_path(spark, "memory"))
+    said = [(1, 0, "user", "a first question")]
+    job = start_memory_sweep(
+        spark, store, lambda: _sessions(spark, said), _when(), str(tmp_path / "cp"), trigger={"processingTime": "1 second"}
+    )
+    try:
+        for _ in range(60):
+            if store.file_state().count():
+                break
+            time.sleep(1)
+        said.append((2, 0, "user", "nobody told of this"))
+        for _ in range(60):
+            if store.file_state().count() == 2:
+                break
+            time.sleep(1)
+    finally:
+        job.stop()
+    assert {r.path for r in store.file_state().collect()} == {"/memory/1.md", "/memory/2.md"}
+
+
+def test_hot_session_is_spread(spark):
+    """A session with most turns: no task orders or renders all of it."""
+    rows = spark.range(30_000).select(
+        F.lit(1).alias("conv_id"), (F.col("id") * 3).alias("turn"), F.lit("user").alias("role"),
+        F.concat(F.lit("question number "), F.col("id")).alias("text"),
+    )
+    files = export_sessions(rows, _when(), turns_per_file=100)
+    assert files.count() == 300
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small here
+    try:
+        tasks = files.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) == 8
+    last = files.where("path = '/memory/1.part299.md'").first().content
+    assert "question number 29999" in last and "question number 29899" not in last

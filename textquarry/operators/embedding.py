@@ -19,21 +19,14 @@ DEFAULT_BATCH = 32
 EmbedderFactory = Callable[[], Callable[[Sequence[str]], Sequence[Sequence[float]]]]
 
 
-def embed_with(
-    chunks: DataFrame, factory: EmbedderFactory, batch_size: int = DEFAULT_BATCH
-) -> DataFrame:
-    """Add ``embedding`` with an external model.
-
-    Only the text crosses to Python, in batches of ``batch_size`` texts.  A
-    model that returns another number of vectors than texts fails the job.
-    """
-    batch_size = batch_size if batch_size > 0 else DEFAULT_BATCH
+def _model_vectors(factory: EmbedderFactory, batch_size: int):
+    """Column function of texts: the model's vectors, null for null."""
 
     @arrow_udf(ArrayType(FloatType()))
     def vectors_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embed = factory()
         for batch in batches:
-            texts = batch.to_pylist()
+            texts = [t for t in batch.to_pylist() if t is not None]
             vectors: list = []
             for at in range(0, len(texts), batch_size):
                 part = embed(texts[at : at + batch_size])
@@ -41,9 +34,23 @@ def embed_with(
                 if len(part) != wanted:
                     raise ValueError(f"expected {wanted} embeddings, got {len(part)}")
                 vectors.extend(part)
-            yield pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float32()))
+            made = iter(vectors)
+            out = [list(map(float, next(made))) if known else None for known in batch.is_valid().to_pylist()]
+            yield pa.array(out, pa.list_(pa.float32()))
 
-    return chunks.withColumn("embedding", vectors_of("content"))
+    return vectors_of
+
+
+def embed_with(
+    chunks: DataFrame, factory: EmbedderFactory, batch_size: int = DEFAULT_BATCH
+) -> DataFrame:
+    """Add ``embedding`` with an external model.
+
+    Only the text crosses to Python, in batches of ``batch_size`` texts.  A
+    model that returns another number of vectors than texts fails the job.
+    """
+    batch_size = batch_size if batch_size > 0 else DEFAULT_BATCH
+    return chunks.withColumn("embedding", _model_vectors(factory, batch_size)("content"))
 
 
 def embed_chunks(
@@ -69,8 +76,9 @@ def embed_chunks(
         )
     if vectors is None:
         return embed_with(chunks, factory, batch_size)
-    cached = with_cached_vectors(chunks, vectors)
-    missing = cached.where(F.col("embedding").isNull()).drop("embedding")
-    return cached.where(F.col("embedding").isNotNull()).unionByName(
-        embed_with(missing, factory, batch_size)
+    # One pass: texts with a vector reach the model's column as null.
+    batch_size = batch_size if batch_size > 0 else DEFAULT_BATCH
+    missing = F.when(F.col("embedding").isNull(), F.col("content"))
+    return with_cached_vectors(chunks, vectors).withColumn(
+        "embedding", F.coalesce("embedding", _model_vectors(factory, batch_size)(missing))
     )

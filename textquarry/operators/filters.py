@@ -153,7 +153,7 @@ def gitignore_filter(
 
 def text_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Files without a NUL anywhere and, if asked for, no longer than ``max_bytes``."""
-    has_nul = F.instr(F.decode(F.col("content").cast("binary"), "ISO-8859-1"), "\u0000") > 0
+    has_nul = F.contains(F.col("content").cast("binary"), F.lit(bytearray(1)))
     found = files.where(~has_nul)
     return found if max_bytes is None else found.where(F.col("size") <= max_bytes)
 

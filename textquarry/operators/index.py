@@ -54,22 +54,24 @@ def deleted_files(file_state: DataFrame, files: DataFrame) -> DataFrame:
 def upsert_chunks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Add chunks; a chunk with a stored id replaces it.
 
-    The same text twice in one file has one id: its last place is kept.
+    The same text twice in one file has one id: its last place is kept.  Stored rows
+    have distinct ids.  Ids measured to be few go to the stored chunks, which then
+    stay where they are.
     """
     columns = stored.columns
-    ranked = stored.withColumn("_new", F.lit(0)).unionByName(
-        incoming.select(*columns).withColumn("_new", F.lit(1))
-    )
     rest = [c for c in columns if c != "chunk_id"]
-    latest = F.max_by(F.struct(*rest), F.struct("_new", "start_line", "end_line"))
-    return ranked.groupBy("chunk_id").agg(latest.alias("_row")).select("chunk_id", "_row.*").select(
-        *columns
-    )
+    last = F.max_by(F.struct(*rest), F.struct("start_line", "end_line"))
+    fresh = incoming.groupBy("chunk_id").agg(last.alias("_row")).select("chunk_id", "_row.*").select(*columns)
+    replaced = incoming.select("chunk_id").distinct()
+    return lookup_join(stored, replaced, ["chunk_id"], "left_anti").select(*columns).unionByName(fresh)
 
 
 def delete_paths(table: DataFrame, paths: DataFrame) -> DataFrame:
-    """Rows of any path-keyed index table without the given paths."""
-    return table.join(paths.select("path").distinct(), "path", "left_anti")
+    """Rows of any path-keyed index table without the given paths.
+
+    Paths measured to be few go to the table; only beyond that is it shuffled.
+    """
+    return lookup_join(table, paths.select("path").distinct(), ["path"], "left_anti")
 
 
 def delete_prefix(table: DataFrame, prefix: str) -> DataFrame:
@@ -92,9 +94,11 @@ def symbol_table(chunks: DataFrame) -> DataFrame:
 def with_cached_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Attach stored embeddings by chunk id; ``embedding`` is null where missing.
 
-    ``vectors`` has one row per chunk id, as the index keeps them.
+    ``vectors`` has one row per chunk id, as the index keeps them.  Measured to be
+    few, as those of changed files are, they go to the chunks, and no content is
+    shuffled.
     """
-    return chunks.join(vectors.select("chunk_id", "embedding"), "chunk_id", "left")
+    return lookup_join(chunks, vectors.select("chunk_id", "embedding"), ["chunk_id"], "left")
 
 
 def indexed_paths(file_state: DataFrame) -> DataFrame:

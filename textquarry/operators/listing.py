@@ -11,6 +11,7 @@ from textquarry.functions.paths import (
     dir_name,
     glob_to_regex,
     relative_to,
+    self_and_ancestors,
     under_path,
 )
 
@@ -18,8 +19,12 @@ DEFAULT_DEPTH = 3
 
 
 def directories_of(paths: DataFrame) -> DataFrame:
-    """Distinct directories that hold any of the paths, ``/`` included."""
-    return paths.select(F.explode_outer(ancestors(F.col("path"))).alias("path")).distinct()
+    """Distinct directories that hold any of the paths, ``/`` included.
+
+    Only distinct directories are taken apart, not every path.
+    """
+    holders = paths.where(F.size(ancestors(F.col("path"))) > 0).select(dir_name(F.col("path")).alias("dir")).distinct()
+    return holders.select(F.explode_outer(self_and_ancestors(F.col("dir"))).alias("path")).distinct()
 
 
 def _strictly_below(root: str):

@@ -89,8 +89,9 @@ def find_symbol(
         F.coalesce("project_id", F.lit("")).alias("want_project"),
         F.lower(F.coalesce("language", F.lit(""))).alias("want_language"),
     ).distinct()
-    exact = symbol_exact(symbols, requests)
-    # Requests are few; each step below reads them more than once.
+    # Requests are few; each step below reads them, and what they hit, more than once.
+    requests = cut_lineage(requests, "requests")
+    exact = cut_lineage(symbol_exact(symbols, requests), "exact")
     without = cut_lineage(
         requests.join(exact.select("name").distinct(), "name", "left_anti"), "inexact"
     )

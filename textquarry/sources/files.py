@@ -10,7 +10,6 @@ it ``.gitignore`` and ``__init__.py``.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -22,63 +21,13 @@ from textquarry.functions.paths import ancestors, base_name, relative_to, under_
 from textquarry.functions.text import content_hash
 from textquarry.operators.filters import IndexRules, gitignore_filter, text_files
 from textquarry.plans.joins import cut_lineage
+from textquarry.sources.tree import LISTING, file_system, list_tree
 
 FILE_COLUMNS = ["project_id", "path", "rel_path", "content", "size", "mod_time", "file_hash"]
-LISTING = "path string, size bigint, mod_time timestamp, is_dir boolean"
 BYTES_PER_TASK = 128 * 1024 * 1024
 BYTES_PER_BATCH = 16 * 1024 * 1024
 
 
-def _file_system(root: str):
-    if "://" in root or root.startswith("file:"):
-        return pafs.FileSystem.from_uri(root)
-    return pafs.LocalFileSystem(), root
-
-
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root``: ``path, size, mod_time``, without content.
-
-    Directories are listed level by level, each level by as many tasks as it
-    has directories to offer; no listing passes through the driver.
-    """
-    _, top = _file_system(root)
-
-    def children(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _ = _file_system(root)
-        for batch in batches:
-            for folder in batch.column("path").to_pylist():
-                found = system.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
-                if isinstance(system, pafs.LocalFileSystem):  # a link to a directory is not entered
-                    found = [
-                        i for i in found
-                        if i.type != pafs.FileType.Directory or not os.path.islink(i.path)
-                    ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([i.path for i in found], pa.string()),
-                        pa.array([i.size or 0 for i in found], pa.int64()),
-                        pa.array([i.mtime for i in found], pa.timestamp("us", tz="UTC")),
-                        pa.array([i.type == pafs.FileType.Directory for i in found], pa.bool_()),
-                    ],
-                    names=["path", "size", "mod_time", "is_dir"],
-                )
-
-    width = spark.sparkContext.defaultParallelism * 4
-    level = spark.createDataFrame([(top.rstrip("/") or "/",)], "path string")
-    levels = []
-    while True:
-        listed = cut_lineage(level.mapInArrow(children, LISTING), "listing")
-        levels.append(listed.where(~F.col("is_dir")).drop("is_dir"))
-        folders = listed.where("is_dir").select("path")
-        if folders.isEmpty():
-            break
-        level = folders.repartition(width)
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out
-
-
 def stat_paths(paths: DataFrame, root: str) -> DataFrame:
     """``path, size, mod_time`` of those of the given paths that are files now.
 
@@ -86,7 +35,7 @@ def stat_paths(paths: DataFrame, root: str) -> DataFrame:
     """
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _ = _file_system(root)
+        system, _ = file_system(root)
         for batch in batches:
             found = system.get_file_info(batch.column(0).to_pylist())
             found = [i for i in found if i.type == pafs.FileType.File]
@@ -99,8 +48,10 @@ def stat_paths(paths: DataFrame, root: str) -> DataFrame:
                 names=["path", "size", "mod_time"],
             )
 
-    inside = paths.select("path").distinct().where(under_path(F.col("path"), _file_system(root)[1]))
-    return inside.mapInArrow(ask, LISTING.removesuffix(", is_dir boolean"))
+    inside = paths.select("path").distinct().where(under_path(F.col("path"), file_system(root)[1]))
+    # A path that climbs out of the tree again is not below it.
+    inside = inside.where(~F.concat("path", F.lit("/")).contains("/../"))
+    return inside.mapInArrow(ask, LISTING)
 
 
 def scan_paths(
@@ -115,7 +66,7 @@ def scan_paths(
     Besides them only the ignore files of the directories above are read.
     """
     root = root.rstrip("/") or "/"
-    top = _file_system(root)[1].rstrip("/") or "/"
+    top = file_system(root)[1].rstrip("/") or "/"
     listing = cut_lineage(stat_paths(paths, root), "listing")
     above = listing.select(F.explode(ancestors(F.col("path"))).alias("dir")).distinct()
     ignores = above.where(under_path(F.col("dir"), top)).select(
@@ -144,7 +95,7 @@ def read_contents(
         )
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _ = _file_system(root)
+        system, _ = file_system(root)
         for batch in batches:
             kept, contents, size = [], [], 0
             for i, path in enumerate(batch.column("path").to_pylist()):
@@ -198,8 +149,8 @@ def scan_project(
     read.
     """
     root = root.rstrip("/") or "/"
-    listing = list_tree(spark, root)
-    top = _file_system(root)[1].rstrip("/") or "/"
+    listing = cut_lineage(list_tree(spark, root), "listing")
+    top = file_system(root)[1].rstrip("/") or "/"
     ignore_files = listing.where(base_name(F.col("path")) == ".gitignore")
     accepted = listing.where(
         rules.accepts(relative_to(F.col("path"), F.lit(top)), F.col("size"))

@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
 from textquarry.functions.embed import bind
 from textquarry.functions.paths import base_name, under_path
 from textquarry.operators.filters import keeps_turn
-from textquarry.plans.joins import fits_broadcast
+from textquarry.plans.joins import fits_broadcast, running
 
 DEFAULT_PROVIDER = "cascade"
 RFC3339 = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+# A file of a session holds so many turns; turns are numbered in blocks.
+TURNS_PER_FILE = 500
+TURN_BLOCK = 10_000
+
+
+PART = ".part"
+
+
+def session_of(path: Column) -> Column:
+    """The session a memory file is of, from its name."""
+    return F.regexp_replace(base_name(path), r"(\.part[0-9]+)?\.md$", "")
+
 
 def dedupe_strings(strings: Column) -> Column:
     """Distinct strings in first-seen order."""
@@ -26,31 +38,30 @@ def export_sessions(
     provider: str = DEFAULT_PROVIDER,
     folder: str = "/memory",
     min_user_bytes: int = 10,
-    turns_per_file: int | None = None,
+    turns_per_file: int = TURNS_PER_FILE,
 ) -> DataFrame:
     """Render sessions as Markdown files.
 
     ``turns`` has ``conv_id, turn, role, text`` with ``turn`` the position in
     the session.  A file carries a header about its turns, the dialogue and
-    every distinct string of them, listed where it is first seen.  A session is
-    one file ``<conv_id>.md``, whatever its length.  With ``turns_per_file``
-    every session is written in parts ``<conv_id>.<n>.md`` of so many turns, each
-    a file like any other, so that no row holds more than that.
+    every distinct string of them, listed where it is first seen.  The first
+    ``turns_per_file`` turns of a session are ``<conv_id>.md``, the following ones
+    ``<conv_id>.part1.md`` and so on, each a file like any other: no row holds more
+    than that, a session is numbered and rendered by as many tasks as it has blocks
+    and parts, and one that grows leaves its earlier parts as they are.
     ``exported_at`` must not depend on the time of the run, so that a repeated
     export gives the same bytes.
 
     Output: ``project_id, path, content, mod_time``.
     """
     conv = F.col("conv_id").cast("string")
-    keys = ["conv_id"]
-    name = conv
-    if turns_per_file:
-        place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-        turns = turns.withColumn("part", F.floor(place / turns_per_file).cast("bigint"))
-        keys.append("part")
-        name = F.concat(conv, F.lit("."), F.col("part").cast("string"))
+    block = F.floor(F.col("turn") / TURN_BLOCK)
+    numbered = running(turns.select("conv_id", "turn", "role", "text"), ["conv_id"], ["turn"], block, F.lit(1), "n")
+    turns = numbered.withColumn("part", F.floor((F.col("n") - 1) / turns_per_file).cast("bigint"))
+    part = F.when(F.col("part") > 0, F.concat(F.lit(PART), F.col("part").cast("string"))).otherwise("")
+    name = F.concat(conv, part)
     item = F.struct("turn", "role", "text", keeps_turn(min_user_bytes).alias("in_dialogue"))
-    files = turns.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    files = turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(item)).alias("items"))
     texts = F.transform("items", lambda x: x["text"])
     strings = dedupe_strings(texts)
     size = F.aggregate("items", F.lit(0).cast("bigint"), lambda n, x: n + F.coalesce(F.octet_length(x["text"]), F.lit(0)))

@@ -32,7 +32,8 @@ CHUNK_SCHEMA = (
     "embedding array<float>, batch bigint"
 )
 STATE_SCHEMA = (
-    "path string, project_id string, file_hash string, indexed_at timestamp, deleted boolean"
+    "path string, project_id string, file_hash string, indexed_at timestamp, deleted boolean, "
+    "chunks bigint, symbols bigint"
 )
 COMMIT_SCHEMA = (
     "batch bigint, base bigint, dim int, source string, source_batch bigint, write string"
@@ -94,19 +95,31 @@ class IndexStore:
     def _latest(self, span: list[Row]) -> DataFrame:
         """The last state row of every path in a span."""
         row = F.max_by(
-            F.struct("project_id", "file_hash", "indexed_at", "deleted", "batch"), "batch"
+            F.struct("project_id", "file_hash", "indexed_at", "deleted", "chunks", "symbols", "batch"), "batch"
         )
         states = self._table("file_state", STATE_SCHEMA, span)
         return states.groupBy("path").agg(row.alias("s")).select("path", "s.*")
 
     def file_state(self) -> DataFrame:
         """Indexed files: ``path, project_id, file_hash, indexed_at``."""
-        return self._states(self._span())
+        return self._states(self._span()).drop("chunks", "symbols")
+
+    def statistics(self) -> DataFrame:
+        """Files, chunks, symbols and last index time per project, as kept with the file states.
+
+        Every write counts its own chunks per file, so no chunk is read here.
+        """
+        return self._states(self._span()).groupBy("project_id").agg(
+            F.count("*").alias("files"),
+            F.sum("chunks").alias("chunks"),
+            F.sum("symbols").alias("symbols"),
+            F.max("indexed_at").alias("last_indexed_at"),
+        )
 
     def _states(self, span: list[Row]) -> DataFrame:
         live = self._table("file_state", STATE_SCHEMA, span) if len(span) < 2 else self._latest(span)
         return live.where(~F.col("deleted")).select(
-            "path", "project_id", "file_hash", "indexed_at"
+            "path", "project_id", "file_hash", "indexed_at", "chunks", "symbols"
         )
 
     def chunk_vectors(self) -> DataFrame:
@@ -171,7 +184,7 @@ class IndexStore:
         span = self._span()
         write = uuid.uuid4().hex
         dim = self._write_chunks(chunk_vectors, write, span[-1]["dim"] if span else None)
-        self._write("file_state", states, write)
+        self._write("file_state", self._counted(states, write), write)
         while True:
             known = span[-1]["dim"] if span else None
             if dim is not None and known is not None and dim != known:
@@ -217,17 +230,17 @@ class IndexStore:
         """
         span = self._span()
         live = {f"write={c['write']}" for c in span}
-        old = [n for n in self._names("commits") if span and n[:12].isdigit() and int(n[:12]) < span[0]["batch"]]
+        old = [n for n in self.names("commits") if span and n[:12].isdigit() and int(n[:12]) < span[0]["batch"]]
         remove = lambda fs, p: fs.delete(p, True)
         gone = 0
         for name in ("chunks", "file_state"):
-            for write in set(self._names(name)) - live:
+            for write in set(self.names(name)) - live:
                 gone += self._files(f"{self.folder}/{name}/{write}", remove)
         for name in old:  # after the folders they name
             self._files(f"{self.folder}/commits/{name}", remove)
         return gone
 
-    def _names(self, folder: str) -> list[str]:
+    def names(self, folder: str) -> list[str]:
         def names(fs, path):
             return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
@@ -242,6 +255,16 @@ class IndexStore:
     def _write(self, name: str, rows: DataFrame, write: str) -> None:
         rows.write.parquet(f"{self.folder}/{name}/write={write}")
 
+    def _counted(self, states: DataFrame, write: str) -> DataFrame:
+        """States with the numbers of chunks and symbols that their write holds of each file."""
+        schema = CHUNK_SCHEMA.removesuffix(", batch bigint")
+        written = self.spark.read.schema(schema).parquet(f"{self.folder}/chunks/write={write}")
+        counts = written.groupBy("path").agg(
+            F.count("*").alias("chunks"), F.count_if(F.col("symbol") != "").alias("symbols")
+        )
+        known = states.join(counts, "path", "left")
+        return known.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("chunks", "symbols")})
+
     def _write_chunks(self, rows: DataFrame, write: str, dim: int | None) -> int | None:
         """Write chunks and return the dimension all vectors have.
 

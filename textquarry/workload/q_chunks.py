@@ -136,8 +136,11 @@ FROM (
 GROUP BY k"""
 
 
+# Turns a file of a session holds in the registered queries: most sessions have parts.
+TURNS = 3
 SESSIONS = rf"""
-SELECT 'memory-cascade' AS project_id, '/memory/' || conv_id || '.md' AS path,
+SELECT 'memory-cascade' AS project_id,
+  '/memory/' || conv_id || CASE WHEN part > 0 THEN '.part' || part ELSE '' END || '.md' AS path,
   '# Chat trajectory: ' || conv_id || chr(10) || chr(10) || '- **Provider:** cascade' || chr(10)
   || '- **Source:** `' || conv_id || '`' || chr(10)
   || '- **Decrypted size:** ' || sum(strlen(text)) || ' bytes' || chr(10)
@@ -150,13 +153,15 @@ SELECT 'memory-cascade' AS project_id, '/memory/' || conv_id || '.md' AS path,
   || '## All extracted strings' || chr(10) || chr(10)
   || string_agg(replace(text, '#', '\#') || chr(10) || chr(10), '' ORDER BY turn) FILTER (WHERE first_turn = turn) AS content
 FROM (SELECT *, NOT (role = 'user' AND strlen(text) < {MIN_USER_BYTES}) AS kept,
-             min(turn) OVER (PARTITION BY conv_id, text) AS first_turn FROM conversations) t
-GROUP BY conv_id"""
+             min(turn) OVER (PARTITION BY conv_id, part, text) AS first_turn
+      FROM (SELECT *, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // {TURNS} AS BIGINT) AS part
+            FROM conversations) c) t
+GROUP BY conv_id, part"""
 
 
 def session_files(t):
     exported = sessions.export_sessions(
-        t.conversations, F.to_timestamp_ntz(F.lit(EXPORTED_AT)), min_user_bytes=MIN_USER_BYTES
+        t.conversations, F.to_timestamp_ntz(F.lit(EXPORTED_AT)), min_user_bytes=MIN_USER_BYTES, turns_per_file=TURNS
     )
     return file_rows(exported)
 

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from textquarry.functions import text as T
 from textquarry.functions.paths import matches_any, relative_to, under_path
 from textquarry.operators import filters, grep, listing
+from textquarry.plans.joins import cut_lineage
+from textquarry.session import scratch_path
 from textquarry.sources import sessions
-from textquarry.sources.files import file_rows
+from textquarry.sources.files import file_rows, read_contents, scan_project
+from textquarry.sources.tree import file_system, list_tree
 from textquarry.workload.registry import query
 
 LAST_ELEMENT = r"regexp_extract(path, '([^/]*)$', 1)"
@@ -20,6 +23,35 @@ ANCESTORS = (
 )
 
 
+def written_tree(t):
+    """The files of the view as a tree of real files, with an ignore file in one directory."""
+    root = scratch_path(t.spark, "tree")
+    ignore = t.files.limit(1).select(F.lit("/corpus/src1/.gitignore").alias("path"), F.lit("en/\n").alias("content"))
+
+    def write(batches):
+        system, top = file_system(root)
+        for batch in batches:
+            for row in batch.to_pylist():
+                place = top + row["path"]
+                system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(place, compression=None) as out:
+                    out.write(row["content"].encode())
+            yield batch.select(["path"])
+
+    rows = t.files.select("path", "content").unionByName(ignore)
+    rows.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    return f"{root}/corpus"
+
+
+SCANNED = ["project_id", "path", "rel_path", "content", "size", "file_hash"]
+
+
+def scanned(files):
+    """Scanned files under the names of the view."""
+    files = files.withColumn("path", F.concat(F.lit("/corpus/"), "rel_path"))
+    return files.withColumn("project_id", F.split_part("rel_path", F.lit("/"), F.lit(1))).select(*SCANNED)
+
+
 @query(
     "file_scan",
     """
@@ -28,8 +60,22 @@ SELECT source AS project_id, path, substr(path, 9) AS rel_path, content,
 FROM (SELECT project_id AS source, path, content FROM files) f""",
 )
 def file_scan(t):
-    raw = t.files.select("project_id", "path", "content", "mod_time")
-    return file_rows(raw, root="/corpus").drop("mod_time")
+    """All files of a tree on disk: listed, then read by the tasks."""
+    root = written_tree(t)
+    listing = list_tree(t.spark, root).where(~F.endswith("path", F.lit(".gitignore")))
+    return scanned(file_rows(read_contents(cut_lineage(listing, "listing"), root), "", file_system(root)[1]))
+
+
+@query(
+    "scan_project",
+    """
+SELECT project_id, path, substr(path, 9) AS rel_path, content,
+       CAST(strlen(content) AS BIGINT) AS size, sha256(content) AS file_hash
+FROM files WHERE lower(path) SIMILAR TO '.*[.](md|py)' AND NOT starts_with(path, '/corpus/src1/en/')""",
+)
+def scanned_project(t):
+    """Indexable files of a tree on disk, by rules and ignore files."""
+    return scanned(scan_project(t.spark, "", written_tree(t)))
 
 
 @query("text_files", "SELECT path, size FROM files WHERE NOT path LIKE '%7'")

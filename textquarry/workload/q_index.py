@@ -11,7 +11,7 @@ from textquarry.session import scratch_path
 from textquarry.sources.sessions import memory_read
 from textquarry.sources.store import IndexStore
 from textquarry.streaming.changes import debounce_changes, debounce_stream, start_change_stream
-from textquarry.streaming.memory import rebuild_memory, start_memory_sync
+from textquarry.streaming.memory import rebuild_memory, start_memory_sync, sweep_sessions
 from textquarry.workload.q_chunks import (
     CHUNKS,
     DECLARATIONS,
@@ -19,6 +19,7 @@ from textquarry.workload.q_chunks import (
     MEMORY_CHUNKS,
     MIN_USER_BYTES,
     SESSION_FILES,
+    TURNS,
     sections_sql,
     session_files,
     whole_file_sql,
@@ -408,6 +409,7 @@ def memory_sync(t):
         scratch_path(spark, "memory-offsets"),
         trigger={"availableNow": True},
         min_user_bytes=MIN_USER_BYTES,
+        turns_per_file=TURNS,
     )
     sync.awaitTermination()
     return store.chunk_vectors().select("chunk_id", "path", "start_line")
@@ -424,10 +426,55 @@ def rebuilt_memory(t):
     at = F.to_timestamp_ntz(F.lit(EXPORTED_AT))
     wrong = t.conversations.withColumn("text", F.concat(F.lit("old "), "text"))
     rebuild_memory(store, wrong.withColumn("conv_id", F.col("conv_id") + 10**6), at)
-    rebuild_memory(store, t.conversations, at, min_user_bytes=MIN_USER_BYTES)
+    rebuild_memory(store, t.conversations, at, min_user_bytes=MIN_USER_BYTES, turns_per_file=TURNS)
     return store.chunk_vectors().select("chunk_id", "path", "start_line")
 
 
+@query(
+    "memory_sweep",
+    f"""
+SELECT chunk_id, path, max(start_line) AS start_line FROM ({MEMORY_CHUNKS}) c GROUP BY chunk_id, path""",
+)
+def memory_sweep(t):
+    """Sessions that grew, were cut, changed or vanished without an event are found by the next sweep."""
+    store = IndexStore(t.spark, scratch_path(t.spark, "memory"))
+    at = F.to_timestamp_ntz(F.lit(EXPORTED_AT))
+    how = {"min_user_bytes": MIN_USER_BYTES, "turns_per_file": TURNS}
+    turns = t.conversations
+    longer = turns.withColumn("turn", F.col("turn") + 100)
+    other = turns.withColumn("conv_id", F.col("conv_id") + 10**6)
+    changed = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("old "), "text")).otherwise(F.col("text"))
+    older = turns.where((F.col("conv_id") % 3 != 1) | (F.col("turn") < 2)).withColumn("text", changed)
+    sweep_sessions(store, older.unionByName(other).unionByName(longer.where("conv_id % 3 = 2")), at, **how)
+    sweep_sessions(store, turns, at, **how)
+    assert sweep_sessions(store, turns, at, **how) == 0
+    return store.chunk_vectors().select("chunk_id", "path", "start_line")
+
+
+@query(
+    "index_statistics",
+    f"""
+SELECT project_id, count(DISTINCT path) AS files, count(*) AS chunks,
+       count(*) FILTER (WHERE symbol <> '') AS symbols
+FROM (SELECT DISTINCT ON (chunk_id) {CHUNKS} FROM ({sections_sql('md_files')}) m WHERE path NOT IN (
+        SELECT path FROM md_files WHERE project_id = 'src3'
+        UNION ALL SELECT path FROM md_files WHERE ends_with(path, '.txt'))
+      UNION ALL
+      SELECT {CHUNKS} FROM ({whole_file_sql('md_files')}) w WHERE ends_with(path, '.txt') AND project_id <> 'src3') c
+GROUP BY project_id""",
+)
+def index_statistics(t):
+    """Statistics kept with the states after files were added, replaced and removed."""
+    store = IndexStore(t.spark, scratch_path(t.spark, "statistics"))
+    files = t.md_files
+    written = lambda chunks: embedding.embed_chunks(index.upsert_chunks(chunks.limit(0), chunks))
+    store.replace(index.file_state_of(files), written(chunking.markdown_sections(files)))
+    again = files.where(F.endswith("path", F.lit(".txt")))
+    store.replace(index.file_state_of(again), written(chunking.whole_file_chunks(again)))
+    store.delete(files.where("project_id = 'src3'").select("path"))
+    return store.statistics().select("project_id", "files", "chunks", "symbols")
+
+
 @query(
     "memory_read",
     f"""
