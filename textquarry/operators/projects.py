@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.functions.embed import bind
 from textquarry.functions.paths import (
     ancestors,
     base_name,

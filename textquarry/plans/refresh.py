@@ -85,12 +85,19 @@ def refresh_project(
 def rebuild_project(
     store: IndexStore, files: DataFrame, root: str, *, factory: EmbedderFactory | None = None
 ) -> int:
-    """Drop everything below ``root`` (``""``: the whole index) and index ``files``."""
-    files = cut_lineage(files, "files")
-    old = store.file_state().where(under_path(F.col("path"), root)).select("path")
-    gone = old.join(files.select("path"), "path", "left_anti")
-    fresh = build_chunk_vectors(files, _vectors_of(store, files), factory=factory)
-    return store.replace(file_state_of(files), fresh, removed=gone)
+    """Drop everything below ``root`` (``""``: the whole index) and index ``files``.
+
+    Files are read once, and their contents written to the index only.
+    """
+    below = under_path(F.col("path"), root)
+    old = store.file_state().where(below)
+    known = store.chunk_vectors().where(below).select("chunk_id", "embedding")
+    return store.replace(None, build_chunk_vectors(files, known, factory=factory), removed=missing_from(old))
+
+
+def missing_from(candidates: DataFrame):
+    """Which of some paths a write did not bring."""
+    return lambda written: candidates.select("path").join(written, "path", "left_anti")
 
 
 def remove_project(store: IndexStore, root: str) -> int:
@@ -121,10 +128,10 @@ def reindex_paths(
     roots = cut_lineage(paths.select(F.col("path").alias("root")).distinct(), "roots")
     indexable = files.where(rules.accepts(F.col("rel_path"), F.col("size")))
     wanted = cut_lineage(_inside(indexable, roots), "wanted")
-    again = cut_lineage(lookup_join(indexable, wanted, ["path"], "left_semi"), "changed")
-    gone = _inside(store.file_state(), roots).join(wanted, "path", "left_anti")
-    fresh = build_chunk_vectors(again, _vectors_of(store, again), factory=factory)
-    return store.replace(file_state_of(again), fresh, removed=gone)
+    again = lookup_join(indexable, wanted, ["path"], "left_semi")
+    old = _inside(store.file_state(), roots)
+    fresh = build_chunk_vectors(again, _vectors_of(store, wanted), factory=factory)
+    return store.replace(None, fresh, removed=missing_from(old))
 
 
 def latest_changes(changes: DataFrame) -> DataFrame:
@@ -133,22 +140,6 @@ def latest_changes(changes: DataFrame) -> DataFrame:
     return followed.groupBy("path").agg(F.max_by("op", F.struct("ts", "op")).alias("op"))
 
 
-def split_changes(
-    changes: DataFrame, files: DataFrame, rules: IndexRules = IndexRules()
-) -> tuple[DataFrame, DataFrame]:
-    """Files to index again, and paths to drop, for a batch of changes.
-
-    ``files`` is the present state of the tree.  What matters is whether a
-    changed path is an indexable file now: if so it is indexed again, and if it
-    is missing or filtered out its rows go.
-    """
-    touched = cut_lineage(latest_changes(changes).select("path"), "touched")
-    indexable = files.where(rules.accepts(F.col("rel_path"), F.col("size")))
-    again = lookup_join(indexable, touched, ["path"], "left_semi")
-    gone = touched.join(indexable.select("path"), "path", "left_anti")
-    return again, gone
-
-
 def apply_changes(
     store: IndexStore,
     changes: DataFrame,
@@ -159,12 +150,18 @@ def apply_changes(
     source: str = "",
     source_batch: int = -1,
 ) -> int:
-    """Apply a batch of changes to the store; repeating a batch changes nothing."""
+    """Apply a batch of changes to the store; repeating a batch changes nothing.
+
+    ``files`` is the present state of the tree, or of the touched paths.  What
+    matters is whether a changed path is an indexable file now: if so it is indexed
+    again, and if it is missing or filtered out its rows go.
+    """
     if source and source_batch <= store.applied(source):
         return -1
-    again, gone = split_changes(changes, files, rules)
-    again = cut_lineage(again, "changed")
-    fresh = build_chunk_vectors(again, _vectors_of(store, again), factory=factory)
+    touched = cut_lineage(latest_changes(changes).select("path"), "touched")
+    indexable = files.where(rules.accepts(F.col("rel_path"), F.col("size")))
+    again = lookup_join(indexable, touched, ["path"], "left_semi")
+    fresh = build_chunk_vectors(again, _vectors_of(store, touched), factory=factory)
     return store.replace(
-        file_state_of(again), fresh, removed=gone, source=source, source_batch=source_batch
+        None, fresh, removed=missing_from(touched), source=source, source_batch=source_batch
     )

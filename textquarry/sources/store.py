@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -156,9 +157,9 @@ class IndexStore:
 
     def replace(
         self,
-        file_state: DataFrame,
+        file_state: DataFrame | None,
         chunk_vectors: DataFrame,
-        removed: DataFrame | None = None,
+        removed: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
         *,
         source: str = "",
         source_batch: int = -1,
@@ -166,25 +167,29 @@ class IndexStore:
     ) -> int:
         """Make the given files and chunks the only rows of their paths.
 
-        ``removed`` holds further paths to drop.  A write that fails before its
-        commit stays invisible.  Returns the number of the commit.
+        Without ``file_state`` the files are those of the chunks, read once: every file
+        has a chunk.  ``removed`` holds further paths to drop, or works them out from the
+        paths that were written.  A write that fails before its commit stays invisible.
+        Returns the number of the commit.
         """
-        now = F.current_timestamp() if indexed_at is None else indexed_at
-        states = file_state.select(
-            "path", "project_id", "file_hash", now.cast("timestamp").alias("indexed_at"),
-            F.lit(False).alias("deleted"),
-        )
-        if removed is not None:
-            states = states.unionByName(
-                removed.select("path").distinct().select(
-                    "path", F.lit("").alias("project_id"), F.lit("").alias("file_hash"),
-                    now.cast("timestamp").alias("indexed_at"), F.lit(True).alias("deleted"),
-                )
-            )
+        now = (F.current_timestamp() if indexed_at is None else indexed_at).cast("timestamp")
         span = self._span()
         write = uuid.uuid4().hex
         dim = self._write_chunks(chunk_vectors, write, span[-1]["dim"] if span else None)
-        self._write("file_state", self._counted(states, write), write)
+        written = self._written(write)
+        files = written if file_state is None else file_state.select("path", "project_id", "file_hash").join(
+            written.select("path", "chunks", "symbols"), "path", "left"
+        )
+        counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("chunks", "symbols")]
+        shape = ["path", "project_id", "file_hash", now.alias("indexed_at")]
+        states = files.select(*shape, F.lit(False).alias("deleted"), *counts)
+        if callable(removed):
+            removed = removed(written.select("path"))
+        if removed is not None:
+            empty = {"project_id": F.lit(""), "file_hash": F.lit(""), "chunks": F.lit(0), "symbols": F.lit(0)}
+            gone = removed.select("path").distinct().withColumns(empty)
+            states = states.unionByName(gone.select(*shape, F.lit(True).alias("deleted"), *counts))
+        self._write("file_state", states, write)
         while True:
             known = span[-1]["dim"] if span else None
             if dim is not None and known is not None and dim != known:
@@ -255,15 +260,14 @@ class IndexStore:
     def _write(self, name: str, rows: DataFrame, write: str) -> None:
         rows.write.parquet(f"{self.folder}/{name}/write={write}")
 
-    def _counted(self, states: DataFrame, write: str) -> DataFrame:
-        """States with the numbers of chunks and symbols that their write holds of each file."""
+    def _written(self, write: str) -> DataFrame:
+        """The files of a write, from its chunks, and how many chunks and symbols each has."""
         schema = CHUNK_SCHEMA.removesuffix(", batch bigint")
-        written = self.spark.read.schema(schema).parquet(f"{self.folder}/chunks/write={write}")
-        counts = written.groupBy("path").agg(
-            F.count("*").alias("chunks"), F.count_if(F.col("symbol") != "").alias("symbols")
+        chunks = self.spark.read.schema(schema).parquet(f"{self.folder}/chunks/write={write}")
+        return chunks.groupBy("path").agg(
+            F.max("project_id").alias("project_id"), F.max("file_hash").alias("file_hash"),
+            F.count("*").alias("chunks"), F.count_if(F.col("symbol") != "").alias("symbols"),
         )
-        known = states.join(counts, "path", "left")
-        return known.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("chunks", "symbols")})
 
     def _write_chunks(self, rows: DataFrame, write: str, dim: int | None) -> int | None:
         """Write chunks and return the dimension all vectors have.

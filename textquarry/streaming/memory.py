@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textquarry.operators.embedding import EmbedderFactory
-from textquarry.operators.index import deleted_files, file_state_of
 from textquarry.plans.joins import cut_lineage, lookup_join
-from textquarry.plans.refresh import build_chunk_vectors, index_changed
+from textquarry.plans.refresh import build_chunk_vectors, index_changed, missing_from
 from textquarry.sources.files import file_rows
 from textquarry.sources.sessions import DEFAULT_PROVIDER, TURNS_PER_FILE, export_sessions, session_of
 from textquarry.sources.store import IndexStore
@@ -151,10 +150,10 @@ def rebuild_memory(
             turns, exported_at, provider=provider, min_user_bytes=min_user_bytes, turns_per_file=turns_per_file
         )
     )
-    files = cut_lineage(files, "sessions")
-    old = store.file_state().where(F.col("project_id") == "memory-" + provider)
-    fresh = build_chunk_vectors(files, store.chunk_vectors(), factory=factory)
-    return store.replace(file_state_of(files), fresh, removed=deleted_files(old, files))
+    mine = F.col("project_id") == "memory-" + provider
+    known = store.chunk_vectors().where(mine)
+    fresh = build_chunk_vectors(files, known, factory=factory)
+    return store.replace(None, fresh, removed=missing_from(store.file_state().where(mine)))
 
 
 def start_memory_sync(

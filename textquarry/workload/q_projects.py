@@ -46,6 +46,19 @@ def assign_project(t):
     return projects.assign_project(t.files, roots).select("path", "project_id")
 
 
+@query(
+    "add_project",
+    """
+SELECT project_id, root, ord FROM projects
+UNION ALL
+SELECT min(project_id) || '-1' AS project_id, '/elsewhere/' || min(project_id) AS root, max(ord) + 1 AS ord FROM projects""",
+)
+def add_project(t):
+    """One more project, whose directory has the name of one that is there."""
+    name = t.projects.agg(F.min("project_id")).first()[0]
+    return projects.add_project(t.projects, f"/elsewhere/{name}/")
+
+
 # The directories of the tree with what discovery needs to know about each.
 DISCOVERED = f"""
 WITH entries AS (
