@@ -95,3 +95,49 @@ def test_bands_reject_junk_and_keep_prose(spark):
     assert {r["doc_id"] for r in quality.good_documents(docs, bands=strict).collect()} == {5, 6}
     by_script = {r["doc_id"] for r in quality.good_documents(docs.drop("lang")).collect()}
     assert by_script - {7} == {1, 4, 5, 6}  # digits have no letters, so no script's band
+
+
+def test_corpus_bands_decide(spark):
+    """Labelled junk falls outside the bands of its language, labelled prose stays."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("lang = 'en'")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rated = quality.rate(docs).where("not base_failed").join(labels, "doc_id").collect()
+    share = lambda q: np.mean([r["kept"] for r in rated if r["quality"] == q])
+    assert share(1) >= 0.97 and share(0) <= 0.15
+
+
+def test_every_measure_rejects(spark):
+    """Junk that passes the outer bands, one kind for each measure, among documents of one language."""
+    random = np.random.default_rng(11)
+    few = "the river valley farmer night storm field house water road morning winter summer garden window market".split()
+    common = few + (
+        "letter mountain city people school paper station village music doctor history question answer number country family "
+        "animal summer kitchen table church bridge forest island ocean planet teacher student office machine engine travel "
+        "language science culture army government company business price money century"
+    ).split()
+    prose = lambda n: " ".join(random.choice(common) for _ in range(n))
+    rows = [(i, prose(int(random.integers(150, 250)))) for i in range(300)]
+    table = " | ".join(prose(150).split())
+    accents = " ".join(f"{w}\u1e9f" if k % 12 == 0 else w for k, w in enumerate(prose(200).split()))
+    letters = " ".join("".join(random.choice(list("bcdfghjklm"), 6)) for _ in range(150))
+    poor = " ".join(random.choice(few[:14]) for _ in range(150))
+    junk = {1000: table, 1001: accents, 1002: letters, 1003: poor}
+    docs = spark.createDataFrame(rows + list(junk.items()), "doc_id long, text string").selectExpr("*", "'en' as lang")
+    measured = quality._measured(docs, ["doc_id"], "text", "lang", quality.VOCABULARY, quality.BANDS)
+    band = quality.corpus_bands(measured, "lang").first()["band"]
+    seen = {r["c0"]: r["m"] for r in measured.collect()}
+    value = lambda i, a, b="n_tokens": seen[i][a] / seen[i][b]
+    assert value(1000, "letters") < band["letters_low"]
+    assert value(1001, "n_byte_tokens") > band["spelled_high"]
+    assert value(1002, "word_chars") < band["chars_low"]
+    assert seen[1003]["token_entropy"] < band["entropy_low"]
+    kept = {r["doc_id"] for r in quality.rate(docs).where("kept").collect()}
+    assert not kept & set(junk) and len(kept) >= 295
+    assert {r["doc_id"] for r in quality.good_documents(docs).collect()} == kept
+
+
+def test_small_groups_have_the_outer_bands_only(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    measured = quality._measured(docs, ["doc_id"], "text", "lang", quality.VOCABULARY, quality.BANDS)
+    assert quality.corpus_bands(measured, "lang").count() == 0

@@ -1,16 +1,22 @@
 """Quality rules: counts of a text, and the fertility of a public tokenizer on it.
 
 A tokenizer fits ordinary prose of its languages: several characters to a token,
-few bytes that it has to spell, many different tokens.  Junk shows as a low
-number of characters a token (random strings, digits), of letters a token
-(symbols stuck to words), a high share of byte-fallback tokens (other scripts,
-binary rubbish) or a low token entropy (the same few tokens again and again).
-Each measure has a band per language, else per script.
+few bytes that it has to spell, many different tokens.  Junk shows as few
+characters or letters a token (random strings, digits, symbols stuck to words or
+standing between them, as in tables: a token without letters counts against a text), a
+high share of byte-fallback tokens (other scripts, binary rubbish) or a low token
+entropy (the same few tokens again and again).
+
+Bands come from the corpus itself: per language, else per script, the quartiles of each
+measure over all documents that pass the base rules, and ``SPREADS`` times the distance
+between them outside.  A language and a script with too few documents for quartiles have
+only the fixed outer bands, which hold for all.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +25,25 @@ from pyspark.sql import functions as F
 
 from textquarry.llm import kernels
 from textquarry.llm.tokens import Known, filled
+from textquarry.plans.joins import cut_lineage, fits_broadcast
 
 VOCABULARY = "piece_bpe_32k.model"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WIDTH = 8
 
-# Bands: least and most characters a token; most byte-fallback share; least token
+# Corpus bands: how many quartile distances outside the quartiles, the least such
+# distances, and the documents a group must have.
+SPREADS = 4
+LEAST_DOCS = 200
+FERTILITY = {
+    "chars": ("word_chars / n_tokens", 0.05),
+    "letters": ("letters / n_tokens", 0.05),
+    "spelled": ("n_byte_tokens / n_tokens", 0.01),
+    "entropy": ("token_entropy", 0.03),
+}
+
+# Outer bands: least and most characters a token; most byte-fallback share; least token
 # entropy (in bits, over the most that the text's length or 256 equal tokens allow);
 # least letters a token over the words without a digit (numbers and keys are no
 # prose).  A language without a band takes that of its script.  They are set
@@ -200,6 +218,67 @@ def _langs(batch, lang_at: int | None) -> list:
     return [None] * batch.num_rows if lang_at is None else batch.column(lang_at).to_pylist()
 
 
+def _measured(docs: DataFrame, columns: list[str], text_col: str, lang_col: str | None, vocabulary: str, bands: dict):
+    """Some columns of ``docs``, and in a last one its language and measures; written out."""
+    read_lang = lang_col if lang_col in docs.columns else None
+    names = list(dict.fromkeys([*columns, text_col, *([read_lang] if read_lang else [])]))
+    wanted = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    text_at, lang_at = names.index(text_col), names.index(read_lang) if read_lang else None
+    held = [f"c{k}" for k in range(len(columns))]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in kernels.cuts(batches):
+            blobs, langs = kernels.blobs_of(batch.column(text_at)), _langs(batch, lang_at)
+            made = measure_texts(blobs, langs, vocabulary, bands)
+            made = pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), **made})
+            parts = [batch.column(k) for k in range(len(held))]
+            yield pa.RecordBatch.from_arrays([*parts, pa.array(made.to_struct_array())], names=[*held, "m"])
+
+    kinds = [f"{c} {wanted.schema[c].dataType.simpleString()}" for c in held]
+    return cut_lineage(wanted.mapInArrow(run, ", ".join([*kinds, f"m struct<lang string, {MEASURES}>"])), "measured")
+
+
+def corpus_bands(measured: DataFrame, group: str) -> DataFrame:
+    """(group, band): quartiles of the measures of a group, moved outwards; a row a group.
+
+    ``measured`` has the language and measures as ``m``.
+    """
+    passed = measured.select("m.*").where(f"not base_failed and n_tokens > 0 and {group} is not null")
+    quartiles = [
+        F.percentile_approx(F.expr(x), F.lit([0.25, 0.75]), F.lit(10_000)).alias(name) for name, (x, _) in FERTILITY.items()
+    ]
+    found = passed.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("n"), *quartiles)
+    sides = []
+    for name, (_, least) in FERTILITY.items():
+        reach = F.greatest(F.col(name)[1] - F.col(name)[0], F.lit(least)) * SPREADS
+        sides += [
+            F.round(F.col(name)[0] - reach, 4).alias(f"{name}_low"), F.round(F.col(name)[1] + reach, 4).alias(f"{name}_high")
+        ]
+    return found.where(F.col("n") >= LEAST_DOCS).select("_group", F.struct(*sides).alias("band"))
+
+
+def _judged(measured: DataFrame) -> DataFrame:
+    """Measured rows with the final verdict: inside the outer and the corpus bands."""
+    for group in ("lang", "script"):
+        bands = corpus_bands(measured, group).withColumnRenamed("band", f"by_{group}")
+        on = F.col(f"m.{group}") == F.col("_group")
+        # One row a language or script with many documents.
+        bands = F.broadcast(bands) if fits_broadcast(bands) else bands
+        measured = measured.join(bands, on, "left").drop("_group")
+    rows = measured.withColumn("band", F.coalesce("by_lang", "by_script")).drop("by_lang", "by_script")
+    value = {name: F.expr(re.sub(r"\b([a-z_]+)\b", r"m.\1", x)) for name, (x, _) in FERTILITY.items()}
+    inside = (
+        value["chars"].between(F.col("band.chars_low"), F.col("band.chars_high"))
+        & (value["letters"] >= F.col("band.letters_low"))
+        & (value["spelled"] <= F.col("band.spelled_high"))
+        & (value["entropy"] >= F.col("band.entropy_low"))
+    )
+    outer = F.col("m.kept") & (F.col("m.n_tokens") > 0)
+    return rows.withColumn("inside", F.when(outer, F.coalesce(inside, F.lit(True))).otherwise(F.lit(False)))
+
+
 def rate(
     docs: DataFrame,
     *,
@@ -214,30 +293,18 @@ def rate(
     Words are runs of ``[^\\x20\\x09-\\x0D]``; each is encoded by the vocabulary
     as it stands after a blank.  base_failed: fewer than 20 words, or more than
     30 % of the words inside 8-word windows that occur twice.  kept: not
-    base_failed, and characters a token, byte-fallback share, token entropy
-    and letters a token inside the band of the language, else of the
-    script.
+    base_failed, and characters a token, letters a token, byte-fallback share and
+    token entropy inside the outer bands and, where its language, else its script,
+    has documents enough, inside those of the corpus.
 
     A null text has no words; a text without words fails the base rules and has
-    entropy 0.  A null or unknown language goes by the script.  Rows are rated
-    on their own: repeated rows give repeated results, a null id stays null,
-    other columns are not read.
+    entropy 0; a text of any length is measured whole.  A null or unknown language
+    goes by the script.  Repeated rows give repeated results, a null id stays null,
+    other columns are not read, an empty table gives no rows.
     """
-    read_lang = lang_col if lang_col in docs.columns else None
-    names = [id_col, text_col, *([read_lang] if read_lang else [])]
-    lang_at = 2 if read_lang else None
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in kernels.cuts(batches):
-            blobs = kernels.blobs_of(batch.column(1))
-            made = measure_texts(blobs, _langs(batch, lang_at), vocabulary, bands)
-            yield pa.RecordBatch.from_pydict({id_col: batch.column(0), **made})
-
-    wanted = docs.select(*[F.col(f"`{c}`") for c in names])
-    kind = wanted.schema[0].dataType.simpleString()
-    return wanted.mapInArrow(run, f"`{id_col}` {kind}, {MEASURES}")
+    judged = _judged(_measured(docs, [id_col], text_col, lang_col, vocabulary, bands))
+    measures = [F.col(f"m.{n}") for n in (m.split()[0] for m in MEASURES.split(", ")) if n != "kept"]
+    return judged.select(F.col("c0").alias(id_col), *measures, F.col("inside").alias("kept"))
 
 
 def good_documents(
@@ -248,16 +315,10 @@ def good_documents(
     vocabulary: str = VOCABULARY,
     bands: dict = BANDS,
 ) -> DataFrame:
-    """The rows of ``docs`` that ``rate`` keeps, with all their columns, without a shuffle."""
-    text_at = docs.columns.index(text_col)
-    lang_at = docs.columns.index(lang_col) if lang_col in docs.columns else None
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    """The rows of ``docs`` that ``rate`` keeps, with all their columns, without a shuffle of texts.
 
-        for batch in kernels.cuts(batches):
-            blobs = kernels.blobs_of(batch.column(text_at))
-            made = measure_texts(blobs, _langs(batch, lang_at), vocabulary, bands)
-            yield batch.filter(pa.array(made["kept"], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    Rows are written once with their measures, so that texts are encoded once.
+    """
+    columns = docs.columns
+    judged = _judged(_measured(docs, columns, text_col, lang_col, vocabulary, bands))
+    return judged.where("inside").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
