@@ -425,3 +425,21 @@ def test_small_changes_move_no_stored_rows(spark, capsys):
                 depth = at
         shuffles = [line for line in above if "Exchange hashpartitioning" in line]
         assert not shuffles, plan
+
+
+def test_short_names_are_ranges_of_the_suffixes(spark, monkeypatch, capsys):
+    """One- and two-letter names, a suffix most symbols share, letters beyond ASCII; ranges are pushed."""
+    monkeypatch.setattr(symbols, "SUFFIXES_PER_FILE", 50)
+    words = [f"{a}{k}Size" for k in range(60) for a in ("get", "Ünit", "x")] + ["E", "", "漢字Size"]
+    table = _symbols(spark, [("p", "/a.go", "go", w) for w in words])
+    asked = ["e", "ü", "ize", "7S", "SIZE", "zz", "", "漢", "t5"]
+    names = spark.createDataFrame([(n,) for n in asked], "name string")
+    want = sorted((n, w) for n in asked for w in words if n and n.lower() in w.lower())
+    suffixes = symbols.write_suffixes(table, scratch_path(spark, "suffixes"))
+    assert suffixes.rdd.getNumPartitions() > 1 and len(suffixes.inputFiles()) > 5
+    for given in (None, suffixes):
+        found = symbols.symbol_fuzzy(table, names, given)
+        assert sorted((r["name"], r["symbol"]) for r in found.collect()) == want
+    found.explain("formatted")
+    assert "GreaterThanOrEqual(suffix" in capsys.readouterr().out
+    assert symbols.symbol_fuzzy(table, names.limit(0)).count() == 0

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.operators.index import SYMBOL_COLUMNS
 from textquarry.operators.search import search_codebase
-from textquarry.plans.joins import cut_lineage, lookup_join
+from textquarry.plans.joins import cut_lineage, fits_broadcast, lookup_join
 
-GRAM = 3
+SUFFIXES_PER_FILE = 1_000_000
+SUFFIX_BLOCK_BYTES = 1 << 20
+# Names whose ranges are named to the scan of a suffix table.
+RANGES = 256
+LAST_LETTER = "\U0010ffff"
 
 
 def symbol_exact(symbols: DataFrame, names: DataFrame) -> DataFrame:
@@ -21,58 +25,52 @@ def symbol_exact(symbols: DataFrame, names: DataFrame) -> DataFrame:
     return lookup_join(symbols, wanted, ["symbol_lc"]).select("name", *SYMBOL_COLUMNS)
 
 
-def _grams(text: Column, length: int) -> Column:
-    """Distinct substrings of one length; empty when the text is shorter."""
-    last = F.length(text) - length + 1
-    return F.when(
-        last >= 1,
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(length)))
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+def suffixes_of(symbols: DataFrame) -> DataFrame:
+    """(suffix, symbol_lc) of every suffix of the distinct symbols."""
+    distinct = symbols.where("symbol_lc <> ''").select("symbol_lc").distinct()
+    places = F.explode(F.sequence(F.lit(1), F.length("symbol_lc")))
+    return distinct.select("symbol_lc", places.alias("at")).select(
+        F.substring("symbol_lc", F.col("at"), F.length("symbol_lc")).alias("suffix"), "symbol_lc"
+    )
+
+
+def write_suffixes(symbols: DataFrame, path: str) -> DataFrame:
+    """The suffix table of an index: sorted over all its files, so a name is one range of it.
+
+    Ranges are cut by suffix and symbol, so a suffix that a tenth of all symbols share
+    is spread too.  Files name the ranges they hold, and a lookup reads those it needs.
+    """
+    found = cut_lineage(suffixes_of(symbols), "suffixes")
+    parts = max(1, -(-found.count() // SUFFIXES_PER_FILE))
+    ordered = found.repartitionByRange(parts, "suffix", "symbol_lc").sortWithinPartitions("suffix", "symbol_lc")
+    ordered.write.mode("overwrite").option("parquet.block.size", SUFFIX_BLOCK_BYTES).parquet(path)
+    return symbols.sparkSession.read.schema(found.schema).parquet(path)
 
 
-def symbol_fuzzy(symbols: DataFrame, names: DataFrame) -> DataFrame:
+def symbol_fuzzy(symbols: DataFrame, names: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """Locations whose symbol contains a name, ignoring case.
 
-    A containment test is a theta join, so it is done in three equi-joins on
-    distinct symbols: a name is looked up by the rarest of its three-letter
-    pieces (or by itself if shorter) and the hits are verified.
+    A symbol contains a name if the name begins one of its suffixes.  That is an
+    equi-join on the first letters of the suffixes, as many as each name has: no
+    part of a name is looked up in its place, and names measured to be few go to
+    the suffixes, so a name that most symbols contain is no hot key.  With the
+    sorted ``suffixes`` of ``write_suffixes`` only the ranges of the names are read.
     """
-    wanted = names.select("name", F.lower("name").alias("needle")).distinct()
-    size = F.least(F.length("needle"), F.lit(GRAM))
-    pieces = wanted.withColumn(
-        "gram",
-        F.explode_outer(
-            F.when(size == 1, _grams(F.col("needle"), 1))
-            .when(size == 2, _grams(F.col("needle"), 2))
-            .otherwise(_grams(F.col("needle"), GRAM))
-        ),
-    )
-    distinct_symbols = symbols.select("symbol_lc").distinct()
-    symbol_grams = distinct_symbols.select(
-        "symbol_lc",
-        F.explode_outer(
-            F.concat(*[_grams(F.col("symbol_lc"), n) for n in range(1, GRAM + 1)])
-        ).alias("gram"),
-    )
-    used = cut_lineage(
-        lookup_join(symbol_grams, pieces.select("gram").distinct(), ["gram"], "left_semi"), "grams"
-    )
-    frequency = used.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = (
-        pieces.join(frequency, "gram", "left")
-        .groupBy("name", "needle")
-        .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    )
-    matched = (
-        used.join(rarest, "gram")
-        .where(F.contains("symbol_lc", "needle"))
-        .select("name", "symbol_lc")
-    )
-    return lookup_join(symbols, matched, ["symbol_lc"], measure=False).select(
-        "name", *SYMBOL_COLUMNS
-    )
+    wanted = names.select("name", F.lower("name").alias("needle")).where("needle <> ''").distinct()
+    wanted = cut_lineage(wanted, "needles")
+    lengths = sorted(r[0] for r in wanted.select(F.length("needle")).distinct().collect())
+    rows = suffixes if suffixes is not None else suffixes_of(symbols)
+    if suffixes is not None and fits_broadcast(wanted, max_rows=RANGES):
+        inside = F.lit(False)
+        for r in wanted.select("needle").distinct().collect():
+            last = F.lit(r["needle"] + LAST_LETTER)
+            inside = inside | ((F.col("suffix") >= F.lit(r["needle"])) & (F.col("suffix") < last))
+        rows = rows.where(inside)
+    # A needle of each length that a suffix is long enough for.
+    begins = F.array(*[F.when(F.length("suffix") >= n, F.substring("suffix", 1, n)) for n in lengths])
+    met = rows.select("symbol_lc", F.explode(begins if lengths else F.array().cast("array<string>")).alias("needle"))
+    matched = lookup_join(met.where("needle is not null"), wanted, ["needle"]).select("name", "symbol_lc").distinct()
+    return lookup_join(symbols, matched, ["symbol_lc"], measure=False).select("name", *SYMBOL_COLUMNS)
 
 
 def find_symbol(

@@ -213,6 +213,24 @@ def symbol_exact(t):
     return symbols.symbol_exact(code_symbols(t), names)
 
 
+@query(
+    "symbol_ranges",
+    f"""
+{CODE_CHUNKS},
+names AS (SELECT DISTINCT right('0' || CAST(p_size AS VARCHAR), 2) AS name FROM part
+          UNION SELECT DISTINCT left(p_name, 1) FROM part)
+SELECT n.name, project_id, path, language, symbol, signature, start_line, end_line
+FROM code c JOIN names n ON contains(lower(c.symbol), lower(n.name)) WHERE symbol <> ''""",
+)
+def symbol_ranges(t):
+    """Names of one and two letters, looked up as ranges of the sorted suffixes."""
+    names = t.part.select(F.right(F.concat(F.lit("0"), F.col("p_size").cast("string")), F.lit(2)).alias("name"))
+    names = names.union(t.part.select(F.substring("p_name", 1, 1)))
+    table = code_symbols(t)
+    suffixes = symbols.write_suffixes(table, scratch_path(t.spark, "suffix-table"))
+    return symbols.symbol_fuzzy(table, names, suffixes)
+
+
 @query(
     "symbol_fuzzy",
     f"""
