@@ -131,3 +131,21 @@ def test_partitions_are_planned_by_size(spark):
     many = spark.read.format("warc").option("splitBytes", "1").load(path)
     assert one.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() > 3
     assert one.count() == many.count() == 12
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_malformed_headers_have_null_lengths(spark, tmp_path, zipped):
+    """Lengths that are no numbers and odd digests do not stop the read."""
+    head = "WARC/1.1\r\nWARC-Record-ID: <urn:page:{}>\r\nWARC-Type: response\r\nContent-Type: application/http; msgtype=response\r\n{}\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    records = [
+        (head.format(1, "Content-Length: many\r\nWARC-Payload-Digest: sha1:" + "!" * 32).encode() + http + b"first"),
+        (head.format(2, f"Content-Length: {len(http) + 6}\r\nX-Payload-Length: -6").encode() + http + b"second"),
+        (head.format(3, "X-Note: no length at all").encode() + http + b"third"),
+    ]
+    pack = gzip.compress if zipped else bytes
+    (tmp_path / ("x.warc.gz" if zipped else "x.warc")).write_bytes(b"".join(pack(r + b"\r\n\r\n") for r in records))
+    got = {r["record_id"]: r for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert [bytes(got[f"urn:page:{k}"]["payload"]) for k in (1, 2, 3)] == [b"first", b"second", b"third"]
+    assert [got[f"urn:page:{k}"]["payload_bytes"] for k in (1, 2, 3)] == [None, None, None]
+    assert got["urn:page:1"]["payload_digest"] == "!" * 32

@@ -180,7 +180,7 @@ class LineIndex:
         return live.where("op > 0").select(*KEY, "doc")
 
     def _keys(self, docs: DataFrame, id_col: str, text_col: str, known=None) -> DataFrame:
-        rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
         return rows.where("doc is not null").mapInArrow(
             _postings(self.min_chars, known, self.shards), "h1 long, h2 long, doc long"
         )
@@ -196,7 +196,7 @@ class LineIndex:
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> None:
         """Take documents out again; unknown ids change nothing."""
-        gone = ids.select(F.col(id_col).cast("long").alias("doc")).distinct()
+        gone = ids.select(F.col(f"`{id_col}`").cast("long").alias("doc")).distinct()
         keys = self.postings().join(gone, "doc", "left_semi").select(*KEY, "doc")
         self._commit(keys.withColumn("op", F.lit(-1)))
 
@@ -276,7 +276,8 @@ class LineIndex:
 
         A null text counts as empty: one empty line, returned as an empty text.
         Rows with a null id lose no line.  Rows that share an id are one
-        document.
+        document.  Lines and texts of any length count whole; an empty table gives
+        no rows.
         """
         drops = self._drops(docs, id_col, text_col)
         held = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]

@@ -91,8 +91,9 @@ def pieces(
     A document is the ids of its text and then ``end_id``; only one longer than
     the capacity is cut, into pieces of the capacity and a last, maybe shorter
     one.  ids are little-endian unsigned 32-bit integers; row is a number of its
-    own for every piece.  A null text is empty.  Repeated rows and rows with a
-    null id are documents of their own.  Other columns are not read.
+    own for every piece.  A null text is empty, a text of any length is encoded
+    whole.  Repeated rows and rows with a null id are documents of their own, an
+    empty table has no pieces.  Other columns are not read.
     """
 
     def run(batches: Iterator) -> Iterator:

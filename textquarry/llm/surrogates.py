@@ -341,8 +341,9 @@ def pseudonymize(
     Equal atoms have equal surrogates in all documents; different ones of a type
     differ.  All columns come back, the text replaced; a column n_entities in
     ``docs`` is replaced.  Null texts stay null and empty ones empty, both with
-    n_entities 0.  A null id is a value like any other; repeated rows come back
-    as often as they stand.
+    n_entities 0; texts of any length are searched whole.  A null id is a value like
+    any other; repeated rows come back as often as they stand; an empty table gives no
+    rows.
     """
     held = [c for c in docs.columns if c != "n_entities"]
     spare = next(p for k in range(len(held) + 1) if not any(c.startswith(p := f"_s{k}") for c in held))

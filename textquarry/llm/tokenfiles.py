@@ -43,8 +43,9 @@ def write_tokens(
 
     ``width`` is the bytes of an id: 2 for vocabularies of up to 65,536 ids,
     else 4.  A null text is empty: it has its end id alone.  Rows with a null id
-    come first; rows that share an id are all written, next to each other.
-    Other columns are not read.
+    come first; rows that share an id are all written, next to each other.  A text
+    is encoded whole at any length; an empty table writes no documents.  Other
+    columns are not read.
     """
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")

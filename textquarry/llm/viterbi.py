@@ -141,8 +141,9 @@ def count_tokens(
     """(id, n_tokens, score) of every row: pieces of the best split and its score.
 
     A text is marked as ``\\u2581`` + text with blanks as ``\\u2581``.  Null and
-    empty texts have no tokens and score 0.  Rows count on their own: a null id
-    stays null, repeated rows give repeated results, other columns are not read.
+    empty texts have no tokens and score 0; a text of any length is one split.  Rows
+    count on their own: a null id stays null, repeated rows give repeated results,
+    other columns are not read, an empty table gives no rows.
     """
 
     def run(batches: Iterator) -> Iterator:

@@ -15,6 +15,7 @@ commit lists the files of the tasks that succeeded, and readers follow that list
 from __future__ import annotations
 
 import base64
+import binascii
 import re
 import struct
 import uuid
@@ -68,7 +69,16 @@ def _digest_hex(value: str | None) -> str | None:
     if not value:
         return None
     bare = value.partition(":")[2] or value
-    return base64.b32decode(bare).hex() if len(bare) == 32 else bare.lower()
+    try:
+        return base64.b32decode(bare).hex() if len(bare) == 32 else bare.lower()
+    except binascii.Error:  # 32 characters of something else
+        return bare.lower()
+
+
+def _length(value: str | None) -> int | None:
+    """A length header as a number; None where it is missing or no number."""
+    bare = (value or "").strip()
+    return int(bare) if bare.isascii() and bare.isdigit() else None
 
 
 def _columns(headers: dict[str, str]) -> dict[str, str | None]:
@@ -166,9 +176,21 @@ class _Stream:
                 return None, None, self.size
             n *= 4
         headers, length = head
-        size = int(headers.get("Content-Length", 0))
+        size = _length(headers.get("Content-Length"))
+        if size is None:  # the block ends where the next record begins
+            size = self._next_record(at + length) - at - length
         return headers, lambda: self._at(at + length, size), at + length + size + 4
 
+    def _next_record(self, at: int) -> int:
+        """Where the block that begins at ``at`` ends, told by the next record."""
+        mark, step = b"\r\n\r\nWARC/1.", 1 << 20
+        while at < self.size:
+            found = self._at(at, step + len(mark)).find(mark)
+            if found >= 0:
+                return at + found
+            at += step
+        return self.size - 4 * (self._at(self.size - 4, 4) == mark[:4])
+
     def _member(self, at: int):
         first = self._at(at, 4096)
         size = None
@@ -191,7 +213,9 @@ class _Stream:
         else:  # the end is known only after inflating
             data, size = self._inflate(at)
             whole = lambda d=data: d
-        block = int(headers.get("Content-Length", 0))
+        block = _length(headers.get("Content-Length"))
+        if block is None:  # what the member holds, without the record's end
+            return headers, lambda: whole()[length:].removesuffix(b"\r\n\r\n"), at + size
         return headers, lambda: whole()[length : length + block], at + size
 
     def _inflate(self, at: int) -> tuple[bytes, int]:
@@ -291,8 +315,7 @@ class WarcReader(DataSourceReader):
         if "payload" in self.names:
             row["payload"] = _payload(headers, read())
         row["payload_digest"] = _digest_hex(headers.get("WARC-Payload-Digest"))
-        length = headers.get("X-Payload-Length", headers.get("Content-Length"))
-        row["payload_bytes"] = int(length) if length else None
+        row["payload_bytes"] = _length(headers.get("X-Payload-Length", headers.get("Content-Length")))
         row["headers"] = headers
         return tuple(row[n] for n in self.names)
 
@@ -406,12 +429,21 @@ def page_records(
 
 
 def write_pages(pages: DataFrame, path: str, **settings) -> None:
-    """Archive pages: one file a task, no shuffle of payloads."""
+    """Archive pages: one file a task.
+
+    Groups of equal payloads measured to be few go to the pages, and no payload is
+    shuffled; beyond that bound payloads meet their group by digest.  An empty table
+    writes no record.
+    """
     register(pages.sparkSession)
     page_records(pages, **settings).write.format("warc").mode("append").save(path)
 
 
 def read_warc(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataFrame:
-    """Records of a file or folder; payloads are decoded only if ``columns`` has them."""
+    """Records of a file or folder; payloads are decoded only if ``columns`` has them.
+
+    A record without a readable length has null payload_bytes, and its block ends where
+    the next record begins; a digest in neither base 32 nor hexadecimal is given as it is.
+    """
     register(spark)
     return spark.read.format("warc").schema(columns).load(path)
