@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir) and works on all documents that the one
 before kept.  Its result is written as Parquet and read again as the next one's
 documents; all but the last return the columns of ``documents``.
+
+Odd rows: quality rules drop null, empty and short texts (too few words).  The stages
+after them take such texts as their operators say: no line, no shingle, no item, one
+end id.  Texts of any length count whole.  Rows with a null id lose no line, are near
+duplicates of nothing and hold no item; rows that share an id are one document to the
+line, duplicate and benchmark stages, and documents of their own to the others.
+Columns of any other name pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
