@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import time
 
 import pytest
@@ -9,7 +10,12 @@ from textquarry.session import scratch_path
 from textquarry.sources.files import file_rows
 from textquarry.sources.sessions import export_sessions, memory_list, memory_read, notes_to_files
 from textquarry.sources.store import IndexStore
-from textquarry.streaming.changes import debounce_changes, debounce_stream, start_change_stream
+from textquarry.streaming.changes import (
+    debounce_changes,
+    debounce_stream,
+    start_change_stream,
+    with_clock,
+)
 from textquarry.streaming.memory import (
     rebuild_memory,
     start_memory_sweep,
@@ -93,6 +99,25 @@ def test_bursts_meet_across_batches(spark, tmp_path):
     assert again == sorted([*ended, ("p", _at(0), _at(4), "/c", 1), ("p", _at(60), _at(60), "/c", 1)])
 
 
+def test_a_clock_ends_the_last_burst(spark, tmp_path):
+    """Nothing happens after the last change, but time goes on."""
+    source = str(tmp_path / "in")
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    spark.createDataFrame([("p", "/a", "write", now), ("p", "/a", "write", now)], CHANGES).write.parquet(source)
+    bursts = debounce_stream(with_clock(spark.readStream.schema(CHANGES).parquet(source)), lateness="0 seconds")
+    job = bursts.writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+        "checkpointLocation", f"{tmp_path}/cp"
+    ).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if [n for n in os.listdir(tmp_path) if n == "out"] and spark.read.schema(bursts.schema).parquet(f"{tmp_path}/out").count():
+                break
+    finally:
+        job.stop()
+    assert [(r.path, r.n_events) for r in spark.read.schema(bursts.schema).parquet(f"{tmp_path}/out").collect()] == [("/a", 2)]
+
+
 def test_change_stream(spark, tmp_path):
     """Two changes of a path within the gap are one application; projects go by their roots."""
     store = IndexStore(spark, scratch_path(spark, "stream"))

@@ -254,6 +254,11 @@ def _without(paths: DataFrame, gone: DataFrame) -> DataFrame:
     return paths.join(gone, "path", "left_anti")
 
 
+def _mark(paths: DataFrame) -> tuple:
+    """Count and order-free digest of some paths."""
+    return tuple(paths.agg(F.count("*"), F.bit_xor(F.xxhash64("path")), F.bit_xor(F.xxhash64(F.lit(1), "path"))).first())
+
+
 def _directory_facts(files: DataFrame, options: Discovery) -> DataFrame:
     """Every directory once: ``path, marked, workspace``.
 
@@ -323,8 +328,8 @@ def discover_projects(
                 _without(holders, _hidden(holders, stops, at_stop=False)), "workspaces"
             )
             folders = cut_lineage(workspace_folders(files, directories), "folders")
-            visited = holders
-            while True:
+            visited, now = holders, _mark(holders)
+            while True:  # once per link of workspaces that hide each other's folders
                 listed = folders.join(
                     visited.select(F.col("path").alias("workspace")), "workspace", "left_semi"
                 )
@@ -334,7 +339,8 @@ def discover_projects(
                 ).select(F.col("folder").alias("path")).distinct()
                 hidden = _hidden(holders, seen, at_stop=True)
                 kept = cut_lineage(_without(holders, hidden), "visited")
-                if kept.exceptAll(visited).isEmpty() and visited.exceptAll(kept).isEmpty():
+                before, now = now, _mark(kept)
+                if now == before:
                     break
                 visited = kept
             stops = cut_lineage(_without(stops, _hidden(stops, seen, at_stop=True)), "stops")

@@ -23,10 +23,9 @@ ANCESTORS = (
 )
 
 
-def written_tree(t):
-    """The files of the view as a tree of real files, with an ignore file in one directory."""
-    root = scratch_path(t.spark, "tree")
-    ignore = t.files.limit(1).select(F.lit("/corpus/src1/.gitignore").alias("path"), F.lit("en/\n").alias("content"))
+def write_tree(files):
+    """Write ``path, content`` as a tree of real files; returns its root."""
+    root = scratch_path(files.sparkSession, "tree")
 
     def write(batches):
         system, top = file_system(root)
@@ -38,9 +37,15 @@ def written_tree(t):
                     out.write(row["content"].encode())
             yield batch.select(["path"])
 
-    rows = t.files.select("path", "content").unionByName(ignore)
+    rows = files.select("path", "content")
     rows.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
-    return f"{root}/corpus"
+    return root
+
+
+def written_tree(t):
+    """The files of the view as real files, with an ignore file in one directory."""
+    ignore = t.files.limit(1).select(F.lit("/corpus/src1/.gitignore").alias("path"), F.lit("en/\n").alias("content"))
+    return write_tree(t.files.select("path", "content").unionByName(ignore)) + "/corpus"
 
 
 SCANNED = ["project_id", "path", "rel_path", "content", "size", "file_hash"]

@@ -12,6 +12,8 @@ from textquarry.sources.sessions import memory_read
 from textquarry.sources.store import IndexStore
 from textquarry.streaming.changes import debounce_changes, debounce_stream, start_change_stream
 from textquarry.streaming.memory import rebuild_memory, start_memory_sync, sweep_sessions
+from textquarry.sources.files import scan_paths
+from textquarry.sources.tree import file_system
 from textquarry.workload.q_chunks import (
     CHUNKS,
     DECLARATIONS,
@@ -24,6 +26,7 @@ from textquarry.workload.q_chunks import (
     session_files,
     whole_file_sql,
 )
+from textquarry.workload.q_files import write_tree
 from textquarry.workload.registry import query
 
 CODE_CHUNKS = f"{DECLARATIONS}, code AS (SELECT {CHUNKS} FROM found)"
@@ -384,26 +387,35 @@ WITH touched AS (
 again AS (
   SELECT * FROM ({whole_file_sql('present_files')}) c
   WHERE path IN (SELECT path FROM touched) AND language IN ('markdown', 'python'))
-SELECT chunk_id, path, file_hash FROM ({FILE_CHUNKS}) c WHERE path NOT IN (SELECT path FROM touched)
+SELECT chunk_id, project_id, path, file_hash FROM ({FILE_CHUNKS}) c WHERE path NOT IN (SELECT path FROM touched)
 UNION ALL
-SELECT chunk_id, path, file_hash FROM (SELECT {CHUNKS} FROM again) a""",
+SELECT chunk_id, project_id, path, file_hash FROM (SELECT {CHUNKS} FROM again) a""",
 )
 def apply_changes(t):
-    """Raw events through the debounced change stream to a store, a batch applied a second time."""
+    """Raw events through the debounced change stream to a store, a batch applied a second time.
+
+    The changed files are stat'ed and read on disk, path by path, and belong to the
+    project whose root holds them.
+    """
     spark = t.spark
     store = IndexStore(spark, scratch_path(spark, "changes"))
     refresh.rebuild_project(store, t.files, "")
     changes = t.doc_changes.withColumn("ts", F.col("ts").cast("timestamp"))
+    root = write_tree(t.present_files)
+    top = file_system(root)[1]
+
+    def files(touched):
+        real = touched.select(F.concat(F.lit(top), "path").alias("path"))
+        found = scan_paths(spark, "", f"{root}/corpus", real)
+        return found.withColumn("path", F.concat(F.lit("/corpus/"), "rel_path"))
+
     start_change_stream(
-        feed_of(changes, "change-feed"),
-        store,
-        lambda touched: t.present_files.join(touched, "path", "left_semi"),
-        scratch_path(spark, "change-offsets"),
-        trigger={"availableNow": True},
+        feed_of(changes, "change-feed"), store, files, scratch_path(spark, "change-offsets"),
+        projects=t.sources, trigger={"availableNow": True},
     ).awaitTermination()
     again = refresh.apply_changes(store, t.doc_changes, t.present_files, source="changes", source_batch=0)
     assert again == -1
-    return store.chunk_vectors().select("chunk_id", "path", "file_hash")
+    return store.chunk_vectors().select("chunk_id", "project_id", "path", "file_hash")
 
 
 @query(
