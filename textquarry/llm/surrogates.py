@@ -66,7 +66,7 @@ _NAME = r"\p{Lu}[\p{L}'’-]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}_%+-]*+(?:\.[\p{L}\p{N}_%+-]++)*+@(?:[\p{L}\p{N}][\p{L}\p{N}-]*+\.)+\p{L}{2,}",
-    "secret": r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])",
+    "secret": r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": rf"(?<!\d\.)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
@@ -257,6 +257,7 @@ def _proposals(atoms: DataFrame, key: str, attempt: int) -> DataFrame:
     stream = F.concat(*[F.sha2(F.concat(seed, F.lit(f"\u0001{i}")), 512) for i in range(4)])
     kind, normal, stream_col = F.col("kind"), F.col("normal"), F.col("_stream")
     rows = atoms.withColumn("_stream", stream).withColumn("_spelt", _spelled(normal, stream_col))
+    long_stream = F.repeat(stream_col, (F.floor(F.length(normal) / 512) + 1 + attempt).cast("int"))
     code = F.length(F.regexp_extract(normal, r"^\+?(\d*)/", 1))
     number = F.substring_index("_spelt", "/", -1)
     real = F.substring_index("normal", "/", -1)
@@ -271,8 +272,8 @@ def _proposals(atoms: DataFrame, key: str, attempt: int) -> DataFrame:
         .when(kind == "card", _card(normal, stream_col, more))
         .when(kind == "phone", F.concat(F.substring_index("normal", "/", 1), F.lit("/"), real.substr(F.lit(1), code), number.substr(code + 1, F.length(number)), more))
         .when(kind == "iban", F.concat(F.substring(normal, 1, 2), F.expr("substring(_spelt, 3)"), more))
-        .when((kind == "secret") & normal.rlike("^[0-9a-f]+$"), stream_col.substr(F.lit(1), size))
-        .when((kind == "secret") & normal.rlike("^[0-9A-F]+$"), F.upper(stream_col.substr(F.lit(1), size)))
+        .when((kind == "secret") & normal.rlike("^[0-9a-f]+$"), long_stream.substr(F.lit(1), size))
+        .when((kind == "secret") & normal.rlike("^[0-9A-F]+$"), F.upper(long_stream.substr(F.lit(1), size)))
         .when(kind == "secret", F.concat(F.substring(normal, 1, 4), F.expr("substring(_spelt, 5)"), more))
         .otherwise(F.concat("_spelt", more))
     )
