@@ -36,6 +36,8 @@ REPEAT_WIDTH = 8
 # distances, and the documents a group must have.
 SPREADS = 4
 LEAST_DOCS = 200
+BROADCAST_IDS = 1_000_000
+CACHED_WORDS = 300_000
 FERTILITY = {
     "chars": ("word_chars / n_tokens", 0.05),
     "letters": ("letters / n_tokens", 0.05),
@@ -83,7 +85,7 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=name)
         size = self.model.vocab_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(size)], dtype=bool)
-        self.cache = Known()
+        self.cache = Known(CACHED_WORDS)
 
     @classmethod
     def get(cls, name: str) -> Pieces:
@@ -315,10 +317,18 @@ def good_documents(
     vocabulary: str = VOCABULARY,
     bands: dict = BANDS,
 ) -> DataFrame:
-    """The rows of ``docs`` that ``rate`` keeps, with all their columns, without a shuffle of texts.
+    """The rows of ``docs`` that ``rate`` keeps, with all their columns.
 
-    Rows are written once with their measures, so that texts are encoded once.
+    Texts are measured once, and what comes back is narrow.  A verdict depends on the
+    text and its language alone, so the rejected ones are named by a digest of 128 bits;
+    measured to be few they travel to the documents, and no text is shuffled.
     """
-    columns = docs.columns
-    judged = _judged(_measured(docs, columns, text_col, lang_col, vocabulary, bands))
-    return judged.where("inside").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
+    digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
+    lang = F.col(f"`{lang_col}`") if lang_col in docs.columns else F.lit(None)
+    texts = docs.select(digest.alias("key"), F.col(f"`{text_col}`").alias("text"), lang.cast("string").alias("lang"))
+    judged = _judged(_measured(texts, ["key"], "text", "lang", vocabulary, bands))
+    bad = judged.where("not inside").select(F.col("c0").alias("_bad"), F.col("m.lang").alias("_of")).distinct()
+    bad = cut_lineage(bad, "rejected")
+    bad = F.broadcast(bad) if fits_broadcast(bad, max_rows=BROADCAST_IDS) else bad
+    same = (digest == bad["_bad"]) & lang.cast("string").eqNullSafe(bad["_of"])
+    return docs.join(bad, same, "left_anti")

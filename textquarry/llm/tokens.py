@@ -43,8 +43,9 @@ def _load(name: str):
 class Known(dict):
     """Encoded segments that a worker keeps; asking for others notes them down."""
 
-    def __init__(self):
+    def __init__(self, limit: int = CACHED):
         super().__init__()
+        self.limit = limit
         self.asked: set = set()
 
     def __missing__(self, segment) -> None:
@@ -57,7 +58,7 @@ class Known(dict):
 
     def keep(self, fresh: dict) -> None:
         """Keep encoded segments while there is room."""
-        if len(self) + len(fresh) <= CACHED:
+        if len(self) + len(fresh) <= self.limit:
             self.update(fresh)
 
 
