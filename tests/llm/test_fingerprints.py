@@ -86,3 +86,16 @@ def test_one_row_and_no_rows(spark):
     (r,) = fingerprints.fingerprints(one).collect()
     assert r["edited"] == "abcab" and r["near_next"] == 1.0
     assert fingerprints.fingerprints(no_docs(spark)).count() == 0
+
+
+def test_both_ways_of_filling_agree(spark, monkeypatch):
+    """Asking by turns and working out the first turn name the same bins."""
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (1, 5, 6, 9, 14, 19, 24, 40, 100, 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = []
+    for few in (0, 16, fingerprints.BINS + 1):
+        monkeypatch.setattr(fingerprints, "FEW", few)
+        rows = fingerprints.with_fingerprint(docs, "text", "p").collect()
+        made.append({r["doc_id"]: r["p"] for r in rows})
+    assert made[0] == made[1] == made[2]
+    assert all(len(p) == fingerprints.BINS for p in made[0].values())

@@ -57,4 +57,4 @@ def test_stages_take_odd_rows(spark):
 
 def test_entry_has_all_operators():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 BINS = 256  # a power of two; the top bits of a signed hash
 BITS = 4  # one hex digit a bin
 WIDTH = 5
+FEW = 16  # occupied bins, below which working out is less than asking
 BLOCK_BYTES = 64 << 20
 MOST_BLOCKS = 1 << 16
 GROUP = 256
@@ -42,15 +43,42 @@ def _hashes(width: int) -> Column:
     ).cast("array<bigint>")
 
 
-def _filled() -> Column:
-    """The bins ``_bins`` with the empty ones, null, filled from occupied ones."""
-    probe = f"cast(((xxhash64(i) & {BINS - 1}) + t * (xxhash64(i, 1) & {BINS - 1} | 1)) & {BINS - 1} as int)"
-    step = f"transform(s.v, (x, i) -> coalesce(x, get(_bins, {probe})))"
-    return F.expr(
-        f"aggregate(sequence(1, {BINS}), struct(_bins as v, exists(_bins, x -> x is null) as open), "
-        f"(s, t) -> if(s.open, transform(array({step}), v -> struct(v, exists(v, x -> x is null) as open))[0], s), "
-        "s -> s.v)"
+def _mixed(x: int) -> int:
+    """64 well spread bits of a number."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ (x >> shift)) * factor % (1 << 64)
+    return x
+
+
+def _digits() -> Column:
+    """One digit a bin, in the order of bins: of its own hash, else of the bin that fills it.
+
+    ``_bins`` has the low-order bits of each bin, null for an empty one, ``_own`` bin
+    and digit of the occupied ones in one number.  The t-th bin that an empty bin i asks,
+    t from 1, is ``first[i] + t * step[i]``, with odd steps, so that each asks every bin.
+    Where many bins are occupied, those still empty go on asking; where few are, each
+    empty bin works out which of them it would ask first.
+    """
+    seeds = [_mixed((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) for i in range(BINS)]
+    firsts, steps = [x % BINS for x in seeds], [x >> 32 & (BINS - 1) | 1 for x in seeds]
+    table = lambda values: f"cast(split('{','.join(map(str, values))}', ',') as array<int>)"
+    first, step = table(firsts), table(steps)
+    asked = f"get(_bins, (get({first}, i) + t * get({step}, i)) & {BINS - 1})"
+    # Filled ones as bin and digit in one number, the others below zero.
+    asking = f"transform(s.rest, i -> coalesce(i * {1 << BITS} + {asked}, -1 - i))"
+    empty = "filter(transform(_bins, (x, i) -> if(x is null, i, -1)), i -> i >= 0)"
+    by_turns = (
+        f"aggregate(sequence(1, {BINS}), struct(cast(array() as array<int>) as found, {empty} as rest), "
+        f"(s, t) -> if(size(s.rest) = 0, s, transform(array({asking}), h -> struct("
+        "concat(s.found, filter(h, x -> x >= 0)) as found, "
+        "transform(filter(h, x -> x < 0), x -> -1 - x) as rest))[0]), s -> s.found)"
     )
+    inverse = table(pow(x, -1, BINS) for x in steps)
+    turn = f"(((c >> {BITS}) - get({first}, i)) * get({inverse}, i) - 1) & {BINS - 1}"
+    soonest = f"array_min(transform(_own, c -> ({turn}) * {1 << BITS} + (c & {(1 << BITS) - 1})))"
+    by_distance = f"transform({empty}, i -> i * {1 << BITS} + ({soonest} & {(1 << BITS) - 1}))"
+    filled = F.expr(f"if(size(_own) < {FEW}, {by_distance}, {by_turns})")
+    return F.sort_array(F.concat("_own", filled))
 
 
 def with_fingerprint(rows: DataFrame, text: str, name: str, *, width: int = WIDTH) -> DataFrame:
@@ -65,7 +93,7 @@ def with_fingerprint(rows: DataFrame, text: str, name: str, *, width: int = WIDT
     bin_of = f"shiftright({{}}, {_SHIFT})"
     bins = (
         f"transform(filter(_sorted, (x, i) -> i = 0 or {bin_of.format('x')} <> {bin_of.format('_sorted[i - 1]')}), "
-        f"x -> if(x & {_EMPTY}L = {_EMPTY}L, null, x))"
+        f"x -> if(x & {_EMPTY}L = {_EMPTY}L, null, cast(x & {(1 << BITS) - 1} as int)))"
     )
     hashed = rows.select(*keep, F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)).alias("_h"))
     shingled = hashed.select(*keep, _hashes(width).alias("_s"))
@@ -73,9 +101,11 @@ def with_fingerprint(rows: DataFrame, text: str, name: str, *, width: int = WIDT
         *keep, (F.size("_s") > 0).alias("_some"), F.sort_array(F.concat("_s", sentinels)).alias("_sorted")
     )
     binned = ordered.select(*keep, "_some", F.expr(bins).alias("_bins"))
-    filled = binned.select(*keep, F.when(F.col("_some"), _filled()).alias("_bins"))
-    digits = F.transform("_bins", lambda x: F.lower(F.hex(x.bitwiseAND((1 << BITS) - 1))))
-    return filled.select(*keep, F.coalesce(F.array_join(digits, ""), F.lit("")).alias(name))
+    own = F.expr(f"filter(transform(_bins, (x, i) -> i * {1 << BITS} + x), x -> x is not null)")
+    owned = binned.select(*keep, "_some", "_bins", own.alias("_own"))
+    filled = owned.select(*keep, F.when(F.col("_some"), _digits()).alias("_digits"))
+    digits = F.transform("_digits", lambda x: F.hex(x.bitwiseAND((1 << BITS) - 1)))
+    return filled.select(*keep, F.coalesce(F.lower(F.array_join(digits, "")), F.lit("")).alias(name))
 
 
 def likeness(a: Column, b: Column) -> Column:
