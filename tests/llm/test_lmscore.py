@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyspark
 from helpers import ODD_ROWS, no_docs, odd_docs, words
 
-from textquarry.llm import lmscore, queries
+from textquarry.llm import kernels, lmscore, queries
 from textquarry.llm.lmscore import Settings
 
 FOLDER = "/root/testdata/sf0.001"
@@ -124,3 +124,74 @@ def test_rounds_train_on_every_position(monkeypatch):
     for turn in range(settings.rounds):
         list(lmscore._train(sent, settings, turn)(iter(batches)))
     assert sorted(seen) == ids.tolist()
+
+
+def plain_trained_scores(texts, settings):
+    """One task, one round, one batch: everything position by position in doubles."""
+    lists = [words(t) for t in texts]
+    counts: dict = {}
+    for w in (w for ws in lists for w in ws):
+        counts[w] = counts.get(w, 0) + 1
+    number = {w: int(kernels.Texts([w.encode()]).word_hashes()[0]) for w in counts}
+    signed = {w: h - (1 << 64 if h >> 63 else 0) for w, h in number.items()}
+    own = sorted(counts, key=lambda w: (-counts[w], signed[w]))[: settings.words]
+    place = {w: own.index(w) if w in own else settings.words + number[w] % settings.spare for w in counts}
+    behind = np.zeros(settings.ids)
+    for w, n in counts.items():
+        behind[place[w]] += n
+    p = {k: v.astype(np.float64) for k, v in lmscore.start(behind, settings).items()}
+    pad, reach = settings.highs * lmscore.DIGIT, settings.reach
+    spots = []
+    for ws in lists:
+        ids = [pad] * reach + [place[w] for w in ws] + [pad] * reach
+        spots.append([(ids[k], [ids[k + d] for d in range(-reach, reach + 1) if d]) for k in range(reach, len(ids) - reach)])
+
+    def forward(target, around):
+        h = np.tanh(p["bias"] + sum(p["context"][k][c] for k, c in enumerate(around)))
+        shares = []
+        for logits in (h @ p["high"] + p["high_bias"], h @ p["low"] + p["low_bias"][target // lmscore.DIGIT]):
+            e = np.exp(logits)
+            shares.append(e / e.sum())
+        return h, *shares
+
+    every = [x for doc in spots for x in doc]
+    grad = {k: np.zeros_like(v) for k, v in p.items()}
+    for target, around in every:
+        high, low = divmod(target, lmscore.DIGIT)
+        h, a, b = forward(target, around)
+        a[high] -= 1
+        b[low] -= 1
+        back = (p["high"] @ a + p["low"] @ b) * (1 - h * h)
+        for name, part in (("high", np.outer(h, a)), ("high_bias", a), ("low", np.outer(h, b)), ("bias", back)):
+            grad[name] += part / len(every)
+        grad["low_bias"][high] += b / len(every)
+        for k, c in enumerate(around):
+            grad["context"][k][c] += back / len(every)
+    for name, g in grad.items():
+        p[name] -= settings.rate * g / (np.abs(g) + 1e-6)
+    out = []
+    for ws, doc in zip(lists, spots, strict=True):
+        total = 0.0
+        for w, (target, around) in zip(ws, doc, strict=True):
+            _, a, b = forward(target, around)
+            total += np.log(a[target // lmscore.DIGIT]) + np.log(b[target % lmscore.DIGIT])
+            if target >= settings.words:
+                total += np.log(counts[w]) - np.log(behind[target])
+        out.append(total)
+    return out
+
+
+def test_trained_scores_equal_brute_force(spark):
+    random = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in np.minimum(random.geometric(0.12, n), 40)) for n in (60, 1, 25, 90, 3, 60)]
+    texts += [texts[0], "W1 w2\nw3", "only here", None, ""]
+    settings = Settings(words=80, spare=3, hidden=8, rounds=1, every=1, rate=0.3)
+    few = Settings(words=9, spare=3, hidden=8, rounds=1, every=1, rate=0.3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for made in (settings, few):
+        got = {r["doc_id"]: r["pseudo_log_likelihood"] for r in lmscore.score(docs, settings=made).collect()}
+        want = plain_trained_scores(texts, made)
+        start = plain_trained_scores(texts, Settings(**{**made.__dict__, "rate": 0.0}))
+        assert all(abs(got[i] - w) < 2e-4 * max(1, abs(w)) for i, w in enumerate(want))
+        assert abs(sum(want) - sum(start)) > 5  # far more than the tolerance
+        assert abs(got[0] - got[6]) < 1e-4
