@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-BURST_ROWS = (
-    "project_id string, bucket int, burst_start timestamp, burst_end timestamp, path string, n_events long"
-)
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
