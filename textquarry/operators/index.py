@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions.paths import under_path
-from textquarry.plans.joins import lookup_join
+from textquarry.plans.joins import cut_lineage, lookup_join
 
 SYMBOL_COLUMNS = [
     "project_id", "path", "language", "symbol", "signature", "start_line", "end_line",
@@ -62,7 +62,7 @@ def upsert_chunks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     rest = [c for c in columns if c != "chunk_id"]
     last = F.max_by(F.struct(*rest), F.struct("start_line", "end_line"))
     fresh = incoming.groupBy("chunk_id").agg(last.alias("_row")).select("chunk_id", "_row.*").select(*columns)
-    replaced = incoming.select("chunk_id").distinct()
+    replaced = cut_lineage(incoming.select("chunk_id").distinct(), "replaced")
     return lookup_join(stored, replaced, ["chunk_id"], "left_anti").select(*columns).unionByName(fresh)
 
 
