@@ -16,6 +16,7 @@ from textquarry.streaming.changes import (
     start_change_stream,
     with_clock,
 )
+from textquarry.streaming.debounce import BurstProcessor
 from textquarry.streaming.memory import (
     rebuild_memory,
     start_memory_sweep,
@@ -99,6 +100,93 @@ def test_bursts_meet_across_batches(spark, tmp_path):
     assert again == sorted([*ended, ("p", _at(0), _at(4), "/c", 1), ("p", _at(60), _at(60), "/c", 1)])
 
 
+class _State(dict):
+    """A map, value and timer state in memory that counts what it is asked for."""
+
+    calls = 0
+
+    def iterator(self):
+        self.calls += 1
+        return iter([((k,), v) for k, v in self.items()])
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self[key[0]] = value
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.get(key[0])
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls += 1
+        del self[key[0]]
+
+
+class _Value:
+    kept = None
+
+    def get(self):
+        return self.kept
+
+    def update(self, value):
+        self.kept = value
+
+
+class _Handle:
+    def __init__(self):
+        self.states, self.timers, self.registered = [], set(), 0
+
+    def getMapState(self, *_):  # noqa: N802
+        self.states.append(_State())
+        return self.states[-1]
+
+    def getValueState(self, *_):  # noqa: N802
+        return _Value()
+
+    def listTimers(self):  # noqa: N802
+        return iter(set(self.timers))
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+        self.registered += 1
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+
+class _Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+
+def test_many_bursts_cost_few_state_calls():
+    """Thousands of open bursts of one project: a page of state each thousand, and one timer."""
+    handle, n = _Handle(), 3000
+    bursts = BurstProcessor(2_000_000)
+    bursts.init(handle)
+    rows = [{"us": i * 60_000_000, "path": f"/f{i}"} for i in range(n)]
+    list(bursts.handleInputRows(("p", 0), iter(rows[: n // 2]), _Clock(0)))
+    list(bursts.handleInputRows(("p", 0), iter(rows[n // 2 :] + rows[5:6]), _Clock(0)))
+    assert handle.timers == {2000}
+
+    def expire(ms):
+        due = {at for at in handle.timers if at <= ms}
+        got = [r for at in due for r in bursts.handleExpiredTimer(("p", 0), _Clock(ms), at)]
+        handle.timers -= due
+        return sorted((r["first_us"], r["last_us"], r["path"], r["n_events"]) for r in got)
+
+    want = [(i * 60_000_000, i * 60_000_000, f"/f{i}", 2 if i == 5 else 1) for i in range(n)]
+    assert expire(1999) == []
+    assert expire(100 * 60_000 + 1999) == want[:100]
+    assert handle.timers == {100 * 60_000 + 2000}
+    assert expire(n * 60_000) == want[100:]
+    assert not handle.timers and not any(handle.states)
+    assert sum(s.calls for s in handle.states) + handle.registered < 100
+
+
 def test_a_clock_ends_the_last_burst(spark, tmp_path):
     """Nothing happens after the last change, but time goes on."""
     source = str(tmp_path / "in")

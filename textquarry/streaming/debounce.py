@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row
@@ -17,13 +18,19 @@ def bucket_of(path: Column, buckets: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(path), 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
 
 
+# Entries a row of state holds at most.
+PAGE_ENTRIES = 1000
+
+
 class BurstProcessor(StatefulProcessor):
     """Open bursts of one project and bucket, and how often each path changed in them.
 
-    Both are map states, a row a burst and a row a path.  A burst is named by the time
-    of the event that opened it.  An event within the gap of two bursts joins them.  A
-    timer stands at the end of every burst's gap; bursts that the watermark has passed
-    by then are given out and forgotten.
+    Both are map states whose rows are pages of at most ``PAGE_ENTRIES`` entries, so that
+    work follows the events and not the calls to the state.  Bursts are spans of time
+    that lie further apart than the gap; an event within the gap of two joins them.  An
+    entry of a path carries a time within its burst, so spans that are joined leave it
+    as it is.  One timer stands at the earliest end of a gap; bursts that the watermark
+    has passed by then are given out and forgotten, and the timer moves on.
     """
 
     def __init__(self, gap_us: int):
@@ -31,54 +38,92 @@ class BurstProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.bursts = handle.getMapState("bursts", "burst long", "first_us long, last_us long")
-        self.paths = handle.getMapState("paths", "burst long, path string", "n long")
+        self.spans = handle.getMapState("spans", "page long", "first_us array<long>, last_us array<long>")
+        self.paths = handle.getMapState("paths", "page long", "us array<long>, path array<string>, n array<long>")
+        self.next_page = handle.getValueState("next_page", "page long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        open_ones = {k[0]: [v[0], v[1]] for k, v in self.bursts.iterator()}
-        known = set(open_ones)
+        events = Counter((r["us"], r["path"]) for r in rows if r["us"] is not None and r["path"] is not None)
+        if not events:
+            return iter(())
+        pages = self._span_pages()
+        known = [span for _, page in sorted(pages.items()) for span in page]
+        spans: list[tuple] = []
+        for first, last in sorted([*known, *((us, us) for us in {us for us, _ in events})]):
+            if spans and first - spans[-1][1] <= self.gap_us:
+                spans[-1] = (spans[-1][0], max(last, spans[-1][1]))
+            else:
+                spans.append((first, last))
+        starts = [first for first, _ in spans]
         counts: dict[tuple, int] = defaultdict(int)
-        for us, path in sorted((r["us"], r["path"]) for r in rows if r["us"] is not None and r["path"] is not None):
-            near = [b for b, (first, last) in open_ones.items() if first - self.gap_us <= us <= last + self.gap_us]
-            burst = min(near, default=us)
-            span = open_ones.setdefault(burst, [us, us])
-            for other in near:
-                if other != burst:
-                    self._join(other, burst, counts)
-                    span[0], span[1] = min(span[0], open_ones[other][0]), max(span[1], open_ones[other][1])
-                    del open_ones[other]
-            span[0], span[1] = min(span[0], us), max(span[1], us)
-            counts[burst, path] += 1
-        for place, n in counts.items():
-            before = self.paths.getValue(place)
-            self.paths.updateValue(place, (n + (before[0] if before else 0),))
-        for burst in known - set(open_ones):
-            self.bursts.removeKey((burst,))
-        for burst, (first, last) in open_ones.items():
-            self.bursts.updateValue((burst,), (first, last))
-            self.handle.registerTimer(-(-(last + self.gap_us) // 1000))
+        for (us, path), n in events.items():
+            counts[starts[bisect_right(starts, us) - 1], path] += n
+        self._keep_paths(sorted((us, path, n) for (us, path), n in counts.items()))
+        self._keep_spans(spans, pages)
+        wanted = self._timer_of(spans)
+        standing = list(self.handle.listTimers())
+        for timer in standing:
+            if timer != wanted:
+                self.handle.deleteTimer(timer)
+        if wanted not in standing:
+            self.handle.registerTimer(wanted)
         return iter(())
 
-    def _join(self, other: int, burst: int, counts: dict) -> None:
-        """Hand what happened in one burst over to another."""
-        for place in [p for p in counts if p[0] == other]:
-            counts[burst, place[1]] += counts.pop(place)
-        for place in [tuple(p) for p in self.paths.keys() if p[0] == other]:  # noqa: SIM118
-            counts[burst, place[1]] += self.paths.getValue(place)[0]
-            self.paths.removeKey(place)
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        over = {k[0]: (v[0], v[1]) for k, v in self.bursts.iterator() if v[1] + self.gap_us <= passed}
-        if not over:
+        pages = self._span_pages()
+        spans = [span for _, page in sorted(pages.items()) for span in page]
+        over = [last + self.gap_us <= passed for _, last in spans]
+        if any(over):
+            starts = [first for first, _ in spans]
+            counts: dict[tuple, int] = defaultdict(int)
+            left = []
+            for (page,), entries in list(self.paths.iterator()):
+                ended, stay = [], []
+                for us, path, n in zip(*entries):
+                    at = bisect_right(starts, us) - 1
+                    (ended if over[at] else stay).append((at, us, path, n))
+                if ended:
+                    self.paths.removeKey((page,))
+                    left += [entry[1:] for entry in stay]
+                for at, _, path, n in ended:
+                    counts[at, path] += n
+            self._keep_paths(sorted(left))
+            for (at, path), n in counts.items():
+                first, last = spans[at]
+                yield Row(project_id=key[0], bucket=key[1], first_us=first, last_us=last, path=path, n_events=n)
+        remaining = [span for span, ended in zip(spans, over) if not ended]
+        self._keep_spans(remaining, pages)
+        if remaining:
+            self.handle.registerTimer(self._timer_of(remaining))
+
+    def _timer_of(self, spans: list) -> int:
+        """When the first of some bursts is over."""
+        return -(-(min(last for _, last in spans) + self.gap_us) // 1000)
+
+    def _span_pages(self) -> dict:
+        return {k[0]: list(zip(*page)) for k, page in self.spans.iterator()}
+
+    def _keep_spans(self, spans: list, pages: dict) -> None:
+        """Write the pages that are not what they were, and drop those no longer needed."""
+        cut = [spans[at : at + PAGE_ENTRIES] for at in range(0, len(spans), PAGE_ENTRIES)]
+        for number, page in enumerate(cut):
+            if pages.get(number) != page:
+                self.spans.updateValue((number,), tuple(list(column) for column in zip(*page)))
+        for number in pages:
+            if number >= len(cut):
+                self.spans.removeKey((number,))
+
+    def _keep_paths(self, entries: list) -> None:
+        """Add pages of (time within the burst, path, events)."""
+        if not entries:
             return
-        for burst in over:
-            self.bursts.removeKey((burst,))
-        ended = [(tuple(place), n[0]) for place, n in self.paths.iterator() if place[0] in over]
-        for place, n in ended:
-            self.paths.removeKey(place)
-            first, last = over[place[0]]
-            yield Row(project_id=key[0], bucket=key[1], first_us=first, last_us=last, path=place[1], n_events=n)
+        number = (self.next_page.get() or (0,))[0]
+        for at in range(0, len(entries), PAGE_ENTRIES):
+            page = entries[at : at + PAGE_ENTRIES]
+            self.paths.updateValue((number,), tuple(list(column) for column in zip(*page)))
+            number += 1
+        self.next_page.update((number,))
 
     def close(self) -> None:
         pass
