@@ -24,6 +24,7 @@ from textquarry.streaming.memory import (
     sweep_sessions,
     sync_sessions,
 )
+from textquarry.workload import catalog
 
 CHANGES = "project_id string, path string, op string, ts timestamp"
 T0 = dt.datetime(2024, 1, 1)
@@ -298,6 +299,19 @@ def test_memory_read(spark):
     }
 
 
+def test_memory_read_query_asks_for_every_part(spark, tmp_path):
+    """All turns of a session are read, however many files it has."""
+    turns = [(c, i, "user" if i % 2 else "assistant", f"turn {i} of session {c}") for c, n in ((1, 1), (2, 3), (3, 10)) for i in range(n)]
+    spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet"
+    )
+    spark.createDataFrame([(1, "x")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = catalog.QUERIES["memory_read"](spark, str(tmp_path)).collect()
+    assert len(rows) == 1 + 1 + 4 + 2 and sum(r.status == "ok" for r in rows) == 6
+    texts = "".join(r.content or "" for r in rows)
+    assert all(text in texts for *_, text in turns)
+
+
 def test_memory_sync_and_rebuild(spark, tmp_path):
     store = IndexStore(spark, scratch_path(spark, "memory"))
     source = str(tmp_path / "turns")
