@@ -1,12 +1,15 @@
 import hashlib
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
+from textquarry.functions.embed import _embed_batch
 from textquarry.operators import chunking
 
 
@@ -190,3 +193,16 @@ def test_scalar_texts(spark):
 def test_invalid_search_regex(bad):
     with pytest.raises(T.InvalidRegex):
         T.java_regex(bad)
+
+
+def test_embedding_memory_is_bounded():
+    """A batch of many texts is embedded a slice at a time, with the vectors each text has alone."""
+    texts = pa.array([f"w{i} " * 1000 + "the end" for i in range(5000)] + ["", "a b" * 2_000_000])
+    tracemalloc.start()
+    whole = _embed_batch(texts, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for i in (0, 1, 2500, 4999, 5000, 5001):
+        assert (whole[i] == _embed_batch(texts[i : i + 1], 64)[0]).all()
+    assert whole.shape == (5002, 64) and peak < 100_000_000
+    assert _embed_batch(texts[:0], 64).shape == (0, 64)
