@@ -220,3 +220,34 @@ def test_grid_sides_can_be_empty(spark):
 
     assert pairs(50, 200) == 10_000 and pairs(50, 200, block_rows=7, batch_rows=11) == 10_000
     assert pairs(0, 200) == 0 and pairs(50, 0) == 0
+
+
+def test_few_rows_are_scored_exactly(monkeypatch):
+    """Rough products keep most rows out, and leave the results those of all rows."""
+    rng = np.random.default_rng(1)
+    n, dim, keep = 6000, 16, 5
+    vectors = rng.normal(size=(n, dim))
+    vectors[100:140] = vectors[7]  # ties go by id
+    ids = np.array([f"c{i:05d}" for i in range(n)], dtype=object)
+    projects = np.array([f"p{i % 3}" for i in range(n)], dtype=object)
+    queries = [
+        {"query_id": f"q{i}{p}", "text": None, "embedding": vectors[i].tolist(), "project_id": p, "language": "", "path_prefix": ""}
+        for i in range(0, 60, 7) for p in ("", "p1")
+    ]
+    rounded, plain = [], np.round
+    monkeypatch.setattr(np, "round", lambda x, *how: (rounded.append(np.size(x)), plain(x, *how))[1])
+    table = pa.table({
+        "chunk_id": pa.array(ids, pa.string()), "project_id": pa.array(projects, pa.string()),
+        "embedding": pa.array(vectors.tolist(), pa.list_(pa.float64())),
+    })
+    got = [r for b in knn._partial_topk(queries, keep)(table.to_batches(max_chunksize=3000)) for r in b.to_pylist()]
+    assert sum(rounded) < len(queries) * n / 5
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for q in queries:
+        vector = np.array(q["embedding"])
+        scores = plain(unit @ (vector / np.linalg.norm(vector)), 6)
+        rows = [i for i in range(n) if q["project_id"] in ("", projects[i])]
+        want = sorted((-scores[i], ids[i]) for i in rows)[:keep]
+        mine = sorted((-r["score"], r["chunk_id"]) for r in got if r["query_id"] == q["query_id"])
+        assert [i for _, i in mine] == [i for _, i in want]
+        assert np.allclose([x for x, _ in mine], [x for x, _ in want], atol=1e-6)
