@@ -206,3 +206,15 @@ def test_embedding_memory_is_bounded():
         assert (whole[i] == _embed_batch(texts[i : i + 1], 64)[0]).all()
     assert whole.shape == (5002, 64) and peak < 100_000_000
     assert _embed_batch(texts[:0], 64).shape == (0, 64)
+
+
+def test_words_of_odd_texts():
+    """Words never run across texts, and bytes of other letters part them."""
+    texts = ["", "ab", "cd e", "\u00e9a \u00e9", "a\u00e9", "b", "\u00df1 2", " x ", "\x00a\x00b", "", ""]
+    got = _embed_batch(pa.array(["skipped", *texts])[1:], 64)
+    for text, row in zip(texts, got):
+        want = [0.0] * 64
+        for word in re.findall("[a-z0-9]+", text):
+            want[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 64] += 1
+        norm = sum(x * x for x in want) ** 0.5 or 1.0
+        assert row.tolist() == pytest.approx([x / norm for x in want])

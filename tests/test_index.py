@@ -443,3 +443,20 @@ def test_short_names_are_ranges_of_the_suffixes(spark, monkeypatch, capsys):
     found.explain("formatted")
     assert "GreaterThanOrEqual(suffix" in capsys.readouterr().out
     assert symbols.symbol_fuzzy(table, names.limit(0)).count() == 0
+
+
+def test_a_first_upsert_works_out_its_chunks_once(spark):
+    """Where nothing is stored, incoming chunks are not computed a second time for their ids."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    shape = "chunk_id string, path string, start_line int, end_line int"
+    rows = [("a", "/f", 1, 2), ("a", "/f", 5, 6), ("a", "/f", 3, 9), ("b", "/f", 1, 1), ("c", "/g", None, None)]
+    incoming = spark.createDataFrame(rows, shape).mapInArrow(count, shape)
+    got = index.upsert_chunks(incoming.limit(0), incoming).collect()
+    assert sorted(tuple(r) for r in got) == [rows[1], rows[3], rows[4]]
+    assert seen.value == len(rows)
